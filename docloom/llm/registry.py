@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from . import preference, sharding
+from . import bpe_codec, minhash_dups, preference, sharding
 
 QUERIES = {
     "op3_jump_shards": sharding.query,
+    "op4_byte_bpe": bpe_codec.query,
+    "op6_minhash_dups": minhash_dups.query,
     "op8_preference_format": preference.query,
 }
 
 ORACLE_SQL = {
     "op3_jump_shards": sharding.ORACLE_SQL,
+    "op6_minhash_dups": minhash_dups.ORACLE_SQL,
     "op8_preference_format": preference.ORACLE_SQL,
 }
