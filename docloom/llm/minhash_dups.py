@@ -6,9 +6,10 @@ share the key that this chunk gives when that symbol is left out. Enumerating th
 of every chunk (CHUNKS * WIDTH keys a text) therefore finds all pairs under that distance; at a
 similarity of 0.85 a pair is missed with a probability of about 1e-5, at 0.9 of 1e-8.
 
-Groups stay linear: texts that share a key are first compared with the key's smallest text only.
-Those linked by that need no more comparisons among themselves. What is left over, texts of a key that
-fell into different components, is then compared pair by pair, so that no link is lost.
+Groups stay near linear: texts that share a key are first compared with the key's smallest text only,
+then, while much is left, with one other text of the key a round. Texts that are in one component need
+no more comparisons among themselves. What is left over, texts of a key that fell into different
+components, is at last compared pair by pair, so that no link is lost.
 """
 
 from __future__ import annotations
@@ -120,6 +121,13 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     return both.where(F.lit(100) * F.col("i") >= F.lit(percent) * (F.size("x") + F.size("y") - F.col("i"))).select("a", "b").distinct()
 
 
+def _pairs_apart(placed: DataFrame) -> int:
+    """Pairs of texts that share a key but no component, counted once for every key they share."""
+    by_part = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
+    by_key = by_part.groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("squares"))
+    return by_key.agg(F.coalesce(F.sum((F.col("n") * F.col("n") - F.col("squares")) / 2), F.lit(0)).cast("long").alias("n")).first()["n"]
+
+
 def written_sets(docs: DataFrame) -> DataFrame:
     return common.written(docs.mapInArrow(_sets, "doc long, shingles array<long>"), "sets")
 
@@ -154,18 +162,31 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     members = common.written(keyed.join(shared, "key"), "members")
     sizes = members.select(F.col("doc").alias("first"), F.col("n").alias("first_n")).distinct()
     fits = lambda p, q: (F.lit(100) * F.least(p, q) >= F.lit(percent) * F.greatest(p, q))
-
     star = (
         members.where("doc <> first").select("first", "doc", "n").distinct()
         .join(sizes, "first").where(fits(F.col("n"), F.col("first_n")))
         .select(F.col("first").alias("a"), F.col("doc").alias("b"))
     )
-    links = common.written(_confirmed(common.written(star, "star"), docs, percent), "links")
-    so_far = components(links)
-
-    # what a key still holds in different components
-    placed = members.join(so_far.select(F.col("node").alias("doc"), "component"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
-    placed = common.written(placed, "placed")
+    links = _confirmed(common.written(star, "star"), docs, percent)
+    rows, before, turn = members.count(), None, 0
+    while True:
+        so_far = components(links)  # links that say the same with fewer rows
+        links = so_far.select(F.col("node").alias("a"), F.col("component").alias("b"))
+        placed = members.join(so_far.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
+        placed = common.written(placed, "placed")
+        left = _pairs_apart(placed)
+        if left <= rows or (before is not None and left > 0.7 * before):
+            break
+        before, turn = left, turn + 1
+        # another text of each key takes the first one's part
+        pivots = placed.groupBy("key").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "doc").alias("h"), "doc", "n", "component")).alias("p"))
+        met = (
+            placed.join(pivots, "key").where((F.col("component") != F.col("p.component")) & fits(F.col("n"), F.col("p.n")))
+            .select(F.least("doc", "p.doc").alias("a"), F.greatest("doc", "p.doc").alias("b")).distinct()
+        )
+        links = links.unionByName(_confirmed(common.written(met, "met"), docs, percent))
+
+    # what a key still holds in different components: every pair of it
     home = placed.where("doc = first").select("key", F.col("component").alias("home"))
     apart = placed.join(home, "key").where("component <> home")
     others = placed.where("doc <> first").select("key", F.col("doc").alias("other"), F.col("n").alias("other_n"), F.col("component").alias("other_component"))
