@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe_codec, minhash_dups, preference, sharding
+from . import benchmark_leaks, bpe_codec, minhash_dups, preference, sharding
 
 QUERIES = {
+    "op1_benchmark_leaks": benchmark_leaks.query,
     "op3_jump_shards": sharding.query,
     "op4_byte_bpe": bpe_codec.query,
     "op6_minhash_dups": minhash_dups.query,
