@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import math
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import ahocorasick
 import pyarrow as pa
@@ -124,27 +124,49 @@ def leaks(docs: DataFrame, items: DataFrame, error_rate: float = ERROR_RATE, blo
     block; a small benchmark is one block. Null or blank items and documents match nothing. Repeated
     items or documents give repeated rows; a null id is passed on. Other columns are not read.
     """
-    spark = docs.sparkSession
-    common.small_batches(spark)
+    found = None
+    for block in _blocks(docs, items, block_chars):
+        part = _search(docs, block, error_rate)
+        found = part if found is None else found.unionByName(part)
+    return found
+
+
+def without_leaks(docs: DataFrame, items: DataFrame, error_rate: float = ERROR_RATE, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """The rows of docs, all columns as they are, in whose text no test item occurs. As leaks() for nulls."""
+    for block in _blocks(docs, items, block_chars):
+        docs = _clean(docs, block, error_rate)
+    return docs
+
+
+def _blocks(docs: DataFrame, items: DataFrame, block_chars: int) -> Iterator[list[tuple[int, str]]]:
+    """Normalised items in blocks of about block_chars, one in the driver at a time."""
+    common.small_batches(docs.sparkSession)
     texts = items.select(F.col("item_id").cast("long").alias("item_id"), "text").where("trim(text) <> ''")
     chars = texts.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n")).first()["n"]
     blocks = max(1, math.ceil(chars / block_chars))
-    found = None
     for block in range(blocks):
         rows = texts.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).collect()  # bounded: a block
-        part = _search(docs, [(r["item_id"], t) for r in rows if (t := normal(r["text"]))], error_rate)
-        found = part if found is None else found.unionByName(part)
-    return found
+        yield [(r["item_id"], t) for r in rows if (t := normal(r["text"]))]
 
 
-def _search(docs: DataFrame, items: list[tuple[int, str]], error_rate: float) -> DataFrame:
-    shared, name = docs.sparkSession.sparkContext.broadcast(items), uuid.uuid4().hex
+def _searcher(items: list[tuple[int, str]], error_rate: float, spark: SparkSession) -> Callable[[], Searcher | None]:
+    """For tasks: the block's automaton, built once in each Python worker."""
+    shared, name = spark.sparkContext.broadcast(items), uuid.uuid4().hex
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def own() -> Searcher | None:
         if name not in _searchers:
             _searchers.clear()
             _searchers[name] = Searcher(shared.value, error_rate) if shared.value else None
-        own = _searchers[name]
+        return _searchers[name]
+
+    return own
+
+
+def _search(docs: DataFrame, items: list[tuple[int, str]], error_rate: float) -> DataFrame:
+    searcher = _searcher(items, error_rate, docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = searcher()
         for batch in batches:
             ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
             hits = [(i, *hit) for i, text in zip(ids, texts, strict=True) if own and text for hit in own.search(normal(text))]
@@ -154,5 +176,16 @@ def _search(docs: DataFrame, items: list[tuple[int, str]], error_rate: float) ->
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, item_id long, distance long, end_char long")
 
 
+def _clean(docs: DataFrame, items: list[tuple[int, str]], error_rate: float) -> DataFrame:
+    searcher = _searcher(items, error_rate, docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = searcher()
+        for batch in batches:
+            yield batch.filter(pa.array([not (own and text and own.search(normal(text))) for text in batch.column("text").to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))

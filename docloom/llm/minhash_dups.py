@@ -1,10 +1,11 @@
 """Near-duplicate documents: a multi-index Hamming join over b-bit MinHash signatures, then exact sets.
 
-A signature is CHUNKS x WIDTH symbols of 16 bits. Two signatures that differ in at most
-2 * CHUNKS - 1 symbols agree, by pigeonhole, in some chunk with at most one differing symbol, and so
+A signature is chunks x width symbols of 16 bits. Two signatures that differ in at most
+2 * chunks - 1 symbols agree, by pigeonhole, in some chunk with at most one differing symbol, and so
 share the key that this chunk gives when that symbol is left out. Enumerating the one allowed error
-of every chunk (CHUNKS * WIDTH keys a text) therefore finds all pairs under that distance; at a
-similarity of 0.85 a pair is missed with a probability of about 1e-5, at 0.9 of 1e-8.
+of every chunk (chunks * width keys a text) therefore finds all pairs under that distance. layout()
+picks the number of chunks so that a pair of just the asked similarity is missed with a probability
+of at most MISS; pairs above it are missed far more rarely.
 
 Groups stay near linear: texts that share a key are first compared with the key's smallest text only,
 then, while much is left, with one other text of the key a round. Texts that are in one component need
@@ -14,7 +15,8 @@ components, is at last compared pair by pair, so that no link is lost.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,13 +28,20 @@ from .common import U64, mix
 from .graph import components
 
 SHINGLE = 5
-CHUNKS = 9
-WIDTH = 7
+#: Highest probability that a pair of exactly the asked similarity shares no key.
+MISS = 2e-5
 
 _PLACE = common._randoms(2, 64)
-_XOR = common._randoms(3, CHUNKS * WIDTH)
-_MULTIPLY = common._randoms(4, CHUNKS * WIDTH)
-_PART = common._randoms(5, CHUNKS * WIDTH)
+_XOR = common._randoms(3, 512)
+_MULTIPLY = common._randoms(4, 512)
+_PART = common._randoms(5, 512)
+
+
+def layout(percent: int) -> tuple[int, int]:
+    """(chunks, width): symbols in a chunk, and as many chunks as MISS asks for at this similarity."""
+    s, width = percent / 100, 7 if percent >= 85 else 6
+    agree = s**width + width * s ** (width - 1) * (1 - s)
+    return max(1, math.ceil(math.log(MISS) / math.log(1 - agree))) if agree < 1 else 1, width
 
 
 def shingle_sets(data: np.ndarray, offs: np.ndarray, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -61,47 +70,48 @@ def shingle_sets(data: np.ndarray, offs: np.ndarray, size: int = SHINGLE) -> tup
     return hashes, np.searchsorted(owner, np.arange(n + 1))
 
 
-def signatures(sets: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """(rows, CHUNKS * WIDTH) 16-bit symbols: the low bits of each minimum. Rows must not be empty."""
-    out = np.empty((len(at) - 1, CHUNKS * WIDTH), np.uint16)
-    for j in range(CHUNKS * WIDTH):
+def signatures(sets: np.ndarray, at: np.ndarray, symbols: int) -> np.ndarray:
+    """(rows, symbols) 16-bit symbols: low bits of each mixed minimum. Rows must not be empty."""
+    out = np.empty((len(at) - 1, symbols), np.uint16)
+    for j in range(symbols):
         low = np.minimum.reduceat((sets ^ _XOR[j]) * _MULTIPLY[j], at[:-1])
         out[:, j] = (mix(low) >> U64(48)).astype(np.uint16)
     return out
 
 
-def chunk_keys(symbols: np.ndarray) -> np.ndarray:
-    """(rows, CHUNKS * WIDTH) keys: for each chunk and each position in it, the other symbols' hash."""
-    parts = mix(symbols.astype(U64) * U64(0x9E3779B97F4A7C15) + _PART)
-    rest = parts.reshape(-1, CHUNKS, WIDTH).sum(axis=2, dtype=U64).repeat(WIDTH, axis=1) - parts
-    return mix(rest + _PART[::-1])
+def chunk_keys(symbols: np.ndarray, width: int) -> np.ndarray:
+    """As many keys as symbols: for each chunk and each position in it, the other symbols' hash."""
+    n = symbols.shape[1]
+    parts = mix(symbols.astype(U64) * U64(0x9E3779B97F4A7C15) + _PART[:n])
+    rest = parts.reshape(-1, n // width, width).sum(axis=2, dtype=U64).repeat(width, axis=1) - parts
+    return mix(rest + _PART[::-1][:n])
 
 
 def _lists(values: np.ndarray, offs: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offs, pa.int32()), pa.array(values.view(np.int64)))
 
 
-def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        data, offs = common.text_bytes(batch.column("text"))
-        for a, b in common.byte_runs(offs):
-            sets, at = shingle_sets(data[offs[a] : offs[b]], offs[a : b + 1] - offs[a])
-            sizes = np.diff(at)
-            full = np.flatnonzero(sizes)
-            keys, two = np.zeros((0, CHUNKS * WIDTH), U64), np.zeros((2, b - a), U64)
-            if len(full):
-                keys = chunk_keys(signatures(sets, np.append(at[:-1][full], len(sets))))
-                two[0, full] = np.add.reduceat(mix(sets + U64(1)), at[:-1][full])
-                two[1, full] = np.add.reduceat(mix(sets ^ _PLACE[20]), at[:-1][full])
-            lengths = np.zeros(b - a + 1, np.int64)
-            lengths[1:] = (sizes > 0) * (CHUNKS * WIDTH)
-            yield pa.record_batch(
-                [
-                    batch.column("doc_id").slice(a, b - a), pa.array(sizes.astype(np.int64)),
-                    pa.array(two[0].view(np.int64)), pa.array(two[1].view(np.int64)), _lists(keys.ravel(), np.cumsum(lengths)),
-                ],
-                ["doc_id", "n_shingles", "set_a", "set_b", "keys"],
-            )
+def _signed(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    chunks, width = layout(percent)
+    symbols = chunks * width
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offs = common.text_bytes(batch.column("text"))
+            for a, b in common.byte_runs(offs):
+                sets, at = shingle_sets(data[offs[a] : offs[b]], offs[a : b + 1] - offs[a])
+                sizes = np.diff(at)
+                full = np.flatnonzero(sizes)
+                keys, two = np.zeros((0, symbols), U64), np.zeros((2, b - a), U64)
+                if len(full):
+                    keys = chunk_keys(signatures(sets, np.append(at[:-1][full], len(sets)), symbols), width)
+                    two[0, full] = np.add.reduceat(mix(sets + U64(1)), at[:-1][full])
+                    two[1, full] = np.add.reduceat(mix(sets ^ _PLACE[20]), at[:-1][full])
+                key_at = np.concatenate([[0], np.cumsum((sizes > 0) * symbols)])
+                columns = [pa.array(sizes.astype(np.int64)), pa.array(two[0].view(np.int64)), pa.array(two[1].view(np.int64)), _lists(keys.ravel(), key_at)]
+                yield pa.record_batch([batch.column("doc_id").slice(a, b - a), *columns], ["doc_id", "n_shingles", "set_a", "set_b", "keys"])
+
+    return run
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,7 +157,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     spark = docs.sparkSession
     common.small_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    signed = common.written(docs.mapInArrow(_signed, "doc_id long, n_shingles long, set_a long, set_b long, keys array<long>"), "signed")
+    signed = common.written(docs.mapInArrow(_signed(percent), "doc_id long, n_shingles long, set_a long, set_b long, keys array<long>"), "signed")
     linkable = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
 
     # equal sets: one representative each

@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-from . import benchmark_leaks, bpe_codec, minhash_dups, preference, sharding
+import corpus_pipeline
+
+from . import benchmark_leaks, bpe_codec, minhash_dups, preference, quality, sharding, toxicity
 
 QUERIES = {
     "op1_benchmark_leaks": benchmark_leaks.query,
     "op3_jump_shards": sharding.query,
     "op4_byte_bpe": bpe_codec.query,
+    "op5_weak_label_quality": quality.query,
     "op6_minhash_dups": minhash_dups.query,
     "op8_preference_format": preference.query,
+    "op9_toxicity": toxicity.query,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLE_SQL = {
