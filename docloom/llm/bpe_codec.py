@@ -1,9 +1,9 @@
 """Byte-level BPE by rank files: encoding with a rank queue, decoding by table.
 
 Merges of one pre-token are driven by a queue with a bucket for each merge rank. A bucket holds
-positions of the pre-token's linked list of parts; a three-level bitmap of 64-bit words says which
-buckets hold something, so finding the next rank takes three find-first-set steps however long the
-pre-token is. An entry whose part has been merged away, or whose pair has changed, is skipped.
+positions of the pre-token's linked list of parts; a bitmap of two levels, with words of 256 bits,
+says which buckets hold something, so finding the next rank takes two find-first-set steps however long
+the pre-token is. An entry whose part has been merged away, or whose pair has changed, is skipped.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ import re
 from collections.abc import Iterator
 from functools import lru_cache
 from heapq import heappop, heappush
+from struct import pack
 
 import numpy as np
 import public_tokenizers
@@ -25,7 +26,7 @@ from . import common
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 #: Words that a Python worker remembers; when full, it starts anew. Results don't depend on it.
-REMEMBERED = 400_000
+REMEMBERED = 1_000_000
 
 _ODD_SPACE = re.compile(r"\s ")
 _LONE_SPACE = re.compile(r"(?<=\S) (?=\S)")
@@ -39,9 +40,10 @@ class Codec:
             self.ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
         self.longest = max(map(len, self.ranks))
         most = max(self.ranks.values())
-        #: The rank queue: positions (a heap, leftmost first) by rank, and the bitmap's two lower levels.
+        #: The rank queue: positions (a heap, leftmost first) by rank, and the bitmap's lower level.
         self.buckets: dict[int, list[int]] = {}
-        self.leaf, self.mid = [0] * ((most >> 6) + 1), [0] * ((most >> 12) + 1)
+        self.leaf = [0] * ((most >> 8) + 1)
+        self.of_two = [self.ranks.get(bytes((x, y)), -1) for x in range(256) for y in range(256)]
         self.split = regex.compile(pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")).findall
         self.remembered = remembered
         self.words = _Words(self)
@@ -55,62 +57,65 @@ class Codec:
         whole = self.ranks.get(piece)
         if whole is not None:
             return [whole]
-        ranks, longest, n = self.ranks, self.longest, len(piece)
-        buckets, leaf, mid, top = self.buckets, self.leaf, self.mid, 0  # all empty here
+        get, longest, n = self.ranks.get, self.longest, len(piece)
+        buckets, leaf, top = self.buckets, self.leaf, 0  # all empty here
         end = list(range(1, n + 1))  # where the part that starts here ends; the next part starts there
         back = list(range(-1, n))  # start of the part before
         pair = [-1] * (n + 1)  # rank of the part that starts here merged with its successor, or -1
-        new = [(rank, i) for i in range(n - 1) if (rank := ranks.get(piece[i : i + 2], -1)) >= 0]
-        for rank, i in new:
-            pair[i] = rank
-        while True:
-            for rank, i in new:  # push
+        of_two, i = self.of_two, 0
+        for x, y in zip(piece, piece[1:]):  # noqa: B905, RUF007
+            rank = pair[i] = of_two[x << 8 | y]
+            if rank >= 0:
                 bucket = buckets.get(rank)
-                if bucket is not None:
-                    heappush(bucket, i)
-                    continue
-                buckets[rank] = [i]
-                a = rank >> 6
-                if not leaf[a]:
-                    b = rank >> 12
-                    if not mid[b]:
-                        top |= 1 << b
-                    mid[b] |= 1 << (a & 63)
-                leaf[a] |= 1 << (rank & 63)
-            if not top:
-                break
-            b = (top & -top).bit_length() - 1  # find first set, level by level
-            word = mid[b]
-            a = b << 6 | (word & -word).bit_length() - 1
+                if bucket is None:
+                    buckets[rank] = [i]
+                    a = rank >> 8
+                    leaf[a] |= 1 << (rank & 255)
+                    top |= 1 << a
+                else:
+                    bucket.append(i)  # ascending, so a heap
+            i += 1
+        while top:
+            a = (top & -top).bit_length() - 1  # find first set, level by level
             word = leaf[a]
-            rank = a << 6 | (word & -word).bit_length() - 1
+            rank = a << 8 | (word & -word).bit_length() - 1
             bucket = buckets[rank]
             i = heappop(bucket)
             if not bucket:
                 del buckets[rank]
-                leaf[a] = word & (word - 1)
-                if not leaf[a]:
-                    mid[b] &= mid[b] - 1
-                    if not mid[b]:
-                        top &= top - 1
-            new = []
+                word &= word - 1
+                leaf[a] = word
+                if not word:
+                    top &= top - 1
             if pair[i] != rank:
                 continue  # stale
             j = end[i]
             stop = end[i] = end[j]
             pair[j] = pair[i] = -1
+            fresh = ()
             if stop < n:
                 back[stop] = i
-                if end[stop] - i <= longest and (rank := ranks.get(piece[i : end[stop]], -1)) >= 0:
+                if end[stop] - i <= longest and (rank := get(piece[i : end[stop]], -1)) >= 0:
                     pair[i] = rank
-                    new.append((rank, i))
+                    fresh = (i,)
             if i:
                 h = back[i]
-                rank = ranks.get(piece[h:stop], -1) if stop - h <= longest else -1
+                rank = get(piece[h:stop], -1) if stop - h <= longest else -1
                 if rank != pair[h]:
                     pair[h] = rank
                     if rank >= 0:
-                        new.append((rank, h))
+                        fresh += (h,)
+            for i in fresh:
+                rank = pair[i]
+                bucket = buckets.get(rank)
+                if bucket is None:
+                    buckets[rank] = [i]
+                    a = rank >> 8
+                    leaf[a] |= 1 << (rank & 255)
+                    top |= 1 << a
+                else:
+                    heappush(bucket, i)
+        ranks = self.ranks
         out, i = [], 0
         while i < n:
             out.append(ranks[piece[i : end[i]]])
@@ -121,15 +126,19 @@ class Codec:
         """Ids, as little-endian 32-bit integers, of text that starts and ends at pre-token borders."""
         out = []
         for piece in self.split(text):
-            ids = self.pieces.get(piece)
+            ids = self.words.get(piece[1:]) if piece[:1] == " " else self.pieces.get(piece)
             if ids is None:
-                if len(self.pieces) >= self.remembered:
+                if len(self.pieces) >= 100_000:
                     self.pieces.clear()
-                ids = np.array(self.merge(piece.encode()), "<u4").tobytes()
+                got = self.merge(piece.encode())
+                ids = pack(f"<{len(got)}I", *got)
                 if len(piece) < 64:
-                    self.pieces[piece] = ids
+                    if piece[:1] == " ":
+                        self.words[piece[1:]] = ids
+                    else:
+                        self.pieces[piece] = ids
             out.append(ids)
-        return b"".join(out)
+        return b"".join(out) if len(out) != 1 else out[0]
 
     def encode(self, text: str) -> bytes:
         """Ids of a whole text. A space between two non-spaces always begins a pre-token, so the text is
