@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import benchmark_leaks, bpe_codec, minhash_dups, preference, quality, sharding, toxicity
+from . import benchmark_leaks, bpe_codec, embedding_dups, minhash_dups, preference, quality, sharding, toxicity
 
 QUERIES = {
     "op1_benchmark_leaks": benchmark_leaks.query,
@@ -12,6 +12,7 @@ QUERIES = {
     "op4_byte_bpe": bpe_codec.query,
     "op5_weak_label_quality": quality.query,
     "op6_minhash_dups": minhash_dups.query,
+    "op7_embedding_dups": embedding_dups.query,
     "op8_preference_format": preference.query,
     "op9_toxicity": toxicity.query,
     "pipeline": corpus_pipeline.run,
@@ -20,5 +21,6 @@ QUERIES = {
 ORACLE_SQL = {
     "op3_jump_shards": sharding.ORACLE_SQL,
     "op6_minhash_dups": minhash_dups.ORACLE_SQL,
+    "op7_embedding_dups": embedding_dups.ORACLE_SQL,
     "op8_preference_format": preference.ORACLE_SQL,
 }
