@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import benchmark_leaks, bpe_codec, embedding_dups, minhash_dups, preference, quality, sharding, toxicity
+from . import benchmark_leaks, bpe_codec, embedding_dups, minhash_dups, preference, quality, sharding, token_grammar, toxicity
 
 QUERIES = {
     "op1_benchmark_leaks": benchmark_leaks.query,
+    "op2_token_grammar": token_grammar.query,
     "op3_jump_shards": sharding.query,
     "op4_byte_bpe": bpe_codec.query,
     "op5_weak_label_quality": quality.query,
