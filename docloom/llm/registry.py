@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import benchmark_leaks, bpe_codec, embedding_dups, minhash_dups, preference, quality, sharding, token_grammar, toxicity
+from . import benchmark_leaks, bpe_codec, embedding_dups, lm_score, minhash_dups, preference, quality, sharding, token_grammar, toxicity
 
 QUERIES = {
     "op1_benchmark_leaks": benchmark_leaks.query,
@@ -16,6 +16,7 @@ QUERIES = {
     "op7_embedding_dups": embedding_dups.query,
     "op8_preference_format": preference.query,
     "op9_toxicity": toxicity.query,
+    "op10_lm_score": lm_score.query,
     "pipeline": corpus_pipeline.run,
 }
 
