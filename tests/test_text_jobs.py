@@ -160,7 +160,7 @@ def test_page_content(spark):
 
 
 def test_page_batches_reset_contents(spark):
-    text = "<!-- PAGE:1 -->\n# Contents\na\n<!-- PAGE:2 -->\nkept"
+    text = "<!-- PAGE:1 -->\n# CONTENTS\na\n<!-- PAGE:2 -->\nkept"
     df = spark.createDataFrame([(1, text)], "doc_id long, text string")
     assert "kept" in layout.clean_by_page_batch(df, n=1).first()["text"]
     assert "kept" not in layout.clean_by_page_batch(df, n=20).first()["text"]
