@@ -213,11 +213,11 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = FIT_DOCS_PER_CLASS)
     spark = docs.sparkSession
     marks = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     counts = {r["toxic"]: r["n"] for r in marks.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}  # two rows
-    keep = F.lit(False)
+    keep = F.lit(False)  # about 2 * per_class ids pass: small enough to broadcast
     for c in (0, 1):
         limit = int(min(1.0, per_class / max(1, counts.get(c, 0))) * (1 << 30))
         keep = keep | ((F.col("toxic") == c) & (F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < limit))
-    sample = docs.select("doc_id", "text").join(marks.where(keep), "doc_id").select("text", F.col("toxic").cast("int").alias("toxic"))
+    sample = docs.select("doc_id", "text").join(F.broadcast(marks.where(keep)), "doc_id").select("text", F.col("toxic").cast("int").alias("toxic"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts, marks = [], []
