@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
-from .graph import components
+from .graph import components, roots
 
 BLOCKS = 4
 GRID_AXES = 2
@@ -139,7 +139,7 @@ def _links_of_width(distinct: DataFrame, plan: Plan, d: int) -> DataFrame:
                     continue
                 ids = np.concatenate([p[:, 0], q[:, 0]]).view(np.int64)
                 counts = np.bincount(np.concatenate([i, j + len(p)]), weights=np.concatenate([q[j, 1], p[i, 1]]), minlength=len(ids)).astype(np.int64)
-                root, hit = _roots(i, j + len(p), ids), np.flatnonzero(counts)
+                root, hit = roots(i, j + len(p), ids), np.flatnonzero(counts)
                 yield pa.record_batch([pa.array(ids[hit]), pa.array(counts[hit]), pa.array(root[hit])], ["node", "n_links", "root"])
 
     common.small_batches(distinct.sparkSession, 4)  # a row holds two packs
@@ -169,19 +169,6 @@ def _found(plan: Plan, block: int, x: np.ndarray, y: np.ndarray, itself: bool, a
     return i[first & within], j[first & within]
 
 
-def _roots(i: np.ndarray, j: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    """The smallest id that each place reaches over these links."""
-    root = ids.copy()
-    while True:
-        low = np.minimum(root[i], root[j])
-        after = root.copy()
-        np.minimum.at(after, i, low)
-        np.minimum.at(after, j, low)
-        if (after == root).all():
-            return root
-        root = after
-
-
 def near_duplicates(vectors: DataFrame, cosine: float = 0.9, key: str = "vec_id", embedding: str = "embedding", blocks: int = BLOCKS) -> DataFrame:
     """key, n_links, component_id, kept for every row of vectors(key, embedding: array of numbers).
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,3 +31,16 @@ def components(edges: DataFrame) -> DataFrame:
         labels = after.select("node", "component")
         if after.where("component <> was").isEmpty():
             return labels
+
+
+def roots(i: np.ndarray, j: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """For links between places i and j of ids: the smallest id that each place reaches."""
+    root = ids.copy()
+    while True:
+        low = np.minimum(root[i], root[j])
+        after = root.copy()
+        np.minimum.at(after, i, low)
+        np.minimum.at(after, j, low)
+        if (after == root).all():
+            return root
+        root = after

@@ -7,10 +7,10 @@ of every chunk (chunks * width keys a text) therefore finds all pairs under that
 picks the number of chunks so that a pair of just the asked similarity is missed with a probability
 of at most MISS; pairs above it are missed far more rarely.
 
-Groups stay near linear: texts that share a key are first compared with the key's smallest text only,
-then, while much is left, with one other text of the key a round. Texts that are in one component need
-no more comparisons among themselves. What is left over, texts of a key that fell into different
-components, is at last compared pair by pair, so that no link is lost.
+Keys of up to HOT texts are paired row by row. Texts of larger keys (a page's thousands of variants, say)
+are gathered into clusters that share such keys and travel in packs ordered by size; two packs are
+compared by one product of their incidence matrices, so a group makes rows for its packs, not its pairs.
+Both ways end in the same exact test on full sets.
 """
 
 from __future__ import annotations
@@ -25,11 +25,15 @@ from pyspark.sql import functions as F
 
 from . import common
 from .common import U64, mix
-from .graph import components
+from .graph import components, roots
 
 SHINGLE = 5
 #: Highest probability that a pair of exactly the asked similarity shares no key.
 MISS = 2e-5
+#: Texts of a key that are paired row by row; texts, and shingles, of a pack.
+HOT, PACK_TEXTS, PACK_SHINGLES = 32, 256, 1 << 18
+#: Binary logarithm of the bits in the map of documents to compare.
+BITMAP = 22
 
 _PLACE = common._randoms(2, 64)
 _XOR = common._randoms(3, 512)
@@ -114,32 +118,114 @@ def _signed(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Re
     return run
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        data, offs = common.text_bytes(batch.column("text"))
-        for a, b in common.byte_runs(offs):
-            sets, at = shingle_sets(data[offs[a] : offs[b]], offs[a : b + 1] - offs[a])
-            yield pa.record_batch([batch.column("doc_id").slice(a, b - a), _lists(sets, at)], ["doc", "shingles"])
+def _sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """doc, shingles of the documents wanted(doc_id). A bitmap of hashed ids, of fixed size, lets tasks pass over most
+    other texts, so that only few sets are shuffled to the exact join."""
+
+    def bits(ids: np.ndarray) -> np.ndarray:
+        return (mix(ids.view(U64)) >> U64(64 - BITMAP)).astype(np.int64)
+
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = np.zeros(1 << (BITMAP - 6), U64)
+        for batch in batches:
+            at = bits(batch.column("doc_id").to_numpy())
+            np.bitwise_or.at(own, at >> 6, U64(1) << (at & 63).astype(U64))
+        used = np.flatnonzero(own)
+        yield pa.record_batch([pa.array(used), pa.array(own[used].view(np.int64))], ["word", "bits"])
 
+    bitmap = np.zeros(1 << (BITMAP - 6), np.int64)
+    for r in wanted.mapInArrow(words, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).collect():  # at most 2 ** (BITMAP - 6) rows
+        bitmap[r["word"]] = r["bits"]
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap.view(U64))
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = bits(batch.column("doc_id").to_numpy())
+            batch = batch.filter(pa.array((shared.value[at >> 6] >> (at & 63).astype(U64) & U64(1)).astype(bool)))
+            data, offs = common.text_bytes(batch.column("text"))
+            for a, b in common.byte_runs(offs):
+                found, at = shingle_sets(data[offs[a] : offs[b]], offs[a : b + 1] - offs[a])
+                yield pa.record_batch([batch.column("doc_id").slice(a, b - a), _lists(found, at)], ["doc", "shingles"])
+
+    made = docs.where("doc_id IS NOT NULL").mapInArrow(sets, "doc long, shingles array<long>")
+    return common.written(made.join(wanted.withColumnRenamed("doc_id", "doc"), "doc", "left_semi"), "sets")
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs(a, b) whose full shingle sets have 100 * intersection >= percent * union."""
-    wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    sets = written_sets(docs.join(wanted, "doc_id", "left_semi"))
     x, y = sets.select(F.col("doc").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("doc").alias("b"), F.col("shingles").alias("y"))
     both = pairs.join(x, "a").join(y, "b").withColumn("i", F.size(F.array_intersect("x", "y")))
-    return both.where(F.lit(100) * F.col("i") >= F.lit(percent) * (F.size("x") + F.size("y") - F.col("i"))).select("a", "b").distinct()
+    return both.where(F.lit(100) * F.col("i") >= F.lit(percent) * (F.size("x") + F.size("y") - F.col("i"))).select("a", "b")
 
 
-def _pairs_apart(placed: DataFrame) -> int:
-    """Pairs of texts that share a key but no component, counted once for every key they share."""
-    by_part = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
-    by_key = by_part.groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("squares"))
-    return by_key.agg(F.coalesce(F.sum((F.col("n") * F.col("n") - F.col("squares")) / 2), F.lit(0)).cast("long").alias("n")).first()["n"]
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Packs of a cluster's neighbours in size order, from rows sorted by cluster and size."""
+    cluster, docs, sets, held = None, [], [], 0
 
+    def out() -> pa.RecordBatch:
+        sizes = [len(x) for x in sets]
+        row = [[cluster], [min(sizes)], [max(sizes)], [docs], [sizes], [np.concatenate(sets).tobytes()]]
+        kinds = [pa.int64()] * 3 + [pa.list_(pa.int64())] * 2 + [pa.binary()]
+        return pa.record_batch([pa.array(v, k) for v, k in zip(row, kinds, strict=True)], ["cluster", "low", "high", "docs", "sizes", "sets"])
 
-def written_sets(docs: DataFrame) -> DataFrame:
-    return common.written(docs.mapInArrow(_sets, "doc long, shingles array<long>"), "sets")
+    for batch in batches:
+        offs, values = batch.column("shingles").offsets.to_numpy(), batch.column("shingles").values.to_numpy()
+        for k, (at, doc) in enumerate(zip(batch.column("cluster").to_pylist(), batch.column("doc").to_pylist(), strict=True)):
+            own = values[offs[k] : offs[k + 1]].copy()
+            if docs and (at != cluster or len(docs) == PACK_TEXTS or held + len(own) > PACK_SHINGLES):
+                yield out()
+                docs, sets, held = [], [], 0
+            cluster = at
+            docs.append(doc)
+            sets.append(own)
+            held += len(own)
+    if docs:
+        yield out()
+
+
+def _common(a: np.ndarray, a_sizes: np.ndarray, b: np.ndarray, b_sizes: np.ndarray, width: int = 8192) -> np.ndarray:
+    """(texts of a, texts of b) sizes of the intersections: products of 0/1 matrices, `width` shingles at a time."""
+    shared = np.intersect1d(np.unique(a), np.unique(b), assume_unique=True)
+    out = np.zeros((len(a_sizes), len(b_sizes)), np.float32)
+    sides = []
+    for values, sizes in ((a, a_sizes), (b, b_sizes)):
+        place = np.searchsorted(shared, values)
+        place[place == len(shared)] = 0
+        known = shared[place] == values if len(shared) else np.zeros(len(values), bool)
+        place, row = place[known], np.repeat(np.arange(len(sizes)), sizes)[known]
+        order = np.argsort(place, kind="stable")
+        sides.append((place[order], row[order], len(sizes)))
+    for at in range(0, len(shared), width):
+        matrices = []
+        for place, row, n in sides:
+            x, y = np.searchsorted(place, [at, at + width])
+            m = np.zeros((n, width), np.float32)
+            m[row[x:y], place[x:y] - at] = 1
+            matrices.append(m)
+        out += matrices[0] @ matrices[1].T
+    return out
+
+
+def _pack_links(packs: DataFrame, percent: int) -> DataFrame:
+    """a, b: edges that connect, inside each pair of packs, what is linked there."""
+    side = lambda x: packs.select("cluster", *(F.col(c).alias(f"{x}_{c}") for c in ("id", "low", "high", "docs", "sizes", "sets")))
+    heads = packs.select("cluster", "id", "low", "high")
+    one, two = (heads.select("cluster", *(F.col(c).alias(f"{x}_{c}") for c in ("id", "low", "high"))) for x in "ab")
+    meet = one.join(two, "cluster").where((F.col("a_id") <= F.col("b_id")) & (F.lit(100) * F.col("a_high") >= F.lit(percent) * F.col("b_low")) & (F.lit(100) * F.col("b_high") >= F.lit(percent) * F.col("a_low")))
+    met = meet.select("a_id", "b_id").join(side("a").drop("cluster"), "a_id").join(side("b").drop("cluster"), "b_id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                n, m = np.array(r["a_sizes"]), np.array(r["b_sizes"])
+                both = _common(np.frombuffer(r["a_sets"], np.int64), n, np.frombuffer(r["b_sets"], np.int64), m).astype(np.int64)
+                i, j = np.nonzero(100 * both >= percent * (n[:, None] + m[None] - both))
+                ids = np.array(r["a_docs"] + r["b_docs"])
+                root = roots(i, j + len(n), ids)
+                far = np.flatnonzero(root != ids)
+                yield pa.record_batch([pa.array(ids[far]), pa.array(root[far])], ["a", "b"])
+
+    return met.select("a_docs", "a_sizes", "a_sets", "b_docs", "b_sizes", "b_sets").mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
@@ -166,48 +252,30 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     copies = classes.where("rows > 1").select("set_a", "set_b", "doc")
     same = linkable.select("doc_id", "set_a", "set_b").join(copies, ["set_a", "set_b"]).select(F.col("doc").alias("a"), F.col("doc_id").alias("b"))
 
-    # the keys that several sets share, with the smallest document of each
+    # keys that several sets share
     keyed = classes.select("doc", "n", F.explode("keys").alias("key"))
-    shared = keyed.groupBy("key").agg(F.min("doc").alias("first"), F.count(F.lit(1)).alias("sets")).where("sets > 1").select("key", "first")
+    shared = keyed.groupBy("key").agg(F.min("doc").alias("first"), F.count(F.lit(1)).alias("sets")).where("sets > 1")
     members = common.written(keyed.join(shared, "key"), "members")
-    sizes = members.select(F.col("doc").alias("first"), F.col("n").alias("first_n")).distinct()
-    fits = lambda p, q: (F.lit(100) * F.least(p, q) >= F.lit(percent) * F.greatest(p, q))
-    star = (
-        members.where("doc <> first").select("first", "doc", "n").distinct()
-        .join(sizes, "first").where(fits(F.col("n"), F.col("first_n")))
-        .select(F.col("first").alias("a"), F.col("doc").alias("b"))
-    )
-    links = _confirmed(common.written(star, "star"), docs, percent)
-    rows, before, turn = members.count(), None, 0
-    while True:
-        so_far = components(links)  # links that say the same with fewer rows
-        links = so_far.select(F.col("node").alias("a"), F.col("component").alias("b"))
-        placed = members.join(so_far.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
-        placed = common.written(placed, "placed")
-        left = _pairs_apart(placed)
-        if left <= rows or (before is not None and left > 0.7 * before):
-            break
-        before, turn = left, turn + 1
-        # another text of each key takes the first one's part
-        pivots = placed.groupBy("key").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "doc").alias("h"), "doc", "n", "component")).alias("p"))
-        met = (
-            placed.join(pivots, "key").where((F.col("component") != F.col("p.component")) & fits(F.col("n"), F.col("p.n")))
-            .select(F.least("doc", "p.doc").alias("a"), F.greatest("doc", "p.doc").alias("b")).distinct()
-        )
-        links = links.unionByName(_confirmed(common.written(met, "met"), docs, percent))
-
-    # what a key still holds in different components: every pair of it
-    home = placed.where("doc = first").select("key", F.col("component").alias("home"))
-    apart = placed.join(home, "key").where("component <> home")
-    others = placed.where("doc <> first").select("key", F.col("doc").alias("other"), F.col("n").alias("other_n"), F.col("component").alias("other_component"))
-    rest = (
-        apart.select("key", "doc", "n", "component").join(others, "key")
-        .where((F.col("component") != F.col("other_component")) & fits(F.col("n"), F.col("other_n")))
-        .select(F.least("doc", "other").alias("a"), F.greatest("doc", "other").alias("b")).distinct()
-    )
-    more = _confirmed(common.written(rest, "rest"), docs, percent)
+    few, many = members.where(F.col("sets") <= HOT), members.where(F.col("sets") > HOT)
+    other = few.select("key", F.col("doc").alias("b"), F.col("n").alias("b_n"))
+    fits = (F.lit(100) * F.least("n", "b_n") >= F.lit(percent) * F.greatest("n", "b_n")) & (F.col("doc") < F.col("b"))
+    pairs = common.written(few.join(other, "key").where(fits).select(F.col("doc").alias("a"), "b").distinct(), "pairs")
+    lowest = many.groupBy("doc").agg(F.min("first").alias("low"))  # a text ties its keys' first texts to one of them
+    ties = many.join(lowest, "doc").select(F.col("first").alias("a"), F.col("low").alias("b")).union(lowest.select("doc", "low")).distinct()
+    clusters = components(ties).select(F.col("node").alias("doc"), F.col("component").alias("cluster"))
+
+    wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).union(clusters.select("doc")).distinct()
+    sets = _sets_of(docs, common.written(wanted, "wanted"))
+    links = _confirmed(pairs, sets, percent)
+    order = ["cluster", "n", "doc"]
+    packs = sets.join(clusters, "doc").withColumn("n", F.size("shingles")).repartitionByRange(*order).sortWithinPartitions(*order)
+    packs = packs.select("cluster", "doc", "shingles").mapInArrow(_packed, "cluster long, low long, high long, docs array<long>, sizes array<long>, sets binary")
+    packs = common.written(packs.withColumn("id", F.xxhash64("cluster", "docs", "sizes")), "packs")
+    common.small_batches(spark, 4)  # a row holds two packs
+    in_packs = common.written(_pack_links(packs, percent), "pack-links")
+    common.small_batches(spark)
 
-    whole = components(same.unionByName(links).unionByName(more)).withColumnRenamed("node", "doc_id")
+    whole = components(same.unionByName(links).unionByName(in_packs)).withColumnRenamed("node", "doc_id")
     return (
         signed.select("doc_id", "n_shingles").join(whole, "doc_id", "left")
         .select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
