@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import strip
@@ -113,15 +114,16 @@ def chunk_parent_child(df: DataFrame, key: str = "document_id", col: str = "text
     A parent packed into one child has none; that child's index stays unused. A child's missing page (0
     counts as missing) is its parent's.
     """
-    pack = _packer(child_max)
-    parents = chunk(df, key, col, strip_markers=False, **options).groupBy(key).agg(F.sort_array(F.collect_list(F.struct("chunk_index", "text_content", "metadata"))).alias("p"))
-    # a document's chunks are a bounded part of one row; children are indexed inside it
-    packed = parents.withColumn("kids", pack(F.transform("p", lambda p: F.concat(p["text_content"], F.lit("")))))
-    n = F.size("p")
-    begin = F.transform("p", lambda p, i: F.aggregate(F.slice("kids", F.lit(1), i), F.lit(0), lambda a, k: a + F.size(F.filter(k, lambda t: strip(t) != ""))) + n)  # noqa: ARG005
-    rows = packed.withColumn("begin", begin).select(key, F.posexplode_outer(F.arrays_zip("p", "kids", "begin")).alias("i", "z"))
-    kids = F.filter("z.kids", lambda t: strip(t) != "")
-    rows = rows.select(key, "i", F.col("z.p").alias("p"), F.col("z.begin").alias("begin"), F.when(F.size(kids) > 1, kids).otherwise(F.array().cast("array<string>")).alias("kids"))
+    pieces = _packer(child_max)(F.array(F.concat("text_content", F.lit(""))))
+    packed = chunk(df, key, col, strip_markers=False, **options).withColumn("pieces", pieces)
+    found = packed.withColumn("kids", F.filter(F.col("pieces")[0], lambda t: strip(t) != ""))
+    whole = W.partitionBy(key)
+    before = whole.orderBy("chunk_index").rowsBetween(W.unboundedPreceding, -1)
+    begin = F.count(F.lit(1)).over(whole) + F.coalesce(F.sum(F.size("kids")).over(before), F.lit(0))
+    rows = found.select(
+        key, F.col("chunk_index").alias("i"), F.struct("text_content", "metadata").alias("p"), begin.cast("int").alias("begin"),
+        F.when(F.size("kids") > 1, F.col("kids")).otherwise(F.array().cast("array<string>")).alias("kids"),
+    )
     base = F.col(key) * CHUNKS_PER_DOCUMENT
     top = rows.select(
         (base + F.col("i")).alias("id"), key, F.col("i").alias("chunk_index"), _unmarked(F.col("p.text_content")).alias("text_content"), F.col("p.metadata").alias("metadata"),
