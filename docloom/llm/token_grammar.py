@@ -13,6 +13,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from struct import pack
 
 import numpy as np
 import public_tokenizers
@@ -45,19 +46,29 @@ class Encoder:
     def __init__(self, path: str):
         self.tokenizer = tokenizers.Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.words: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}  # ids of words that follow a space
+
+    def spell(self, pieces: list[str]) -> list[bytes]:
+        """Ids of each piece as little-endian unsigned 32-bit integers."""
+        got = self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
+        return [pack(f"<{len(g.ids)}I", *g.ids) for g in got]
 
     def encode(self, texts: list[str], end: int) -> list[np.ndarray]:
         if len(self.words) > REMEMBERED:
             self.words = {}
-        cut = [_LONE_SPACE.split(t) if _ODD_SPACE.search(t) else t.split(" ") for t in texts]
-        cut = [[w[0], *map(" ".__add__, w[1:])] for w in cut]
         words = self.words
-        new = list({w for row in cut for w in row if w not in words})
-        for w, got in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            words[w] = np.array(got.ids, "<u4").tobytes()
-        last = np.array([end], "<u4").tobytes()
-        return [np.frombuffer(b"".join([*map(words.__getitem__, row), last]), "<u4") for row in cut]
+        cut = [_LONE_SPACE.split(t) if _ODD_SPACE.search(t) else t.split(" ") for t in texts]
+        heads = self.spell([row[0] for row in cut])
+        for row in cut:
+            del row[0]
+        new = list(set().union(*cut).difference(words))
+        words.update(zip(new, self.spell([" " + w for w in new]), strict=True))
+        last = pack("<I", end)
+        out = [np.frombuffer(b"".join([head, *map(words.__getitem__, row), last]), "<u4") for head, row in zip(heads, cut, strict=True)]
+        for w in new:
+            if len(w) > 64:  # rare, and large to keep
+                del words[w]
+        return out
 
 
 @lru_cache(maxsize=2)
@@ -74,34 +85,49 @@ def compress(ids: np.ndarray, end: int = END, rounds: int = ROUNDS, most: int =
     A round counts all pairs, takes the up to `most` most frequent of at least `least`, and replaces
     their occurrences from left to right where they don't overlap. No pair begins with `end`.
     """
-    symbols = ids.astype(np.int64)
-    first = int(symbols.max(initial=end)) + 1
+    first = int(ids.max(initial=end)) + 1
+    narrow = first + rounds * most < 1 << 16
+    half = np.uint32 if narrow else np.uint64  # holds a pair; symbols take half of it
+    shift = half(16 if narrow else 32)
+    symbols = ids.astype(np.uint16 if narrow else np.uint32)
     rules = np.zeros((0, 2), np.int64)
     for _ in range(rounds):
         if len(symbols) < 2:
             break
-        pairs = symbols[:-1] << 32 | symbols[1:]
-        pairs[symbols[:-1] == end] = -1
+        pairs = symbols[:-1].astype(half) << shift
+        pairs |= symbols[1:]
         ordered = np.sort(pairs)
         starts = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
         counts, kinds = np.diff(np.append(starts, len(ordered))), ordered[starts]
-        often = np.flatnonzero((counts >= least) & (kinds >= 0))
+        often = np.flatnonzero((counts >= least) & (kinds >> shift != end))
         if not len(often):
             break
         chosen = np.sort(kinds[often[np.argsort(-counts[often], kind="stable")[:most]]])
-        place = np.searchsorted(chosen, pairs)
-        place[place == len(chosen)] = 0
+        place = _place_of(chosen, pairs)
         at = np.flatnonzero(chosen[place] == pairs)
         # of a run of overlapping occurrences, every second one
         run = np.concatenate([[True], np.diff(at) > 1])
         begin = at[run][np.cumsum(run) - 1]
         at = at[(at - begin) % 2 == 0]
-        symbols[at] = first + len(rules) + place[at]
+        symbols[at] = place[at].astype(np.int64) + (first + len(rules))
         keep = np.ones(len(symbols), bool)
         keep[at + 1] = False
         symbols = symbols[keep]
-        rules = np.concatenate([rules, np.stack([chosen >> 32, chosen & 0xFFFFFFFF], axis=1)])
-    return symbols, rules, first
+        rules = np.concatenate([rules, np.stack([(chosen >> shift).astype(np.int64), (chosen & (half(1) << shift) - half(1)).astype(np.int64)], axis=1)])
+    return symbols.astype(np.int64), rules, first
+
+
+def _place_of(chosen: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """For each value a place in chosen, the right one if it is there: a hash table in which no two chosen meet."""
+    kind = chosen.dtype.type
+    down = kind(chosen.dtype.itemsize * 8 - 20)
+    for factor in range(0x9E3779B1, 0x9E3779B1 + 4000, 2):
+        slots = chosen * kind(factor) >> down
+        if len(np.unique(slots)) == len(chosen):
+            table = np.zeros(1 << 20, np.uint16)
+            table[slots] = np.arange(len(chosen))
+            return table[values * kind(factor) >> down]
+    return np.minimum(np.searchsorted(chosen, values), len(chosen) - 1)
 
 
 def expansions(rules: np.ndarray, first: int) -> list[np.ndarray]:
