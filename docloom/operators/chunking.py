@@ -100,8 +100,12 @@ def chunk(df: DataFrame, key: str = "document_id", col: str = "text", overlap: i
     before it; its pages are those whose markers its text holds. Empty text gives one empty chunk."""
     base = df.select(F.col(key), merged_column(sections_column(F.coalesce(F.col(col), F.lit(""))), min_chars).alias("m"))
     cut = base.select(key, split_long_column(F.col("m"), max_chars).alias("s"))
-    before = F.when(F.lit(overlap > 0) & (F.col("i") > 0), F.concat(F.right(F.col("s")[F.col("i") - 1]["text"], F.lit(overlap)), F.lit("\n"))).otherwise(F.lit(""))
-    rows = cut.select(key, "s", F.posexplode_outer("s").alias("i", "c")).select(key, F.col("i").alias("chunk_index"), "c", F.concat(before, "c.text").alias("t"))
+
+    def led(c: Column, i: Column) -> Column:
+        tail = F.when(F.lit(overlap > 0) & (i > 0), F.concat(F.right(F.col("s")[i - 1]["text"], F.lit(overlap)), F.lit("\n"))).otherwise(F.lit(""))
+        return F.struct(c["title"].alias("title"), c["level"].alias("level"), F.concat(tail, c["text"]).alias("text"))
+
+    rows = cut.select(key, F.posexplode_outer(F.transform("s", led)).alias("chunk_index", "c")).withColumn("t", F.col("c.text"))
     low, high = _pages(F.col("t"))
     meta = F.struct(F.col("c.title").alias("section_title"), F.col("c.level").alias("heading_level"), low.alias("page_start"), high.alias("page_end"))
     out = rows.select(key, "chunk_index", (_unmarked(F.col("t")) if strip_markers else strip(F.col("t"))).alias("text_content"), meta.alias("metadata"))
