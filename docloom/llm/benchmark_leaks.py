@@ -154,6 +154,7 @@ def _searcher(items: list[tuple[int, str]], error_rate: float, spark: SparkSessi
     shared, name = spark.sparkContext.broadcast(items), uuid.uuid4().hex
 
     def own() -> Searcher | None:
+        common.work_for("leaks")
         if name not in _searchers:
             _searchers.clear()
             _searchers[name] = Searcher(shared.value, error_rate) if shared.value else None

@@ -190,6 +190,9 @@ def codec(path: str) -> Codec:
     return Codec(path)
 
 
+common.remembers("bpe", codec.cache_clear)
+
+
 def encode(docs: DataFrame, path: str | None = None, text: str = "text", out: str = "ids") -> DataFrame:
     """All columns of docs but `text`, and `out`: array<int> of the text's ids, special tokens unused.
 
@@ -201,6 +204,7 @@ def encode(docs: DataFrame, path: str | None = None, text: str = "text", out: st
     kept = [f for f in docs.schema if f.name not in (text, out)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.work_for("bpe")
         own = codec(path)
         for batch in batches:
             ids = [own.encode(t or "") for t in batch.column(text).to_pylist()]
@@ -220,6 +224,7 @@ def decode(encoded: DataFrame, path: str | None = None, ids: str = "ids", out: s
     kept = [f for f in encoded.schema if f.name != out]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.work_for("bpe")
         own = codec(path)
         for batch in batches:
             column = batch.column(ids)

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import gc
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +26,26 @@ def small_batches(spark: SparkSession, rows: int = 500) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+_memories: dict[str, Callable[[], None]] = {}
+_user = ""
+
+
+def remembers(owner: str, forget: Callable[[], None]) -> None:
+    """Says how a Python worker forgets what an operator remembers between tasks."""
+    _memories[owner] = forget
+
+
+def work_for(owner: str) -> None:
+    """Called when a task begins: a worker that served other operators before gives back their memory."""
+    global _user
+    if owner != _user:
+        for name, forget in _memories.items():
+            if name != owner:
+                forget()
+        gc.collect()
+        _user = owner
+
+
 def crc32_of_id(col: str = "doc_id"):
     """crc32 of the id written as decimal text, as the hold-out rules use it; a null id counts as ''."""
     return F.crc32(F.coalesce(F.col(col).cast("string"), F.lit("")).cast("binary"))
@@ -46,7 +67,7 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offs[0] : offs[-1]], offs - offs[0]
 
 
-def byte_runs(offs: np.ndarray, most: int = 1 << 20) -> Iterator[tuple[int, int]]:
+def byte_runs(offs: np.ndarray, most: int = 1 << 19) -> Iterator[tuple[int, int]]:
     """Row ranges of about `most` bytes each; a longer text makes a range of its own."""
     at, n = 0, len(offs) - 1
     while at < n:

@@ -100,6 +100,7 @@ def _signed(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Re
     symbols = chunks * width
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.work_for("minhash")
         for batch in batches:
             data, offs = common.text_bytes(batch.column("text"))
             for a, b in common.byte_runs(offs):

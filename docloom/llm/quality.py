@@ -155,6 +155,7 @@ def fit(docs: DataFrame, fit_docs: int = FIT_DOCS) -> np.ndarray:
     common.small_batches(spark)
 
     def patterns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.work_for("quality")
         counts = np.zeros(3 ** len(VOTERS), np.int64)
         for batch in batches:
             data, offs = common.text_bytes(batch.column("text"))

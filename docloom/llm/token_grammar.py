@@ -76,6 +76,9 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
+common.remembers("ids", encoder.cache_clear)
+
+
 # ---------------------------------------------------------------- grammar
 
 
@@ -176,6 +179,7 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None, end: int = E
     common.small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.work_for("ids")
         part, shard, own = TaskContext.get().partitionId(), 0, encoder(tokenizer)
         names: list = []
         parts: list[np.ndarray] = []

@@ -250,6 +250,7 @@ def score(docs: DataFrame, model: tuple[dict, np.ndarray]) -> DataFrame:
     kept = [c for c in docs.columns if c != "toxicity"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.work_for("toxicity")
         p, vocabulary = shared.value
         for batch in batches:
             data, offs = common.text_bytes(batch.column("text"))
