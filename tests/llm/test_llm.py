@@ -401,6 +401,18 @@ def test_base_scores_against_counting(spark):
     assert lm_score.score(spark.createDataFrame([], DOC), spark.createDataFrame([], DOC)).count() == 0
 
 
+def test_lm_learns_from_every_training_row_at_any_size(spark, monkeypatch):
+    monkeypatch.setattr(lm_score, "FIT_WORDS", 1, raising=False)  # a corpus that is large beside a sample's size
+    models, steps, fit, averaged = [], [], lm_score.fit, lm_score._averaged
+    monkeypatch.setattr(lm_score, "fit", lambda *a: models.append(fit(*a)) or models[-1])
+    monkeypatch.setattr(lm_score, "_averaged", lambda parts: steps.append(averaged(parts)) or steps[-1])
+    train = [(i, f"w{i} is a word") for i in range(200)]
+    lm_score.score(spark.createDataFrame(train[:1], DOC), spark.createDataFrame(train, DOC)).collect()
+    ids = lm_score.ids_of([t.encode() for _, t in train], public_tokenizers.path(token_grammar.TOKENIZER))
+    assert (models[0].slot[np.concatenate(ids)] != models[0].other).all()
+    assert [n for n, _ in steps] == [len(lm_score.Windows(ids, 0).target)] * lm_score.ROUNDS
+
+
 def test_each_token_is_scored_once_and_causally():
     r = np.random.default_rng(3)
     p = {k: x + 0.1 * r.standard_normal(x.shape).astype(np.float32) for k, x in lm_score.start().items()}
