@@ -7,6 +7,7 @@ conversation into one array, so a conversation of any length is spread over task
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import common
@@ -60,23 +61,40 @@ def format_preferences(turns: DataFrame, train_role: str = "assistant") -> DataF
     )
 
 
-def answer_pairs(conversations: DataFrame, train_role: str = "assistant") -> DataFrame:
+def _followed(last: DataFrame) -> DataFrame:
+    """last(conv_id, last) with the conv_id that comes next in it, whatever the gaps; the first one follows the last one.
+
+    Rows lie in ranges of conv_id, one a task; only each range's first conv_id meets those of other ranges.
+    """
+    ranged = common.written(last.repartitionByRange("conv_id").withColumn("range", F.spark_partition_id()), "answered")
+    starts = ranged.groupBy("range").agg(F.min("conv_id").alias("start"))
+    whole = W.orderBy("range").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    after = starts.select("range", F.coalesce(F.lead("start").over(W.orderBy("range")), F.first("start").over(whole)).alias("after"))
+    inside = F.lead("conv_id").over(W.partitionBy("range").orderBy("conv_id"))
+    return ranged.withColumn("inside", inside).join(F.broadcast(after), "range").select("conv_id", "last", F.coalesce("inside", "after").alias("next"))
+
+
+def answer_pairs(conversations: DataFrame, train_role: str = "assistant", by_id: bool = False) -> DataFrame:
     """Preference turns from plain conversations(conv_id, turn, role, text): pair_id = conv_id.
 
     Chosen is the conversation as it is. Rejected has the same turns up to its last assistant turn,
-    whose text is replaced by that of the next conversation's (conv_id + 1) last assistant turn: a
-    fluent answer to another question. Conversations without an assistant turn, or whose successor
-    has none, make no pair. Of several rows at the last assistant turn the greatest text counts.
+    whose text is replaced by that of the next answered conversation's last assistant turn: a fluent
+    answer to another question. Next is by the order of conv_id among conversations with an assistant
+    turn, and the first one follows the last one; a conversation that is alone has only its chosen side.
+    Conversations without an assistant turn make no pair. by_id: next is conv_id + 1 only, and conversations
+    where that one is missing or has no answer make no pair either. Of several rows at the last assistant turn
+    the greatest text counts.
     """
     c = conversations.where("conv_id IS NOT NULL AND turn IS NOT NULL").select("conv_id", "turn", "role", "text")
     last = c.where(F.col("role") == train_role).groupBy("conv_id").agg(F.max(F.struct("turn", F.coalesce("text", F.lit("")).alias("text"))).alias("last"))
-    swap = last.select(F.col("conv_id").alias("pair_id"), F.col("last.turn").alias("at")).join(
-        last.select((F.col("conv_id") - 1).alias("pair_id"), F.col("last.text").alias("other")), "pair_id"
+    last = last.withColumn("next", F.col("conv_id") + 1) if by_id else _followed(last)
+    swap = last.select(F.col("conv_id").alias("pair_id"), F.col("last.turn").alias("at"), "next").join(
+        last.select(F.col("conv_id").alias("next"), F.col("last.text").alias("other")), "next"
     )
     both = c.withColumnRenamed("conv_id", "pair_id").join(swap, "pair_id")
     chosen = both.select("pair_id", F.lit("chosen").alias("side"), "turn", "role", "text")
-    rejected = both.where("turn < at").select("pair_id", F.lit("rejected").alias("side"), "turn", "role", "text")
-    swapped = swap.select("pair_id", F.lit("rejected").alias("side"), F.col("at").alias("turn"), F.lit(train_role).alias("role"), F.col("other").alias("text"))
+    rejected = both.where("turn < at AND next <> pair_id").select("pair_id", F.lit("rejected").alias("side"), "turn", "role", "text")
+    swapped = swap.where("next <> pair_id").select("pair_id", F.lit("rejected").alias("side"), F.col("at").alias("turn"), F.lit(train_role).alias("role"), F.col("other").alias("text"))
     return chosen.unionByName(rejected).unionByName(swapped)
 
 
@@ -95,6 +113,12 @@ def assembled(segments: DataFrame) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ORACLE_SQL says it: pairs of neighbouring conv_ids only."""
+    return format_preferences(answer_pairs(common.table(spark, sf_dir, "conversations"), by_id=True))
+
+
+def query_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation with an answer."""
     return format_preferences(answer_pairs(common.table(spark, sf_dir, "conversations")))
 
 

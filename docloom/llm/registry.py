@@ -15,6 +15,7 @@ QUERIES = {
     "op6_minhash_dups": minhash_dups.query,
     "op7_embedding_dups": embedding_dups.query,
     "op8_preference_format": preference.query,
+    "op8_preference_all_answered": preference.query_all,
     "op9_toxicity": toxicity.query,
     "op10_lm_score": lm_score.query,
     "pipeline": corpus_pipeline.run,

@@ -332,6 +332,22 @@ def test_preferences(spark):
     assert preference.format_preferences(turns.limit(0)).count() == 0
 
 
+def test_every_answered_conversation_makes_a_pair(spark):
+    ids = [-7, 2, 4, 10, 1 << 40]
+    rows = [x for i in ids for x in ((i, 0, "user", f"q{i}"), (i, 1, "assistant", f"a{i}"))] + [(3, 0, "user", "unanswered")]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = preference.answer_pairs(turns).where("side = 'rejected' AND turn = 1").collect()
+    assert {r["pair_id"]: r["text"] for r in got} == {i: f"a{j}" for i, j in zip(ids, ids[1:] + ids[:1], strict=True)}
+    lone = preference.format_preferences(preference.answer_pairs(turns.where("conv_id = 4"))).collect()
+    assert sorted((r["part"], r["turn"]) for r in lone) == [("chosen", 0), ("chosen", 1)]
+
+
+def test_the_query_of_all_answered_conversations_loses_none(spark):
+    c = spark.read.parquet(f"{SF}/conversations.parquet")
+    answered = {r["conv_id"] for r in c.where("role = 'assistant' AND turn IS NOT NULL AND conv_id IS NOT NULL").collect()}
+    assert {r["pair_id"] for r in QUERIES["op8_preference_all_answered"](spark, SF).collect()} == answered
+
+
 # ---------------------------------------------------------------- 9 toxicity
 
 
