@@ -20,6 +20,7 @@ from ..operators import scoring as S
 from ..operators import search as R
 from ..operators import web as WEB
 from ..sources import tables as T
+from ..storage import written
 from . import derived as X
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -639,6 +640,22 @@ def w4(spark, sf):
     return WEB.crawl_reachable(pages.select(url(F.col("page_id")).alias("url")), links, roots, 5, 1_000_000).select("root", "url", "depth")
 
 
+@query("W4_crawl_many_roots")
+def w4_many(spark, sf):
+    """Crawls over page_links from every page whose id is divisible by 20, under the page budget, which depth 7 can reach.
+    Each page's HTML gets links to two stored pages, as stored links lead to none."""
+    pages = _read(spark, sf, "pages").select("page_id", "url", "html")
+    n = pages.agg(F.count(F.lit(1)).alias("n"))
+    ids = pages.select("page_id").join(F.broadcast(n))  # one row
+    goes = ids.select("page_id", F.explode(F.array((3 * F.col("page_id") + 1) % F.col("n"), (3 * F.col("page_id") + 2) % F.col("n"))).alias("to"))
+    added = goes.join(pages.select(F.col("page_id").alias("to"), F.col("url").alias("target")), "to").groupBy("page_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("to", "target"))), lambda x: F.concat(F.lit('<a href="'), x["target"], F.lit('">next</a>'))), "").alias("added"))  # two links
+    linked = pages.join(added, "page_id", "left").withColumn("html", F.concat(F.coalesce("html", F.lit("")), F.coalesce("added", F.lit(""))))
+    links = written(WEB.page_links(linked, same_host=False), "links")
+    url = WEB.normalize_url(F.col("url"))
+    roots = pages.where("page_id % 20 = 0").select(url.alias("root")).distinct()
+    return WEB.crawl_reachable(pages.select(url.alias("url")), links, roots, 7)
+
+
 @query("W5_page_meta", """SELECT page_id, CASE WHEN trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)) <> '' THEN trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)) ELSE trim(regexp_replace(regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1), '<[^>]*>', '', 'g')) END AS title,
 CASE WHEN l = '' THEN 'zh-TW' WHEN lower(l) LIKE 'en%' THEN 'en' WHEN lower(l) LIKE 'ja%' THEN 'ja' WHEN lower(l) LIKE 'zh%' THEN CASE WHEN lower(l) LIKE '%tw%' OR lower(l) LIKE '%hant%' THEN 'zh-TW' ELSE 'zh-CN' END ELSE l END AS language
 FROM (SELECT *, regexp_extract(html, '(?is)<html[^>]*\\slang\\s*=\\s*["'']([^"'']*)["'']', 1) AS l FROM pages)""")

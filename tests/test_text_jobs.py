@@ -11,6 +11,7 @@ from docloom.functions.text import fiscal_year_int, parse_filter_values, strip
 from docloom.operators import chunking, cleaning, layout, web
 from docloom.operators._cover import cover_density, parse_query
 from docloom.operators._packing import pack_lines, pack_paragraphs
+from docloom.plans.queries import QUERIES
 
 
 def one(spark, text, column):
@@ -150,6 +151,25 @@ def test_crawl_caps_follow_queue_order(spark):
     assert web.crawl_reachable(pages, links, roots, max_depth=1).count() == 3
 
 
+def test_crawl_query_starts_from_many_roots_and_meets_its_budget(spark, tmp_path):
+    n, got = 601, {}
+    rows = [(i, f"https://h{i % 3}.x/p{i}", f'<a href="/gone">x</a><a href="https://h0.x/p{i - i % 3}/">y</a>' if i % 2 else None) for i in range(n)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    for r in QUERIES["W4_crawl_many_roots"](spark, str(tmp_path)).orderBy("position").collect():
+        got.setdefault(r["root"], []).append((r["url"], r["depth"]))
+    want = {}
+    for root in range(0, n, 20):
+        queue, seen, found = [(root, 0)], {root}, []
+        for page, depth in queue:
+            found.append((rows[page][1], depth))
+            for to in [page - page % 3] * (page % 2) + sorted({(3 * page + 1) % n, (3 * page + 2) % n}) if depth < 7 else []:
+                if to not in seen:
+                    seen.add(to)
+                    queue.append((to, depth + 1))
+        want[rows[root][1]] = found[:200]
+    assert got == want and max(map(len, want.values())) == 200
+
+
 def test_page_content(spark):
     html = '<html lang="en-GB"><head><title> A &amp; B </title></head><body><nav>n</nav><article><h2>T</h2><p>x <b>y</b> <a href="/l">z</a></p><ul><li>1<li>2</ul><table><tr><th>a<th>b</tr><tr><td>1</tr></table></article></body></html>'
     df = spark.createDataFrame([(1, "u", html), (2, "u", None)], "page_id long, url string, html string")
