@@ -7,15 +7,15 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 LINE_ENDS = r"\r\n|[\n\r\u000B\u000C\u001C-\u001E\u0085\u2028\u2029]"
+#: Line ends other than \n, by character.
+LINE_END_MARKS = "\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029"
+#: Unicode white space, as a set of characters for trimming without a pattern.
+SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def strip(c: Column) -> Column:
     """Without Unicode white space at either end."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
-
-
-def right_strip(c: Column) -> Column:
-    return F.regexp_replace(c, r"(?U)\s+$", "")
+    return F.btrim(c, F.lit(SPACES))
 
 
 def blank_to_null(c: Column) -> Column:

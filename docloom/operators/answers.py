@@ -10,8 +10,16 @@ from ..functions.text import blank_to_null
 
 UNKNOWN = "未知文件"
 #: Words that ask for a comparison.
-COMPARE_WORDS = ["比較", "對比", "差異", "比起", "相比", "vs", "VS", "不同"]
-REFUSAL = "抱歉，知識庫中沒有找到相關資料。"
+COMPARE_WORDS = ["比較", "差異", "差別", "不同", "對比", "相比", "優於", "落後", "領先", "變化", "趨勢", "成長", "vs", "VS", "勝過", "超越"]
+#: What is said where nothing was found, and the frame of a question.
+REFUSAL = "根據目前資料庫中的資料，無法找到與您問題相關的資訊。請嘗試更換關鍵字，或確認相關文件已入庫。"
+TODAY = ("今天是 ", "。")
+ACKNOWLEDGE = "好的，我會嚴格根據提供的參考資料回答，並標註出處。"
+ASK = (
+    "以下是從知識庫中搜尋到的參考資料：\n\n<context>\n",
+    "\n</context>\n\n使用者問題：\n<user_query>\n",
+    "\n</user_query>\n\n請根據 <context> 內的參考資料回答，並在句末引用處直接標註來源標籤，格式為 [文件名 p.頁數]（例如 [113年度年報 p.41] 或 [2024年永續報告書 p.65]）。標籤內容請直接複製 context 中每個段落開頭的方括號內容。",
+)
 
 
 def _rank() -> Column:
@@ -35,15 +43,16 @@ def citations(results: DataFrame) -> DataFrame:
     )
 
 
-def _contexts(cited: DataFrame, head: Column) -> DataFrame:
+def _contexts(cited: DataFrame, head: Column, body: str) -> DataFrame:
     section = F.coalesce("metadata.section_title", F.lit("無"))
-    block = F.concat(head, F.lit(" 文件："), "document_name", F.lit(" "), "page_text", F.lit("\n章節："), section, F.lit("\n內容：\n"), "text_content", F.lit("\n"))
+    block = F.concat(head, F.lit("\n章節："), section, F.lit(body), F.coalesce("text_content", F.lit("")), F.lit("\n"))
     return cited.groupBy("query_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("index", block.alias("b")))), lambda x: x["b"]), "\n---\n").alias("context"))
 
 
 def build_context(results: DataFrame) -> DataFrame:
     """A2: one context per query, after top k, so a row holds k blocks."""
-    return _contexts(citations(results), F.concat(F.lit("["), "label", F.lit("]")))
+    head = F.concat(F.lit("["), "label", F.lit("] 文件："), "document_name", F.lit(" "), "page_text")
+    return _contexts(citations(results), head, "\n內容：\n")
 
 
 def recent_history(turns: DataFrame, n: int = 6) -> DataFrame:
@@ -52,13 +61,14 @@ def recent_history(turns: DataFrame, n: int = 6) -> DataFrame:
     return turns.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= n).drop("_n").withColumn("role", F.when(F.col("role") == "assistant", "model").otherwise("user"))
 
 
-def build_prompt(questions: DataFrame, contexts: DataFrame, history: DataFrame, system: str, today: str, acknowledge: str = "好的。") -> DataFrame:
-    """A4 on questions(query_id, conv_id, question): messages array, or the refusal where there is no context."""
+def build_prompt(questions: DataFrame, contexts: DataFrame, history: DataFrame, system: str, today: str, acknowledge: str = ACKNOWLEDGE) -> DataFrame:
+    """A4 on questions(query_id, conv_id, question): messages array (system text under its date, acknowledgement, history, the
+    framed context and question), or the refusal where there is no context."""
     past = history.groupBy("conv_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))), lambda x: F.struct(x["role"].alias("role"), x["text"].alias("text"))).alias("past"))
     say = lambda role, text: F.struct(F.lit(role).alias("role"), text.alias("text"))
     both = questions.join(contexts, "query_id", "left").join(past, "conv_id", "left")
-    head = F.array(say("user", F.lit(f"{system}\n{today}")), say("model", F.lit(acknowledge)))
-    ask = F.array(say("user", F.concat(F.lit("參考資料：\n"), F.col("context"), F.lit("\n\n問題："), F.col("question"))))
+    head = F.array(say("user", F.lit(f"{TODAY[0]}{today}{TODAY[1]}{system}")), say("model", F.lit(acknowledge)))
+    ask = F.array(say("user", F.concat(F.lit(ASK[0]), F.col("context"), F.lit(ASK[1]), F.col("question"), F.lit(ASK[2]))))
     none = F.array().cast("array<struct<role:string,text:string>>")
     return both.select(
         "query_id", "conv_id", F.when(F.col("context").isNotNull(), F.concat(head, F.coalesce("past", none), ask)).alias("messages"),
@@ -67,8 +77,8 @@ def build_prompt(questions: DataFrame, contexts: DataFrame, history: DataFrame,
 
 
 def detect_comparison(questions: DataFrame, companies: list[str], words: list[str] = COMPARE_WORDS) -> DataFrame:
-    """A5 on questions(query_id, question): dimension and sorted values, or nulls. Longer names are looked for first and taken
-    out; years are 20dd, and dd(d)年 from 100 to 150 counted from 1911."""
+    """A5 on questions(query_id, question): dimension and values, or nulls. Longer names are looked for first and taken out, and
+    come in that order; years are 20dd, and dd(d)年 from 100 to 150 counted from 1911."""
     text, hits = F.col("question"), []
     for name in sorted(set(companies), key=lambda c: (-len(c), c)):
         hits.append(F.when(text.contains(name), F.lit(name)))
@@ -86,7 +96,7 @@ def detect_comparison(questions: DataFrame, companies: list[str], words: list[st
     return found.select(
         "query_id",
         F.when(company, "company").when(F.size("y") >= 2, "fiscal_year").alias("dimension"),
-        F.when(company, F.array_sort("c")).when(F.size("y") >= 2, F.col("y")).alias("values"),
+        F.when(company, F.col("c")).when(F.size("y") >= 2, F.col("y")).alias("values"),
     )
 
 
@@ -99,7 +109,9 @@ def compare_search(per_group: DataFrame, k: int) -> DataFrame:
 
 def compare_context(results: DataFrame) -> DataFrame:
     """Context with the group of each source."""
-    return _contexts(citations(results), F.concat(F.lit("[來源"), F.col("index").cast("string"), F.lit("] 【"), "group_label", F.lit("】")))
+    pages = F.when(F.col("page_text") != "", F.concat(F.lit(" "), "page_text")).otherwise("")
+    head = F.concat(F.lit("[來源"), F.col("index").cast("string"), F.lit("] 【"), "group_label", F.lit("】文件："), "document_name", pages)
+    return _contexts(citations(results), head, "\n內容：")
 
 
 def usage_records(answers: DataFrame) -> DataFrame:

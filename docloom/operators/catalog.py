@@ -41,40 +41,44 @@ def list_documents(docs: DataFrame, filters: dict[str, str | None], limit: int =
     return kept.orderBy(F.desc("created_at"), "id").offset(offset).limit(limit), total
 
 
-def backfill_by_rules(docs: DataFrame, only: Column, source: str, rules: list[tuple[str, str]], target: str) -> DataFrame:
-    """Target := value of the first rule whose case-insensitive LIKE pattern source matches, on rows `only`."""
-    value = F.lit(None).cast("string")
+def _by_rules(source: Column, rules: list[tuple[str, str]], default: Column) -> Column:
+    """The value of the first rule whose case-insensitive LIKE pattern source matches, else the default."""
+    value = default
     for pattern, name in reversed(rules):
-        value = F.when(F.col(source).ilike(pattern), F.lit(name)).otherwise(value)
-    return docs.withColumn(target, F.when(only, F.coalesce(value, F.col(target))).otherwise(F.col(target)))
+        value = F.when(source.ilike(pattern), F.lit(name)).otherwise(value)
+    return value
 
 
 def backfill_pdf_metadata(docs: DataFrame, names: list[tuple[str, str]], groups: list[tuple[str, str]]) -> DataFrame:
-    """display_name and report_group of pdf rows without a display name."""
-    only = (F.col("source_type") == "pdf") & F.col("display_name").isNull()
-    marked = docs.withColumn("_only", only)
-    out = backfill_by_rules(marked, F.col("_only"), "file_name", groups, "report_group")
-    return backfill_by_rules(out, F.col("_only"), "file_name", names, "display_name").drop("_only")
+    """display_name and report_group of pdf rows without a display name, by rules; where no rule matches, the file name and
+    the category."""
+    only = F.coalesce(F.col("source_type") == "pdf", F.lit(False)) & F.col("display_name").isNull()
+    name, group = _by_rules(F.col("file_name"), names, F.col("file_name")), _by_rules(F.col("file_name"), groups, F.col("category"))
+    return docs.withColumns({"display_name": F.when(only, name).otherwise(F.col("display_name")), "report_group": F.when(only, group).otherwise(F.col("report_group"))})
 
 
 def url_path(c: Column) -> Column:
-    """A URL without scheme, host, query and fragment."""
-    return F.regexp_replace(F.regexp_replace(c, r"^[a-zA-Z]+://[^/?#]*", ""), r"[?#].*$", "")
+    """An http(s) URL without scheme, host, the slash after it, query and fragment."""
+    return F.regexp_replace(F.regexp_replace(c, r"^https?://[^/]+/", ""), r"(?s)[?#].*$", "")
 
 
-def backfill_url_metadata(docs: DataFrame, url_rules: list[tuple[str, str]], blank_is_missing: bool = False, copy_category: bool = False) -> DataFrame:
-    """Url rows' report_group from the category (unless null or 'other'), else from URL patterns;
-    display_name the URL's path. blank_is_missing, copy_category: the second variant."""
-    url = F.col("source_type") == "url"
+def backfill_url_metadata(docs: DataFrame, url_rules: list[tuple[str, str]], url_default: str | None = None, blank_is_missing: bool = False, copy_category: bool = False) -> DataFrame:
+    """Url rows' report_group from the category (unless null or 'other'), else from URL patterns, else url_default;
+    every row's missing display_name is its URL's path, or its file name where that is no URL.
+
+    blank_is_missing, copy_category: the second variant: a blank counts as missing, the category is copied as it is, and only
+    url rows get a display_name.
+    """
+    url, name = F.coalesce(F.col("source_type") == "url", F.lit(False)), F.col("file_name")
     missing = lambda c: (F.col(c).isNull() | (F.col(c) == "")) if blank_is_missing else F.col(c).isNull()
-    rule = F.lit(None).cast("string")
-    for pattern, name in reversed(url_rules):
-        rule = F.when(F.col("file_name").ilike(pattern), F.lit(name)).otherwise(rule)
-    group = F.col("category") if copy_category else F.when(F.col("category").isNotNull() & (F.col("category") != OTHER), F.col("category")).otherwise(rule)
+    ruled = _by_rules(name, url_rules, F.lit(url_default).cast("string"))
+    group = F.col("category") if copy_category else F.when(F.col("category").isNotNull() & (F.col("category") != OTHER), F.col("category")).otherwise(ruled)
+    shown = url_path(name) if blank_is_missing else F.when(name.startswith("http"), url_path(name)).otherwise(name)
+    named = missing("display_name") & url if blank_is_missing else missing("display_name")
     return docs.withColumns(
         {
             "report_group": F.when(url & missing("report_group"), group).otherwise(F.col("report_group")),
-            "display_name": F.when(url & missing("display_name"), url_path(F.col("file_name"))).otherwise(F.col("display_name")),
+            "display_name": F.when(named, shown).otherwise(F.col("display_name")),
         }
     )
 
@@ -84,15 +88,25 @@ def report_group_summary(docs: DataFrame) -> DataFrame:
     return docs.groupBy("report_group").agg(F.count(F.lit(1)).alias("n"), F.min("display_name").alias("sample")).orderBy(F.desc("n"), "report_group")
 
 
-def guess_category(docs: DataFrame, rules: list[tuple[list[str], str]], url_default: str, default: str = OTHER) -> DataFrame:
-    """The first rule with a keyword in the lower-cased file name; else a default by source type."""
-    name, out = F.lower("file_name"), F.when(F.col("source_type") == "url", url_default).otherwise(default)
-    for words, category in reversed(rules):
-        hit = F.lit(False)
-        for w in words:
-            hit = hit | name.contains(w)
-        out = F.when(hit, category).otherwise(out)
-    return docs.withColumn("guessed_category", out)
+#: Words of a file name or URL and the category that they say, for pdf files and for everything else.
+PDF_CATEGORIES = [(["永續", "sustain"], "永續報告書"), (["年報", "annual"], "年度報告")]
+WEB_CATEGORIES = [(["/esg/", "esg"], "ESG專區"), (["news", "新聞"], "新聞"), (["newsletter", "電子報"], "電子報")]
+WEB_DEFAULT = "官網"
+
+
+def guess_category(docs: DataFrame, pdf_rules: list = PDF_CATEGORIES, web_rules: list = WEB_CATEGORIES, pdf_default: str = OTHER, web_default: str = WEB_DEFAULT) -> DataFrame:
+    """The first rule with a word in the lower-cased file name, else the default; pdf files have rules of their own."""
+
+    def first(rules: list, default: str) -> Column:
+        out = F.lit(default)
+        for words, category in reversed(rules):
+            hit = F.lit(False)
+            for w in words:
+                hit = hit | F.lower("file_name").contains(w)
+            out = F.when(hit, category).otherwise(out)
+        return out
+
+    return docs.withColumn("guessed_category", F.when(F.col("source_type") == "pdf", first(pdf_rules, pdf_default)).otherwise(first(web_rules, web_default)))
 
 
 def fill_document_defaults(docs: DataFrame) -> DataFrame:

@@ -5,7 +5,6 @@ from __future__ import annotations
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import strip
@@ -73,6 +72,32 @@ def _packer(budget: int):
     return pack
 
 
+def _family_packer(max_chars: int, overlap: int, child_max: int):
+    """Of a document's sections: the parents' texts (K3's pieces, each after the end of the one before it), each with its
+    section, its place among the section's pieces, its non-blank child pieces, and the number of those before them."""
+
+    def of(sections: list[str]) -> list[dict]:
+        pieces = []
+        for n, s in enumerate(sections):
+            cut = pack_paragraphs(s, max_chars) if len(s) > max_chars else [s]
+            cut = cut if len(cut) > 1 else [s]
+            pieces += [(n, i + 1, len(cut), t) for i, t in enumerate(cut)]
+        out, at, before = [], 0, None
+        for n, i, many, t in pieces:
+            text = (before[-overlap:] + "\n" + t if before is not None and overlap > 0 else t).strip()
+            before = t
+            kids = [k for k in (pack_paragraphs(text, child_max) if len(text) > child_max else [text]) if k.strip()]
+            out.append({"section": n, "piece": i, "pieces": many, "text": text, "begin": at, "kids": kids})
+            at += len(kids)
+        return out
+
+    @F.pandas_udf("array<struct<section:int,piece:int,pieces:int,text:string,begin:int,kids:array<string>>>")
+    def pack(texts: pd.Series) -> pd.Series:
+        return texts.map(of)
+
+    return pack
+
+
 def split_long_column(sections: Column, max_chars: int = 2000) -> Column:
     """K3: sections longer than max_chars become pieces of whole paragraphs titled 'title (i/n)'."""
     pieces = _packer(max_chars)(F.transform(sections, lambda s: s["text"]))
@@ -88,61 +113,90 @@ def split_long_column(sections: Column, max_chars: int = 2000) -> Column:
 
 def _pages(c: Column) -> tuple[Column, Column]:
     found = F.transform(F.regexp_extract_all(c, F.lit(r"<!-- PAGE:(\d+) -->"), F.lit(1)), lambda x: x.cast("int"))
-    return F.array_min(found), F.array_max(found)
+    some = c.contains("<!-- PAGE:")
+    return F.when(some, F.array_min(found)), F.when(some, F.array_max(found))
 
 
 def _unmarked(c: Column) -> Column:
-    return strip(F.regexp_replace(c, MARKER, ""))
+    return strip(F.when(c.contains("<!-- PAGE:"), F.regexp_replace(c, MARKER, "")).otherwise(c))
+
+
+def _led(sections: Column, overlap: int) -> Column:
+    """Array of (title, level, text, page_start, page_end): each section after the end of the one before it."""
+
+    def one(c: Column, i: Column) -> Column:
+        tail = F.when(F.lit(overlap > 0) & (i > 0), F.concat(F.right(sections[i - 1]["text"], F.lit(overlap)), F.lit("\n"))).otherwise(F.lit(""))
+        return F.struct(c["title"].alias("title"), c["level"].alias("level"), F.concat(tail, c["text"]).alias("text"))
+
+    def paged(c: Column) -> Column:
+        low, high = _pages(c["text"])
+        return F.struct(c["title"].alias("title"), c["level"].alias("level"), c["text"].alias("text"), low.alias("page_start"), high.alias("page_end"))
+
+    return F.transform(F.transform(sections, one), paged)
+
+
+def _cut(df: DataFrame, key: str, col: str, max_chars: int, min_chars: int) -> DataFrame:
+    """key, s: a document's sections after K1 to K3."""
+    base = df.select(F.col(key), merged_column(sections_column(F.coalesce(F.col(col), F.lit(""))), min_chars).alias("m"))
+    return base.select(key, split_long_column(F.col("m"), max_chars).alias("s"))
+
+
+def _meta(c: Column, low: Column, high: Column) -> Column:
+    return F.struct(c["title"].alias("section_title"), c["level"].alias("heading_level"), low.alias("page_start"), high.alias("page_end"))
 
 
 def chunk(df: DataFrame, key: str = "document_id", col: str = "text", overlap: int = 100, max_chars: int = 2000, min_chars: int = 50, strip_markers: bool = True, drop_empty: bool = False) -> DataFrame:
     """K4: key, chunk_index, text_content, metadata. A chunk begins with the last `overlap` characters of the section
     before it; its pages are those whose markers its text holds. Empty text gives one empty chunk."""
-    base = df.select(F.col(key), merged_column(sections_column(F.coalesce(F.col(col), F.lit(""))), min_chars).alias("m"))
-    cut = base.select(key, split_long_column(F.col("m"), max_chars).alias("s"))
+    rows = _cut(df, key, col, max_chars, min_chars).select(key, F.posexplode_outer(_led(F.col("s"), overlap)).alias("chunk_index", "c"))
+    text = _unmarked(F.col("c.text")) if strip_markers else strip(F.col("c.text"))
+    out = rows.select(key, "chunk_index", text.alias("text_content"), _meta(F.col("c"), F.col("c.page_start"), F.col("c.page_end")).alias("metadata"))
+    return out.where("text_content <> ''") if drop_empty else out
 
-    def led(c: Column, i: Column) -> Column:
-        tail = F.when(F.lit(overlap > 0) & (i > 0), F.concat(F.right(F.col("s")[i - 1]["text"], F.lit(overlap)), F.lit("\n"))).otherwise(F.lit(""))
-        return F.struct(c["title"].alias("title"), c["level"].alias("level"), F.concat(tail, c["text"]).alias("text"))
 
-    rows = cut.select(key, F.posexplode_outer(F.transform("s", led)).alias("chunk_index", "c")).withColumn("t", F.col("c.text"))
-    low, high = _pages(F.col("t"))
-    meta = F.struct(F.col("c.title").alias("section_title"), F.col("c.level").alias("heading_level"), low.alias("page_start"), high.alias("page_end"))
-    out = rows.select(key, "chunk_index", (_unmarked(F.col("t")) if strip_markers else strip(F.col("t"))).alias("text_content"), meta.alias("metadata"))
-    return out.where("text_content <> ''") if drop_empty else out
+_CHUNK = "array<struct<chunk_index:int,text_content:string,metadata:struct<section_title:string,heading_level:int,page_start:int,page_end:int>,chunk_type:string,parent_index:int>>"
 
 
-def chunk_parent_child(df: DataFrame, key: str = "document_id", col: str = "text", child_max: int = 400, **options) -> DataFrame:
+def chunk_parent_child(df: DataFrame, key: str = "document_id", col: str = "text", child_max: int = 400, overlap: int = 100, max_chars: int = 2000, min_chars: int = 50, drop_empty: bool = False) -> DataFrame:
     """K5: rows of parents and children with id, chunk_index, chunk_type and parent_chunk_id.
 
     A parent packed into one child has none; that child's index stays unused. A child's missing page (0
-    counts as missing) is its parent's.
+    counts as missing) is its parent's. drop_empty leaves blank parents out. A document stays one row,
+    its chunks an array, until they are exploded once: nothing is shuffled and Python sees a document once.
     """
-    pieces = _packer(child_max)(F.array(F.concat("text_content", F.lit(""))))
-    packed = chunk(df, key, col, strip_markers=False, **options).withColumn("pieces", pieces)
-    found = packed.withColumn("kids", F.filter(F.col("pieces")[0], lambda t: strip(t) != ""))
-    whole = W.partitionBy(key)
-    before = whole.orderBy("chunk_index").rowsBetween(W.unboundedPreceding, -1)
-    begin = F.count(F.lit(1)).over(whole) + F.coalesce(F.sum(F.size("kids")).over(before), F.lit(0))
-    rows = found.select(
-        key, F.col("chunk_index").alias("i"), F.struct("text_content", "metadata").alias("p"), begin.cast("int").alias("begin"),
-        F.when(F.size("kids") > 1, F.col("kids")).otherwise(F.array().cast("array<string>")).alias("kids"),
-    )
+    base = df.select(F.col(key), merged_column(sections_column(F.coalesce(F.col(col), F.lit(""))), min_chars).alias("m"))
+    packed = base.withColumn("parents", _family_packer(max_chars, overlap, child_max)(F.transform("m", lambda s: s["text"])))
+    if drop_empty:
+        packed = packed.withColumn("parents", F.filter("parents", lambda p: p["text"] != ""))
+
+    def family(p: Column, i: Column) -> Column:
+        return _let(F.struct(p.alias("p"), F.array(*_pages(p["text"])).alias("pages"), F.element_at(F.col("m"), p["section"] + 1).alias("s")), lambda x: rows_of(x, i))[0]
+
+    def rows_of(x: Column, i: Column) -> Column:
+        p, s, kids = x["p"], x["s"], x["p"]["kids"]
+        has = F.size(kids) > 1
+        title = F.when((p["pieces"] <= 1) | (s["title"] == ""), s["title"]).otherwise(F.format_string("%s (%d/%d)", s["title"], p["piece"], p["pieces"]))
+        meta = lambda low, high: F.struct(title.alias("section_title"), s["level"].alias("heading_level"), low.alias("page_start"), high.alias("page_end"))
+        first, last = x["pages"][0], x["pages"][1]
+        top = F.struct(i.alias("chunk_index"), _unmarked(p["text"]).alias("text_content"), meta(first, last).alias("metadata"), F.when(has, "parent").otherwise("standalone").alias("chunk_type"), F.lit(None).cast("int").alias("parent_index"))
+
+        def child(t: Column, k: Column) -> Column:
+            low, high = _pages(t)
+            own = meta(F.coalesce(F.nullif(low, F.lit(0)), first), F.coalesce(F.nullif(high, F.lit(0)), last))
+            at = F.size("parents") + p["begin"] + k
+            return F.struct(at.alias("chunk_index"), _unmarked(t).alias("text_content"), own.alias("metadata"), F.lit("child").alias("chunk_type"), i.alias("parent_index"))
+
+        return F.concat(F.array(top).cast(_CHUNK), F.when(has, F.transform(kids, child)).otherwise(F.array()).cast(_CHUNK))
+
+    made = packed.select(key, F.flatten(F.transform("parents", family)).alias("made"))
+    rows = made.select(key, F.explode_outer("made").alias("c")).select(key, "c.*")
     base = F.col(key) * CHUNKS_PER_DOCUMENT
-    top = rows.select(
-        (base + F.col("i")).alias("id"), key, F.col("i").alias("chunk_index"), _unmarked(F.col("p.text_content")).alias("text_content"), F.col("p.metadata").alias("metadata"),
-        F.when(F.size("kids") > 0, "parent").otherwise("standalone").alias("chunk_type"), F.lit(None).cast("long").alias("parent_chunk_id"),
-    )
-    below = rows.select(key, "i", "p", "begin", F.posexplode("kids").alias("k", "t"))
-    low, high = _pages(F.col("t"))
-    either = lambda own, c: F.coalesce(F.nullif(own, F.lit(0)), F.col(f"p.metadata.{c}"))
-    meta = F.struct(F.col("p.metadata.section_title").alias("section_title"), F.col("p.metadata.heading_level").alias("heading_level"), either(low, "page_start").alias("page_start"), either(high, "page_end").alias("page_end"))
-    at = F.col("begin") + F.col("k")
-    below = below.select(
-        (base + at).alias("id"), key, at.alias("chunk_index"), _unmarked(F.col("t")).alias("text_content"), meta.alias("metadata"),
-        F.lit("child").alias("chunk_type"), (base + F.col("i")).alias("parent_chunk_id"),
-    )
-    return top.unionByName(below)
+    return rows.select((base + F.col("chunk_index")).alias("id"), key, "chunk_index", "text_content", "metadata", "chunk_type", (base + F.col("parent_index")).alias("parent_chunk_id"))
+
+
+def _let(value: Column, use) -> Column:
+    """An array of one: use(value) with value worked out once."""
+    return F.transform(F.array(value), use)
 
 
 def embed_targets(chunks: DataFrame) -> DataFrame:

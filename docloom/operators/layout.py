@@ -16,28 +16,36 @@ def _joined(struct: Column, field: str, by: str) -> Column:
     return F.array_join(F.transform(F.sort_array(F.collect_list(struct)), lambda x: x[field]), by)
 
 
-def lines_to_markdown(spans: DataFrame) -> DataFrame:
+def lines_to_markdown(spans: DataFrame, tables: DataFrame | None = None) -> DataFrame:
     """P1 on spans(doc_id, page, block, line, span, text, size, font): doc_id, markdown.
 
     A line's heading level is by its largest size: 20 and more 1, 16 and more 2, 13 and more if bold 3; lines over
-    200 characters are none. Two aggregations with sorted structs; a page's marker comes before its lines.
+    200 characters are none. A heading has a blank line before and after it. Each page's marker comes before its lines; a page
+    whose lines are all blank is its marker. tables(doc_id, page, table_no, markdown), as P2 makes them, follow their page's
+    lines. Aggregations with sorted structs, by line, page and document.
     """
     line = spans.groupBy("doc_id", "page", "block", "line").agg(
         strip(_joined(F.struct("span", F.coalesce("text", F.lit("")).alias("t")), "t", "")).alias("t"), F.max("size").alias("size"),
         F.coalesce(F.bool_or(F.lower("font").contains("bold")), F.lit(False)).alias("bold"),
-    ).where("t <> ''")
+    )
     short = F.length("t") <= 200
     level = F.when(short & (F.col("size") >= 20), 1).when(short & (F.col("size") >= 16), 2).when(short & (F.col("size") >= 13) & F.col("bold"), 3)
-    shown = F.when(level.isNotNull(), F.concat(F.repeat(F.lit("#"), level), F.lit(" "), "t")).otherwise(F.col("t"))
-    page = line.select("doc_id", "page", "block", "line", shown.alias("t")).groupBy("doc_id", "page").agg(_joined(F.struct("block", "line", "t"), "t", "\n").alias("t"))
-    text = F.concat(F.lit("<!-- PAGE:"), F.col("page").cast("string"), F.lit(" -->\n"), "t")
+    shown = F.when(level.isNotNull(), F.concat(F.lit("\n"), F.repeat(F.lit("#"), level), F.lit(" "), F.col("t"), F.lit("\n"))).otherwise(F.col("t"))
+    full = F.when(F.col("t") != "", F.struct("block", "line", shown.alias("t")))
+    page = line.groupBy("doc_id", "page").agg(F.transform(F.sort_array(F.collect_list(full)), lambda x: x["t"]).alias("lines"))
+    marker = F.concat(F.lit("<!-- PAGE:"), F.col("page").cast("string"), F.lit(" -->"))
+    text = F.array_join(F.concat(F.array(marker), "lines"), "\n")
+    if tables is not None:
+        own = tables.groupBy("doc_id", "page").agg(_joined(F.struct("table_no", "markdown"), "markdown", "\n\n").alias("tables"))
+        page = page.join(own, ["doc_id", "page"], "left")
+        text = F.concat(text, F.when(F.col("tables") != "", F.concat(F.lit("\n\n"), "tables")).otherwise(""))
     return page.select("doc_id", "page", text.alias("t")).groupBy("doc_id").agg(_joined(F.struct("page", "t"), "t", "\n\n").alias("markdown"))
 
 
 def rows_to_markdown_table(cells: DataFrame) -> DataFrame:
-    """P2 on cells(doc_id, table_no, row, col, text): doc_id, table_no, markdown. The first row heads the table, null
-    cells are empty, short rows are filled up to the head's width."""
-    value = F.coalesce("text", F.lit(""))
+    """P2 on cells(doc_id, table_no, row, col, text): doc_id, table_no, markdown. The first row heads the table, cells are
+    trimmed, null ones are empty, short rows are filled up to the head's width."""
+    value = strip(F.coalesce("text", F.lit("")))
     rows = cells.groupBy("doc_id", "table_no", "row").agg(F.transform(F.sort_array(F.collect_list(F.struct("col", value.alias("t")))), lambda x: x["t"]).alias("r"))
     tables = rows.groupBy("doc_id", "table_no").agg(F.transform(F.sort_array(F.collect_list(F.struct("row", "r"))), lambda x: x["r"]).alias("rows"))
     width = F.size(F.col("rows")[0])

@@ -11,10 +11,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..storage import written
 from ._cover import cover_density, parse_query
 
 POOL, RRF_K, QUERY_BLOCK = 20, 60, 4096
@@ -41,6 +43,25 @@ def filter_sets(docs: DataFrame, sets: dict[str, dict]) -> DataFrame:
     return out
 
 
+#: Optional columns of queries, each a filter of that query alone: a document's field must equal it (or be one of its values).
+#: Null, or an empty list, asks for nothing.
+QUERY_FILTERS = {"filter_language": "language", "filter_group": "group", "filter_company": "company", "filter_fiscal_years": "fiscal_year", "filter_categories": "category"}
+_LISTS = ("filter_fiscal_years", "filter_categories")
+
+
+def _filters_of(queries: DataFrame) -> list[str]:
+    return [c for c in QUERY_FILTERS if c in queries.columns]
+
+
+def query_allows(filters: list[str]) -> Column:
+    """R1 for each query: whether a row's document fields (as searchable() adds them) pass the row's own filters."""
+    out = F.lit(True)
+    for c in filters:
+        own = F.col(f"_{QUERY_FILTERS[c]}")
+        out = out & ((F.coalesce(F.size(c), F.lit(0)) <= 0) | F.array_contains(c, own) if c in _LISTS else F.col(c).isNull() | (own == F.col(c)))
+    return F.coalesce(out, F.lit(False))
+
+
 def cosine_similarity(a: Column, b: Column) -> Column:
     """R3 for two array columns: for few rows; null where either is null or has length zero."""
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
@@ -60,17 +81,19 @@ def _best(scores: np.ndarray, ids: np.ndarray, n: int) -> np.ndarray:
 
 def vector_pool(chunks: DataFrame, queries: DataFrame, n: int, threshold: float | None = None) -> DataFrame:
     """(query_id, id, similarity, vec_rank): each query's n most similar chunks(id, embedding) among those with a usable
-    vector, for queries(query_id, query_embedding). Ties go to the smaller id. Queries with different filters are searched
-    one filter set at a time over the documents that pass it."""
+    vector, for queries(query_id, query_embedding, filters). Ties go to the smaller id. A query's filters hold for it alone:
+    chunks carry their document's fields (searchable()), and each filter set is tried once on each batch of chunks."""
     found = None
+    filters = _filters_of(queries)
     n_queries = queries.count()
     blocks = max(1, -(-n_queries // QUERY_BLOCK))
     for block in range(blocks):
-        rows = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block).select("query_id", "query_embedding").orderBy("query_id").collect()  # a block of the stated queries
+        rows = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block).select("query_id", "query_embedding", *filters).orderBy("query_id").collect()  # a block of the stated queries
         rows = [r for r in rows if r["query_embedding"] is not None and any(r["query_embedding"])]
         if not rows:
             continue
-        part = _pool_of(chunks, [r["query_id"] for r in rows], np.array([r["query_embedding"] for r in rows], float), n, threshold)
+        asked = [tuple((tuple(r[c]) if c in _LISTS else r[c]) if r[c] else None for c in filters) for r in rows]
+        part = _pool_of(chunks, [r["query_id"] for r in rows], np.array([r["query_embedding"] for r in rows], float), filters, asked, n, threshold)
         found = part if found is None else found.unionByName(part)
     if found is None:
         found = chunks.sparkSession.createDataFrame([], "query_id long, id long, similarity double")
@@ -78,12 +101,25 @@ def vector_pool(chunks: DataFrame, queries: DataFrame, n: int, threshold: float
     return found.withColumn("vec_rank", F.row_number().over(w)).where(F.col("vec_rank") <= n)
 
 
-def _pool_of(chunks: DataFrame, names: list[int], vectors: np.ndarray, n: int, threshold: float | None) -> DataFrame:
+def _passing(batch: pa.RecordBatch, filters: list[str], asked: tuple) -> np.ndarray:
+    """Which rows of a batch of chunks pass one filter set."""
+    ok = np.ones(len(batch), bool)
+    for c, value in zip(filters, asked, strict=True):
+        if value is not None:
+            own = batch.column(f"_{QUERY_FILTERS[c]}")
+            hit = pc.is_in(own, value_set=pa.array(value, own.type)) if c in _LISTS else pc.equal(own, value)
+            ok &= hit.fill_null(False).to_numpy(zero_copy_only=False)
+    return ok
+
+
+def _pool_of(chunks: DataFrame, names: list[int], vectors: np.ndarray, filters: list[str], asked: list[tuple], n: int, threshold: float | None) -> DataFrame:
     vectors = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
-    shared = chunks.sparkSession.sparkContext.broadcast((np.array(names), vectors))
+    sets = sorted(set(asked), key=repr)
+    of_set = [np.array([i for i, x in enumerate(asked) if x == s]) for s in sets]
+    shared = chunks.sparkSession.sparkContext.broadcast((np.array(names), vectors, sets, of_set))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, q = shared.value
+        names, q, sets, of_set = shared.value
         held = [(np.zeros(0), np.zeros(0, np.int64)) for _ in names]
         for batch in batches:
             column, width = batch.column("embedding"), q.shape[1]
@@ -91,22 +127,26 @@ def _pool_of(chunks: DataFrame, names: list[int], vectors: np.ndarray, n: int, t
             values = column.values.to_numpy(zero_copy_only=False).astype(float)
             ok = np.diff(offs) == width
             x = values[(offs[:-1][ok][:, None] + np.arange(width))]
-            ids = batch.column("id").to_numpy()[ok]
             size = np.linalg.norm(x, axis=1)
             good = np.isfinite(size) & (size > 0)
-            x, ids = x[good] / size[good][:, None], ids[good]
-            scores = np.round(q @ x.T, 12)  # equal vectors tie, whatever the product's order of additions
-            for i, row in enumerate(scores):
-                s, d = held[i]
-                own = row >= threshold if threshold is not None else slice(None)
-                s, d = np.concatenate([s, row[own]]), np.concatenate([d, ids[own]])
-                best = _best(s, d, n)
-                held[i] = s[best], d[best]
+            places = np.flatnonzero(ok)[good]
+            x, ids = x[good] / size[good][:, None], batch.column("id").to_numpy()[places]
+            for asked, members in zip(sets, of_set, strict=True):
+                pass_ = _passing(batch, filters, asked)[places]
+                own_ids = ids[pass_]
+                scores = np.round(q[members] @ x[pass_].T, 12)  # equal vectors tie, whatever the product's order of additions
+                for i, row in zip(members, scores, strict=True):
+                    s, d = held[i]
+                    far = row >= threshold if threshold is not None else slice(None)
+                    s, d = np.concatenate([s, row[far]]), np.concatenate([d, own_ids[far]])
+                    best = _best(s, d, n)
+                    held[i] = s[best], d[best]
         sizes = [len(d) for _, d in held]
         if sum(sizes):
             yield pa.record_batch([pa.array(np.repeat(names, sizes)), pa.array(np.concatenate([d for _, d in held])), pa.array(np.concatenate([s for s, _ in held]))], ["query_id", "id", "similarity"])
 
-    return chunks.where("embedding IS NOT NULL").select("id", "embedding").mapInArrow(run, "query_id long, id long, similarity double")
+    fields = [f"_{QUERY_FILTERS[c]}" for c in filters]
+    return chunks.where("embedding IS NOT NULL").select("id", "embedding", *fields).mapInArrow(run, "query_id long, id long, similarity double")
 
 
 def vector_topk(chunks: DataFrame, queries: DataFrame, k: int, threshold: float) -> DataFrame:
@@ -114,29 +154,38 @@ def vector_topk(chunks: DataFrame, queries: DataFrame, k: int, threshold: float)
     return vector_pool(chunks, queries, k, threshold)
 
 
-def searchable(chunks: DataFrame, docs: DataFrame) -> DataFrame:
-    """Chunks that are searched, with the id of a kept document: the equi-join is on document_id."""
+def searchable(chunks: DataFrame, docs: DataFrame, queries: DataFrame | None = None) -> DataFrame:
+    """Chunks that are searched, of a kept document: one equi-join on document_id. Where queries have filters of their own, the
+    document's fields that these name come along, trimmed, as _language and so on."""
     kinds = chunks.where(F.col("chunk_type").isin("child", "standalone"))
-    return kinds.join(docs.select(F.col("id").alias("document_id")), "document_id", "left_semi")
+    fields = [QUERY_FILTERS[c] for c in _filters_of(queries)] if queries is not None else []
+    kept = docs.select(F.col("id").alias("document_id"), *(F.trim(F.col(f"`{c}`")).alias(f"_{c}") for c in fields))
+    return kinds.join(kept, "document_id") if fields else kinds.join(kept, "document_id", "left_semi")
 
 
-_DOCUMENT = ["file_name", "display_name", "category", "report_group", "group", "company", "fiscal_year", "language", "source_type"]
+_DOCUMENT = ["file_name", "display_name", "category", "report_group", "group", "company", "fiscal_year", "language", "source_type", "status", "confidentiality", "tags", "publish_date"]
 
 
 def _swapped(hits: DataFrame, chunks: DataFrame, docs: DataFrame, order: list[Column], k: int) -> DataFrame:
-    """hits(query_id, id, …) with their parent's text, the best of each parent, the top k, and document columns."""
-    own = hits.join(chunks.select("id", "document_id", "chunk_index", "chunk_type", "parent_chunk_id", F.col("text_content").alias("own_text"), F.col("metadata").alias("own_meta")), "id")
+    """hits(query_id, id, …) with their parent's text, the best of each parent, the top k, and document columns. Texts are
+    fetched last, for the k hits of each query alone, by one pass over the chunks."""
+    own = hits.join(chunks.select("id", "document_id", "chunk_index", "chunk_type", "parent_chunk_id"), "id")
     group = F.coalesce("parent_chunk_id", "id")
     best = own.withColumn("_n", F.row_number().over(W.partitionBy("query_id", group).orderBy(*order))).where("_n = 1").drop("_n")
     top = best.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(*order))).where(F.col("rank") <= k)
-    parents = chunks.select(F.col("id").alias("parent_chunk_id"), F.col("text_content").alias("p_text"), F.col("metadata").alias("p_meta"))
-    full = top.join(parents, "parent_chunk_id", "left").withColumns({"text_content": F.coalesce("p_text", "own_text"), "metadata": F.coalesce("p_meta", "own_meta")})
-    return full.drop("p_text", "own_text", "p_meta", "own_meta").join(docs.select(F.col("id").alias("document_id"), *(F.col(f"`{c}`") for c in _DOCUMENT if c in docs.columns)), "document_id", "left")
+    top = written(top, "hits")
+    texts = chunks.select(F.col("id").alias("_of"), "text_content", "metadata")
+    asked = top.select("query_id", "id", F.explode(F.array_compact(F.array("parent_chunk_id", "id"))).alias("_of"))
+    mine = F.col("_of") == F.col("id")
+    either = lambda c: F.coalesce(F.max(F.when(~mine, F.col(c))), F.max(F.when(mine, F.col(c)))).alias(c)
+    shown = asked.join(texts, "_of").groupBy("query_id", "id").agg(either("text_content"), either("metadata"))
+    return top.join(shown, ["query_id", "id"]).join(docs.select(F.col("id").alias("document_id"), *(F.col(f"`{c}`") for c in _DOCUMENT if c in docs.columns)), "document_id", "left")
 
 
 def vector_search(chunks: DataFrame, docs: DataFrame, queries: DataFrame, k: int = 5, threshold: float = 0.3) -> DataFrame:
-    """Pool of 20 k, threshold, parent text, best of each parent, top k. docs are those that pass the filters."""
-    pool = vector_pool(searchable(chunks, docs), queries, POOL * k).where(F.col("similarity") >= threshold)
+    """Pool of 20 k, threshold, parent text, best of each parent, top k. docs are those that pass filters that all queries
+    share (R1); a query's own are columns of queries (QUERY_FILTERS)."""
+    pool = vector_pool(searchable(chunks, docs, queries), queries, POOL * k).where(F.col("similarity") >= threshold)
     return _swapped(pool, chunks, docs, [F.desc("similarity"), F.col("id")], k).withColumn("search_type", F.lit("vector"))
 
 
@@ -148,30 +197,35 @@ def tokens(c: Column) -> Column:
 def fts_match(chunks: DataFrame, queries: DataFrame) -> DataFrame:
     """(query_id, id, rank_cd) of chunks that match a query in web syntax: all words, "a phrase", or, -not.
 
-    Only postings of words that some query holds are shuffled; a chunk's words are cut to one row each before that,
-    and cover density is worked out from the positions of the query's words in it.
+    Texts are tokenised once: postings of words that some query holds are kept as a table, cut to one row for each chunk and
+    word, and everything after reads that table. A query's own filters (QUERY_FILTERS) are tried on the chunks that hold its
+    words. Cover density is worked out from the positions of the query's words, and rounded so that equal spans tie.
     """
+    filters = _filters_of(queries)
     parse = F.udf(lambda q: parse_query(q or ""), "array<struct<any:array<array<string>>,negative:boolean>>", useArrow=True)
-    parsed = queries.select("query_id", parse("query_text").alias("q")).where(F.size("q") > 0)
-    terms = parsed.select("query_id", "q", F.explode(F.array_distinct(F.flatten(F.flatten(F.transform("q", lambda g: g["any"]))))).alias("word"))
+    parsed = written(queries.select("query_id", parse("query_text").alias("q"), *filters).where(F.size("q") > 0), "parsed")
+    terms = parsed.select("query_id", F.explode(F.array_distinct(F.flatten(F.flatten(F.transform("q", lambda g: g["any"]))))).alias("word"))
     wanted = terms.select("word").distinct()
-    posted = chunks.select("id", F.posexplode(tokens(F.col("text_content"))).alias("pos", "word")).join(wanted, "word", "left_semi")
-    by_word = posted.groupBy("id", "word").agg(F.sort_array(F.collect_list("pos")).alias("at"))
+    fields = [f"_{QUERY_FILTERS[c]}" for c in filters]
+    words = chunks.select("id", F.posexplode(tokens(F.col("text_content"))).alias("pos", "word")).join(wanted, "word", "left_semi")
+    by_word = written(words.groupBy("id", "word").agg(F.sort_array(F.collect_list("pos")).alias("at")), "postings")
     # a chunk must hold at least one word of every positive group: count groups hit before gathering positions
     positive = parsed.select("query_id", F.posexplode("q").alias("g", "group")).where("NOT group.negative")
     needed = positive.groupBy("query_id").agg(F.count(F.lit(1)).alias("needed"))
     group_words = positive.select("query_id", "g", F.explode(F.array_distinct(F.flatten("group.any"))).alias("word"))
     hit = by_word.select("id", "word").join(group_words, "word").groupBy("query_id", "id").agg(F.count_distinct("g").alias("got")).join(needed, "query_id").where("got = needed").select("query_id", "id")
-    rows = hit.join(terms.select("query_id", "word"), "query_id").join(by_word, ["id", "word"]).groupBy("query_id", "id").agg(F.map_from_entries(F.collect_list(F.struct("word", "at"))).alias("at"))
+    if filters:
+        hit = hit.join(chunks.select("id", *fields), "id").join(parsed.select("query_id", *filters), "query_id").where(query_allows(filters)).select("query_id", "id")
+    rows = hit.join(terms, "query_id").join(by_word, ["id", "word"]).groupBy("query_id", "id").agg(F.map_from_entries(F.collect_list(F.struct("word", "at"))).alias("at"))
     rank = F.udf(cover_density, "double", useArrow=True)
-    scored = rows.join(parsed, "query_id").withColumn("rank_cd", rank("q", "at"))
+    scored = rows.join(parsed.select("query_id", "q"), "query_id").withColumn("rank_cd", F.round(rank("q", "at"), 9))
     return scored.where("rank_cd IS NOT NULL").select("query_id", "id", "rank_cd")
 
 
 def fts_topk(chunks: DataFrame, docs: DataFrame, queries: DataFrame, n: int) -> DataFrame:
     """(query_id, id, rank_cd, fts_rank), the n best of each query among chunks of docs."""
     w = W.partitionBy("query_id").orderBy(F.desc("rank_cd"), "id")
-    return fts_match(searchable(chunks, docs), queries).withColumn("fts_rank", F.row_number().over(w)).where(F.col("fts_rank") <= n)
+    return fts_match(searchable(chunks, docs, queries), queries).withColumn("fts_rank", F.row_number().over(w)).where(F.col("fts_rank") <= n)
 
 
 def rrf_fuse(vec: DataFrame, fts: DataFrame, k: int = RRF_K) -> DataFrame:
@@ -184,7 +238,7 @@ def rrf_fuse(vec: DataFrame, fts: DataFrame, k: int = RRF_K) -> DataFrame:
 def hybrid_search(chunks: DataFrame, docs: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """Both pools of 20 k (vectors without a threshold), fused; parent text, best of each parent, top k. similarity is the
     fused score. Chunks without a vector never enter the vector pool."""
-    vec = vector_pool(searchable(chunks, docs), queries, POOL * k).select("query_id", "id", "vec_rank")
+    vec = vector_pool(searchable(chunks, docs, queries), queries, POOL * k).select("query_id", "id", "vec_rank")
     fused = rrf_fuse(vec, fts_topk(chunks, docs, queries, POOL * k).select("query_id", "id", "fts_rank"))
     hits = fused.select("query_id", "id", F.col("rrf_score").alias("similarity"))
     return _swapped(hits, chunks, docs, [F.desc("similarity"), F.col("id")], k).withColumn("search_type", F.lit("hybrid"))
@@ -193,7 +247,7 @@ def hybrid_search(chunks: DataFrame, docs: DataFrame, queries: DataFrame, k: int
 def hybrid_search_labeled(chunks: DataFrame, docs: DataFrame, queries: DataFrame, k: int = 5, threshold: float = 0.3) -> DataFrame:
     """R10, the older form: pools of 2 k, the threshold on the vector side, no parent text; label by the sides that found the
     row; similarity is the vector's or 0."""
-    vec = vector_pool(searchable(chunks, docs), queries, 2 * k, threshold).select("query_id", "id", "similarity", "vec_rank")
+    vec = vector_pool(searchable(chunks, docs, queries), queries, 2 * k, threshold).select("query_id", "id", "similarity", "vec_rank")
     fused = rrf_fuse(vec, fts_topk(chunks, docs, queries, 2 * k).select("query_id", "id", "fts_rank"))
     label = F.when(F.col("vec_rank").isNotNull() & F.col("fts_rank").isNotNull(), "hybrid").when(F.col("vec_rank").isNotNull(), "vector").otherwise("fulltext")
     w = W.partitionBy("query_id").orderBy(F.desc("rrf_score"), "id")

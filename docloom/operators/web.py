@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from urllib.parse import urljoin
 
@@ -13,20 +14,28 @@ from pyspark.sql import functions as F
 from ..functions.text import strip
 from ..sources.tables import first_of
 from ..storage import written
-from ._html import page_parts
+from ._html import page_hrefs, page_parts
 
 #: Endings of URL paths that are no pages.
 ASSETS = [
-    ".pdf", ".doc", ".docx", ".xls", ".xlsx", ".ppt", ".pptx", ".zip", ".rar", ".7z", ".jpg", ".jpeg", ".png", ".gif", ".svg", ".webp", ".ico",
-    ".mp3", ".mp4", ".avi", ".mov", ".wav", ".css", ".js", ".woff", ".woff2", ".ttf", ".xml", ".json",
+    ".pdf", ".doc", ".docx", ".xls", ".xlsx", ".ppt", ".pptx", ".zip", ".rar", ".gz", ".tar", ".jpg", ".jpeg", ".png", ".gif", ".svg", ".ico", ".webp",
+    ".mp3", ".mp4", ".avi", ".mov", ".wmv", ".css", ".js", ".xml", ".json", ".rss", ".atom",
 ]
 
 
 def extract_links(pages: DataFrame) -> DataFrame:
-    """(page_id, url, pos, href) of <a href> in order, without javascript:, mailto:, tel: and # links."""
-    hrefs = F.regexp_extract_all("html", F.lit(r"""(?is)<a\s(?:[^>]*?\s)?href\s*=\s*["']([^"']*)["']"""), F.lit(1))
-    rows = pages.select("page_id", "url", F.posexplode(hrefs).alias("pos", "href"))
-    return rows.where(~F.lower(F.trim("href")).rlike(r"^(javascript:|mailto:|tel:|#)"))
+    """(page_id, url, pos, href) of <a href> in order, entities decoded, without links that begin with javascript:, mailto:,
+    tel: or #. A page without links or HTML gives no rows."""
+    rows = pages.select("page_id", "url", _hrefs(F.col("html")).alias("hrefs")).select("page_id", "url", F.posexplode_outer("hrefs").alias("pos", "href"))
+    return rows.where(F.col("href").isNotNull() & ~F.col("href").rlike(r"^(javascript:|mailto:|tel:|#)"))
+
+
+def _hrefs(html: Column) -> Column:
+    @F.pandas_udf("array<string>")
+    def run(pages: pd.Series) -> pd.Series:
+        return pages.map(page_hrefs)
+
+    return run(html)
 
 
 def _join(base: str | None, href: str | None) -> str | None:
@@ -39,7 +48,7 @@ def _join(base: str | None, href: str | None) -> str | None:
 def _resolved(base: Column, href: Column) -> Column:
     @F.pandas_udf("string")
     def run(base: pd.Series, href: pd.Series) -> pd.Series:
-        return pd.Series([_join(b, h) for b, h in zip(base, href, strict=True)], index=base.index)
+        return pd.Series([_join(b, h) for b, h in zip(base, href, strict=True)], index=base.index, dtype=object)
 
     return run(base, href)
 
@@ -51,15 +60,15 @@ def normalize_url(url: Column, base: Column | None = None, root_scheme: str = "h
     full = F.regexp_replace(full, "#.*$", "")
     host, path, query = (F.try_parse_url(full, F.lit(p)) for p in ("AUTHORITY", "PATH", "QUERY"))
     bare = F.regexp_replace(F.coalesce(path, F.lit("")), "/+$", "")
-    return F.when(host.isNotNull(), F.concat(F.lit(f"{root_scheme}://"), host, F.when(bare == "", "/").otherwise(bare), F.when(query.isNotNull(), F.concat(F.lit("?"), query)).otherwise("")))
+    return F.when(host.isNotNull(), F.concat(F.lit(f"{root_scheme}://"), host, F.when(bare == "", "/").otherwise(bare), F.when(query != "", F.concat(F.lit("?"), query)).otherwise("")))
 
 
 def should_skip(url: Column, domain: Column, exclude: list[str] = (), assets: list[str] = ASSETS) -> Column:
     """True for another host, an asset's ending on the lower-cased path, or any exclude pattern; null URLs are skipped."""
     path = F.lower(F.coalesce(F.try_parse_url(url, F.lit("PATH")), F.lit("")))
     out = ~F.coalesce(F.try_parse_url(url, F.lit("AUTHORITY")) == domain, F.lit(False))
-    for end in assets:
-        out = out | path.endswith(end)
+    if assets:
+        out = out | path.rlike("(?:" + "|".join(map(re.escape, assets)) + ")$")
     for pattern in exclude:
         out = out | url.rlike(pattern)
     return F.coalesce(out, F.lit(True))

@@ -19,8 +19,10 @@ DOCUMENT = {
     "language": "lang",
     "fiscal_year": "CASE WHEN doc_id % 13 = 0 THEN NULL WHEN doc_id % 11 = 0 THEN cast(107 + doc_id % 7 AS varchar(9)) ELSE cast(2018 + doc_id % 7 AS varchar(9)) END",
     "fiscal_period": "CASE WHEN doc_id % 2 = 0 THEN 'Q1' ELSE '' END",
-    "status": "cast(NULL AS varchar(9))",
+    "status": "CASE WHEN doc_id % 6 = 0 THEN 'draft' ELSE NULL END",
     "confidentiality": "cast(NULL AS varchar(9))",
+    "tags": ("array(concat('t', doc_id % 3), 'all')", "[concat('t', doc_id % 3), 'all']"),
+    "publish_date": "make_date(cast(2020 + doc_id % 5 AS int), 1, cast(1 + doc_id % 28 AS int))",
     "created_at": ("timestamp_seconds(1704067200 + doc_id * 60)", "make_timestamp((1704067200 + doc_id * 60) * 1000000)"),
     "text": "text",
 }
@@ -80,9 +82,26 @@ def text_queries(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def mixed_queries(spark: SparkSession, sf: str) -> DataFrame:
-    """Query vectors with the test item of their number as text."""
-    v = vector_queries(spark, sf).withColumn("item", (F.col("query_id") / 20).cast("long"))
-    return v.join(text_queries(spark, sf).select(F.col("query_id").alias("item"), "query_text"), "item").drop("item")
+    """Query vectors, each with a test item's text: items are gone through in turn."""
+    items = text_queries(spark, sf)
+    n = items.agg(F.count(F.lit(1)).alias("n"))
+    v = vector_queries(spark, sf).join(F.broadcast(n)).withColumn("item", (F.col("query_id") / 20).cast("long") % F.col("n")).drop("n")  # one row
+    return v.join(items.select(F.col("query_id").alias("item"), "query_text"), "item").drop("item")
+
+
+#: Filters that queries carry, by their id, as (Spark, DuckDB) or one text for both.
+FILTERS = {
+    "filter_language": "CASE WHEN query_id % 3 = 0 THEN 'en' ELSE NULL END",
+    "filter_group": "CASE WHEN query_id % 5 = 0 AND query_id % 3 = 1 THEN 'g0' ELSE NULL END",
+    "filter_company": "CASE WHEN query_id % 7 = 0 THEN 'c3' ELSE NULL END",
+    "filter_fiscal_years": ("CASE WHEN query_id % 40 = 0 THEN array('2019', '2021', '2022', '2024') ELSE NULL END", "CASE WHEN query_id % 40 = 0 THEN ['2019', '2021', '2022', '2024'] END"),
+    "filter_categories": ("CASE WHEN query_id % 60 = 20 THEN array('永續報告書', '網頁') ELSE NULL END", "CASE WHEN query_id % 60 = 20 THEN ['永續報告書', '網頁'] END"),
+}
+
+
+def filtered(queries: DataFrame) -> DataFrame:
+    """Queries with filters of their own."""
+    return queries.selectExpr("*", *_spark(FILTERS))
 
 
 WITH_DOCS = f"docs AS (SELECT {_duck(DOCUMENT)} FROM documents)"
@@ -93,3 +112,9 @@ WITH_CHUNKS = (
     "sims AS (SELECT query_id, id, document_id, chunk_type, parent_chunk_id, round(list_dot_product(q, embedding) / sqrt(list_dot_product(q, q)) / sqrt(list_dot_product(embedding, embedding)), 12) AS similarity "
     "FROM queries, chunks WHERE embedding IS NOT NULL)"
 )
+#: Which (query, document) a query's own filters let through, of queries q and documents d.
+ALLOWED = (
+    "(filter_language IS NULL OR trim(d.language) = filter_language) AND (filter_group IS NULL OR trim(d.\"group\") = filter_group) AND (filter_company IS NULL OR trim(d.company) = filter_company) "
+    "AND (filter_fiscal_years IS NULL OR list_contains(filter_fiscal_years, trim(d.fiscal_year))) AND (filter_categories IS NULL OR list_contains(filter_categories, trim(d.category)))"
+)
+WITH_FILTERS = f"asked AS (SELECT query_id, {_duck(FILTERS)} FROM queries)"

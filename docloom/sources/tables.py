@@ -43,9 +43,10 @@ def keep_urls(urls: DataFrame, exclude: list[str], max_urls: int | None = None)
 
 
 def read_sitemap(spark: SparkSession, path: str, exclude: list[str] = (), max_urls: int | None = None) -> DataFrame:
-    """S3: <loc> of a sitemap's <url> elements in document order."""
+    """S3: <loc> of a sitemap's <url> elements in document order, files by name: pos is (file, start of the split, row)."""
     rows = spark.read.format("xml").option("rowTag", "url").schema("loc STRING").load(path)
-    return keep_urls(rows.withColumn("pos", F.monotonically_increasing_id()), list(exclude), max_urls)
+    pos = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("row"))
+    return keep_urls(rows.select("loc", pos.alias("pos")), list(exclude), max_urls)
 
 
 _TARGET = (
@@ -59,12 +60,12 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(MANIFEST).option("multiLine", "true").json(path)
 
 
-def expand_manifest(manifest: DataFrame) -> DataFrame:
+def expand_manifest(manifest: DataFrame, keep: list[str] = ()) -> DataFrame:
     """One row per file, URL, sitemap or crawl root: target_no, item_no, kind, item and the metadata.
 
-    A target's value wins over the default; chunk_strategy falls back to 'parent_child'.
+    A target's value wins over the default; chunk_strategy falls back to 'parent_child'. keep: columns that tell manifests apart.
     """
-    t = manifest.select("defaults", F.posexplode("targets").alias("target_no", "t"))
+    t = manifest.select(*keep, "defaults", F.posexplode("targets").alias("target_no", "t"))
     either = lambda c: F.coalesce(F.col(f"t.{c}"), F.col(f"defaults.{c}")).alias(c)
     items = (
         F.when(F.col("t.type") == "pdf_list", F.col("t.files")).when(F.col("t.type") == "url_list", F.col("t.urls"))
@@ -75,7 +76,7 @@ def expand_manifest(manifest: DataFrame) -> DataFrame:
         F.to_date("t.publish_date").alias("publish_date"), F.coalesce("t.chunk_strategy", "defaults.chunk_strategy", F.lit("parent_child")).alias("chunk_strategy"),
         F.coalesce("t.page_offset", F.lit(0)).alias("page_offset"), F.col("t.max_pages").alias("max_pages"), F.col("t.max_depth").alias("max_depth"),
     ]
-    return t.select("target_no", F.col("t.type").alias("kind"), *meta, F.posexplode(items).alias("item_no", "item"))
+    return t.select(*keep, "target_no", F.col("t.type").alias("kind"), *meta, F.posexplode(items).alias("item_no", "item"))
 
 
 def stored_documents(df: DataFrame) -> DataFrame:
