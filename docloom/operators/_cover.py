@@ -57,3 +57,13 @@ def cover_density(query: list, at: dict[str, list[int]]) -> float | None:
             total += 1.0 / (end - start + 1)
             before = start
     return total
+
+
+def density_of(query: list, words: list[str]) -> float | None:
+    """cover_density of a chunk's words in their order."""
+    wanted = {w for g in query for phrase in g["any"] for w in phrase}
+    at: dict[str, list[int]] = {}
+    for i, w in enumerate(words):
+        if w in wanted:
+            at.setdefault(w, []).append(i)
+    return cover_density(query, at)

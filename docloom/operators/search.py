@@ -17,7 +17,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..storage import written
-from ._cover import cover_density, parse_query
+from ._cover import density_of, parse_query
 
 POOL, RRF_K, QUERY_BLOCK = 20, 60, 4096
 
@@ -197,29 +197,29 @@ def tokens(c: Column) -> Column:
 def fts_match(chunks: DataFrame, queries: DataFrame) -> DataFrame:
     """(query_id, id, rank_cd) of chunks that match a query in web syntax: all words, "a phrase", or, -not.
 
-    Texts are tokenised once: postings of words that some query holds are kept as a table, cut to one row for each chunk and
-    word, and everything after reads that table. A query's own filters (QUERY_FILTERS) are tried on the chunks that hold its
-    words. Cover density is worked out from the positions of the query's words, and rounded so that equal spans tie.
+    A chunk must hold a word of every group that a query asks for, so those that hold a word of the query's rarest group
+    are the only candidates: words that all queries share pair nothing. Texts are tokenised once, into a table of each chunk's
+    distinct words that some query holds. A query's own filters (QUERY_FILTERS) are tried on candidates; what is left is
+    matched and ranked by cover density over its words, rounded so that equal spans tie.
     """
     filters = _filters_of(queries)
     parse = F.udf(lambda q: parse_query(q or ""), "array<struct<any:array<array<string>>,negative:boolean>>", useArrow=True)
     parsed = written(queries.select("query_id", parse("query_text").alias("q"), *filters).where(F.size("q") > 0), "parsed")
-    terms = parsed.select("query_id", F.explode(F.array_distinct(F.flatten(F.flatten(F.transform("q", lambda g: g["any"]))))).alias("word"))
-    wanted = terms.select("word").distinct()
-    fields = [f"_{QUERY_FILTERS[c]}" for c in filters]
-    words = chunks.select("id", F.posexplode(tokens(F.col("text_content"))).alias("pos", "word")).join(wanted, "word", "left_semi")
-    by_word = written(words.groupBy("id", "word").agg(F.sort_array(F.collect_list("pos")).alias("at")), "postings")
-    # a chunk must hold at least one word of every positive group: count groups hit before gathering positions
-    positive = parsed.select("query_id", F.posexplode("q").alias("g", "group")).where("NOT group.negative")
-    needed = positive.groupBy("query_id").agg(F.count(F.lit(1)).alias("needed"))
-    group_words = positive.select("query_id", "g", F.explode(F.array_distinct(F.flatten("group.any"))).alias("word"))
-    hit = by_word.select("id", "word").join(group_words, "word").groupBy("query_id", "id").agg(F.count_distinct("g").alias("got")).join(needed, "query_id").where("got = needed").select("query_id", "id")
+    groups = parsed.select("query_id", F.posexplode("q").alias("g", "group")).where("NOT group.negative")
+    asked = groups.select("query_id", "g", F.explode(F.array_distinct(F.flatten("group.any"))).alias("word"))
+    held = chunks.select("id", F.explode(F.array_distinct(tokens(F.col("text_content")))).alias("word")).join(asked.select("word").distinct(), "word", "left_semi")
+    held = written(held, "held-words")
+    often = held.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    sizes = asked.join(often, "word", "left").groupBy("query_id", "g").agg(F.sum(F.coalesce("n", F.lit(0))).alias("n"))
+    rarest = sizes.groupBy("query_id").agg(F.min_by("g", F.struct("n", "g")).alias("g"))
+    hit = held.join(asked.join(rarest, ["query_id", "g"]).select("query_id", "word"), "word").select("query_id", "id").distinct()
+    texts = chunks.select("id", "text_content", *(f"_{QUERY_FILTERS[c]}" for c in filters))
+    rows = hit.join(texts, "id").join(parsed, "query_id")
     if filters:
-        hit = hit.join(chunks.select("id", *fields), "id").join(parsed.select("query_id", *filters), "query_id").where(query_allows(filters)).select("query_id", "id")
-    rows = hit.join(terms, "query_id").join(by_word, ["id", "word"]).groupBy("query_id", "id").agg(F.map_from_entries(F.collect_list(F.struct("word", "at"))).alias("at"))
-    rank = F.udf(cover_density, "double", useArrow=True)
-    scored = rows.join(parsed.select("query_id", "q"), "query_id").withColumn("rank_cd", F.round(rank("q", "at"), 9))
-    return scored.where("rank_cd IS NOT NULL").select("query_id", "id", "rank_cd")
+        rows = rows.where(query_allows(filters))
+    rank = F.udf(density_of, "double", useArrow=True)
+    scored = rows.select("query_id", "id", F.round(rank("q", tokens(F.col("text_content"))), 9).alias("rank_cd"))
+    return scored.where("rank_cd IS NOT NULL")
 
 
 def fts_topk(chunks: DataFrame, docs: DataFrame, queries: DataFrame, n: int) -> DataFrame:
