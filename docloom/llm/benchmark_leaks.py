@@ -140,7 +140,7 @@ def without_leaks(docs: DataFrame, items: DataFrame, error_rate: float = ERROR_R
 
 def _blocks(docs: DataFrame, items: DataFrame, block_chars: int) -> Iterator[list[tuple[int, str]]]:
     """Normalised items in blocks of about block_chars, one in the driver at a time."""
-    common.small_batches(docs.sparkSession)
+    common.bound_batches(docs.sparkSession)
     texts = items.select(F.col("item_id").cast("long").alias("item_id"), "text").where("trim(text) <> ''")
     chars = texts.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n")).first()["n"]
     blocks = max(1, math.ceil(chars / block_chars))

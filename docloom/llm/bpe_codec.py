@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 from . import common
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
-#: Words that a Python worker remembers; when full, it starts anew. Results don't depend on it.
-REMEMBERED = 1_000_000
+#: Words that a Python worker remembers, in two generations. Results don't depend on it.
+REMEMBERED = 500_000
 
 _ODD_SPACE = re.compile(r"\s ")
 _LONE_SPACE = re.compile(r"(?<=\S) (?=\S)")
@@ -126,7 +126,7 @@ class Codec:
         """Ids, as little-endian 32-bit integers, of text that starts and ends at pre-token borders."""
         out = []
         for piece in self.split(text):
-            ids = self.words.get(piece[1:]) if piece[:1] == " " else self.pieces.get(piece)
+            ids = (self.words.get(piece[1:]) or self.words.older.get(piece[1:])) if piece[:1] == " " else self.pieces.get(piece)
             if ids is None:
                 if len(self.pieces) >= 100_000:
                     self.pieces.clear()
@@ -146,8 +146,8 @@ class Codec:
         words = _LONE_SPACE.split(text) if _ODD_SPACE.search(text) else text.split(" ")
         first = self.chunk(words[0])
         del words[0]
-        if len(self.words) >= self.remembered:
-            self.words.clear()
+        if len(self.words) >= self.remembered // 2:
+            self.words.age()
         return first + b"".join(map(self.words.__getitem__, words))
 
     def decode(self, ids: np.ndarray) -> np.ndarray:
@@ -155,17 +155,24 @@ class Codec:
 
 
 class _Words(dict):
-    """Ids of words that follow a space, worked out when first asked for."""
+    """Ids of words that follow a space, worked out when first asked for. Words of the generation before are asked before that;
+    those not asked for during a whole generation are forgotten."""
 
     def __init__(self, codec: Codec):
-        self.codec = codec
+        self.codec, self.older = codec, {}
 
     def __missing__(self, word: str) -> bytes:
-        ids = self.codec.chunk(" " + word)
+        ids = self.older.get(word)
+        if ids is None:
+            ids = self.codec.chunk(" " + word)
         if len(word) < 64:
             self[word] = ids
         return ids
 
+    def age(self) -> None:
+        self.older = dict(self)
+        self.clear()
+
 
 class _Table:
     """Byte strings by number, joined for an array of numbers at once."""
@@ -200,7 +207,7 @@ def encode(docs: DataFrame, path: str | None = None, text: str = "text", out: st
     any length are encoded whole; an existing column named `out` is replaced. Keeps every row.
     """
     path = path or public_tokenizers.path(RANKS)
-    common.small_batches(docs.sparkSession)
+    common.bound_batches(docs.sparkSession)
     kept = [f for f in docs.schema if f.name not in (text, out)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -230,9 +237,11 @@ def decode(encoded: DataFrame, path: str | None = None, ids: str = "ids", out: s
             column = batch.column(ids)
             column = column.fill_null([]) if column.null_count else column
             rows = column.offsets.to_numpy().astype(np.int64)
-            data, ends = own.table.spell(column.values.to_numpy(zero_copy_only=False)[rows[0] : rows[-1]])
-            made = pa.Array.from_buffers(pa.large_binary(), len(column), [None, pa.py_buffer(ends[rows - rows[0]].copy()), pa.py_buffer(data)])
-            yield pa.record_batch([*(batch.column(f.name) for f in kept), made.cast(pa.binary())], [*(f.name for f in kept), out])
+            values = column.values.to_numpy(zero_copy_only=False)
+            for a, b in common.byte_runs(rows * 4):
+                data, ends = own.table.spell(values[rows[a] : rows[b]])
+                made = pa.Array.from_buffers(pa.large_binary(), b - a, [None, pa.py_buffer(ends[rows[a : b + 1] - rows[a]].copy()), pa.py_buffer(data)])
+                yield pa.record_batch([*(batch.column(f.name).slice(a, b - a) for f in kept), made.cast(pa.binary())], [*(f.name for f in kept), out])
 
     from pyspark.sql.types import BinaryType, StructField, StructType
 

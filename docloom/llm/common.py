@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 from collections.abc import Callable, Iterator
 
@@ -21,9 +23,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession, rows: int = 500) -> None:
-    """Arrow batches of few rows: documents are wide and some are very long."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+#: Bytes of an Arrow batch; a longer row is a batch of its own.
+BATCH_BYTES = 2 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Arrow batches are bounded by bytes, by one bound for all operators: rows here are anything from a few numbers to a shard."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 _memories: dict[str, Callable[[], None]] = {}
@@ -42,8 +48,12 @@ def work_for(owner: str) -> None:
         for name, forget in _memories.items():
             if name != owner:
                 forget()
-        gc.collect()
+        _powers.clear()
         _user = owner
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # where the C library has it, freed memory goes back to the system
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def crc32_of_id(col: str = "doc_id"):
@@ -76,6 +86,13 @@ def byte_runs(offs: np.ndarray, most: int = 1 << 19) -> Iterator[tuple[int, int]
         at = min(to, n)
 
 
+def slices(batch: pa.RecordBatch, column: str, most: int) -> Iterator[pa.RecordBatch]:
+    """A batch in runs of rows of about `most` bytes of a text column each; a longer text is a run of its own."""
+    _, offs = text_bytes(batch.column(column))
+    for a, b in byte_runs(offs, most):
+        yield batch.slice(a, b - a)
+
+
 # ---------------------------------------------------------------- hashed words
 
 _LOWER = np.arange(256, dtype=np.uint8)

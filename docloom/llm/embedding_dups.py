@@ -142,10 +142,7 @@ def _links_of_width(distinct: DataFrame, plan: Plan, d: int) -> DataFrame:
                 root, hit = roots(i, j + len(p), ids), np.flatnonzero(counts)
                 yield pa.record_batch([pa.array(ids[hit]), pa.array(counts[hit]), pa.array(root[hit])], ["node", "n_links", "root"])
 
-    common.small_batches(distinct.sparkSession, 4)  # a row holds two packs
-    found = common.written(met.mapInArrow(verified, "node long, n_links long, root long"), "vector-links")
-    common.small_batches(distinct.sparkSession)
-    return found
+    return common.written(met.mapInArrow(verified, "node long, n_links long, root long"), "vector-links")
 
 
 def _found(plan: Plan, block: int, x: np.ndarray, y: np.ndarray, itself: bool, at: int) -> tuple[np.ndarray, np.ndarray]:
@@ -179,7 +176,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.9, key: str = "vec_id"
     the same key are one node. No rows in, no rows out; other columns are not read.
     """
     spark = vectors.sparkSession
-    common.small_batches(spark)
+    common.bound_batches(spark)
     rows = vectors.select(F.col(key).cast("long").alias("id"), F.col(embedding).cast("array<double>").alias("vector"))
     print_a, print_b = F.xxhash64("vector"), F.xxhash64(F.lit(17), "vector")
     usable = _clean(rows).select("id", F.transform("vector", lambda x: x + F.lit(0.0)).alias("vector"))

@@ -140,6 +140,7 @@ def _sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(bitmap.view(U64))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.work_for("minhash")
         for batch in batches:
             at = bits(batch.column("doc_id").to_numpy())
             batch = batch.filter(pa.array((shared.value[at >> 6] >> (at & 63).astype(U64) & U64(1)).astype(bool)))
@@ -242,7 +243,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     in, no rows out; columns other than doc_id and text are not read.
     """
     spark = docs.sparkSession
-    common.small_batches(spark)
+    common.bound_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = common.written(docs.mapInArrow(_signed(percent), "doc_id long, n_shingles long, set_a long, set_b long, keys array<long>"), "signed")
     linkable = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
@@ -272,9 +273,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     packs = sets.join(clusters, "doc").withColumn("n", F.size("shingles")).repartitionByRange(*order).sortWithinPartitions(*order)
     packs = packs.select("cluster", "doc", "shingles").mapInArrow(_packed, "cluster long, low long, high long, docs array<long>, sizes array<long>, sets binary")
     packs = common.written(packs.withColumn("id", F.xxhash64("cluster", "docs", "sizes")), "packs")
-    common.small_batches(spark, 4)  # a row holds two packs
     in_packs = common.written(_pack_links(packs, percent), "pack-links")
-    common.small_batches(spark)
 
     whole = components(same.unionByName(links).unionByName(in_packs)).withColumnRenamed("node", "doc_id")
     return (

@@ -152,7 +152,7 @@ def fit(docs: DataFrame, fit_docs: int = FIT_DOCS) -> np.ndarray:
     """The scorer's weights. Votes of all documents are counted; about fit_docs of them fit the scorer,
     in PARTS tasks whose weights are averaged after each of ROUNDS rounds."""
     spark = docs.sparkSession
-    common.small_batches(spark)
+    common.bound_batches(spark)
 
     def patterns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common.work_for("quality")
@@ -170,8 +170,8 @@ def fit(docs: DataFrame, fit_docs: int = FIT_DOCS) -> np.ndarray:
     good, total = fit_voters(counts), max(1.0, counts.sum())
 
     threshold = int(min(1.0, fit_docs / total) * (1 << 30))
-    drawn = docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < threshold).select("text")
-    drawn = common.written(drawn.repartition(PARTS, F.xxhash64("text")), "quality-fit")
+    drawn = docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < threshold).select("text", F.xxhash64("doc_id", "text").alias("at"))
+    drawn = common.written(drawn.repartition(PARTS, "at"), "quality-fit")
     weights = np.zeros((2 << BITS) + 1)
     for _ in range(ROUNDS):
         at, beliefs = spark.sparkContext.broadcast(weights), good
@@ -186,7 +186,7 @@ def fit(docs: DataFrame, fit_docs: int = FIT_DOCS) -> np.ndarray:
                 own = _fit(at.value, texts, np.concatenate(target))
                 yield pa.record_batch([pa.array([len(texts)]), pa.array([own.tobytes()], pa.binary())], ["n", "weights"])
 
-        parts = drawn.repartition(PARTS, F.xxhash64("text")).mapInArrow(train, "n long, weights binary").collect()  # PARTS rows of bounded size
+        parts = drawn.repartition(PARTS, "at").mapInArrow(train, "n long, weights binary").collect()  # PARTS rows of bounded size
         if parts:
             weights = np.average([np.frombuffer(r["weights"]) for r in parts], axis=0, weights=[r["n"] for r in parts])
     return weights
@@ -206,6 +206,7 @@ def score(docs: DataFrame, weights: np.ndarray | None = None) -> DataFrame:
     from pyspark.sql.types import DoubleType, StructField, StructType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.work_for("quality")
         for batch in batches:
             data, offs = common.text_bytes(batch.column("text"))
             out = np.zeros(len(offs) - 1)

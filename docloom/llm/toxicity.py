@@ -246,7 +246,7 @@ def score(docs: DataFrame, model: tuple[dict, np.ndarray]) -> DataFrame:
     other columns pass through, an existing toxicity column is replaced; no rows in, no rows out.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    common.small_batches(docs.sparkSession)
+    common.bound_batches(docs.sparkSession)
     kept = [c for c in docs.columns if c != "toxicity"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
