@@ -2,10 +2,10 @@
 
 Documents are range-partitioned by doc_id. Each task cuts its run of documents into shards of about
 SHARD_IDS ids and compresses each by itself: frequent pairs of neighbouring symbols are replaced by new
-symbols (rules), again and again, never across the end of a document. A shard is one row of a Parquet
-table: its place, doc_ids, each document's count of ids and of symbols, the rules (two symbols each),
-every rule's expansion length, and the symbols left. A document's ids are decoded from its own symbols
-and the rules alone.
+symbols (rules) until no pair occurs twice, never across the end of a document. A shard is one row of a Parquet
+table: its place, doc_ids, each document's count of ids and of symbols, the ids that occur, the rules (two symbols
+each), every rule's expansion length, and the symbols left. Expansion lengths say which symbols hold the ids asked
+for, so any stretch of a document is decoded from those symbols and the rules alone.
 """
 
 from __future__ import annotations
@@ -13,11 +13,11 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import lru_cache
-from struct import pack
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import tokenizers
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -29,11 +29,24 @@ from . import common
 TOKENIZER = "byte_bpe_50k.json"
 END = 2
 SHARD_IDS = 1_000_000
-ROUNDS, RULES_A_ROUND, LEAST = 4, 1024, 16
+#: A round replaces the pairs that are at least 1 / FALL as frequent as the most frequent one.
+FALL = 256
 REMEMBERED = 1_000_000
 
 _ODD_SPACE = re.compile(r"\s ")
 _LONE_SPACE = re.compile(r"(?<=\S) (?=\S)")
+#: Latin letters, then marks that are neither letters, digits nor white space; an apostrophe may begin a pre-token of letters.
+_LETTERS = re.compile(r"([A-Za-zÀ-ÖØ-öø-ɏ]+)([!-&(-/:-@\[-`{-~¡-©«-±´·¸»¿×÷‐-‧‰-⁞]*)")
+
+
+def _byte_alphabet() -> dict[int, int]:
+    """Fixed rule: how byte-level tokenizers write bytes as characters: printable ones as they are, others from 256 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in set(shown)]
+    return {b: 256 + i for i, b in enumerate(hidden)}
+
+
+_SHOWN = _byte_alphabet()
 
 
 # ---------------------------------------------------------------- ids
@@ -41,34 +54,124 @@ _LONE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 
 class Encoder:
     """Whole texts to ids with the tokenizers library. A space between two non-spaces always begins a
-    pre-token of a byte-level tokenizer, so texts are cut there and the library sees each word once."""
+    pre-token of a byte-level tokenizer, so texts are cut there and the library sees each piece once. A text
+    that holds an added token goes to the library whole."""
 
     def __init__(self, path: str):
         self.tokenizer = tokenizers.Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.words: dict[str, bytes] = {}  # ids of words that follow a space
-
-    def spell(self, pieces: list[str]) -> list[bytes]:
-        """Ids of each piece as little-endian unsigned 32-bit integers."""
-        got = self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
-        return [pack(f"<{len(g.ids)}I", *g.ids) for g in got]
-
-    def encode(self, texts: list[str], end: int) -> list[np.ndarray]:
+        added = self.tokenizer.get_added_tokens_decoder()
+        self.added = [t.content for t in added.values()]
+        self.marks: dict[str, list[int]] = {}  # ids of runs of marks that follow letters
+        self.forget()
+
+    def forget(self) -> None:
+        self.words: dict[str, int] = {}  # pieces that follow a space, numbered
+        self.flat, self.used = np.zeros(1 << 16, np.uint32), 0  # their ids, one piece after another
+        self.starts, self.lengths = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+
+    def spell(self, pieces: list[str]) -> list[np.ndarray]:
+        """Ids of each piece by itself."""
+        return [np.array(g.ids, np.uint32) for g in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+
+    def _learn(self, pieces: list[str]) -> None:
+        """Numbers pieces that follow a space and keeps their ids. Letters alone, or before one run of other marks, are one or two
+        pre-tokens, which the library's model takes directly; other pieces go through the whole tokenizer."""
+        ids: list[int] = []
+        lengths: list[int] = []
+        known: list[str] = []
+        rest: list[str] = []
+        tokenize, marks = self.tokenizer.model.tokenize, self.marks
+        for w in pieces:
+            found = _LETTERS.fullmatch(w)
+            if found is None:
+                rest.append(w)
+                continue
+            core, tail = found.groups()
+            own = [x.id for x in tokenize("Ġ" + (core if core.isascii() else core.encode().decode("latin-1").translate(_SHOWN)))]
+            if tail:
+                if tail not in marks:
+                    marks[tail] = self.tokenizer.encode(tail, add_special_tokens=False).ids
+                own = own + marks[tail]
+            ids += own
+            lengths.append(len(own))
+            known.append(w)
+        if known:
+            self._keep(known, np.array(ids, np.uint32), np.array(lengths))
+        if rest:
+            got = self.spell([" " + w for w in rest])
+            self._keep(rest, np.concatenate(got), np.array([len(g) for g in got]))
+
+    def _keep(self, pieces: list[str], ids: np.ndarray, lengths: np.ndarray) -> None:
+        n, to = len(self.words), len(self.words) + len(pieces)
+        while to > len(self.starts):
+            self.starts, self.lengths = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.lengths))
+        while self.used + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        self.words.update(zip(pieces, range(n, to), strict=True))
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.lengths[n:to] = lengths
+        self.starts[n:to] = self.used + np.cumsum(lengths) - lengths
+        self.used += len(ids)
+
+    def numbers(self, pieces: list[str]) -> np.ndarray:
+        """Numbers of distinct pieces that follow a space; new ones are learnt. A full memory is begun anew."""
         if len(self.words) > REMEMBERED:
-            self.words = {}
-        words = self.words
-        cut = [_LONE_SPACE.split(t) if _ODD_SPACE.search(t) else t.split(" ") for t in texts]
-        heads = self.spell([row[0] for row in cut])
-        for row in cut:
-            del row[0]
-        new = list(set().union(*cut).difference(words))
-        words.update(zip(new, self.spell([" " + w for w in new]), strict=True))
-        last = pack("<I", end)
-        out = [np.frombuffer(b"".join([head, *map(words.__getitem__, row), last]), "<u4") for head, row in zip(heads, cut, strict=True)]
-        for w in new:
-            if len(w) > 64:  # rare, and large to keep
-                del words[w]
-        return out
+            self.forget()
+        get, n = self.words.get, len(self.words)
+        found = np.fromiter((get(w, -1) for w in pieces), np.int64, len(pieces))
+        new = np.flatnonzero(found < 0)
+        if len(new):
+            self._learn([pieces[i] for i in new.tolist()])
+            get = self.words.__getitem__
+            found[new] = np.fromiter((get(pieces[i]) for i in new.tolist()), np.int64, len(new))
+        return found
+
+    def words_of(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of texts that are words with single spaces between: all words' ids, each spelled after a space, ids in each word, and
+        words in each text."""
+        cut = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+        many = np.diff(cut.offsets.to_numpy().astype(np.int64))
+        many[[not t for t in texts]] = 0
+        coded = cut.values.filter(pc.not_equal(cut.values, "")).dictionary_encode()
+        place = self.numbers(coded.dictionary.to_numpy(zero_copy_only=False).tolist())[coded.indices.to_numpy()]
+        size = self.lengths[place]
+        take = np.repeat(self.starts[place] - np.cumsum(size) + size, size)
+        take += np.arange(len(take))
+        return self.flat[take], size, many
+
+    def encode(self, texts: list[str], end: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after another, `end` after each, and len + 1 offsets."""
+        whole = {i: self.spell([t])[0] for i, t in enumerate(texts) if any(a in t for a in self.added)}
+        texts = ["" if i in whole else t for i, t in enumerate(texts)]
+        odd = [i for i, t in enumerate(texts) if _ODD_SPACE.search(t)]
+        if odd:
+            lists: list = pc.split_pattern(pa.array(texts, pa.large_string()), " ").to_pylist() if len(odd) < len(texts) else [None] * len(texts)
+            for i in odd:
+                lists[i] = _LONE_SPACE.split(texts[i])
+            cut = pa.array(lists, pa.large_list(pa.large_string()))
+        else:
+            cut = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+        at = cut.offsets.to_numpy().astype(np.int64)
+        heads = cut.values.take(pa.array(at[:-1])).to_pylist()
+        coded = cut.values.dictionary_encode()
+        place = self.numbers(coded.dictionary.to_numpy(zero_copy_only=False).tolist())[coded.indices.to_numpy()]
+        own = [*(whole.get(i, None) for i in range(len(texts)))]
+        spelled = iter(self.spell([h for h, w in zip(heads, own, strict=True) if w is None]))
+        first = [w if w is not None else next(spelled) for w in own]
+        # the table's pieces, then each text's first piece, then the end
+        extra = np.concatenate([*first, [end]]).astype(np.uint32)
+        sizes = np.array([*map(len, first), 1], np.int64)
+        starts = np.concatenate([self.starts[: len(self.words)], self.used + np.cumsum(sizes) - sizes])
+        lengths = np.concatenate([self.lengths[: len(self.words)], sizes])
+        flat = np.concatenate([self.flat[: self.used], extra])
+        n = len(self.words)
+        place[at[:-1]] = n + np.arange(len(texts))
+        place = np.insert(place, at[1:], n + len(texts))
+        size = lengths[place]
+        stops = np.cumsum(size)
+        take = np.repeat(starts[place] - stops + size, size)
+        take += np.arange(len(take))
+        return flat[take], np.concatenate([[0], stops[at[1:] + np.arange(len(texts))]])
 
 
 @lru_cache(maxsize=2)
@@ -82,129 +185,202 @@ common.remembers("ids", encoder.cache_clear)
 # ---------------------------------------------------------------- grammar
 
 
-def compress(ids: np.ndarray, end: int = END, rounds: int = ROUNDS, most: int = RULES_A_ROUND, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, int]:
-    """(symbols, rules, first): symbol first + i stands for the two symbols rules[i]; smaller ones are ids.
+def compress(ids: np.ndarray, end: int = END, fall: int = FALL) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(symbols, alphabet, rules, rounds). Symbol i below len(alphabet) is the id alphabet[i]; symbol len(alphabet) + i stands
+    for the two symbols rules[i]. rounds counts the rules of each round: a round's rules name symbols of earlier rounds only.
 
-    A round counts all pairs, takes the up to `most` most frequent of at least `least`, and replaces
-    their occurrences from left to right where they don't overlap. No pair begins with `end`.
+    A round counts the pairs that don't overlap themselves, takes those at least 1 / fall as frequent as the most frequent, and
+    replaces them: of overlapping occurrences that of the more frequent pair (of equals, by a hash of the pair, so
+    that copies are cut alike). Rounds go on until no pair without `end` occurs twice.
     """
-    first = int(ids.max(initial=end)) + 1
-    narrow = first + rounds * most < 1 << 16
-    half = np.uint32 if narrow else np.uint64  # holds a pair; symbols take half of it
-    shift = half(16 if narrow else 32)
-    symbols = ids.astype(np.uint16 if narrow else np.uint32)
-    rules = np.zeros((0, 2), np.int64)
-    for _ in range(rounds):
-        if len(symbols) < 2:
+    alphabet = np.flatnonzero(np.bincount(ids, minlength=end + 1))
+    place = np.zeros(int(ids.max(initial=end)) + 1, np.uint32)
+    place[alphabet] = np.arange(len(alphabet))
+    last = int(place[end]) if end in alphabet else -1
+    symbols, used = place[ids], len(alphabet)
+    rules, rounds = [np.zeros((0, 2), np.int64)], []
+    while len(symbols) > 1:
+        narrow = used <= 1 << 16
+        half = np.uint32 if narrow else np.uint64  # holds a pair; symbols take half of it
+        shift = half(16 if narrow else 32)
+        left, right = symbols[:-1], symbols[1:]
+        pairs = left.astype(half)
+        pairs <<= shift
+        pairs |= right
+        live = left != last
+        live &= right != last
+        twin = np.flatnonzero((left == right) & live)
+        if len(twin):  # of a run of one symbol, every second pair
+            run = np.concatenate([[True], np.diff(twin) > 1])
+            begin = twin[run][np.cumsum(run) - 1]
+            live[twin[(twin - begin) % 2 == 1]] = False
+        ordered = pairs[live]
+        ordered.sort()
+        if not len(ordered):
             break
-        pairs = symbols[:-1].astype(half) << shift
-        pairs |= symbols[1:]
-        ordered = np.sort(pairs)
-        starts = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
-        counts, kinds = np.diff(np.append(starts, len(ordered))), ordered[starts]
-        often = np.flatnonzero((counts >= least) & (kinds >> shift != end))
-        if not len(often):
+        starts = np.flatnonzero(ordered[1:] != ordered[:-1]) + 1
+        starts = np.concatenate([[0], starts])
+        counts = np.diff(np.append(starts, len(ordered)))
+        most = int(counts.max())
+        if most < 2:
             break
-        chosen = np.sort(kinds[often[np.argsort(-counts[often], kind="stable")[:most]]])
-        place = _place_of(chosen, pairs)
-        at = np.flatnonzero(chosen[place] == pairs)
-        # of a run of overlapping occurrences, every second one
-        run = np.concatenate([[True], np.diff(at) > 1])
-        begin = at[run][np.cumsum(run) - 1]
-        at = at[(at - begin) % 2 == 0]
-        symbols[at] = place[at].astype(np.int64) + (first + len(rules))
-        keep = np.ones(len(symbols), bool)
-        keep[at + 1] = False
-        symbols = symbols[keep]
-        rules = np.concatenate([rules, np.stack([(chosen >> shift).astype(np.int64), (chosen & (half(1) << shift) - half(1)).astype(np.int64)], axis=1)])
-    return symbols.astype(np.int64), rules, first
-
-
-def _place_of(chosen: np.ndarray, values: np.ndarray) -> np.ndarray:
-    """For each value a place in chosen, the right one if it is there: a hash table in which no two chosen meet."""
-    kind = chosen.dtype.type
-    down = kind(chosen.dtype.itemsize * 8 - 20)
-    for factor in range(0x9E3779B1, 0x9E3779B1 + 4000, 2):
-        slots = chosen * kind(factor) >> down
-        if len(np.unique(slots)) == len(chosen):
-            table = np.zeros(1 << 20, np.uint16)
-            table[slots] = np.arange(len(chosen))
-            return table[values * kind(factor) >> down]
-    return np.minimum(np.searchsorted(chosen, values), len(chosen) - 1)
-
-
-def expansions(rules: np.ndarray, first: int) -> list[np.ndarray]:
-    """The ids that each rule stands for."""
-    out: list[np.ndarray] = []
-    for pair in rules.tolist():
-        out.append(np.concatenate([out[x - first] if x >= first else np.array([x], "<u4") for x in pair]))
+        often = np.flatnonzero(counts >= max(2, most // fall))
+        counts, kinds = counts[often], ordered[starts[often]]
+        # most frequent first, equals by 12 bits of a hash, then by the pair; one sort of (count, hash, place)
+        key = counts.astype(np.uint64) << np.uint64(40) | kinds.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(52) << np.uint64(28)
+        key = np.sort(key | np.arange(len(often), dtype=np.uint64))[::-1]
+        chosen = kinds[(key & np.uint64((1 << 28) - 1)).astype(np.int64)]
+        rank = _rank_of(chosen, pairs)
+        at = np.flatnonzero((chosen[rank] == pairs) & live)
+        picked, rank = _apart(at, rank[at])
+        kept = np.bincount(rank, minlength=len(chosen)) >= 2
+        good = kept[rank]
+        picked, rank = picked[good], rank[good]
+        symbols[picked] = (np.cumsum(kept) - 1 + used)[rank]
+        stay = np.ones(len(symbols), bool)
+        stay[picked + 1] = False
+        symbols = symbols[stay]
+        own = chosen[kept]
+        rules.append(np.stack([(own >> shift).astype(np.int64), (own & (half(1) << shift) - half(1)).astype(np.int64)], axis=1))
+        rounds.append(len(own))
+        used += len(own)
+    return symbols.astype(np.int64), alphabet.astype(np.int64), np.concatenate(rules), np.array(rounds, np.int64)
+
+
+def _slots(values: np.ndarray, bits: int) -> np.ndarray:
+    kind = values.dtype.type
+    return values * kind(0x9E3779B1 if values.dtype.itemsize == 4 else 0x9E3779B97F4A7C15) >> kind(values.dtype.itemsize * 8 - bits)
+
+
+def _rank_of(chosen: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """For each value a place in chosen, the right one if it is there: a hash table, in which the earlier of two chosen that
+    meet stays; the other one waits for the next round."""
+    bits = min(22, max(16, len(chosen).bit_length() + 4))
+    table = np.zeros(1 << bits, np.int32)
+    table[_slots(chosen, bits)[::-1]] = np.arange(len(chosen) - 1, -1, -1)
+    return table[_slots(values, bits)]
+
+
+def _apart(at: np.ndarray, rank: np.ndarray, tries: int = 3) -> tuple[np.ndarray, np.ndarray]:
+    """Places without neighbours among them, and their ranks: those that no neighbour outranks, then again among what these
+    leave."""
+    places, ranks = [], []
+    for _ in range(tries):
+        if not len(at):
+            break
+        near = np.diff(at) == 1
+        first, second = near & (rank[:-1] < rank[1:]), near & (rank[1:] < rank[:-1])
+        wins = np.ones(len(at), bool)
+        wins[1:][first] = False
+        wins[:-1][second] = False
+        places.append(at[wins])
+        ranks.append(rank[wins])
+        stay = ~wins
+        stay[1:] &= ~(wins[:-1] & near)
+        stay[:-1] &= ~(wins[1:] & near)
+        at, rank = at[stay], rank[stay]
+    return (np.concatenate(places), np.concatenate(ranks)) if places else (at, rank)
+
+
+def rule_lengths(first: int, rules: np.ndarray, rounds: np.ndarray) -> np.ndarray:
+    """How many ids each rule stands for."""
+    lengths = np.ones(first + len(rules), np.int64)
+    for a, b in _spans(rounds):
+        lengths[first + a : first + b] = lengths[rules[a:b]].sum(1)
+    return lengths[first:]
+
+
+def _spans(rounds: np.ndarray) -> list[tuple[int, int]]:
+    ends = np.cumsum(rounds)
+    return list(zip((ends - rounds).tolist(), ends.tolist(), strict=True))
+
+
+def expand(symbols: np.ndarray, alphabet: np.ndarray, rules: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The ids of a run of symbols: symbols of more than one id are replaced by their two until none is left."""
+    first = len(alphabet)
+    size = np.concatenate([np.ones(first, np.int64), lengths])
+    out = np.zeros(int(size[symbols].sum()), np.uint32)
+    at = np.cumsum(size[symbols]) - size[symbols]
+    while len(symbols):
+        done = symbols < first
+        out[at[done]] = alphabet[symbols[done]]
+        symbols, at = symbols[~done], at[~done]
+        two = rules[symbols - first]
+        at = np.stack([at, at + size[two[:, 0]]], axis=1).ravel()
+        symbols = two.ravel()
     return out
 
 
-def expand(symbols: np.ndarray, rules: np.ndarray, first: int) -> np.ndarray:
-    """The ids of a run of symbols."""
-    texts = expansions(rules, first)
-    lengths = np.concatenate([np.ones(first, np.int64), [len(t) for t in texts]]).astype(np.int64)
-    flat = np.concatenate([np.arange(first, dtype="<u4"), *texts])
-    starts = np.cumsum(lengths) - lengths
-    size = lengths[symbols]
-    ends = np.cumsum(size)
-    at = np.repeat(starts[symbols] - ends + size, size)
-    at += np.arange(len(at))
-    return flat[at]
+def stretch(symbols: np.ndarray, alphabet: np.ndarray, rules: np.ndarray, lengths: np.ndarray, start: int, stop: int) -> np.ndarray:
+    """Ids start..stop of a run of symbols, from the symbols that hold them."""
+    ends = np.cumsum(np.concatenate([np.ones(len(alphabet), np.int64), lengths])[symbols])
+    start, stop = max(0, start), min(stop, int(ends[-1]) if len(ends) else 0)
+    if start >= stop:
+        return np.zeros(0, np.uint32)
+    a, b = np.searchsorted(ends, start, "right"), np.searchsorted(ends, stop, "left") + 1
+    skipped = int(ends[a - 1]) if a else 0
+    return expand(symbols[a:b], alphabet, rules, lengths)[start - skipped : stop - skipped]
 
 
 def _narrow(values: np.ndarray) -> bytes:
-    """Unsigned little-endian, two bytes each if that holds all of them (a leading byte says which)."""
-    wide = values.max(initial=0) > 0xFFFF
-    return (b"\x04" if wide else b"\x02") + values.astype("<u4" if wide else "<u2").tobytes()
+    """Unsigned integers as planes of bytes, lowest first, as many as the largest needs (a leading byte says how many)."""
+    width = max(1, (int(values.max(initial=0)).bit_length() + 7) // 8)
+    return bytes([width]) + values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
 
 
 def _wide(stored: bytes) -> np.ndarray:
-    return np.frombuffer(stored, "<u4" if stored[0] == 4 else "<u2", offset=1).astype(np.int64)
+    width = stored[0]
+    planes = np.frombuffer(stored, np.uint8, offset=1).reshape(width, -1)
+    out = np.zeros((planes.shape[1], 8), np.uint8)
+    out[:, :width] = planes.T
+    return out.view("<u8").ravel().astype(np.int64)
 
 
 # ---------------------------------------------------------------- tables
 
-_SHARD = "part long, shard long, n_ids long, doc_ids array<long>, doc_ids_n array<long>, doc_symbols array<long>, first long, rules binary, rule_lengths binary, symbols binary"
+_PACKED = ("alphabet", "rules", "rule_lengths", "symbols")
+_SHARD = "part long, shard long, n_ids long, low long, high long, doc_ids array<long>, doc_ids_n array<long>, doc_symbols array<long>, " + ", ".join(f"{c} binary" for c in _PACKED)
+_FIELDS = [c.split()[0] for c in _SHARD.split(", ")]
+_KINDS = [pa.int64()] * 5 + [pa.list_(pa.int64())] * 3 + [pa.binary()] * 4
 
 
 def write(docs: DataFrame, path: str, tokenizer: str | None = None, end: int = END, shard_ids: int = SHARD_IDS) -> None:
     """Encodes docs(doc_id, text), appends `end` to each document and writes shards to the folder `path`.
 
     Documents are in ascending order of (doc_id, hash of text), null ids first; a null text is an empty one and
-    gives just the end id. Repeated rows are kept. A document is never split over shards.
+    gives just the end id. Repeated rows are kept, ties in (doc_id, text) are rows alike. A document is never split over shards,
+    so a very long one is a shard of its own. Other columns are not read; an empty table gives an empty folder of shards.
     """
     tokenizer = tokenizer or public_tokenizers.path(TOKENIZER)
-    common.small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common.work_for("ids")
         part, shard, own = TaskContext.get().partitionId(), 0, encoder(tokenizer)
         names: list = []
         parts: list[np.ndarray] = []
+        sizes: list[int] = []
 
         def out() -> pa.RecordBatch:
-            nonlocal shard, names, parts
-            sizes = np.array([len(p) for p in parts], np.int64)
-            symbols, rules, first = compress(np.concatenate(parts), end)
-            lengths = np.array([len(t) for t in expansions(rules, first)], np.int64)
-            ends = np.concatenate([[0], np.cumsum(np.concatenate([np.ones(first, np.int64), lengths])[symbols])])
-            of_doc = np.diff(np.searchsorted(ends, np.concatenate([[0], np.cumsum(sizes)])))
-            row = [part, shard, int(sizes.sum()), names, sizes.tolist(), of_doc.tolist(), first, _narrow(rules.ravel()), _narrow(lengths), _narrow(symbols)]
-            fields = ["part", "shard", "n_ids", "doc_ids", "doc_ids_n", "doc_symbols", "first", "rules", "rule_lengths", "symbols"]
-            kinds = [pa.int64()] * 3 + [pa.list_(pa.int64())] * 3 + [pa.int64()] + [pa.binary()] * 3
-            shard, names, parts = shard + 1, [], []
-            return pa.record_batch([pa.array([x], k) for x, k in zip(row, kinds, strict=True)], fields)
+            nonlocal shard, names, parts, sizes
+            ids = np.concatenate(parts)
+            symbols, alphabet, rules, rounds = compress(ids, end)
+            lengths = rule_lengths(len(alphabet), rules, rounds)
+            ends = np.concatenate([[0], np.cumsum(np.concatenate([np.ones(len(alphabet), np.int64), lengths])[symbols])])
+            of_doc = np.diff(np.searchsorted(ends, np.cumsum([0, *sizes])))
+            known = [n for n in names if n is not None]
+            row = [part, shard, len(ids), min(known, default=None), max(known, default=None), names, sizes, of_doc.tolist(), *map(_narrow, (alphabet, rules.ravel(), lengths, symbols))]
+            shard, names, parts, sizes = shard + 1, [], [], []
+            return pa.record_batch([pa.array([x], k) for x, k in zip(row, _KINDS, strict=True)], _FIELDS)
 
         held = 0
         for batch in batches:
-            ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
-            for a in range(0, len(ids), 64):
-                for i, found in zip(ids[a : a + 64], own.encode([t or "" for t in texts[a : a + 64]], end), strict=True):
-                    names.append(i)
-                    parts.append(found)
-                    held += len(found)
+            for some in common.slices(batch, "text", 1 << 22):
+                ids, at = own.encode([t or "" for t in some.column("text").to_pylist()], end)
+                for name, a, b in zip(some.column("doc_id").to_pylist(), at.tolist(), at[1:].tolist(), strict=False):
+                    names.append(name)
+                    parts.append(ids[a:b])
+                    sizes.append(b - a)
+                    held += b - a
                     if held >= shard_ids:
                         yield out()
                         held = 0
@@ -213,13 +389,26 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None, end: int = E
 
     order = ["doc_id", "tie"]
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("tie", F.xxhash64("text"))
-    rows.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text").mapInArrow(run, _SHARD).write.parquet(path)
+    ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
+    ordered.mapInArrow(run, _SHARD).write.option("compression", "zstd").parquet(path)
+
+
+def _grammar(r: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """symbols, alphabet, rules, lengths of a shard."""
+    alphabet, rules, lengths, symbols = (_wide(r[c]) for c in _PACKED)
+    return symbols, alphabet, rules.reshape(-1, 2), lengths
+
+
+def _single(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """A batch's rows one at a time: a row is a shard."""
+    for batch in batches:
+        for i in range(len(batch)):
+            yield from batch.slice(i, 1).to_pylist()
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start, ids of every document of a folder that write() made: start is the number of ids of all
     documents before it, ids its ids as little-endian unsigned 32-bit integers in a binary."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")  # a row is a shard
     shards = spark.read.schema(_SHARD).parquet(path)
     before = lambda w, c: F.coalesce(F.sum(c).over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     heads = shards.select("part", "shard", "n_ids")
@@ -229,32 +418,39 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     placed = shards.join(places.select("part", "shard", (F.col("part_start") + F.col("in_part")).alias("start")), ["part", "shard"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r in batch.to_pylist():
-                ids = expand(_wide(r["symbols"]), _wide(r["rules"]).reshape(-1, 2), r["first"])
-                ends = np.concatenate([[0], np.cumsum(r["doc_ids_n"])]).astype(np.int64)
-                data = pa.Array.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer(ends * 4), pa.py_buffer(ids)])
-                yield pa.record_batch([pa.array(r["doc_ids"], pa.int64()), pa.array(r["start"] + ends[:-1]), data.cast(pa.binary())], ["doc_id", "start", "ids"])
+        for r in _single(batches):
+            ids = expand(*_grammar(r))
+            ends = np.concatenate([[0], np.cumsum(r["doc_ids_n"])]).astype(np.int64)
+            data = pa.Array.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer(ends * 4), pa.py_buffer(ids.astype("<u4"))])
+            yield pa.record_batch([pa.array(r["doc_ids"], pa.int64()), pa.array(r["start"] + ends[:-1]), data.cast(pa.binary())], ["doc_id", "start", "ids"])
 
-    return placed.select("doc_ids", "doc_ids_n", "first", "rules", "symbols", "start").mapInArrow(run, "doc_id long, start long, ids binary")
+    return placed.select("doc_ids", "doc_ids_n", *_PACKED, "start").mapInArrow(run, "doc_id long, start long, ids binary")
 
 
-def lookup(spark: SparkSession, path: str, doc_ids: list[int]) -> DataFrame:
-    """doc_id, ids of the asked documents: only their shards are read and only their symbols expanded."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")
-    asked = set(doc_ids)
-    hit = spark.read.schema(_SHARD).parquet(path).where(F.arrays_overlap("doc_ids", F.array(*map(F.lit, doc_ids)).cast("array<long>")))
+def lookup(spark: SparkSession, path: str, doc_ids: list[int], start: int = 0, stop: int | None = None) -> DataFrame:
+    """doc_id, ids start..stop of the asked documents (all of them by default), as read() has them.
+
+    Only shards whose range of doc_ids an asked one lies in are read, and only the symbols that hold the asked ids are
+    expanded. A doc_id that is not there gives no row, one that several rows have a row each, one that is asked twice counts
+    once, a null or an empty list nothing; a stretch beyond a document's end is cut there.
+    """
+    asked = sorted({int(i) for i in doc_ids if i is not None})
+    shards = spark.read.schema(_SHARD).parquet(path)
+    hit = shards.where(F.lit(False))
+    if asked:
+        near = shards.where((F.col("low") <= asked[-1]) & (F.col("high") >= asked[0]))  # reaches the Parquet statistics
+        hit = near.where(F.arrays_overlap("doc_ids", F.array(*map(F.lit, asked)).cast("array<long>")))
+    wanted = set(asked)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r in batch.to_pylist():
-                symbols, rules = _wide(r["symbols"]), _wide(r["rules"]).reshape(-1, 2)
-                ends = np.concatenate([[0], np.cumsum(r["doc_symbols"])])
-                own = [(i, a, b) for i, a, b in zip(r["doc_ids"], ends, ends[1:], strict=False) if i in asked]
-                got = [expand(symbols[a:b], rules, r["first"]).tobytes() for _, a, b in own]
-                yield pa.record_batch([pa.array([i for i, *_ in own], pa.int64()), pa.array(got, pa.binary())], ["doc_id", "ids"])
-
-    return hit.select("doc_ids", "doc_symbols", "first", "rules", "symbols").mapInArrow(run, "doc_id long, ids binary")
+        for r in _single(batches):
+            symbols, *rest = _grammar(r)
+            ends = np.concatenate([[0], np.cumsum(r["doc_symbols"])])
+            own = [(i, a, b, n) for i, a, b, n in zip(r["doc_ids"], ends, ends[1:], r["doc_ids_n"], strict=False) if i in wanted]
+            got = [stretch(symbols[a:b], *rest, start, n if stop is None else stop).astype("<u4").tobytes() for _, a, b, n in own]
+            yield pa.record_batch([pa.array([i for i, *_ in own], pa.int64()), pa.array(got, pa.binary())], ["doc_id", "ids"])
+
+    return hit.select("doc_ids", "doc_ids_n", "doc_symbols", *_PACKED).mapInArrow(run, "doc_id long, ids binary")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -130,13 +130,46 @@ def test_token_grammar_round_trip(spark, tmp_path):
     assert sorted((r["doc_id"], len(r["ids"]) // 4) for r in seven)[0] == (3, 1) and len(seven) == 3
 
 
-@given(st.lists(st.sampled_from([2, 5, 6, 7, 70000]), min_size=1, max_size=400))
-@settings(max_examples=80, deadline=None)
-def test_grammar_expands_to_what_it_was(ids):
+@given(st.lists(st.sampled_from([2, 5, 6, 7, 70000]), min_size=1, max_size=400), st.sampled_from([2, 256]))
+@settings(max_examples=120, deadline=None)
+def test_grammar_expands_to_what_it_was_and_no_pair_is_left_twice(ids, fall):
     ids = np.array(ids, "<u4")
-    symbols, rules, first = token_grammar.compress(ids, least=2, rounds=5)
-    assert (token_grammar.expand(symbols, rules, first) == ids).all()
-    assert not (rules[:, 0] == 2).any()
+    symbols, alphabet, rules, rounds = token_grammar.compress(ids, fall=fall)
+    lengths = token_grammar.rule_lengths(len(alphabet), rules, rounds)
+    assert (token_grammar.expand(symbols, alphabet, rules, lengths) == ids).all()
+    at = len(ids) // 3
+    assert (token_grammar.stretch(symbols, alphabet, rules, lengths, at, at + 9) == ids[at : at + 9]).all()
+    ends = np.searchsorted(alphabet, 2) if 2 in alphabet else -1
+    assert not (rules == ends).any() and (rules[:, 0] < len(alphabet) + np.arange(len(rules))).all()
+    left, seen = Counter(), -1  # pairs that don't overlap themselves
+    for i, pair in enumerate(zip(symbols, symbols[1:], strict=False)):
+        if ends in pair or (pair[0] == pair[1] and seen == i - 1):
+            seen = -1
+            continue
+        left[pair] += 1
+        seen = i if pair[0] == pair[1] else -1
+    assert max(left.values(), default=0) < 2
+
+
+def test_tokens_of_a_whole_table_are_the_librarys(spark, tmp_path):
+    """Every document of a table, and texts with added tokens, odd white space and very long words."""
+    odd = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>  y \n", "tab\t and  two", " lead", "trail ", "y" * 30000, "don't stop'n it's", "naïve—dash “q” a…b 1st 2,5", "a\u00a0b\u3000c \u0085d", "Ünïcode ñandú, ß!", "\x1c \x1d", "e\u0301 combined", "中文 字 。"]
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SF.replace('0.001', '0.01')}/documents.parquet").collect()] + [(10**9 + i, t) for i, t in enumerate(odd)]
+    path, own = str(tmp_path / "grammar"), tokenizers.Tokenizer.from_file(public_tokenizers.path(token_grammar.TOKENIZER))
+    token_grammar.write(spark.createDataFrame(rows, DOC).withColumn("part", F.lit("clash")).repartition(3), path, shard_ids=100_000)
+    texts, start = dict(rows), 0
+    for r in token_grammar.read(spark, path).orderBy("doc_id").collect():
+        want = [*own.encode(texts[r["doc_id"]] or "", add_special_tokens=False).ids, token_grammar.END]
+        assert np.frombuffer(r["ids"], "<u4").tolist() == want and r["start"] == start
+        start += len(want)
+    part = token_grammar.lookup(spark, path, [10**9 + 6, None, 10**9 + 6, -5], 3, 12).collect()
+    assert [np.frombuffer(r["ids"], "<u4").tolist() for r in part] == [own.encode(odd[6], add_special_tokens=False).ids[3:12]]
+    assert token_grammar.lookup(spark, path, []).count() == 0
+
+
+def test_token_grammar_of_an_empty_table(spark, tmp_path):
+    token_grammar.write(spark.createDataFrame([], DOC), str(tmp_path / "none"))
+    assert token_grammar.read(spark, str(tmp_path / "none")).count() == 0
 
 
 # ---------------------------------------------------------------- 3 sharding
