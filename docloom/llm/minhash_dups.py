@@ -8,9 +8,12 @@ picks the number of chunks so that a pair of just the asked similarity is missed
 of at most MISS; pairs above it are missed far more rarely.
 
 Keys of up to HOT texts are paired row by row. Texts of larger keys (a page's thousands of variants, say)
-are gathered into clusters that share such keys and travel in packs ordered by size; two packs are
-compared by one product of their incidence matrices, so a group makes rows for its packs, not its pairs.
-Both ways end in the same exact test on full sets.
+are gathered into clusters that share such keys and travel in packs of like size; two packs are
+compared by one product of their incidence matrices. Every pack of a cluster first meets the cluster's PIVOTS, the
+text of each pack that shares most keys with others;
+texts that a pivot joins need no comparison with one another, so packs are made anew, by what was joined,
+and meet only where their texts are still apart. A large group of variants so costs its packs, not its pairs
+of packs. Both ways end in the same exact test on full sets.
 """
 
 from __future__ import annotations
@@ -20,7 +23,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
@@ -32,6 +35,8 @@ SHINGLE = 5
 MISS = 2e-5
 #: Texts of a key that are paired row by row; texts, and shingles, of a pack.
 HOT, PACK_TEXTS, PACK_SHINGLES = 32, 256, 1 << 18
+#: Texts of a cluster that all its others are compared with first; texts that make up packs of their own once they are joined.
+PIVOTS, JOINED = 48, 64
 #: Binary logarithm of the bits in the map of documents to compare.
 BITMAP = 22
 
@@ -160,29 +165,20 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(F.lit(100) * F.col("i") >= F.lit(percent) * (F.size("x") + F.size("y") - F.col("i"))).select("a", "b")
 
 
-def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Packs of a cluster's neighbours in size order, from rows sorted by cluster and size."""
-    cluster, docs, sets, held = None, [], [], 0
-
-    def out() -> pa.RecordBatch:
-        sizes = [len(x) for x in sets]
-        row = [[cluster], [min(sizes)], [max(sizes)], [docs], [sizes], [np.concatenate(sets).tobytes()]]
-        kinds = [pa.int64()] * 3 + [pa.list_(pa.int64())] * 2 + [pa.binary()]
-        return pa.record_batch([pa.array(v, k) for v, k in zip(row, kinds, strict=True)], ["cluster", "low", "high", "docs", "sizes", "sets"])
-
-    for batch in batches:
-        offs, values = batch.column("shingles").offsets.to_numpy(), batch.column("shingles").values.to_numpy()
-        for k, (at, doc) in enumerate(zip(batch.column("cluster").to_pylist(), batch.column("doc").to_pylist(), strict=True)):
-            own = values[offs[k] : offs[k + 1]].copy()
-            if docs and (at != cluster or len(docs) == PACK_TEXTS or held + len(own) > PACK_SHINGLES):
-                yield out()
-                docs, sets, held = [], [], 0
-            cluster = at
-            docs.append(doc)
-            sets.append(own)
-            held += len(own)
-    if docs:
-        yield out()
+def _packs(texts: DataFrame, percent: int) -> DataFrame:
+    """Packs of texts(cluster, joined, doc, n, weight, shingles): texts of a cluster, and of what they are joined to, in one class
+    of size, dealt by a hash of the doc into packs of about PACK_TEXTS texts and PACK_SHINGLES shingles, whatever the number of
+    partitions. Texts more than one class apart in size can't be linked."""
+    size = F.floor(F.log("n") / F.lit(math.log(100 / percent))).cast("int")
+    texts = texts.withColumns({"at": F.coalesce("joined", F.lit(-(1 << 63))), "class": size})
+    many = texts.groupBy("cluster", "at", "class").agg(F.count(F.lit(1)).alias("texts"), F.sum("n").alias("total"))
+    parts = many.select("cluster", "at", "class", F.greatest(F.ceil(F.col("texts") / PACK_TEXTS), F.ceil(F.col("total") / PACK_SHINGLES)).alias("parts"))
+    placed = texts.join(parts, ["cluster", "at", "class"]).withColumn("part", F.pmod(F.xxhash64("doc"), F.col("parts")))
+    packs = placed.groupBy("cluster", "at", "class", "part").agg(
+        F.first("joined").alias("joined"), F.min("n").alias("low"), F.max("n").alias("high"),
+        F.max_by(F.struct("weight", "doc", "shingles"), F.struct("weight", "doc")).alias("pivot"), F.collect_list(F.struct("doc", "shingles")).alias("texts"),
+    )
+    return common.written(packs.withColumn("id", F.xxhash64("cluster", "at", "class", "part")), "packs")
 
 
 def _common(a: np.ndarray, a_sizes: np.ndarray, b: np.ndarray, b_sizes: np.ndarray, width: int = 8192) -> np.ndarray:
@@ -208,26 +204,54 @@ def _common(a: np.ndarray, a_sizes: np.ndarray, b: np.ndarray, b_sizes: np.ndarr
     return out
 
 
-def _pack_links(packs: DataFrame, percent: int) -> DataFrame:
-    """a, b: edges that connect, inside each pair of packs, what is linked there."""
-    side = lambda x: packs.select("cluster", *(F.col(c).alias(f"{x}_{c}") for c in ("id", "low", "high", "docs", "sizes", "sets")))
-    heads = packs.select("cluster", "id", "low", "high")
-    one, two = (heads.select("cluster", *(F.col(c).alias(f"{x}_{c}") for c in ("id", "low", "high"))) for x in "ab")
-    meet = one.join(two, "cluster").where((F.col("a_id") <= F.col("b_id")) & (F.lit(100) * F.col("a_high") >= F.lit(percent) * F.col("b_low")) & (F.lit(100) * F.col("b_high") >= F.lit(percent) * F.col("a_low")))
-    met = meet.select("a_id", "b_id").join(side("a").drop("cluster"), "a_id").join(side("b").drop("cluster"), "b_id")
+def _texts_of(column: pa.ListArray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Docs, set sizes and shingles, one set after another, of a pack."""
+    offs = column.offsets
+    docs, sets = column.values.slice(offs[k].as_py(), offs[k + 1].as_py() - offs[k].as_py()).flatten()
+    return docs.to_numpy(), np.diff(sets.offsets.to_numpy()), sets.flatten().to_numpy()
+
+
+def _met(met: DataFrame, percent: int) -> DataFrame:
+    """a, b: edges that connect, inside each met pair of packs (a, b: arrays of doc and shingles), what is linked there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for r in batch.to_pylist():
-                n, m = np.array(r["a_sizes"]), np.array(r["b_sizes"])
-                both = _common(np.frombuffer(r["a_sets"], np.int64), n, np.frombuffer(r["b_sets"], np.int64), m).astype(np.int64)
+            for k in range(len(batch)):
+                (a, n, x), (b, m, y) = (_texts_of(batch.column(c), k) for c in ("a", "b"))
+                both = _common(x, n, y, m).astype(np.int64)
                 i, j = np.nonzero(100 * both >= percent * (n[:, None] + m[None] - both))
-                ids = np.array(r["a_docs"] + r["b_docs"])
+                ids = np.concatenate([a, b])
                 root = roots(i, j + len(n), ids)
                 far = np.flatnonzero(root != ids)
                 yield pa.record_batch([pa.array(ids[far]), pa.array(root[far])], ["a", "b"])
 
-    return met.select("a_docs", "a_sizes", "a_sets", "b_docs", "b_sizes", "b_sets").mapInArrow(run, "a long, b long")
+    return met.select("a", "b").mapInArrow(run, "a long, b long")
+
+
+def _near(one: str, two: str, percent: int) -> Column:
+    """Whether sizes of two packs allow a link."""
+    return (F.lit(100) * F.col(f"{one}_high") >= F.lit(percent) * F.col(f"{two}_low")) & (F.lit(100) * F.col(f"{two}_high") >= F.lit(percent) * F.col(f"{one}_low"))
+
+
+def _cluster_links(texts: DataFrame, percent: int) -> DataFrame:
+    """a, b: edges that connect what is linked inside clusters, of texts(cluster, doc, n, weight, shingles)."""
+    heads = lambda packs, x: packs.select("cluster", *(F.col(c).alias(f"{x}_{c}") for c in ("id", "joined", "class", "low", "high")))
+    side = lambda packs, x: packs.select(F.col("id").alias(f"{x}_id"), F.col("texts").alias(x))
+    texts = common.written(texts, "cluster-texts")
+
+    packs = _packs(texts.withColumn("joined", F.lit(None).cast("long")), percent)
+    best = packs.groupBy("cluster").agg(F.slice(F.sort_array(F.collect_list("pivot"), asc=False), 1, PIVOTS).alias("b"))  # one text a pack
+    best = best.select("cluster", F.transform("b", lambda x: F.struct(x["doc"].alias("doc"), x["shingles"].alias("shingles"))).alias("b"))
+    first = common.written(_met(packs.select("cluster", F.col("texts").alias("a")).join(best, "cluster"), percent), "pivot-links")
+
+    joined = components(first).select(F.col("node").alias("doc"), F.col("component").alias("joined"))
+    large = joined.groupBy("joined").agg(F.count(F.lit(1)).alias("many")).where(F.col("many") >= JOINED).select("joined")
+    apart = _packs(texts.join(joined.join(large, "joined"), "doc", "left"), percent)
+    one, two = heads(apart, "a"), heads(apart, "b")
+    still = F.col("a_joined").isNull() | F.col("b_joined").isNull() | (F.col("a_joined") != F.col("b_joined"))
+    meet = one.join(two, "cluster").where((F.col("a_id") <= F.col("b_id")) & still & (F.abs(F.col("a_class") - F.col("b_class")) <= 1) & _near("a", "b", percent)).select("a_id", "b_id")
+    rest = _met(meet.join(side(apart, "a"), "a_id").join(side(apart, "b"), "b_id"), percent)
+    return first.unionByName(common.written(rest, "pack-links"))
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
@@ -262,18 +286,15 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     other = few.select("key", F.col("doc").alias("b"), F.col("n").alias("b_n"))
     fits = (F.lit(100) * F.least("n", "b_n") >= F.lit(percent) * F.greatest("n", "b_n")) & (F.col("doc") < F.col("b"))
     pairs = common.written(few.join(other, "key").where(fits).select(F.col("doc").alias("a"), "b").distinct(), "pairs")
-    lowest = many.groupBy("doc").agg(F.min("first").alias("low"))  # a text ties its keys' first texts to one of them
-    ties = many.join(lowest, "doc").select(F.col("first").alias("a"), F.col("low").alias("b")).union(lowest.select("doc", "low")).distinct()
-    clusters = components(ties).select(F.col("node").alias("doc"), F.col("component").alias("cluster"))
+    lowest = many.groupBy("doc").agg(F.min("first").alias("low"), F.sum("sets").alias("weight"))  # a text ties its keys' first texts to one of them
+    ties = many.join(lowest, "doc").select(F.col("first").alias("a"), F.col("low").alias("b")).union(lowest.select("doc", "low"))
+    clusters = components(ties).select(F.col("node").alias("doc"), F.col("component").alias("cluster")).join(lowest.select("doc", "weight"), "doc")
+    clusters = common.written(clusters, "clusters")
 
     wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).union(clusters.select("doc")).distinct()
     sets = _sets_of(docs, common.written(wanted, "wanted"))
     links = _confirmed(pairs, sets, percent)
-    order = ["cluster", "n", "doc"]
-    packs = sets.join(clusters, "doc").withColumn("n", F.size("shingles")).repartitionByRange(*order).sortWithinPartitions(*order)
-    packs = packs.select("cluster", "doc", "shingles").mapInArrow(_packed, "cluster long, low long, high long, docs array<long>, sizes array<long>, sets binary")
-    packs = common.written(packs.withColumn("id", F.xxhash64("cluster", "docs", "sizes")), "packs")
-    in_packs = common.written(_pack_links(packs, percent), "pack-links")
+    in_packs = _cluster_links(sets.join(clusters, "doc").withColumn("n", F.size("shingles")), percent)
 
     whole = components(same.unionByName(links).unionByName(in_packs)).withColumnRenamed("node", "doc_id")
     return (
