@@ -1,7 +1,8 @@
 """Toxicity: a bidirectional gated recurrent network with attention pooling, in numpy.
 
-A word's input is its own embedding (for words that the fitting documents share) beside the mean embedding
-of its hashed character pairs. Windows of T words that overlap by T - STRIDE are run forwards and
+A word's input is how far its share of toxic fitting documents lies from that of the others (in standard errors), its own
+embedding (both for words that several fitting documents share), and the mean embedding of its hashed character pairs.
+While fitting, most words at random show only the first of these, so that few documents are not learnt by heart. Windows of T words that overlap by T - STRIDE are run forwards and
 backwards; attention weighs the states of a window; a text scores as its worst window does. Fitting is
 multiple-instance: of each labelled text the window that now scores highest learns the label.
 """
@@ -24,6 +25,9 @@ H, WORD_DIM, CHAR_DIM, CHAR_BITS, ATTEND = 8, 10, 6, 12, 8
 #: Bounds of the fitting sample and of the words that have an embedding of their own.
 FIT_DOCS_PER_CLASS, VOCABULARY = 3000, 30_000
 STEPS, BATCH = 500, 32
+#: Fitting documents that a word must be in to be known; standard errors of its standing that count as chance; share of words
+#: that show nothing but their standing in a step.
+SHARED, CHANCE, MOST, DROPPED = 3, 2.0, 2.0, 0.7
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -44,6 +48,7 @@ class Words:
         place = np.minimum(np.searchsorted(vocabulary, distinct), max(len(vocabulary) - 1, 0))
         known = vocabulary[place] == distinct if len(vocabulary) else np.zeros(len(distinct), bool)
         self.known = np.where(known, place + 1, 0)  # 0: no embedding of its own
+        self.shown = np.full((len(distinct), 1), 1 - DROPPED, np.float32)  # of each word, how much of its embeddings shows
         a, b = starts[first], ends[first]
         lengths = b - a
         self.char_at = np.cumsum(lengths) - lengths
@@ -68,8 +73,8 @@ class Words:
 def start(words: int, seed: int = 5) -> dict[str, np.ndarray]:
     r = np.random.default_rng(seed)
     draw = lambda *shape: (r.standard_normal(shape) / np.sqrt(shape[0])).astype(np.float32)
-    d = WORD_DIM + CHAR_DIM
-    p = {"E": 0.3 * r.standard_normal((words + 1, WORD_DIM)).astype(np.float32), "C": 0.3 * r.standard_normal((1 << CHAR_BITS, CHAR_DIM)).astype(np.float32)}
+    d = 1 + WORD_DIM + CHAR_DIM
+    p = {"Z": np.zeros(words + 1, np.float32), "E": 0.05 * r.standard_normal((words + 1, WORD_DIM)).astype(np.float32), "C": 0.3 * r.standard_normal((1 << CHAR_BITS, CHAR_DIM)).astype(np.float32)}
     p["E"][0] = 0
     for side in "fb":
         p |= {f"W{side}": draw(d, 3 * H), f"U{side}": draw(H, 3 * H), f"B{side}": np.zeros(3 * H, np.float32)}
@@ -78,9 +83,9 @@ def start(words: int, seed: int = 5) -> dict[str, np.ndarray]:
 
 def _inputs(p: dict, w: Words) -> np.ndarray:
     if not len(w.distinct):
-        return np.zeros((1, WORD_DIM + CHAR_DIM), np.float32)
+        return np.zeros((1, 1 + WORD_DIM + CHAR_DIM), np.float32)
     chars = np.add.reduceat(p["C"][w.chars], w.char_at, axis=0) / w.lengths[:, None].astype(np.float32)
-    return np.concatenate([p["E"][w.known], chars], axis=1)
+    return np.concatenate([p["Z"][w.known][:, None], np.concatenate([p["E"][w.known], chars], axis=1) * w.shown], axis=1)
 
 
 def _run(p: dict, side: str, projected: np.ndarray, windows: np.ndarray, mask: np.ndarray, keep: list | None) -> np.ndarray:
@@ -150,20 +155,33 @@ def backward(p: dict, w: Words, windows: np.ndarray, mask: np.ndarray, keep: dic
     return g
 
 
+def _standing(ones: np.ndarray, zeros: np.ndarray, all_ones: float, all_zeros: float) -> np.ndarray:
+    """Log odds ratio of a word's shares of the two classes' documents, in its standard errors beyond CHANCE and up to
+    MOST more, half a document added to each."""
+    odds = np.log((ones + 0.5) / (all_ones - ones + 0.5)) - np.log((zeros + 0.5) / (all_zeros - zeros + 0.5))
+    z = odds / np.sqrt(1 / (ones + 0.5) + 1 / (all_ones - ones + 0.5) + 1 / (zeros + 0.5) + 1 / (all_zeros - zeros + 0.5))
+    return np.sign(z) * np.clip(np.abs(z) - CHANCE, 0, MOST)
+
+
 def fit_texts(texts: list[bytes], labels: np.ndarray, steps: int = STEPS, seed: int = 3) -> tuple[dict, np.ndarray]:
     """Parameters and vocabulary from labelled texts. Both classes are drawn equally often."""
     r = np.random.default_rng(seed)
-    seen = []
+    seen, toxic = [], []
     for a in range(0, len(texts), 200):
         part = texts[a : a + 200]
         w = Words(np.frombuffer(b"".join(part), np.uint8), np.cumsum([0, *map(len, part)]), None)
         row = np.repeat(np.arange(len(part)), np.diff(w.at)).astype(U64)
         pairs = np.unique(mix(w.hashes + row * U64(0x9E3779B97F4A7C15)), return_index=True)[1]
         seen.append(w.hashes[pairs])
-    words, df = np.unique(np.concatenate(seen), return_counts=True)
-    top = np.argsort(-df, kind="stable")[:VOCABULARY]
-    vocabulary = np.sort(words[top[df[top] > 1]])
+        toxic.append(labels[a + row[pairs].astype(np.int64)])
+    words, at, df = np.unique(np.concatenate(seen), return_inverse=True, return_counts=True)
+    hits = np.bincount(at, weights=np.concatenate(toxic), minlength=len(words))
+    standing = _standing(hits, df - hits, labels.sum(), len(labels) - labels.sum())
+    top = np.flatnonzero(df >= SHARED)
+    top = np.sort(top[np.lexsort((-df[top], -np.abs(standing[top])))[:VOCABULARY]])  # the most telling, then the most frequent
+    vocabulary = words[top]
     p = start(len(vocabulary))
+    p["Z"][1:] = standing[top]
     m, v = {k: np.zeros_like(x) for k, x in p.items()}, {k: np.zeros_like(x) for k, x in p.items()}
     classes = [np.flatnonzero(labels == c) for c in (0, 1)]
     if not all(map(len, classes)):
@@ -174,6 +192,7 @@ def fit_texts(texts: list[bytes], labels: np.ndarray, steps: int = STEPS, seed:
         own = np.concatenate([r.choice(c, BATCH // 2) for c in classes])
         part = [texts[i] for i in own]
         w = Words(np.frombuffer(b"".join(part), np.uint8), np.cumsum([0, *map(len, part)]), vocabulary)
+        w.shown = (r.random((len(w.distinct), 1)) >= DROPPED).astype(np.float32)
         inputs = _inputs(p, w)
         logits = forward(p, w, w.windows, w.mask, inputs)
         best = np.array([a + np.argmax(logits[a:b]) for a, b in zip(w.window_at, w.window_at[1:], strict=False)])
@@ -182,10 +201,11 @@ def fit_texts(texts: list[bytes], labels: np.ndarray, steps: int = STEPS, seed:
         g = backward(p, w, windows, mask, keep, ((_sigmoid(out) - labels[own]) / len(own)).astype(np.float32))
         x = g.pop("X")
         if len(w.distinct):
+            x[:, 1:] *= w.shown
             g["E"] = np.zeros_like(p["E"])
-            np.add.at(g["E"], w.known, x[:, :WORD_DIM])
+            np.add.at(g["E"], w.known, x[:, 1 : 1 + WORD_DIM])
             g["E"][0] = 0
-            share = (x[:, WORD_DIM:] / w.lengths[:, None]).repeat(w.lengths, axis=0)
+            share = (x[:, 1 + WORD_DIM :] / w.lengths[:, None]).repeat(w.lengths, axis=0)
             g["C"] = np.stack([np.bincount(w.chars, weights=share[:, k], minlength=1 << CHAR_BITS) for k in range(CHAR_DIM)], axis=1).astype(np.float32)
         rate = 0.02 * (1 - 0.8 * step / steps)
         for k, d in g.items():
@@ -204,7 +224,7 @@ def score_texts(p: dict, vocabulary: np.ndarray, data: np.ndarray, offs: np.ndar
 
 # ---------------------------------------------------------------- on tables
 
-_NAMES = ["E", "C", "Wf", "Uf", "Bf", "Wb", "Ub", "Bb", "A", "v", "w", "b"]
+_NAMES = ["Z", "E", "C", "Wf", "Uf", "Bf", "Wb", "Ub", "Bb", "A", "v", "w", "b"]
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = FIT_DOCS_PER_CLASS) -> tuple[dict, np.ndarray]:
