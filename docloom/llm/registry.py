@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import benchmark_leaks, bpe_codec, embedding_dups, lm_score, minhash_dups, preference, quality, sharding, token_grammar, toxicity
+from . import benchmark_leaks, bpe_codec, embedding_dups, forced_bpe, lm_score, minhash_dups, preference, quality, sharding, term_pipeline, token_grammar, toxicity, word_runs
 
 QUERIES = {
     "op1_benchmark_leaks": benchmark_leaks.query,
@@ -18,6 +18,9 @@ QUERIES = {
     "op8_preference_all_answered": preference.query_all,
     "op9_toxicity": toxicity.query,
     "op10_lm_score": lm_score.query,
+    "op11_forced_bpe": forced_bpe.query,
+    "op12_lexical_search": term_pipeline.query,
+    "op13_periodic_runs": word_runs.query,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -26,4 +29,5 @@ ORACLE_SQL = {
     "op6_minhash_dups": minhash_dups.ORACLE_SQL,
     "op7_embedding_dups": embedding_dups.ORACLE_SQL,
     "op8_preference_format": preference.ORACLE_SQL,
+    "op12_lexical_search": term_pipeline.ORACLE_SQL,
 }
