@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import blank_to_null
+from .dictionary import replace_terms
 
 UNKNOWN = "未知文件"
 #: Words that ask for a comparison.
@@ -76,14 +77,13 @@ def build_prompt(questions: DataFrame, contexts: DataFrame, history: DataFrame,
     )
 
 
-def detect_comparison(questions: DataFrame, companies: list[str], words: list[str] = COMPARE_WORDS) -> DataFrame:
-    """A5 on questions(query_id, question): dimension and values, or nulls. Longer names are looked for first and taken out, and
-    come in that order; years are 20dd, and dd(d)年 from 100 to 150 counted from 1911."""
-    text, hits = F.col("question"), []
-    for name in sorted(set(companies), key=lambda c: (-len(c), c)):
-        hits.append(F.when(text.contains(name), F.lit(name)))
-        text = F.replace(text, F.lit(name), F.lit(""))
-    named = F.array_compact(F.array(*hits)) if hits else F.array().cast("array<string>")
+def detect_comparison(questions: DataFrame, companies: DataFrame | list[str], words: list[str] = COMPARE_WORDS) -> DataFrame:
+    """A5 on questions(query_id, question): dimension and values, or nulls. companies is a list of names or a table(company), all
+    looked for in one pass. Longer names are looked for first and taken out, and come in that order; years are 20dd, and
+    dd(d)年 from 100 to 150 counted from 1911."""
+    names = companies.select(F.col("company").alias("term"), F.lit("").alias("full_name")) if isinstance(companies, DataFrame) else [(c, "") for c in companies]
+    looked = replace_terms(questions.select("query_id", "question", F.col("question").alias("_rest")), names, "_rest", "_named")
+    named = F.col("_named")
     western = F.regexp_extract_all("question", F.lit(r"(20\d{2})"), F.lit(1))
     local = F.transform(F.regexp_extract_all("question", F.lit(r"(?:民國?\s*)?(\d{2,3})\s*年"), F.lit(1)), lambda y: y.cast("int"))
     local = F.transform(F.filter(local, lambda y: y.between(100, 150)), lambda y: (y + 1911).cast("string"))
@@ -91,7 +91,7 @@ def detect_comparison(questions: DataFrame, companies: list[str], words: list[st
     asks = F.lit(False)
     for w in words:
         asks = asks | F.col("question").contains(w)
-    found = questions.select("query_id", "question", named.alias("c"), years.alias("y"), asks.alias("a"))
+    found = looked.select("query_id", "question", named.alias("c"), years.alias("y"), asks.alias("a"))
     company = (F.size("c") >= 2) | ((F.size("c") == 1) & (F.size("y") < 2) & F.col("a"))
     return found.select(
         "query_id",

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import LINE_END_MARKS, LINE_ENDS, strip
 from ._packing import pack_lines
+from .dictionary import replace_terms
 
 #: Words of a heading that begin a contents section, and section labels of navigation bars.
 CONTENTS_WORDS = ["目錄", "目 錄", "Table of Contents", "CONTENTS", "contents"]
@@ -163,17 +164,11 @@ def clean_markdown(df: DataFrame, col: str = "text") -> DataFrame:
     return df.withColumn(col, clean_markdown_column(F.col(col)))
 
 
-def apply_terms(df: DataFrame, terms: list[tuple[str, str]], col: str = "text") -> DataFrame:
+def apply_terms(df: DataFrame, terms: DataFrame | list[tuple[str, str]], col: str = "text") -> DataFrame:
     """Dictionary terms by their full names, longest first, one after another, in any case, where no ASCII letter or CJK
-    character touches; terms_applied lists those that hit. The dictionary (a small, stated list) becomes expressions."""
-    edge = "A-Za-z\\u4e00-\\u9fff"
-    text, hits = F.col(col), []
-    for n, (term, full) in enumerate(sorted(terms, key=lambda t: (-len(t[0]), t[0]))):
-        pattern = rf"(?iu)(?<![{edge}])\Q{term}\E(?![{edge}])"
-        df = df.withColumn(f"_hit{n}", text.rlike(pattern)).withColumn(col, F.when(text.rlike(pattern), F.regexp_replace(text, pattern, full.replace("\\", "\\\\").replace("$", "\\$"))).otherwise(text))
-        hits.append(F.when(F.col(f"_hit{n}"), F.lit(term)))
-    out = df.withColumn("terms_applied", F.array_compact(F.array(*hits)) if hits else F.array().cast("array<string>"))
-    return out.drop(*(f"_hit{n}" for n in range(len(hits))))
+    character touches; terms_applied lists those that hit. The dictionary is a list of pairs or a table(term, full_name); all
+    its terms are looked for in one pass (dictionary.py)."""
+    return replace_terms(df, terms, col, "terms_applied", edge="A-Za-z\\u4e00-\\u9fff", any_case=True)
 
 
 def split_by_budget(df: DataFrame, max_chars: int = 8000, col: str = "text") -> DataFrame:

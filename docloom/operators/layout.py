@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import time
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import strip
 from .cleaning import clean_markdown_column
+from .plugins import PARTS, worked_out
 
 PAGE = r"<!-- PAGE:(\d+) -->"
 
@@ -56,14 +61,18 @@ def rows_to_markdown_table(cells: DataFrame) -> DataFrame:
     return tables.select("doc_id", "table_no", F.array_join(F.concat(F.array(bar(F.col("rows")[0]), bar(rule)), body), "\n").alias("markdown"))
 
 
+def _rich(mode: str, threshold: int) -> Column:
+    """Whether a page's own text is taken."""
+    return (F.length(strip(F.coalesce("text", F.lit("")))) >= threshold) & F.lit(mode != "vision")
+
+
 def route_pages(pages: DataFrame, mode: str = "hybrid", threshold: int = 100) -> DataFrame:
     """P3 on pages(doc_id, page, text, vision_text): doc_id, markdown, text_pages, vision_pages, skipped_pages.
 
     A page whose trimmed text has `threshold` characters or more is taken as it is ('hybrid' mode); others take the vision
     engine's text (a column that the caller's plug-in filled); pages with EMPTY_PAGE or nothing are skipped.
     """
-    rich = (F.length(strip(F.coalesce("text", F.lit("")))) >= threshold) & F.lit(mode != "vision")
-    routed = pages.withColumn("rich", rich).withColumn("t", F.when(rich, strip(F.col("text"))).otherwise(strip(F.coalesce("vision_text", F.lit("")))))
+    routed = pages.withColumn("rich", _rich(mode, threshold)).withColumn("t", F.when(F.col("rich"), strip(F.col("text"))).otherwise(strip(F.coalesce("vision_text", F.lit("")))))
     skip = ~F.col("rich") & (F.col("t").contains("EMPTY_PAGE") | (F.col("t") == ""))
     marked = routed.withColumn("skip", skip)
     part = F.when(~F.col("skip"), F.struct("page", F.concat(F.lit("<!-- PAGE:"), F.col("page").cast("string"), F.lit(" -->\n"), "t").alias("t")))
@@ -77,6 +86,35 @@ def route_pages(pages: DataFrame, mode: str = "hybrid", threshold: int = 100) ->
 STYLES = {"Title": 1, "Subtitle": 2} | {f"Heading {i}": i for i in range(1, 7)}
 
 
+def see_pages(pages: DataFrame, make_vision: Callable[[], Callable[[bytes], str]], path: str, mode: str = "hybrid", threshold: int = 100, tries: int = 5, pause: float = 0.0, parts: int = PARTS) -> DataFrame:
+    """pages(doc_id, page, text, image) with vision_text, as route_pages() takes it, for the pages routed to vision alone.
+
+    make_vision runs once for each task and returns the plug-in, from an image to Markdown. Results are stored under `path` by the
+    image's hash: an image seen before, in whatever document, isn't sent again, and a killed run goes on where it stopped. A
+    page that fails `tries` times has no text in this run (route_pages skips it) and is tried again by the next; after the
+    k-th failure a call waits k times `pause` seconds. A page without an image has no text."""
+    keyed = pages.drop("vision_text").withColumn("_key", F.when(~_rich(mode, threshold), F.sha2("image", 256)))
+
+    def look(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        vision = make_vision()
+        for part in parts:
+            seen = [(k, t) for k, image in zip(part["_key"], part["image"], strict=True) if (t := _tried(vision, image, tries, pause)) is not None]
+            yield pd.DataFrame(seen, columns=["_key", "vision_text"], dtype=object)
+
+    schema = "_key string, vision_text string"
+    results = worked_out(keyed.where("_key IS NOT NULL").select("_key", "image"), "_key", lambda p: p.select("_key", "image").mapInPandas(look, schema), path, schema, parts)
+    return keyed.join(results, "_key", "left").drop("_key")
+
+
+def _tried(vision: Callable[[bytes], str], image: bytes, tries: int, pause: float) -> str | None:
+    for k in range(tries):
+        try:
+            return vision(bytes(image))
+        except Exception:  # whatever a remote model raises
+            time.sleep(pause * (k + 1))
+    return None
+
+
 def blocks_to_markdown(blocks: DataFrame) -> DataFrame:
     """P4 on blocks(doc_id, pos, kind, style, runs, table_markdown): doc_id, markdown. kind 'tbl' takes table_markdown."""
     level = F.create_map(*(F.lit(x) for pair in STYLES.items() for x in pair))[F.col("style")]

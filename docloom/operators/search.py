@@ -1,25 +1,19 @@
 """Filters, vector search, full-text search and rank fusion, for many queries at once.
 
-Queries are a stated, smaller set and chunks the large table. Query vectors are broadcast in blocks of at most
-QUERY_BLOCK; each batch of chunks is scored with one matrix product and only a task's best rows of each query
-leave it, so what is shuffled is queries x pool x tasks, never chunks x queries.
+Queries and chunks are tables of any size; vectors meet in packs (vectors.py).
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..storage import written
 from ._cover import density_of, parse_query
+from .vectors import nearest
 
-POOL, RRF_K, QUERY_BLOCK = 20, 60, 4096
+POOL, RRF_K = 20, 60
 
 
 def filter_documents(docs: DataFrame, language: str | None = None, group: str | None = None, company: str | None = None, fiscal_years: list[str] | None = None, categories: list[str] | None = None) -> DataFrame:
@@ -69,84 +63,11 @@ def cosine_similarity(a: Column, b: Column) -> Column:
     return F.when(size > 0, dot(a, b) / size)
 
 
-def _best(scores: np.ndarray, ids: np.ndarray, n: int) -> np.ndarray:
-    """Places of the n best of a row: by score, then by id."""
-    if len(scores) > n:
-        edge = np.partition(scores, len(scores) - n)[len(scores) - n]
-        places = np.flatnonzero(scores >= edge)
-    else:
-        places = np.arange(len(scores))
-    return places[np.lexsort((ids[places], -scores[places]))][:n]
-
-
-def vector_pool(chunks: DataFrame, queries: DataFrame, n: int, threshold: float | None = None) -> DataFrame:
-    """(query_id, id, similarity, vec_rank): each query's n most similar chunks(id, embedding) among those with a usable
-    vector, for queries(query_id, query_embedding, filters). Ties go to the smaller id. A query's filters hold for it alone:
-    chunks carry their document's fields (searchable()), and each filter set is tried once on each batch of chunks."""
-    found = None
-    filters = _filters_of(queries)
-    n_queries = queries.count()
-    blocks = max(1, -(-n_queries // QUERY_BLOCK))
-    for block in range(blocks):
-        rows = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block).select("query_id", "query_embedding", *filters).orderBy("query_id").collect()  # a block of the stated queries
-        rows = [r for r in rows if r["query_embedding"] is not None and any(r["query_embedding"])]
-        if not rows:
-            continue
-        asked = [tuple((tuple(r[c]) if c in _LISTS else r[c]) if r[c] else None for c in filters) for r in rows]
-        part = _pool_of(chunks, [r["query_id"] for r in rows], np.array([r["query_embedding"] for r in rows], float), filters, asked, n, threshold)
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        found = chunks.sparkSession.createDataFrame([], "query_id long, id long, similarity double")
-    w = W.partitionBy("query_id").orderBy(F.desc("similarity"), "id")
-    return found.withColumn("vec_rank", F.row_number().over(w)).where(F.col("vec_rank") <= n)
-
-
-def _passing(batch: pa.RecordBatch, filters: list[str], asked: tuple) -> np.ndarray:
-    """Which rows of a batch of chunks pass one filter set."""
-    ok = np.ones(len(batch), bool)
-    for c, value in zip(filters, asked, strict=True):
-        if value is not None:
-            own = batch.column(f"_{QUERY_FILTERS[c]}")
-            hit = pc.is_in(own, value_set=pa.array(value, own.type)) if c in _LISTS else pc.equal(own, value)
-            ok &= hit.fill_null(False).to_numpy(zero_copy_only=False)
-    return ok
-
-
-def _pool_of(chunks: DataFrame, names: list[int], vectors: np.ndarray, filters: list[str], asked: list[tuple], n: int, threshold: float | None) -> DataFrame:
-    vectors = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
-    sets = sorted(set(asked), key=repr)
-    of_set = [np.array([i for i, x in enumerate(asked) if x == s]) for s in sets]
-    shared = chunks.sparkSession.sparkContext.broadcast((np.array(names), vectors, sets, of_set))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, q, sets, of_set = shared.value
-        held = [(np.zeros(0), np.zeros(0, np.int64)) for _ in names]
-        for batch in batches:
-            column, width = batch.column("embedding"), q.shape[1]
-            offs = column.offsets.to_numpy()
-            values = column.values.to_numpy(zero_copy_only=False).astype(float)
-            ok = np.diff(offs) == width
-            x = values[(offs[:-1][ok][:, None] + np.arange(width))]
-            size = np.linalg.norm(x, axis=1)
-            good = np.isfinite(size) & (size > 0)
-            places = np.flatnonzero(ok)[good]
-            x, ids = x[good] / size[good][:, None], batch.column("id").to_numpy()[places]
-            for asked, members in zip(sets, of_set, strict=True):
-                pass_ = _passing(batch, filters, asked)[places]
-                own_ids = ids[pass_]
-                scores = np.round(q[members] @ x[pass_].T, 12)  # equal vectors tie, whatever the product's order of additions
-                for i, row in zip(members, scores, strict=True):
-                    s, d = held[i]
-                    far = row >= threshold if threshold is not None else slice(None)
-                    s, d = np.concatenate([s, row[far]]), np.concatenate([d, own_ids[far]])
-                    best = _best(s, d, n)
-                    held[i] = s[best], d[best]
-        sizes = [len(d) for _, d in held]
-        if sum(sizes):
-            yield pa.record_batch([pa.array(np.repeat(names, sizes)), pa.array(np.concatenate([d for _, d in held])), pa.array(np.concatenate([s for s, _ in held]))], ["query_id", "id", "similarity"])
-
-    fields = [f"_{QUERY_FILTERS[c]}" for c in filters]
-    return chunks.where("embedding IS NOT NULL").select("id", "embedding", *fields).mapInArrow(run, "query_id long, id long, similarity double")
+def vector_pool(chunks: DataFrame, queries: DataFrame, n: int, threshold: float | None = None, carry: list[str] = ()) -> DataFrame:
+    """(query_id, id, similarity, vec_rank, carried columns): each query's n most similar chunks(id, embedding) among those with a
+    usable vector, for queries(query_id, query_embedding, filters) of any number (vectors.nearest). A query's filters hold for
+    it alone: chunks carry their document's fields (searchable())."""
+    return nearest(chunks, queries, n, threshold, {c: f"_{QUERY_FILTERS[c]}" for c in _filters_of(queries)}, carry)
 
 
 def vector_topk(chunks: DataFrame, queries: DataFrame, k: int, threshold: float) -> DataFrame:
@@ -166,26 +87,28 @@ def searchable(chunks: DataFrame, docs: DataFrame, queries: DataFrame | None = N
 _DOCUMENT = ["file_name", "display_name", "category", "report_group", "group", "company", "fiscal_year", "language", "source_type", "status", "confidentiality", "tags", "publish_date"]
 
 
+_OF_CHUNK = ["document_id", "parent_chunk_id"]
+
+
 def _swapped(hits: DataFrame, chunks: DataFrame, docs: DataFrame, order: list[Column], k: int) -> DataFrame:
-    """hits(query_id, id, …) with their parent's text, the best of each parent, the top k, and document columns. Texts are
-    fetched last, for the k hits of each query alone, by one pass over the chunks."""
-    own = hits.join(chunks.select("id", "document_id", "chunk_index", "chunk_type", "parent_chunk_id"), "id")
+    """hits(query_id, id, document_id, parent_chunk_id, …) with their parent's text, the best of each parent, the top k, and
+    document columns. Texts are fetched last, for the k hits of each query alone, by one pass over the chunks."""
     group = F.coalesce("parent_chunk_id", "id")
-    best = own.withColumn("_n", F.row_number().over(W.partitionBy("query_id", group).orderBy(*order))).where("_n = 1").drop("_n")
+    best = hits.withColumn("_n", F.row_number().over(W.partitionBy("query_id", group).orderBy(*order))).where("_n = 1").drop("_n")
     top = best.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(*order))).where(F.col("rank") <= k)
-    top = written(top, "hits")
-    texts = chunks.select(F.col("id").alias("_of"), "text_content", "metadata")
-    asked = top.select("query_id", "id", F.explode(F.array_compact(F.array("parent_chunk_id", "id"))).alias("_of"))
+    texts = chunks.select(F.col("id").alias("_of"), "text_content", "metadata", "chunk_index", "chunk_type")
+    asked = top.select("*", F.explode(F.array_compact(F.array("parent_chunk_id", "id"))).alias("_of"))
     mine = F.col("_of") == F.col("id")
     either = lambda c: F.coalesce(F.max(F.when(~mine, F.col(c))), F.max(F.when(mine, F.col(c)))).alias(c)
-    shown = asked.join(texts, "_of").groupBy("query_id", "id").agg(either("text_content"), either("metadata"))
-    return top.join(shown, ["query_id", "id"]).join(docs.select(F.col("id").alias("document_id"), *(F.col(f"`{c}`") for c in _DOCUMENT if c in docs.columns)), "document_id", "left")
+    own = [F.max(F.when(mine, F.col(c))).alias(c) for c in ("chunk_index", "chunk_type")]
+    shown = asked.join(texts, "_of").groupBy(*top.columns).agg(either("text_content"), either("metadata"), *own)
+    return shown.join(docs.select(F.col("id").alias("document_id"), *(F.col(f"`{c}`") for c in _DOCUMENT if c in docs.columns)), "document_id", "left")
 
 
 def vector_search(chunks: DataFrame, docs: DataFrame, queries: DataFrame, k: int = 5, threshold: float = 0.3) -> DataFrame:
     """Pool of 20 k, threshold, parent text, best of each parent, top k. docs are those that pass filters that all queries
     share (R1); a query's own are columns of queries (QUERY_FILTERS)."""
-    pool = vector_pool(searchable(chunks, docs, queries), queries, POOL * k).where(F.col("similarity") >= threshold)
+    pool = vector_pool(searchable(chunks, docs, queries), queries, POOL * k, threshold, _OF_CHUNK)
     return _swapped(pool, chunks, docs, [F.desc("similarity"), F.col("id")], k).withColumn("search_type", F.lit("vector"))
 
 
@@ -240,7 +163,7 @@ def hybrid_search(chunks: DataFrame, docs: DataFrame, queries: DataFrame, k: int
     fused score. Chunks without a vector never enter the vector pool."""
     vec = vector_pool(searchable(chunks, docs, queries), queries, POOL * k).select("query_id", "id", "vec_rank")
     fused = rrf_fuse(vec, fts_topk(chunks, docs, queries, POOL * k).select("query_id", "id", "fts_rank"))
-    hits = fused.select("query_id", "id", F.col("rrf_score").alias("similarity"))
+    hits = fused.select("query_id", "id", F.col("rrf_score").alias("similarity")).join(chunks.select("id", *_OF_CHUNK), "id")
     return _swapped(hits, chunks, docs, [F.desc("similarity"), F.col("id")], k).withColumn("search_type", F.lit("hybrid"))
 
 

@@ -18,6 +18,7 @@ from ..operators import identity as D
 from ..operators import layout as P
 from ..operators import scoring as S
 from ..operators import search as R
+from ..operators import stored
 from ..operators import web as WEB
 from ..sources import tables as T
 from ..storage import scratch_path, written
@@ -287,6 +288,17 @@ def g15(spark, sf):
     return docs.select(F.lit("document").alias("kind"), "id").unionByName(chunks.select(F.lit("chunk").alias("kind"), "id"))
 
 
+@query("G15_stored_tables", ORACLE_SQL["G15_delete_documents"])
+def g15_stored(spark, sf):
+    """Documents and chunks as stored tables, of which the same documents are deleted."""
+    at = scratch_path(spark, "stored")
+    docs, chunks = f"{at}/documents", f"{at}/chunks"
+    stored.create(X.documents(spark, sf), docs, "id")
+    stored.create(X.chunks(spark, sf).select("id", "document_id", "parent_chunk_id", "text_content"), chunks, "document_id")
+    stored.delete_documents(spark, docs, chunks, _read(spark, sf, "documents").where("doc_id % 12 = 0").select(F.col("doc_id").alias("id")))
+    return stored.read(spark, docs).select(F.lit("document").alias("kind"), "id").unionByName(stored.read(spark, chunks).select(F.lit("chunk").alias("kind"), "id"))
+
+
 @query("G16_document_chunks_of", f"WITH {CHUNKS} SELECT document_id, chunk_index, id, chunk_type, parent_chunk_id FROM chunks")
 def g16(spark, sf):
     ids = _read(spark, sf, "documents").select(F.col("doc_id").alias("document_id"))
@@ -296,18 +308,53 @@ def g16(spark, sf):
 @query("G17_upsert_config", """WITH c AS (SELECT source AS key, min(lang) AS value FROM documents GROUP BY source), n AS (SELECT source AS key, max(lang) AS value FROM documents WHERE doc_id % 3 = 0 GROUP BY source)
 SELECT coalesce(c.key, n.key) AS key, CASE WHEN n.key IS NOT NULL THEN n.value ELSE c.value END AS value FROM c FULL JOIN n ON c.key = n.key""")
 def g17(spark, sf):
+    return G.upsert_config(*_config(spark, sf))
+
+
+def _config(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     d = _read(spark, sf, "documents")
-    return G.upsert_config(d.groupBy(F.col("source").alias("key")).agg(F.min("lang").alias("value")), d.where("doc_id % 3 = 0").groupBy(F.col("source").alias("key")).agg(F.max("lang").alias("value")))
+    return d.groupBy(F.col("source").alias("key")).agg(F.min("lang").alias("value")), d.where("doc_id % 3 = 0").groupBy(F.col("source").alias("key")).agg(F.max("lang").alias("value"))
+
+
+@query("G17_stored_config", ORACLE_SQL["G17_upsert_config"])
+def g17_stored(spark, sf):
+    config, changes = _config(spark, sf)
+    at = scratch_path(spark, "config")
+    stored.create(config, at, "key")
+    stored.upsert_config(spark, at, changes)
+    return stored.read(spark, at)
+
+
+@query("G17_read_config", """WITH c AS (SELECT source AS key, CASE doc_id % 4 WHEN 0 THEN '' WHEN 1 THEN doc_id::VARCHAR WHEN 2 THEN lang END AS set_value, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n FROM documents)
+SELECT key, CASE WHEN try_cast(nullif(set_value, '') AS INT) IS NOT NULL THEN set_value ELSE '7' END AS value, 'int' AS kind FROM c WHERE n = 1""")
+def g17_read(spark, sf):
+    """Every source has a setting of kind int with the default 7; what its first document sets, counts where it is a number."""
+    d = _read(spark, sf, "documents")
+    first = d.groupBy(F.col("source").alias("key")).agg(F.min_by(F.expr("CASE doc_id % 4 WHEN 0 THEN '' WHEN 1 THEN cast(doc_id AS string) WHEN 2 THEN lang END"), "doc_id").alias("value"))
+    return G.read_config(first.select("key", F.lit("7").alias("value"), F.lit("int").alias("kind")), first)
 
 
 @query("G18_insert_terms_if_absent", """WITH t AS (SELECT source AS term, 'old' AS full_name FROM documents WHERE doc_id % 4 = 0 GROUP BY source), n AS (SELECT lang || source AS term, min(doc_id::VARCHAR) AS full_name FROM documents GROUP BY 1 UNION ALL SELECT source, 'new' FROM documents GROUP BY source)
 SELECT * FROM t UNION ALL SELECT term, min(full_name) FROM n WHERE term NOT IN (SELECT term FROM t) GROUP BY term""")
 def g18(spark, sf):
+    return G.insert_terms_if_absent(*_terms(spark, sf))
+
+
+@query("G18_stored_terms", ORACLE_SQL["G18_insert_terms_if_absent"])
+def g18_stored(spark, sf):
+    old, new = _terms(spark, sf)
+    at = scratch_path(spark, "terms")
+    stored.create(old, at, "term")
+    stored.insert_terms_if_absent(spark, at, new)
+    return stored.read(spark, at)
+
+
+def _terms(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     d = _read(spark, sf, "documents")
     old = d.where("doc_id % 4 = 0").select(F.col("source").alias("term")).distinct().withColumn("full_name", F.lit("old"))
     new = d.groupBy(F.concat("lang", "source").alias("term")).agg(F.min(F.col("doc_id").cast("string")).alias("full_name"))
     new = new.unionByName(d.select(F.col("source").alias("term")).distinct().withColumn("full_name", F.lit("new")))
-    return G.insert_terms_if_absent(old, new)
+    return old, new
 
 
 @query("G19_update_documents", f"""WITH {DOCS} SELECT id, CASE WHEN id % 3 = 0 THEN CASE WHEN id % 6 = 0 THEN 'patched' END ELSE category END AS category, company FROM docs""")
@@ -317,6 +364,15 @@ def g19(spark, sf):
     return G.update_documents(d, patches)[0].select("id", "category", "company")
 
 
+@query("G19_stored_documents", ORACLE_SQL["G19_update_documents"])
+def g19_stored(spark, sf):
+    d = X.documents(spark, sf)
+    at = scratch_path(spark, "stored")
+    stored.create(d.drop("text"), at, "id")
+    stored.update_documents(spark, at, d.where("id % 3 = 0").select("id", F.when(F.col("id") % 6 == 0, "patched").otherwise(" ").alias("category")))
+    return stored.read(spark, at).select("id", "category", "company")
+
+
 @query("G20_backfill_group_company", f"""WITH {DOCS} SELECT id, coalesce("group", 'main') AS "group", CASE WHEN "group" IS NULL THEN 'head' ELSE company END AS company FROM docs""")
 def g20(spark, sf):
     return G.backfill_group_company(X.documents(spark, sf), "main", "head").select("id", "group", "company")
@@ -405,6 +461,20 @@ def c9(spark, sf):
     return C.apply_terms(_read(spark, sf, "documents").select("doc_id", "text"), _TERMS)
 
 
+#: Runs of ASCII letters are matched whole or not at all, and what replaces them holds no letters, so order doesn't matter.
+@query("C9_term_table", """WITH dict AS (SELECT word AS term, '<' || min(item_id) || '>' AS full_name FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '[a-z]{2,}')) AS word FROM benchmark) GROUP BY word),
+runs AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z]+|[^A-Za-z]+')) AS run, generate_subscripts(regexp_extract_all(text, '[A-Za-z]+|[^A-Za-z]+'), 1) AS pos FROM documents),
+made AS (SELECT doc_id, pos, coalesce(full_name, run) AS run, term FROM runs LEFT JOIN dict ON term = lower(run)),
+hit AS (SELECT doc_id, string_agg(term, '|' ORDER BY length(term) DESC, term) AS hits FROM (SELECT DISTINCT doc_id, term FROM made WHERE term IS NOT NULL) GROUP BY doc_id)
+SELECT doc_id, sha256(string_agg(run, '' ORDER BY pos)) AS text_sha, any_value(coalesce(hits, '')) AS hits FROM made LEFT JOIN hit USING (doc_id) GROUP BY doc_id""")
+def c9_table(spark, sf):
+    """A dictionary of all words of the test items."""
+    words = _read(spark, sf, "benchmark").select("item_id", F.explode(F.expr("regexp_extract_all(lower(text), '[a-z]{2,}', 0)")).alias("term"))
+    terms = words.groupBy("term").agg(F.concat(F.lit("<"), F.min("item_id").cast("string"), F.lit(">")).alias("full_name"))
+    made = C.apply_terms(_read(spark, sf, "documents").select("doc_id", "text"), terms)
+    return made.select("doc_id", F.sha2("text", 256).alias("text_sha"), F.array_join("terms_applied", "|").alias("hits"))
+
+
 @query("C10_split_by_budget")
 def c10(spark, sf):
     return C.split_by_budget(X.decorated(spark, sf), 800)
@@ -476,10 +546,23 @@ def p2(spark, sf):
 @query("P3_route_pages", """WITH p AS (SELECT doc_id - doc_id % 4 AS d, doc_id % 4 AS page, length(trim(text, ' ' || chr(10))) >= 1000 AS rich, trim(text, ' ' || chr(10)) AS t, CASE WHEN doc_id % 3 = 0 THEN 'EMPTY_PAGE' ELSE 'seen ' || doc_id END AS v FROM documents)
 SELECT d AS doc_id, coalesce(string_agg('<!-- PAGE:' || page || ' -->' || chr(10) || CASE WHEN rich THEN t ELSE v END, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY page) FILTER (rich OR v <> 'EMPTY_PAGE'), '') AS markdown, count(*) FILTER (rich) AS text_pages, count(*) FILTER (NOT rich AND v <> 'EMPTY_PAGE') AS vision_pages, count(*) FILTER (NOT rich AND v = 'EMPTY_PAGE') AS skipped_pages FROM p GROUP BY d""")
 def p3(spark, sf):
+    """Pages with the texts of a vision engine as a column."""
     pages = _read(spark, sf, "documents").selectExpr("doc_id - doc_id % 4 AS doc_id", "doc_id % 4 AS page", "text", "CASE WHEN doc_id % 3 = 0 THEN 'EMPTY_PAGE' ELSE concat('seen ', doc_id) END AS vision_text")
     return P.route_pages(pages, threshold=1000)
 
 
+def _reader() -> Callable[[bytes], str]:
+    """Stands for a vision engine: images are their pages' texts here."""
+    return lambda image: image.decode()
+
+
+@query("P3_see_pages", ORACLE_SQL["P3_route_pages"])
+def p3_see(spark, sf):
+    """The same pages with images, which a vision engine is shown where a page's own text is short."""
+    pages = _read(spark, sf, "documents").selectExpr("doc_id - doc_id % 4 AS doc_id", "doc_id % 4 AS page", "text", "encode(CASE WHEN doc_id % 3 = 0 THEN 'EMPTY_PAGE' ELSE concat('seen ', doc_id) END, 'utf-8') AS image")
+    return P.route_pages(P.see_pages(pages, _reader, scratch_path(spark, "seen"), threshold=1000, parts=4), threshold=1000)
+
+
 @query("P4_blocks_to_markdown", f"""WITH {_L} SELECT doc_id, string_agg(CASE WHEN line = 0 THEN '# n' || length(t) ELSE '**n' || length(t) || '**tail' END, chr(10) || chr(10) ORDER BY line) AS markdown FROM l GROUP BY doc_id""")
 def p4(spark, sf):
     run = lambda text, bold: F.struct(text.alias("text"), F.lit(bold).alias("bold"), F.lit(False).alias("italic"))
@@ -515,6 +598,15 @@ def e1(spark, sf):
     return E.embed(texts, E.hashing_model).select("id", "embedding")
 
 
+@query("E1_embed_stored")
+def e1_stored(spark, sf):
+    """Half of the documents first, then all: copies and what is stored are not sent again."""
+    texts = _read(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("text_content"))
+    at = scratch_path(spark, "vectors")
+    E.embed_stored(texts.where("id % 2 = 0"), E.hashing_model, at, parts=4)
+    return E.embed_stored(texts, E.hashing_model, at, parts=4).select("id", "embedding")
+
+
 @query("E2_attach_embeddings", "SELECT doc_id AS document_id, vec_id IS NOT NULL AS has, array_to_string(list_transform(embedding, lambda x: round(x::DOUBLE * 1000000)::BIGINT), '|') AS vector FROM documents LEFT JOIN embeddings ON vec_id = doc_id")
 def e2(spark, sf):
     vectors = _read(spark, sf, "embeddings").select(F.col("vec_id").alias("document_id"), F.lit(0).alias("chunk_index"), "embedding")
@@ -746,7 +838,8 @@ _ASK = "concat(CASE doc_id % 3 WHEN 0 THEN 'c1 and c2 ' WHEN 1 THEN 'c1 ' ELSE '
 CASE WHEN doc_id % 3 = 0 THEN 'c1|c2' WHEN doc_id % 3 = 1 AND doc_id % 4 <> 1 AND doc_id % 40 < 16 THEN 'c1' WHEN doc_id % 4 = 1 THEN '2023|2024' END AS vals FROM documents""")
 def a5(spark, sf):
     asked = _read(spark, sf, "documents").selectExpr("doc_id AS query_id", f"{_ASK} AS question")
-    return A.detect_comparison(asked, ["c1", "c2", "c11"]).select("query_id", "dimension", F.array_join("values", "|").alias("vals"))
+    names = X.documents(spark, sf).where("company IN ('c1', 'c2')").select("company").unionByName(X.documents(spark, sf).where("company = 'c1'").select(F.lit("c11").alias("company")))
+    return A.detect_comparison(asked, names.distinct()).select("query_id", "dimension", F.array_join("values", "|").alias("vals"))
 
 
 def _grouped(spark: SparkSession, sf: str) -> DataFrame:
