@@ -74,20 +74,19 @@ def _followed(last: DataFrame) -> DataFrame:
     return ranged.withColumn("inside", inside).join(F.broadcast(after), "range").select("conv_id", "last", F.coalesce("inside", "after").alias("next"))
 
 
-def answer_pairs(conversations: DataFrame, train_role: str = "assistant", by_id: bool = False) -> DataFrame:
+def answer_pairs(conversations: DataFrame, train_role: str = "assistant") -> DataFrame:
     """Preference turns from plain conversations(conv_id, turn, role, text): pair_id = conv_id.
 
     Chosen is the conversation as it is. Rejected has the same turns up to its last assistant turn,
     whose text is replaced by that of the next answered conversation's last assistant turn: a fluent
     answer to another question. Next is by the order of conv_id among conversations with an assistant
     turn, and the first one follows the last one; a conversation that is alone has only its chosen side.
-    Conversations without an assistant turn make no pair. by_id: next is conv_id + 1 only, and conversations
-    where that one is missing or has no answer make no pair either. Of several rows at the last assistant turn
+    Conversations without an assistant turn make no pair. Of several rows at the last assistant turn
     the greatest text counts.
     """
     c = conversations.where("conv_id IS NOT NULL AND turn IS NOT NULL").select("conv_id", "turn", "role", "text")
     last = c.where(F.col("role") == train_role).groupBy("conv_id").agg(F.max(F.struct("turn", F.coalesce("text", F.lit("")).alias("text"))).alias("last"))
-    last = last.withColumn("next", F.col("conv_id") + 1) if by_id else _followed(last)
+    last = _followed(last)
     swap = last.select(F.col("conv_id").alias("pair_id"), F.col("last.turn").alias("at"), "next").join(
         last.select(F.col("conv_id").alias("next"), F.col("last.text").alias("other")), "next"
     )
@@ -113,23 +112,21 @@ def assembled(segments: DataFrame) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As ORACLE_SQL says it: pairs of neighbouring conv_ids only."""
-    return format_preferences(answer_pairs(common.table(spark, sf_dir, "conversations"), by_id=True))
-
-
-def query_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every conversation with an answer."""
     return format_preferences(answer_pairs(common.table(spark, sf_dir, "conversations")))
 
 
+query_all = query
+
 ORACLE_SQL = """
 WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
 last AS (SELECT conv_id, max((turn, text)) AS l FROM (SELECT conv_id, turn, text FROM c WHERE role = 'assistant') GROUP BY conv_id),
-swap AS (SELECT a.conv_id AS pair_id, struct_extract(a.l, 1) AS cut, struct_extract(b.l, 2) AS other FROM last a JOIN last b ON b.conv_id = a.conv_id + 1),
+following AS (SELECT conv_id, l, coalesce(lead(conv_id) OVER (ORDER BY conv_id), first_value(conv_id) OVER (ORDER BY conv_id)) AS next FROM last),
+swap AS (SELECT a.conv_id AS pair_id, a.next, struct_extract(a.l, 1) AS cut, struct_extract(b.l, 2) AS other FROM following a JOIN last b ON b.conv_id = a.next),
 t AS (
   SELECT pair_id, 'chosen' AS side, turn, role, text FROM c JOIN swap ON conv_id = pair_id
-  UNION ALL SELECT pair_id, 'rejected', turn, role, text FROM c JOIN swap ON conv_id = pair_id WHERE turn < cut
-  UNION ALL SELECT pair_id, 'rejected', cut, 'assistant', other FROM swap),
+  UNION ALL SELECT pair_id, 'rejected', turn, role, text FROM c JOIN swap ON conv_id = pair_id WHERE turn < cut AND next <> pair_id
+  UNION ALL SELECT pair_id, 'rejected', cut, 'assistant', other FROM swap WHERE next <> pair_id),
 d AS (
   SELECT pair_id, min(turn) AS first_difference FROM (
     SELECT pair_id, turn, list_sort(list((role, text)) FILTER (side = 'chosen')) AS a, list_sort(list((role, text)) FILTER (side = 'rejected')) AS b

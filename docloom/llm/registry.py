@@ -29,5 +29,6 @@ ORACLE_SQL = {
     "op6_minhash_dups": minhash_dups.ORACLE_SQL,
     "op7_embedding_dups": embedding_dups.ORACLE_SQL,
     "op8_preference_format": preference.ORACLE_SQL,
+    "op8_preference_all_answered": preference.ORACLE_SQL,
     "op12_lexical_search": term_pipeline.ORACLE_SQL,
 }

@@ -524,3 +524,24 @@ def test_pipeline(spark):
     out = corpus_pipeline.STAGES[-1][1](spark, docs, SF).collect()
     texts = {r["doc_id"]: r["text"] for r in docs.collect()}
     assert {r["doc_id"]: r["decoded_sha256"] for r in out} == {i: hashlib.sha256(t.encode()).hexdigest() for i, t in texts.items()}
+
+
+def test_pipeline_near_duplicates_act_on_rows_not_ids(spark):
+    r = __import__("random").Random(8)
+    text = lambda: " ".join("".join(r.choice("abcdefgh") for _ in range(4)) for _ in range(60))
+    a, b, clean = text(), text(), text()
+    rows = [(7, a, "p"), (3, a + " x", "q"), (None, b, "r"), (None, b, "s"), (3, clean, "t"), (5, clean + "!", "u"), (5, text(), "v"), (9, None, "w"), (9, None, "x"), (4, "", "y")]
+    df = common.written(spark.createDataFrame(rows, DOC + ", component_id string"), "test-rows")
+    got = corpus_pipeline.drop_near_duplicates(spark, df, SF)
+    assert got.columns == df.columns
+    left = sorted(x["component_id"] for x in got.collect())
+    assert left[0] == "q" and [x for x in left if x in "rs"] in (["r"], ["s"]) and [x for x in left if x not in "rs"] == list("qtvwxy")
+    assert corpus_pipeline.drop_near_duplicates(spark, df.limit(0), SF).count() == 0
+
+
+def test_pipeline_keeps_columns_of_clashing_names(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").withColumns({"quality_score": F.lit("mine"), "toxicity": F.lit(7)})
+    good = corpus_pipeline.keep_quality(spark, docs, SF)
+    assert good.columns == docs.columns and {r[0] for r in good.select("quality_score").distinct().collect()} == {"mine"}
+    calm = corpus_pipeline.drop_toxic(spark, docs, SF)
+    assert calm.columns == docs.columns and {r[0] for r in calm.select("toxicity").distinct().collect()} == {7}
