@@ -1,4 +1,9 @@
-"""A training corpus from raw documents: five stages, each over all rows that the one before kept."""
+"""A training corpus from raw documents: five stages, each over all rows that the one before kept.
+
+In every stage a row stands for itself: repeated rows and ids are judged each alike, a null doc_id passes on. Null and empty texts
+are judged as empty ones: they hold no test item and are copies of nothing. An empty table gives an empty result. All but
+the last stage return the columns that they get, whatever other columns these are.
+"""
 
 from __future__ import annotations
 
@@ -13,19 +18,27 @@ ORACLE_SQL = None
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the weak-label scorer, fitted on these documents, does not reject."""
-    return quality.score(docs).where("quality_score >= 0.5").drop("quality_score")
+    scored = quality.score(docs.withColumnRenamed("quality_score", "_own")).where("quality_score >= 0.5").drop("quality_score")
+    return scored.withColumnRenamed("_own", "quality_score").select(*(f"`{c}`" for c in docs.columns))
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose worst window scores below 0.5, by a network fitted on the labelled ones among them."""
     model = toxicity.fit(docs, common.table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model).where("toxicity < 0.5").drop("toxicity")
+    scored = toxicity.score(docs.withColumnRenamed("toxicity", "_own"), model).where("toxicity < 0.5").drop("toxicity")
+    return scored.withColumnRenamed("_own", "toxicity").select(*(f"`{c}`" for c in docs.columns))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each group of similarity 0.8; rows without an id stay."""
-    dropped = minhash_dups.near_duplicates(docs, percent=80).where("NOT kept").select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    """One row of each group of similarity 0.8: that with the smallest doc_id, a null one last. Each row stands for itself:
+    rows without an id are compared, too, and of an id's several texts only those go that are copies."""
+    rows = docs.withColumn("_row", F.monotonically_increasing_id())  # docs is a stored table: a row keeps its number
+    found = minhash_dups.near_duplicates(rows.select(F.col("_row").alias("doc_id"), "text"), percent=80)
+    alike = found.groupBy("component_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("component_id")
+    members = found.join(alike, "component_id").select("component_id", F.col("doc_id").alias("_row")).join(rows.select("_row", "doc_id"), "_row")
+    first = members.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row")).alias("first")).select("first._row")
+    dropped = members.select("_row").join(first, "_row", "left_anti")
+    return rows.join(dropped, "_row", "left_anti").select(*(f"`{c}`" for c in docs.columns))
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
