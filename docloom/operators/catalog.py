@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import blank_to_null
+from .numbering import numbered
 from ..sources.tables import first_of
 
 ALL, UNCATEGORISED, OTHER = "全部", "未分類", "其他"
@@ -28,7 +29,7 @@ def filter_facets(docs: DataFrame) -> DataFrame:
     long = docs.select(F.explode(F.array(*(F.struct(F.lit(c).alias("facet"), F.col(f"`{c}`").alias("value")) for c in facets))).alias("f"))
     found = long.select("f.*").where("value <> ''").distinct()
     down = F.when(F.col("facet") == "fiscal_year", F.col("value"))
-    return found.withColumn("pos", F.row_number().over(W.partitionBy("facet").orderBy(down.desc(), "value")))
+    return numbered(found, ["facet"], [down.desc(), F.col("value").asc()], "pos").withColumn("pos", F.col("pos").cast("int"))
 
 
 def list_documents(docs: DataFrame, filters: dict[str, str | None], limit: int = 20, offset: int = 0) -> tuple[DataFrame, DataFrame]:

@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 import uuid
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 from heapq import heapify, heappop, heappush
 
 import ahocorasick
@@ -21,9 +22,29 @@ from pyspark.sql import functions as F
 PART_CHARS = 8_000_000
 
 
+class _Folded(dict):
+    """Of each character one that stands for all that equal it in any case, as regular expressions have it: those whose lower
+    cases have one upper case. Always one character, so places stay."""
+
+    def __init__(self):
+        first: dict[str, str] = {}
+        for c in range(0x10000):
+            low = "i" if c == 0x130 else chr(c).lower()
+            self[c] = ord(first.setdefault(low.upper(), low))
+
+    def __missing__(self, c: int) -> int:
+        self[c] = ord(chr(c).lower())
+        return self[c]
+
+
+@lru_cache(maxsize=1)
+def _folded() -> _Folded:
+    return _Folded()
+
+
 def fold(text: str) -> str:
-    """Texts that are equal in any case are equal here; a few others may be, too."""
-    return text.replace("İ", "i").lower().upper()
+    """Equal for texts that are equal in any case, character by character."""
+    return text.lower() if text.isascii() else text.translate(_folded())
 
 
 class Terms:
@@ -37,52 +58,60 @@ class Terms:
             if term:
                 first.setdefault(term, full)
         self.pairs = sorted(first.items(), key=lambda p: (-len(p[0]), p[0]))
-        self.before, self.after = (f"(?<![{edge}])", f"(?![{edge}])") if edge else ("", "")
-        self.flags, self.fold = (re.IGNORECASE, fold) if any_case else (0, str)
-        self.patterns: dict[int, re.Pattern] = {}
+        self.touching = re.compile(f"[{edge}]", re.IGNORECASE if any_case else 0).match if edge else None
+        self.fold = fold if any_case else str
+        self.folded = [(self.fold(term), self.fold(full)) for term, full in self.pairs]
         self.longest = len(self.pairs[0][0]) if self.pairs else 0
         self.automaton = ahocorasick.Automaton()
         numbers: dict[str, list[int]] = {}
-        for i, (term, _) in enumerate(self.pairs):
-            numbers.setdefault(self.fold(term), []).append(i)
+        for i, (key, _) in enumerate(self.folded):
+            numbers.setdefault(key, []).append(i)
         for key, own in numbers.items():
             self.automaton.add_word(key, own)
         self.automaton.make_automaton()
 
-    def candidates(self, text: str, above: int = -1) -> set[int]:
-        """Numbers, greater than `above`, of terms that the text may hold."""
-        return {i for _, own in self.automaton.iter(self.fold(text)) for i in own if i > above} if self.pairs else set()
-
-    def pattern(self, i: int) -> re.Pattern:
-        if i not in self.patterns:
-            self.patterns[i] = re.compile(f"{self.before}{re.escape(self.pairs[i][0])}{self.after}", self.flags)
-        return self.patterns[i]
+    def candidates(self, folded: str, above: int = -1) -> set[int]:
+        """Numbers, greater than `above`, of terms that the folded text holds, edges or not."""
+        return {i for _, own in self.automaton.iter(folded) for i in own if i > above} if self.pairs else set()
+
+    def places(self, i: int, text: str, folded: str) -> list[int]:
+        """Where term i is replaced, from left to right."""
+        key, out = self.folded[i][0], []
+        at = folded.find(key)
+        while at >= 0:
+            end = at + len(key)
+            if self.touching and ((at and self.touching(text[at - 1])) or (end < len(text) and self.touching(text[end]))):
+                end = at + 1
+            else:
+                out.append(at)
+            at = folded.find(key, end)
+        return out
 
     def apply(self, text: str) -> tuple[str, list[str]]:
         """The text after all terms, and those that hit, in their order."""
-        waiting, hits, done = list(self.candidates(text)), [], -1
+        folded, hits, done = self.fold(text), [], -1
+        waiting = list(self.candidates(folded))
         heapify(waiting)
         while waiting:
             i = heappop(waiting)
             if i == done:
                 continue
             done = i
-            term, full = self.pairs[i]
-            parts, at, size, spans = [], 0, 0, []
-            for m in self.pattern(i).finditer(text):
-                parts += [text[at : m.start()], full]
-                size += m.start() - at + len(full)
-                spans.append((size - len(full), size))
-                at = m.end()
-            if not spans:
+            (term, full), size = self.pairs[i], len(self.pairs[i][0])
+            found = self.places(i, text, folded)
+            if not found:
                 continue
             hits.append(term)
-            text = "".join([*parts, text[at:]])
-            if sum(b - a + 2 * self.longest for a, b in spans) < len(text):
-                around = [text[max(0, a - self.longest) : b + self.longest] for a, b in spans]
+            ends = [0, *(at + size for at in found)]
+            cuts = list(zip(ends, [*found, len(text)], strict=True))
+            text, folded = full.join([text[a:b] for a, b in cuts]), self.folded[i][1].join([folded[a:b] for a, b in cuts])
+            grown = len(full) - size
+            starts = [at + k * grown for k, at in enumerate(found)]
+            if len(starts) * (len(full) + 2 * self.longest) < len(text):
+                around = {folded[max(0, a - self.longest) : a + len(full) + self.longest] for a in starts}
             else:
-                around = [text]
-            for new in set().union(*(self.candidates(x, i) for x in set(around))).difference(waiting):
+                around = {folded}
+            for new in set().union(*(self.candidates(x, i) for x in around)).difference(waiting):
                 heappush(waiting, new)
         return text, hits
 

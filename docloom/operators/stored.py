@@ -112,6 +112,11 @@ def change(spark: SparkSession, path: str, keys: DataFrame, rewrite: Callable[[D
     return sorted(touched)
 
 
+def upsert(spark: SparkSession, path: str, rows: DataFrame, key: str) -> list[int]:
+    """Rows replace those of their key, or join them. rows are read twice."""
+    return change(spark, path, rows.select(key), lambda old: old.join(rows.select(key), key, "left_anti").unionByName(rows))
+
+
 def vacuum(spark: SparkSession, path: str, keep: int = 1) -> int:
     """Deletes versions but the last `keep`, and folders that none of those names; returns how many folders. Not while a
     change is being made: its folders have no version yet."""

@@ -90,7 +90,7 @@ def crawl_reachable(pages: DataFrame, links: DataFrame, roots: DataFrame, max_de
     """
     exist = pages.select("url").distinct()
     frontier = roots.select("root", F.col("root").alias("url"), F.lit(0).cast("long").alias("place"))
-    seen = written(frontier.select("root", "url"), "seen")
+    seen = frontier.select("root", "url")
     found, counts = None, roots.select("root", F.lit(0).cast("long").alias("had"))
     for depth in range(max_depth + 1):
         here = first_of(frontier.join(exist, "url", "left_semi"), ["root", "url"], ["place"])
@@ -104,7 +104,7 @@ def crawl_reachable(pages: DataFrame, links: DataFrame, roots: DataFrame, max_de
         nxt = kept.join(links, "url").select("root", F.col("link").alias("url"), F.struct("position", "pos").alias("o"))
         nxt = nxt.groupBy("root", "url").agg(F.min("o").alias("o")).join(seen, ["root", "url"], "left_anti")
         frontier = written(nxt.select("root", "url", (F.col("o.position") * 1_000_000 + F.col("o.pos")).alias("place")), "frontier")
-        seen = written(seen.unionByName(frontier.select("root", "url")), "seen")
+        seen = seen.unionByName(frontier.select("root", "url"))  # each level's table is written once and read again
     return found
 
 

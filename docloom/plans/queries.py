@@ -20,9 +20,11 @@ from ..operators import scoring as S
 from ..operators import search as R
 from ..operators import stored
 from ..operators import web as WEB
+from ..operators.numbering import numbered
 from ..sources import tables as T
 from ..storage import scratch_path, written
 from ..streaming.ingest import incremental_ingest
+from ..streaming.usage import usage_stream, usage_totals
 from . import derived as X
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -391,6 +393,18 @@ def g22(spark, sf):
     return G.usage_rollup(usage).withColumn("day", F.date_format("day", "yyyy-MM-dd"))
 
 
+@query("G22_usage_stream", ORACLE_SQL["G22_usage_rollup"])
+def g22_stream(spark, sf):
+    """The earlier half of the records comes first, then the later one."""
+    usage = _read(spark, sf, "events").select(F.col("ts").cast("timestamp").alias("created_at"), F.col("event_type").alias("source"), F.length("event_type").alias("total_tokens"))
+    middle = usage.agg(F.avg(F.col("created_at").cast("double")).cast("timestamp").alias("t")).first()["t"]
+    at = scratch_path(spark, "usage")
+    for part in (usage.where(F.col("created_at") < middle), usage.where(F.col("created_at") >= middle)):
+        part.write.mode("append").parquet(f"{at}/in")
+        usage_stream(spark, f"{at}/in", f"{at}/table", f"{at}/progress").awaitTermination()
+    return usage_totals(stored.read(spark, f"{at}/table")).withColumn("day", F.date_format("day", "yyyy-MM-dd"))
+
+
 # ---------------------------------------------------------------- C, K, P
 
 _LINES = "list_filter(string_split(text, chr(10)), lambda l: {})"
@@ -822,8 +836,7 @@ FROM q LEFT JOIN ctx ON ctx.query_id = q.query_id LEFT JOIN past ON past.conv_id
 def a4(spark, sf):
     """Each question goes to a conversation; conversations are gone through in turn."""
     turns = _read(spark, sf, "conversations")
-    ids = turns.select("conv_id").distinct()
-    ids = ids.withColumn("k", F.row_number().over(W.orderBy("conv_id")) - 1)
+    ids = numbered(turns.select("conv_id").distinct(), [], [F.col("conv_id")], "k").withColumn("k", F.col("k") - 1)
     n = ids.agg(F.count(F.lit(1)).alias("n"))
     questions = X.vector_queries(spark, sf).join(F.broadcast(n)).select("query_id", ((F.col("query_id") / 20).cast("long") % F.col("n")).alias("k"), F.concat(F.lit("q"), F.col("query_id").cast("string")).alias("question"))  # one row
     made = A.build_prompt(questions.join(ids, "k").drop("k"), A.build_context(_results(spark, sf)), A.recent_history(turns), "system", "2026年01月01日")
@@ -900,35 +913,42 @@ def w3(spark, sf):
     return _read(spark, sf, "pages").select("page_id", WEB.should_skip(url, F.try_parse_url(url, F.lit("AUTHORITY")), ["1$"]).alias("skip"))
 
 
-@query("W4_crawl_reachable", """WITH RECURSIVE n AS (SELECT count(*) AS n FROM pages), e AS (SELECT page_id AS a, (3 * page_id + 1) % n AS b FROM pages, n UNION SELECT page_id, (3 * page_id + 2) % n FROM pages, n),
-u AS (SELECT page_id, 'https://' || regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) || '/p' || page_id AS url FROM pages),
-r AS (SELECT page_id AS root, page_id AS p, 0 AS depth, '' AS way FROM pages WHERE page_id % 20 = 0 UNION ALL SELECT root, b, depth + 1, way || '.' || lpad(b::VARCHAR, 12, '0') FROM r JOIN e ON a = p WHERE depth < 5),
+def _crawl_sql(depth: int, most: int) -> str:
+    return f"""WITH RECURSIVE h AS (SELECT page_id, host, row_number() OVER (PARTITION BY host ORDER BY page_id) - 1 AS k, count(*) OVER (PARTITION BY host) AS n FROM (SELECT page_id, regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) AS host FROM pages)),
+e AS (SELECT a.page_id AS a, b.page_id AS b FROM h a JOIN h b ON a.host = b.host AND (b.k = (3 * a.k + 1) % a.n OR b.k = (3 * a.k + 2) % a.n)),
+u AS (SELECT page_id, 'https://' || host || '/p' || page_id AS url FROM h),
+r AS (SELECT page_id AS root, page_id AS p, 0 AS depth, '' AS way FROM pages WHERE page_id % 20 = 0 UNION ALL SELECT root, b, depth + 1, way || '.' || lpad(b::VARCHAR, 12, '0') FROM r JOIN e ON a = p WHERE depth < {depth}),
 f AS (SELECT root, p, depth, min(way) AS way FROM (SELECT *, min(depth) OVER (PARTITION BY root, p) AS d FROM r) WHERE depth = d GROUP BY root, p, depth),
 o AS (SELECT *, row_number() OVER (PARTITION BY root ORDER BY depth, way) AS position FROM f)
-SELECT ru.url AS root, pu.url AS url, depth::INT AS depth, position FROM o JOIN u ru ON ru.page_id = root JOIN u pu ON pu.page_id = p WHERE position <= 40""")
+SELECT ru.url AS root, pu.url AS url, depth::INT AS depth, position FROM o JOIN u ru ON ru.page_id = root JOIN u pu ON pu.page_id = p WHERE position <= {most}"""
+
+
+@query("W4_crawl_reachable", _crawl_sql(5, 8))
 def w4(spark, sf):
     """Crawls from every page whose id is divisible by 20 over the links that W1 to W3 read from the pages' HTML, under a budget
     that binds."""
     links, urls, roots = _linked(spark, sf)
-    return WEB.crawl_reachable(urls, links, roots, 5, 40)
+    return WEB.crawl_reachable(urls, links, roots, 5, 8)
 
 
 def _linked(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """links, pages and roots. Each page's HTML gets links to two stored pages, as stored links lead to none; some stored URLs
-    are variants of one address, so pages are told apart by number under their hosts."""
-    named = F.concat(F.lit("http://"), F.try_parse_url("url", F.lit("AUTHORITY")), F.lit("/p"), F.col("page_id").cast("string"), F.lit("/#top"))
-    pages = _read(spark, sf, "pages").select("page_id", named.alias("url"), "html")
-    n = pages.agg(F.count(F.lit(1)).alias("n"))
-    ids = pages.select("page_id").join(F.broadcast(n))  # one row
-    goes = ids.select("page_id", F.explode(F.array((3 * F.col("page_id") + 1) % F.col("n"), (3 * F.col("page_id") + 2) % F.col("n"))).alias("to"))
-    added = goes.join(pages.select(F.col("page_id").alias("to"), F.col("url").alias("target")), "to").groupBy("page_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("to", "target"))), lambda x: F.concat(F.lit('<a href="'), x["target"], F.lit('">next</a>'))), "").alias("added"))  # two links
-    linked = pages.join(added, "page_id", "left").withColumn("html", F.concat(F.coalesce("html", F.lit("")), F.coalesce("added", F.lit(""))))
-    links = written(WEB.page_links(linked, same_host=False), "links")
+    """links, pages and roots. Each page's HTML gets links to two stored pages of its host, as stored links lead to none, and
+    one to another host, which a crawl of its own host doesn't follow; some stored URLs are variants of one address, so pages
+    are told apart by number under their hosts."""
+    host = F.try_parse_url("url", F.lit("AUTHORITY")).alias("host")
+    pages = numbered(_read(spark, sf, "pages").select("page_id", host, "html"), ["host"], [F.col("page_id")], "k").withColumn("k", F.col("k") - 1)
+    pages = pages.withColumn("url", F.concat(F.lit("http://"), "host", F.lit("/p"), F.col("page_id").cast("string"), F.lit("/#top")))
+    sizes = pages.groupBy("host").agg(F.count(F.lit(1)).alias("n"))
+    goes = pages.join(sizes, "host").select("page_id", "host", F.explode(F.array((3 * F.col("k") + 1) % F.col("n"), (3 * F.col("k") + 2) % F.col("n"))).alias("k"))
+    added = goes.join(pages.select("host", "k", F.col("page_id").alias("to"), F.col("url").alias("target")), ["host", "k"])
+    added = added.groupBy("page_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("to", "target"))), lambda x: F.concat(F.lit('<a href="'), x["target"], F.lit('">next</a>'))), "").alias("added"))  # two links
+    linked = pages.join(added, "page_id", "left").withColumn("html", F.concat(F.coalesce("html", F.lit("")), F.lit('<a href="//elsewhere.example/p0">out</a>'), F.coalesce("added", F.lit(""))))
+    links = written(WEB.page_links(linked), "links")
     url = WEB.normalize_url(F.col("url"))
-    return links, pages.select(url.alias("url")), pages.where("page_id % 20 = 0").select(url.alias("root")).distinct()
+    return links, pages.select(url.alias("url")).unionByName(spark.range(1).select(F.lit("https://elsewhere.example/p0").alias("url"))), pages.where("page_id % 20 = 0").select(url.alias("root")).distinct()
 
 
-@query("W4_crawl_many_roots")
+@query("W4_crawl_many_roots", _crawl_sql(7, 200))
 def w4_many(spark, sf):
     """The same crawl to depth 7 under the default budget, which that depth can reach."""
     links, urls, roots = _linked(spark, sf)

@@ -270,3 +270,58 @@ def test_a_replayed_batch_stores_the_same_rows(spark, tmp_path, monkeypatch):
     # Another checkpoint, as after a loss: what kb holds isn't stored again.
     incremental_ingest(spark, source, kb, str(tmp_path / "cp2")).awaitTermination()
     assert sorted(x for x in held() if x[1] is not None) == [(2, "same"), (3, "other"), (8, "fresh")]
+
+
+# ---------------------------------------------------------------- numbering, G22
+
+
+def test_rows_are_numbered_over_ranges(spark):
+    from docloom.operators.numbering import numbered
+
+    rows = [(i % 7 if i < 300 else 0, (i * 37) % 1000) for i in range(1000)] + [(None, 5), (None, 3), (2, None)]
+    df = spark.createDataFrame(rows, "g int, v int").repartition(5)
+    got = numbered(df, ["g"], [F.col("v").desc()], "place").collect()
+    for g in {r[0] for r in rows}:
+        own = sorted((r["place"], r["v"]) for r in got if r["g"] == g)
+        assert [n for n, _ in own] == list(range(1, len(own) + 1))
+        values = [v for _, v in own if v is not None]
+        assert values == sorted(values, reverse=True)
+    whole = sorted((r["n"], r["v"]) for r in numbered(df.where("v IS NOT NULL"), [], [F.col("v")]).collect())
+    assert [n for n, _ in whole] == list(range(1, 1003)) and [v for _, v in whole] == sorted(v for _, v in whole)
+    assert numbered(df.limit(0), ["g"], [F.col("v")]).count() == 0
+
+
+def test_usage_of_late_and_repeated_batches(spark, tmp_path, monkeypatch):
+    import datetime as dt
+
+    from docloom.operators import catalog
+    from docloom.streaming import usage
+
+    at = lambda day, hour: dt.datetime(2024, 1, day, hour, tzinfo=dt.UTC)
+    source, table, progress = (str(tmp_path / x) for x in ("in", "table", "cp"))
+    rows = lambda r: spark.createDataFrame(r, usage.SCHEMA)
+    first = [(at(1, 3), "a", 5), (at(1, 4), "a", 7), (at(1, 4), "b", None), (at(2, 1), None, 1)]
+    rows(first).write.parquet(source)
+    usage.usage_stream(spark, source, table, progress).awaitTermination()
+    later = [(at(1, 23), "a", 2), (at(2, 2), "b", 4)]  # the first day's window is still open
+    rows(later).write.mode("append").parquet(source)
+    real = stored.upsert
+    with monkeypatch.context() as m:  # the table is changed, then the batch dies
+        m.setattr(stored, "upsert", lambda *a: (real(*a), (_ for _ in ()).throw(RuntimeError("killed"))))
+        with pytest.raises(Exception, match="killed"):
+            usage.usage_stream(spark, source, table, progress).awaitTermination()
+    usage.usage_stream(spark, source, table, progress).awaitTermination()
+    want = catalog.usage_rollup(rows(first + later)).collect()
+    order = lambda got: sorted((str(r["day"]), str(r["source"]), r["level"], r["calls"], r["tokens"]) for r in got)
+    assert order(usage.usage_totals(stored.read(spark, table)).collect()) == order(want)
+
+
+def test_a_crawl_stays_on_its_own_host(spark):
+    from docloom.operators import web
+
+    html = '<a href="/b">b</a><a href="https://other.example/x">x</a><a href="//H.example/c">c</a>'
+    pages = spark.createDataFrame([(1, "https://h.example/a", html), (2, "https://h.example/b", '<a href="/c">c</a>'), (3, "https://h.example/c", ""), (4, "https://other.example/x", "")], "page_id long, url string, html string")
+    links = web.page_links(pages)
+    roots = spark.createDataFrame([("https://h.example/a",)], "root string")
+    got = {r["url"]: r["depth"] for r in web.crawl_reachable(pages.select("url"), links, roots).collect()}
+    assert got == {"https://h.example/a": 0, "https://h.example/b": 1, "https://h.example/c": 2}
