@@ -24,7 +24,7 @@ T, STRIDE = 32, 24
 H, WORD_DIM, CHAR_DIM, CHAR_BITS, ATTEND = 8, 10, 6, 12, 8
 #: Bounds of the fitting sample and of the words that have an embedding of their own.
 FIT_DOCS_PER_CLASS, VOCABULARY = 3000, 30_000
-STEPS, BATCH = 400, 32
+STEPS, BATCH = 1000, 32
 #: Fitting documents that a word must be in to be known; standard errors of its standing that count as chance; share of words
 #: that show nothing but their standing in a step.
 SHARED, CHANCE, MOST, DROPPED = 3, 2.0, 2.0, 0.7
