@@ -152,17 +152,23 @@ def test_crawl_caps_follow_queue_order(spark):
 
 
 def test_crawl_query_starts_from_many_roots_and_meets_its_budget(spark, tmp_path):
-    n, got = 601, {}
+    n, got = 1201, {}
     rows = [(i, f"https://h{i % 3}.x/p{i}", f'<a href="/gone">x</a><a href="https://h0.x/p{i - i % 3}/">y</a>' if i % 2 else None) for i in range(n)]
     spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
     for r in QUERIES["W4_crawl_many_roots"](spark, str(tmp_path)).orderBy("position").collect():
         got.setdefault(r["root"], []).append((r["url"], r["depth"]))
-    want = {}
+    want, sizes = {}, [len(range(host, n, 3)) for host in range(3)]  # links within a host; those to h0 from others aren't followed
+
+    def leads_to(page):
+        host, k = page % 3, page // 3
+        own = [page - host] * (page % 2 and host == 0)
+        return own + sorted({3 * ((3 * k + 1) % sizes[host]) + host, 3 * ((3 * k + 2) % sizes[host]) + host})
+
     for root in range(0, n, 20):
         queue, seen, found = [(root, 0)], {root}, []
         for page, depth in queue:
             found.append((rows[page][1], depth))
-            for to in [page - page % 3] * (page % 2) + sorted({(3 * page + 1) % n, (3 * page + 2) % n}) if depth < 7 else []:
+            for to in leads_to(page) if depth < 7 else []:
                 if to not in seen:
                     seen.add(to)
                     queue.append((to, depth + 1))
