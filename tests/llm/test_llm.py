@@ -35,7 +35,7 @@ def plain(v):
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_matches_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "embeddings", "conversations"):
+    for t in ("documents", "embeddings", "conversations", "benchmark"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     df, result = QUERIES[name](spark, SF), con.execute(ORACLE_SQL[name])
     columns = [c[0] for c in result.description]
