@@ -59,13 +59,14 @@ def jump_shard(key: Column, shards: int) -> Column:
     return F.coalesce(jump_landing(key, shards)["b"], F.lit(0)).cast("int")
 
 
-def shard_rows(df: DataFrame, shards: int = 24, key: str = "doc_id", text: str = "text", block: int = 4096) -> DataFrame:
+def shard_rows(df: DataFrame, shards: int = 24, key: str = "doc_id", text: str = "text", ranges: int | None = None) -> DataFrame:
     """key, size, text_crc32, law, shard, slot, grown_shard for every row.
 
     size is the UTF-8 length of the text plus 8; slot numbers a shard's rows from 0 in the order of
-    (key, text_crc32, size), nulls first. Slots come from two levels: rows that agree in all three
-    are counted before any shuffle, counts are numbered inside blocks of `block` neighbouring keys,
-    and each block starts where the shard's earlier blocks end. No task sees a whole shard's rows.
+    (key, text_crc32, size), nulls first. Rows that agree in all three are counted before any shuffle.
+    Counts are then dealt to `ranges` (the session's shuffle partitions, if None) of (shard, key, text_crc32,
+    size) by sampled bounds, so the keys' spread plays no part, and numbered inside their range; what is
+    numbered in one window per shard is its ranges. No task sees a whole shard's rows unless they fit a range.
 
     Null key: shard 0, grown_shard 0. Null text: size 8, crc32 of no bytes (0). Repeated rows get
     one slot each. An empty table gives an empty result. Columns other than the two named are unused.
@@ -80,23 +81,24 @@ def shard_rows(df: DataFrame, shards: int = 24, key: str = "doc_id", text: str =
             "doc_id", "size", "text_crc32", "n",
             F.coalesce(F.col("landing.b"), F.lit(0)).cast("int").alias("shard"),
             F.when(F.col("landing.j") == shards, F.lit(shards)).otherwise(F.coalesce(F.col("landing.b"), F.lit(0))).cast("int").alias("grown_shard"),
-            F.floor(F.col("doc_id") / F.lit(block)).alias("block"),
         )
     )
+    order = ["shard", "doc_id", "text_crc32", "size"]
+    dealt = alike.repartitionByRange(ranges, *order) if ranges else alike.repartitionByRange(*order)
+    ranged = common.written(dealt.withColumn("range", F.spark_partition_id()), "shard-ranges")
+    earlier = W.partitionBy("shard").orderBy("range").rowsBetween(W.unboundedPreceding, -1)
     starts = (
-        alike.groupBy("shard", "block").agg(F.sum("n").alias("rows"))
-        .withColumn("start", F.coalesce(F.sum("rows").over(W.partitionBy("shard").orderBy("block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-        .select("shard", F.coalesce("block", F.lit(-(1 << 62))).alias("at"), "start")
+        ranged.groupBy("shard", "range").agg(F.sum("n").alias("rows"))
+        .select("shard", "range", F.coalesce(F.sum("rows").over(earlier), F.lit(0)).alias("start"))
     )
-    inside = W.partitionBy("shard", "block").orderBy("doc_id", "text_crc32", "size").rowsBetween(W.unboundedPreceding, -1)
-    numbered = alike.withColumn("before", F.coalesce(F.sum("n").over(inside), F.lit(0))).withColumn("at", F.coalesce("block", F.lit(-(1 << 62))))
+    inside = W.partitionBy("shard", "range").orderBy("doc_id", "text_crc32", "size").rowsBetween(W.unboundedPreceding, -1)
+    first = F.col("start") + F.col("before")
     return (
-        numbered.join(starts, ["shard", "at"])
+        ranged.withColumn("before", F.coalesce(F.sum("n").over(inside), F.lit(0))).join(starts, ["shard", "range"])
         .select(
-            "doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "grown_shard",
-            F.explode(F.sequence(F.col("start") + F.col("before"), F.col("start") + F.col("before") + F.col("n") - 1)).alias("slot"),
+            "doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard",
+            F.explode(F.sequence(first, first + F.col("n") - 1)).alias("slot"), "grown_shard",
         )
-        .select("doc_id", "size", "text_crc32", "law", "shard", F.col("slot").cast("long").alias("slot"), "grown_shard")
     )
 
 

@@ -193,7 +193,7 @@ def test_jump_hash(spark, n):
 
 def test_shards_are_gapless_and_move_little(spark):
     rows = [(i, "t" * (i % 9)) for i in range(3000)] + [(None, None), (7, "same"), (7, "same")]
-    got = sharding.shard_rows(spark.createDataFrame(rows, DOC), 24, block=64).collect()
+    got = sharding.shard_rows(spark.createDataFrame(rows, DOC), 24, ranges=7).collect()
     assert len(got) == len(rows)
     for s in range(24):
         slots = sorted(r["slot"] for r in got if r["shard"] == s)
@@ -203,6 +203,23 @@ def test_shards_are_gapless_and_move_little(spark):
     assert sharding.shard_rows(spark.createDataFrame([], DOC)).count() == 0
 
 
+def test_sparse_ids_are_numbered_in_few_ranges(spark):
+    """Ids spread over all longs: slots follow (doc_id, crc, size), and a shard's rows lie in several ranges."""
+    ids = [int(x) for x in np.random.default_rng(5).integers(-(2**63), 2**63 - 1, 4000)]
+    rows = [(i, "t" * (k % 9), "clash", 7) for k, i in enumerate(ids)] + [(ids[0], "other", None, 1), (ids[0], None, "x", 1), (ids[0], "other", "y", 2), (None, "x", "x", 3), (None, None, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, shard string, slot long")
+    got = sharding.shard_rows(df, 3, ranges=16).collect()
+    expected = {}
+    for i, text, *_ in rows:
+        data = (text or "").encode()
+        expected.setdefault(0 if i is None else jump(i, 3), []).append((i is not None, i or 0, zlib.crc32(data), len(data) + 8))
+    for s, own in expected.items():
+        found = sorted((r for r in got if r["shard"] == s), key=lambda r: r["slot"])
+        assert [r["slot"] for r in found] == list(range(len(own)))
+        assert [(r["doc_id"] is not None, r["doc_id"] or 0, r["text_crc32"], r["size"]) for r in found] == sorted(own)
+    assert len(got) == len(rows)
+
+
 # ---------------------------------------------------------------- 4 BPE
 
 
