@@ -24,6 +24,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import common
@@ -240,8 +241,12 @@ def _cluster_links(texts: DataFrame, percent: int) -> DataFrame:
     texts = common.written(texts, "cluster-texts")
 
     packs = _packs(texts.withColumn("joined", F.lit(None).cast("long")), percent)
-    best = packs.groupBy("cluster").agg(F.slice(F.sort_array(F.collect_list("pivot"), asc=False), 1, PIVOTS).alias("b"))  # one text a pack
-    best = best.select("cluster", F.transform("b", lambda x: F.struct(x["doc"].alias("doc"), x["shingles"].alias("shingles"))).alias("b"))
+    # the heads are ranked before their shingles are fetched, so a cluster gathers PIVOTS texts, however many packs it has
+    rank = F.row_number().over(W.partitionBy("cluster").orderBy(F.desc("pivot.weight"), F.desc("pivot.doc")))
+    heads_of = packs.select("id", "cluster", rank.alias("rank")).where(F.col("rank") <= PIVOTS).select("id", "rank")
+    best = packs.select("id", "cluster", "pivot").join(heads_of, "id").groupBy("cluster")
+    best = best.agg(F.sort_array(F.collect_list(F.struct("rank", "pivot"))).alias("b"))
+    best = best.select("cluster", F.transform("b", lambda x: F.struct(x["pivot"]["doc"].alias("doc"), x["pivot"]["shingles"].alias("shingles"))).alias("b"))
     first = common.written(_met(packs.select("cluster", F.col("texts").alias("a")).join(best, "cluster"), percent), "pivot-links")
 
     joined = components(first).select(F.col("node").alias("doc"), F.col("component").alias("joined"))
