@@ -150,7 +150,7 @@ def _fit(weights: np.ndarray, texts: list[bytes], target: np.ndarray, epochs: in
 
 def fit(docs: DataFrame, fit_docs: int = FIT_DOCS) -> np.ndarray:
     """The scorer's weights. Votes of all documents are counted; about fit_docs of them fit the scorer,
-    in PARTS tasks whose weights are averaged after each of ROUNDS rounds."""
+    in PARTS groups whose weights are averaged after each of ROUNDS rounds; groups don't depend on partitions."""
     spark = docs.sparkSession
     common.bound_batches(spark)
 
@@ -170,23 +170,25 @@ def fit(docs: DataFrame, fit_docs: int = FIT_DOCS) -> np.ndarray:
     good, total = fit_voters(counts), max(1.0, counts.sum())
 
     threshold = int(min(1.0, fit_docs / total) * (1 << 30))
-    drawn = docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < threshold).select("text", F.xxhash64("doc_id", "text").alias("at"))
-    drawn = common.written(drawn.repartition(PARTS, "at"), "quality-fit")
+    drawn = docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < threshold)
+    drawn = drawn.select("text", F.pmod(F.xxhash64(F.lit(PARTS), "doc_id", "text"), F.lit(PARTS)).alias("part"))
+    drawn = common.written(drawn.repartition(PARTS, "part"), "quality-fit")
     weights = np.zeros((2 << BITS) + 1)
     for _ in range(ROUNDS):
-        at, beliefs = spark.sparkContext.broadcast(weights), good
-
-        def train(batches: Iterator[pa.RecordBatch], at=at, beliefs=beliefs) -> Iterator[pa.RecordBatch]:
-            texts, target = [], []
-            for batch in batches:
-                data, offs = common.text_bytes(batch.column("text"))
-                target.append(beliefs[pattern_of(votes(measures(data, offs)))])
-                texts += [data[a:b].tobytes() for a, b in zip(offs, offs[1:], strict=False)]
-            if texts:
-                own = _fit(at.value, texts, np.concatenate(target))
-                yield pa.record_batch([pa.array([len(texts)]), pa.array([own.tobytes()], pa.binary())], ["n", "weights"])
-
-        parts = drawn.repartition(PARTS, "at").mapInArrow(train, "n long, weights binary").collect()  # PARTS rows of bounded size
+        at = spark.sparkContext.broadcast(weights)
+
+        def train(rows: pa.Table) -> pa.Table:
+            common.work_for("quality")
+            data, offs = common.text_bytes(rows.column("text"))
+            texts = sorted(data[a:b].tobytes() for a, b in zip(offs, offs[1:], strict=False))  # in one order, however rows arrive
+            target = []
+            for a in range(0, len(texts), 256):
+                own = texts[a : a + 256]
+                target.append(good[pattern_of(votes(measures(np.frombuffer(b"".join(own), np.uint8), np.cumsum([0, *map(len, own)]))))])
+            fitted = _fit(at.value, texts, np.concatenate(target))
+            return pa.table({"n": pa.array([len(texts)], pa.int64()), "weights": pa.array([fitted.tobytes()], pa.binary())})
+
+        parts = drawn.groupBy("part").applyInArrow(train, "n long, weights binary").collect()  # PARTS rows of bounded size, however many partitions
         if parts:
             weights = np.average([np.frombuffer(r["weights"]) for r in parts], axis=0, weights=[r["n"] for r in parts])
     return weights
