@@ -15,6 +15,7 @@ from ..functions.text import strip
 from ..sources.tables import first_of
 from ..storage import written
 from ._html import page_hrefs, page_parts
+from .numbering import numbered
 
 #: Endings of URL paths that are no pages.
 ASSETS = [
@@ -82,11 +83,12 @@ def page_links(pages: DataFrame, exclude: list[str] = (), root_scheme: str = "ht
     return links.where(~should_skip(F.col("link"), host, exclude)).select("url", "pos", "link")
 
 
-def crawl_reachable(pages: DataFrame, links: DataFrame, roots: DataFrame, max_depth: int = 5, max_pages: int = 200) -> DataFrame:
+def crawl_reachable(pages: DataFrame, links: DataFrame, roots: DataFrame, max_depth: int = 5, max_pages: int | None = 200) -> DataFrame:
     """(root, url, depth, position) reached from roots(root) breadth first, in the order a queue would give.
 
     pages(url) exist; links(url, pos, link) lead on. Only existing pages count towards max_pages and are expanded, below
-    max_depth. Each level is one join and is written to the shared folder; a level's order is (parent's place, link's place).
+    max_depth; without max_pages all of them do, and a level is numbered over ranges, however many pages a root has there. Each
+    level is one join and is written to the shared folder; a level's order is (parent's place, link's place).
     """
     exist = pages.select("url").distinct()
     frontier = roots.select("root", F.col("root").alias("url"), F.lit(0).cast("long").alias("place"))
@@ -94,8 +96,11 @@ def crawl_reachable(pages: DataFrame, links: DataFrame, roots: DataFrame, max_de
     found, counts = None, roots.select("root", F.lit(0).cast("long").alias("had"))
     for depth in range(max_depth + 1):
         here = first_of(frontier.join(exist, "url", "left_semi"), ["root", "url"], ["place"])
-        numbered = here.withColumn("n", F.row_number().over(W.partitionBy("root").orderBy("place"))).join(counts, "root")
-        kept = numbered.where(F.col("had") + F.col("n") <= max_pages).select("root", "url", F.lit(depth).alias("depth"), (F.col("had") + F.col("n")).cast("long").alias("position"))
+        places = numbered(here, ["root"], [F.col("place")]) if max_pages is None else here.withColumn("n", F.row_number().over(W.partitionBy("root").orderBy("place")))
+        places = places.join(counts, "root")
+        if max_pages is not None:
+            places = places.where(F.col("had") + F.col("n") <= max_pages)
+        kept = places.select("root", "url", F.lit(depth).alias("depth"), (F.col("had") + F.col("n")).cast("long").alias("position"))
         kept = written(kept, "level")
         found = kept if found is None else found.unionByName(kept)
         if depth == max_depth or kept.isEmpty():

@@ -923,19 +923,29 @@ o AS (SELECT *, row_number() OVER (PARTITION BY root ORDER BY depth, way) AS pos
 SELECT ru.url AS root, pu.url AS url, depth::INT AS depth, position FROM o JOIN u ru ON ru.page_id = root JOIN u pu ON pu.page_id = p WHERE position <= {most}"""
 
 
-@query("W4_crawl_reachable", _crawl_sql(5, 8))
+#: The whole table as one site, so that a crawl inside its host may go from any page to any other.
+_SITE = "site.example"
+
+
+@query("W4_crawl_reachable", f"""WITH RECURSIVE h AS (SELECT page_id, row_number() OVER (ORDER BY page_id) - 1 AS k, count(*) OVER () AS n FROM pages),
+e AS (SELECT a.page_id AS a, b.page_id AS b FROM h a JOIN h b ON b.k = (3 * a.k + 1) % a.n UNION SELECT a.page_id, b.page_id FROM h a JOIN h b ON b.k = (3 * a.k + 2) % a.n),
+u AS (SELECT page_id, 'https://{_SITE}/p' || page_id AS url FROM h),
+r AS (SELECT page_id AS root, page_id AS p, 0 AS depth, '' AS way FROM pages WHERE page_id % 20 = 0 UNION ALL SELECT root, b, depth + 1, way || '.' || lpad(b::VARCHAR, 12, '0') FROM r JOIN e ON a = p WHERE depth < 5),
+f AS (SELECT root, p, depth, min(way) AS way FROM (SELECT *, min(depth) OVER (PARTITION BY root, p) AS d FROM r) WHERE depth = d GROUP BY root, p, depth),
+o AS (SELECT *, row_number() OVER (PARTITION BY root ORDER BY depth, way) AS position FROM f)
+SELECT ru.url AS root, pu.url AS url, depth::INT AS depth, position FROM o JOIN u ru ON ru.page_id = root JOIN u pu ON pu.page_id = p""")
 def w4(spark, sf):
-    """Crawls from every page whose id is divisible by 20 over the links that W1 to W3 read from the pages' HTML, under a budget
-    that binds."""
-    links, urls, roots = _linked(spark, sf)
-    return WEB.crawl_reachable(urls, links, roots, 5, 8)
+    """Crawls from every page whose id is divisible by 20 over the links that W1 to W3 read from the pages' HTML, all pages
+    being one site; every page within depth 5 is found, without a budget."""
+    links, urls, roots = _linked(spark, sf, _SITE)
+    return WEB.crawl_reachable(urls, links, roots, 5, None)
 
 
-def _linked(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """links, pages and roots. Each page's HTML gets links to two stored pages of its host, as stored links lead to none, and
-    one to another host, which a crawl of its own host doesn't follow; some stored URLs are variants of one address, so pages
-    are told apart by number under their hosts."""
-    host = F.try_parse_url("url", F.lit("AUTHORITY")).alias("host")
+def _linked(spark: SparkSession, sf: str, site: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """links, pages and roots. Each page's HTML gets links to two stored pages of its host (with `site`, all pages are on that one),
+    as stored links lead to none, and one to another host, which a crawl of its own host doesn't follow; some stored URLs are
+    variants of one address, so pages are told apart by number under their hosts."""
+    host = (F.lit(site) if site else F.try_parse_url("url", F.lit("AUTHORITY"))).alias("host")
     pages = numbered(_read(spark, sf, "pages").select("page_id", host, "html"), ["host"], [F.col("page_id")], "k").withColumn("k", F.col("k") - 1)
     pages = pages.withColumn("url", F.concat(F.lit("http://"), "host", F.lit("/p"), F.col("page_id").cast("string"), F.lit("/#top")))
     sizes = pages.groupBy("host").agg(F.count(F.lit(1)).alias("n"))

@@ -176,6 +176,24 @@ def test_crawl_query_starts_from_many_roots_and_meets_its_budget(spark, tmp_path
     assert got == want and max(map(len, want.values())) == 200
 
 
+def test_crawl_query_finds_every_page_within_its_depth(spark, tmp_path):
+    n, got = 1201, {}
+    rows = [(2 * i, f"https://h{i % 3}.x/p{i}", f'<a href="/gone">x</a><a href="https://h0.x/p{i}/">y</a>' if i % 2 else None) for i in range(n)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    for r in QUERIES["W4_crawl_reachable"](spark, str(tmp_path)).orderBy("position").collect():
+        got.setdefault(int(r["root"].rsplit("/p", 1)[1]), []).append((int(r["url"].rsplit("/p", 1)[1]), r["depth"]))
+    want = {}
+    for root in range(0, n, 10):  # ids are twice the places, so these have ids divisible by 20
+        queue, seen = [(root, 0)], {root}
+        for page, depth in queue:
+            for to in sorted({(3 * page + 1) % n, (3 * page + 2) % n}) if depth < 5 else []:
+                if to not in seen:
+                    seen.add(to)
+                    queue.append((to, depth + 1))
+        want[2 * root] = [(2 * page, depth) for page, depth in queue]
+    assert got == want and max(map(len, want.values())) > 40
+
+
 def test_page_content(spark):
     html = '<html lang="en-GB"><head><title> A &amp; B </title></head><body><nav>n</nav><article><h2>T</h2><p>x <b>y</b> <a href="/l">z</a></p><ul><li>1<li>2</ul><table><tr><th>a<th>b</tr><tr><td>1</tr></table></article></body></html>'
     df = spark.createDataFrame([(1, "u", html), (2, "u", None)], "page_id long, url string, html string")
