@@ -32,23 +32,16 @@ SHARD_IDS = 1_000_000
 #: A round replaces the pairs that are at least 1 / FALL as frequent as the most frequent one.
 FALL = 256
 REMEMBERED = 1_000_000
+#: Bits of the table that says which pairs occur twice.
+_SEEN = 22
 
-_ODD_SPACE = re.compile(r"\s ")
+#: White space, as Python's \s has it, before a space.
+_ODD_SPACE = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}] "
 _LONE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 #: Latin letters, then marks that are neither letters, digits nor white space; an apostrophe may begin a pre-token of letters.
 _LETTERS = re.compile(r"([A-Za-zÀ-ÖØ-öø-ɏ]+)([!-&(-/:-@\[-`{-~¡-©«-±´·¸»¿×÷‐-‧‰-⁞]*)")
 
 
-def _byte_alphabet() -> dict[int, int]:
-    """Fixed rule: how byte-level tokenizers write bytes as characters: printable ones as they are, others from 256 on."""
-    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    hidden = [b for b in range(256) if b not in set(shown)]
-    return {b: 256 + i for i, b in enumerate(hidden)}
-
-
-_SHOWN = _byte_alphabet()
-
-
 # ---------------------------------------------------------------- ids
 
 
@@ -61,7 +54,10 @@ class Encoder:
         self.tokenizer = tokenizers.Tokenizer.from_file(path)
         added = self.tokenizer.get_added_tokens_decoder()
         self.added = [t.content for t in added.values()]
-        self.marks: dict[str, list[int]] = {}  # ids of runs of marks that follow letters
+        self.marks: dict[str, np.ndarray] = {}  # ids of runs of marks that follow letters
+        vocabulary = self.tokenizer.get_vocab()
+        self.spaced = np.zeros(max(vocabulary.values(), default=0) + 1, bool)  # ids that begin with a space
+        self.spaced[[i for t, i in vocabulary.items() if t.startswith("Ġ")]] = True
         self.forget()
 
     def forget(self) -> None:
@@ -74,44 +70,77 @@ class Encoder:
         return [np.array(g.ids, np.uint32) for g in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
 
     def _learn(self, pieces: list[str]) -> None:
-        """Numbers pieces that follow a space and keeps their ids. Letters alone, or before one run of other marks, are one or two
-        pre-tokens, which the library's model takes directly; other pieces go through the whole tokenizer."""
-        ids: list[int] = []
-        lengths: list[int] = []
-        known: list[str] = []
-        rest: list[str] = []
-        tokenize, marks = self.tokenizer.model.tokenize, self.marks
+        """Numbers pieces that follow a space and keeps their ids. Letters before one run of other marks are two pre-tokens: their ids
+        are those of the letters, which are learnt once for all marks, and those of the marks."""
+        whole: dict[str, None] = {}
+        tailed: list[str] = []
+        cores: list[str] = []
+        tails: list[str] = []
         for w in pieces:
             found = _LETTERS.fullmatch(w)
-            if found is None:
-                rest.append(w)
+            if found is None or not found[2]:
+                whole[w] = None
                 continue
             core, tail = found.groups()
-            own = [x.id for x in tokenize("Ġ" + (core if core.isascii() else core.encode().decode("latin-1").translate(_SHOWN)))]
-            if tail:
-                if tail not in marks:
-                    marks[tail] = self.tokenizer.encode(tail, add_special_tokens=False).ids
-                own = own + marks[tail]
-            ids += own
-            lengths.append(len(own))
-            known.append(w)
-        if known:
-            self._keep(known, np.array(ids, np.uint32), np.array(lengths))
-        if rest:
-            got = self.spell([" " + w for w in rest])
-            self._keep(rest, np.concatenate(got), np.array([len(g) for g in got]))
+            if core not in self.words:
+                whole[core] = None
+            tailed.append(w)
+            cores.append(core)
+            tails.append(tail)
+        if whole:
+            tight = [w for w in whole if w and not w[0].isspace() and not w[-1].isspace()]
+            self._keep(tight, *self._joined(tight))
+            if len(tight) < len(whole):
+                rest = [w for w in whole if not w or w[0].isspace() or w[-1].isspace()]
+                self._keep(rest, *_flat(self.spell([" " + w for w in rest])))
+        if tailed:
+            kinds = {t: i for i, t in enumerate(dict.fromkeys(tails))}
+            for t in kinds:
+                if t not in self.marks:
+                    self.marks[t] = self.spell([t])[0]
+            marks, many = _flat([self.marks[t] for t in kinds])
+            kind = np.fromiter((kinds[t] for t in tails), np.int64, len(tails))
+            place = np.fromiter((self.words[c] for c in cores), np.int64, len(cores))
+            size, more = self.lengths[place], many[kind]
+            lengths = size + more
+            to = np.cumsum(lengths) - lengths
+            ids = np.empty(int(lengths.sum()), np.uint32)
+            ids[_runs(to, size)] = self.flat[_runs(self.starts[place], size)]
+            ids[_runs(to + size, more)] = marks[_runs((np.cumsum(many) - many)[kind], more)]
+            self._keep(tailed, ids, lengths)
+
+    def _joined(self, pieces: list[str], most: int = 20_000) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces that neither begin nor end with white space, each after a space, and how many each has. Up to `most` are
+        spelled as one text: each begins with an id that begins with a space. Where those are not as many, each is spelled by itself."""
+        ids, lengths = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+        for a in range(0, len(pieces), most):
+            some = pieces[a : a + most]
+            got = self.spell([" " + " ".join(some)])[0]
+            begins = np.flatnonzero(self.spaced[got])
+            if len(begins) == len(some) and begins[0] == 0:
+                many = np.diff(begins, append=len(got))
+            else:
+                got, many = _flat(self.spell([" " + w for w in some]))
+            ids.append(got)
+            lengths.append(many)
+        return np.concatenate(ids), np.concatenate(lengths)
 
     def _keep(self, pieces: list[str], ids: np.ndarray, lengths: np.ndarray) -> None:
-        n, to = len(self.words), len(self.words) + len(pieces)
+        n = len(self.words)
+        self._put(ids, lengths)
+        self.words.update(zip(pieces, range(n, n + len(pieces)), strict=True))
+        self.used += len(ids)
+
+    def _put(self, ids: np.ndarray, lengths: np.ndarray) -> None:
+        """Writes ids of further pieces behind those of the known ones."""
+        n, to = len(self.words), len(self.words) + len(lengths)
         while to > len(self.starts):
             self.starts, self.lengths = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.lengths))
         while self.used + len(ids) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        self.words.update(zip(pieces, range(n, to), strict=True))
         self.flat[self.used : self.used + len(ids)] = ids
         self.lengths[n:to] = lengths
         self.starts[n:to] = self.used + np.cumsum(lengths) - lengths
-        self.used += len(ids)
 
     def numbers(self, pieces: list[str]) -> np.ndarray:
         """Numbers of distinct pieces that follow a space; new ones are learnt. A full memory is begun anew."""
@@ -135,22 +164,21 @@ class Encoder:
         coded = cut.values.filter(pc.not_equal(cut.values, "")).dictionary_encode()
         place = self.numbers(coded.dictionary.to_numpy(zero_copy_only=False).tolist())[coded.indices.to_numpy()]
         size = self.lengths[place]
-        take = np.repeat(self.starts[place] - np.cumsum(size) + size, size)
-        take += np.arange(len(take))
-        return self.flat[take], size, many
+        return self.flat[_runs(self.starts[place], size)], size, many
 
     def encode(self, texts: list[str], end: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after another, `end` after each, and len + 1 offsets."""
         whole = {i: self.spell([t])[0] for i, t in enumerate(texts) if any(a in t for a in self.added)}
         texts = ["" if i in whole else t for i, t in enumerate(texts)]
-        odd = [i for i, t in enumerate(texts) if _ODD_SPACE.search(t)]
+        column = pa.array(texts, pa.large_string())
+        odd = np.flatnonzero(pc.match_substring_regex(column, _ODD_SPACE).to_numpy(zero_copy_only=False)).tolist()
         if odd:
-            lists: list = pc.split_pattern(pa.array(texts, pa.large_string()), " ").to_pylist() if len(odd) < len(texts) else [None] * len(texts)
+            lists: list = pc.split_pattern(column, " ").to_pylist() if len(odd) < len(texts) else [None] * len(texts)
             for i in odd:
                 lists[i] = _LONE_SPACE.split(texts[i])
             cut = pa.array(lists, pa.large_list(pa.large_string()))
         else:
-            cut = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+            cut = pc.split_pattern(column, " ")
         at = cut.offsets.to_numpy().astype(np.int64)
         heads = cut.values.take(pa.array(at[:-1])).to_pylist()
         coded = cut.values.dictionary_encode()
@@ -158,20 +186,28 @@ class Encoder:
         own = [*(whole.get(i, None) for i in range(len(texts)))]
         spelled = iter(self.spell([h for h, w in zip(heads, own, strict=True) if w is None]))
         first = [w if w is not None else next(spelled) for w in own]
-        # the table's pieces, then each text's first piece, then the end
-        extra = np.concatenate([*first, [end]]).astype(np.uint32)
-        sizes = np.array([*map(len, first), 1], np.int64)
-        starts = np.concatenate([self.starts[: len(self.words)], self.used + np.cumsum(sizes) - sizes])
-        lengths = np.concatenate([self.lengths[: len(self.words)], sizes])
-        flat = np.concatenate([self.flat[: self.used], extra])
+        # each text's first piece, then the end, behind the known pieces
         n = len(self.words)
+        self._put(*_flat([*first, np.array([end], np.uint32)]))
         place[at[:-1]] = n + np.arange(len(texts))
         place = np.insert(place, at[1:], n + len(texts))
-        size = lengths[place]
-        stops = np.cumsum(size)
-        take = np.repeat(starts[place] - stops + size, size)
-        take += np.arange(len(take))
-        return flat[take], np.concatenate([[0], stops[at[1:] + np.arange(len(texts))]])
+        size = self.lengths[place]
+        return self.flat[_runs(self.starts[place], size)], np.concatenate([[0], np.cumsum(size)[at[1:] + np.arange(len(texts))]])
+
+
+def _flat(lists: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all lists one after another, and how many each has."""
+    return np.concatenate(lists).astype(np.uint32), np.array([len(x) for x in lists], np.int64)
+
+
+def _runs(starts: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The places starts[i] .. starts[i] + size[i] of all i, one after another."""
+    ends = np.cumsum(size)
+    total, top = int(ends[-1]) if len(ends) else 0, int((starts + size).max(initial=0))
+    kind = np.int32 if max(total, top) < 1 << 31 else np.int64
+    take = np.repeat((starts - ends + size).astype(kind), size)
+    take += np.arange(total, dtype=kind)
+    return take
 
 
 @lru_cache(maxsize=2)
@@ -198,32 +234,42 @@ def compress(ids: np.ndarray, end: int = END, fall: int = FALL) -> tuple[np.ndar
     place[alphabet] = np.arange(len(alphabet))
     last = int(place[end]) if end in alphabet else -1
     symbols, used = place[ids], len(alphabet)
+    # places whose pair may occur twice: a pair that occurs once never comes again, as new pairs hold a new symbol
+    maybe = symbols != last
+    maybe[:-1] &= maybe[1:]
+    maybe[-1:] = False
     rules, rounds = [np.zeros((0, 2), np.int64)], []
     while len(symbols) > 1:
         narrow = used <= 1 << 16
         half = np.uint32 if narrow else np.uint64  # holds a pair; symbols take half of it
         shift = half(16 if narrow else 32)
-        left, right = symbols[:-1], symbols[1:]
+        at = np.flatnonzero(maybe)
+        left, right = symbols[at], symbols[at + 1]
         pairs = left.astype(half)
         pairs <<= shift
         pairs |= right
-        live = left != last
-        live &= right != last
-        twin = np.flatnonzero((left == right) & live)
+        twin = np.flatnonzero(left == right)
         if len(twin):  # of a run of one symbol, every second pair
-            run = np.concatenate([[True], np.diff(twin) > 1])
-            begin = twin[run][np.cumsum(run) - 1]
-            live[twin[(twin - begin) % 2 == 1]] = False
-        ordered = pairs[live]
-        ordered.sort()
-        if not len(ordered):
+            own = at[twin]
+            run = np.concatenate([[True], np.diff(own) > 1])
+            begin = own[run][np.cumsum(run) - 1]
+            live = np.ones(len(at), bool)
+            live[twin[(own - begin) % 2 == 1]] = False
+            at, pairs = at[live], pairs[live]
+        if not len(at):
             break
+        ordered = np.sort(pairs)
         starts = np.flatnonzero(ordered[1:] != ordered[:-1]) + 1
         starts = np.concatenate([[0], starts])
         counts = np.diff(np.append(starts, len(ordered)))
         most = int(counts.max())
         if most < 2:
             break
+        seen = np.zeros(1 << _SEEN, bool)
+        seen[_slots(ordered[starts[counts >= 2]], _SEEN)] = True
+        again = seen[_slots(pairs, _SEEN)]
+        maybe[at[~again]] = False
+        at, pairs = at[again], pairs[again]
         often = np.flatnonzero(counts >= max(2, most // fall))
         counts, kinds = counts[often], ordered[starts[often]]
         # most frequent first, equals by 12 bits of a hash, then by the pair; one sort of (count, hash, place)
@@ -231,15 +277,21 @@ def compress(ids: np.ndarray, end: int = END, fall: int = FALL) -> tuple[np.ndar
         key = np.sort(key | np.arange(len(often), dtype=np.uint64))[::-1]
         chosen = kinds[(key & np.uint64((1 << 28) - 1)).astype(np.int64)]
         rank = _rank_of(chosen, pairs)
-        at = np.flatnonzero((chosen[rank] == pairs) & live)
-        picked, rank = _apart(at, rank[at])
+        hit = np.flatnonzero(chosen[rank] == pairs)
+        at, rank = at[hit], rank[hit]
+        picked, rank = _apart(at, rank)
         kept = np.bincount(rank, minlength=len(chosen)) >= 2
         good = kept[rank]
         picked, rank = picked[good], rank[good]
         symbols[picked] = (np.cumsum(kept) - 1 + used)[rank]
+        after = np.minimum(picked + 2, len(symbols) - 1)
+        maybe[picked] = symbols[after] != last
+        before = picked[picked > 0] - 1
+        maybe[before] |= symbols[before] != last
         stay = np.ones(len(symbols), bool)
         stay[picked + 1] = False
-        symbols = symbols[stay]
+        symbols, maybe = symbols[stay], maybe[stay]
+        maybe[-1] = False
         own = chosen[kept]
         rules.append(np.stack([(own >> shift).astype(np.int64), (own & (half(1) << shift) - half(1)).astype(np.int64)], axis=1))
         rounds.append(len(own))

@@ -172,6 +172,32 @@ def test_token_grammar_of_an_empty_table(spark, tmp_path):
     assert token_grammar.read(spark, str(tmp_path / "none")).count() == 0
 
 
+def test_grammar_pieces_are_learnt_as_the_library_spells_them(tmp_path):
+    """Letters are spelled once for all marks after them, many pieces as one text, through the tokenizer's own rules."""
+    own = tokenizers.Tokenizer.from_file(public_tokenizers.path(token_grammar.TOKENIZER))
+    own.normalizer = tokenizers.normalizers.Lowercase()
+    own.save(str(tmp_path / "lower.json"))
+    texts = ["a Word, Word. Été! Word Été; x\ny\u00a0z  two\t A", "", " Ġa Äb\u3000 c", "Don't (Word) 12,5 Word,"]
+    for path in (str(tmp_path / "lower.json"), public_tokenizers.path(token_grammar.TOKENIZER)):
+        ids, at = token_grammar.Encoder(path).encode(texts, 2)
+        want = tokenizers.Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)
+        assert [ids[a:b].tolist() for a, b in zip(at, at[1:], strict=False)] == [[*w.ids, 2] for w in want]
+    spelt, encoder = [], token_grammar.Encoder(public_tokenizers.path(token_grammar.TOKENIZER))
+    spell = encoder.spell
+    encoder.spell = lambda pieces: spelt.extend(pieces) or spell(pieces)
+    encoder.numbers(["word,", "word.", "word", "other"])
+    assert sorted(spelt) == sorted([" word other", ",", "."])
+
+
+def test_grammar_looks_only_at_pairs_that_may_come_again(monkeypatch):
+    r, seen, rank = np.random.default_rng(5), [], token_grammar._rank_of
+    ids = np.concatenate([np.tile(r.integers(3, 40, 64), 20), r.permutation(np.arange(100, 20_100))]).astype(np.uint32)
+    monkeypatch.setattr(token_grammar, "_rank_of", lambda chosen, values: seen.append(len(values)) or rank(chosen, values))
+    symbols, alphabet, rules, rounds = token_grammar.compress(ids)
+    assert (token_grammar.expand(symbols, alphabet, rules, token_grammar.rule_lengths(len(alphabet), rules, rounds)) == ids).all()
+    assert max(seen) < 5000  # 20,000 ids occur once
+
+
 # ---------------------------------------------------------------- 3 sharding
 
 
