@@ -81,97 +81,124 @@ def start(seed: int = 11) -> dict[str, np.ndarray]:
     }
 
 
-_CAUSAL = np.arange(2 * STEP)[None] <= np.arange(STEP)[:, None] + STEP
+_CAUSAL = (np.arange(2 * STEP)[None] <= np.arange(STEP)[:, None] + STEP).astype(np.float32)
+#: Scores of a softmax are held within this, so their exponentials neither overflow nor vanish.
+_FAR = 80.0
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(axis=-1, keepdims=True)
-    return x - np.log(np.exp(x).sum(axis=-1, keepdims=True))
+def _exp(x: np.ndarray) -> np.ndarray:
+    """In place."""
+    np.clip(x, -_FAR, _FAR, out=x)
+    return np.exp(x, out=x)
+
+
+def _sums(x: np.ndarray) -> np.ndarray:
+    """Sums of rows."""
+    return x @ np.ones(x.shape[1], x.dtype)
 
 
 def run(p: dict, inputs: np.ndarray, before: np.ndarray, first: np.ndarray) -> dict[str, np.ndarray]:
     """Hidden states of windows (n, STEP). before: the inputs of the windows before them."""
     both = np.concatenate([before, inputs], axis=1)
-    n, e = len(both), p["E"][both]
+    n, e = len(both), p["E"].take(both, axis=0)
     kv = (e.reshape(-1, DIM) @ np.concatenate([p["K"], p["V"]], axis=1)).reshape(n, 2 * STEP, 2 * DIM)
-    q, k, v = (e[:, STEP:].reshape(-1, DIM) @ p["Q"]).reshape(n, STEP, DIM), kv[:, :, :DIM], kv[:, :, DIM:]
-    s = q @ k.transpose(0, 2, 1) * np.float32(DIM**-0.5) + p["P"]
-    on = _CAUSAL[None] & ~(first[:, None, None] & (np.arange(2 * STEP) < STEP))
-    s = np.where(on, s, np.float32(-1e9))
-    a = np.exp(s - s.max(-1, keepdims=True))
-    a /= a.sum(-1, keepdims=True)
-    x = np.concatenate([a @ v, e[:, STEP:]], axis=2)
-    h = np.tanh(x.reshape(-1, 2 * DIM) @ p["W"] + p["c"]).reshape(n, STEP, HIDDEN)
+    x = np.empty((n, STEP, 2 * DIM), e.dtype)
+    x[:, :, DIM:] = e[:, STEP:]
+    q, k, v = (x.reshape(-1, 2 * DIM)[:, DIM:] @ p["Q"]).reshape(n, STEP, DIM), kv[:, :, :DIM], kv[:, :, DIM:]
+    a = q @ k.transpose(0, 2, 1)
+    a *= np.float32(DIM**-0.5)
+    a += p["P"]
+    _exp(a)
+    a *= _CAUSAL
+    a[first, :, :STEP] = 0
+    a /= _sums(a.reshape(-1, 2 * STEP)).reshape(n, STEP, 1)
+    np.matmul(a, v, out=x[:, :, :DIM])
+    h = x.reshape(-1, 2 * DIM) @ p["W"]
+    h += p["c"]
+    np.tanh(h, out=h)
     return {"both": both, "e": e, "q": q, "k": k, "v": v, "a": a, "x": x, "h": h}
 
 
-def log_probs(p: dict, h: np.ndarray, target: np.ndarray) -> np.ndarray:
-    """Natural log probability of target slots, for states h (tokens, HIDDEN): tokens of a group share a product."""
-    group = target // MEMBERS
-    out = _of(h @ p["G"] + p["g"], group)
-    order = np.argsort(group, kind="stable")
-    cuts = np.searchsorted(group[order], np.arange(GROUPS + 1))
-    member = target % MEMBERS
-    for g in range(GROUPS):
-        own = order[cuts[g] : cuts[g + 1]]
-        if len(own):
-            out[own] += _of(h[own] @ p["M"][:, g * MEMBERS : (g + 1) * MEMBERS] + p["m"][g], member[own])
-    return out
+class _Softmaxes:
+    """Both softmaxes of states h (tokens, HIDDEN), the tokens in order of their targets' groups: those of a group share a product."""
 
+    def __init__(self, p: dict, h: np.ndarray, target: np.ndarray):
+        group = (target // MEMBERS).astype(np.uint8)
+        self.order = np.argsort(group, kind="stable")
+        cuts = np.concatenate([[0], np.cumsum(np.bincount(group, minlength=GROUPS))]).tolist()
+        self.runs = [(g, a, b) for g, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)) if a < b]
+        self.h, target = h.take(self.order, axis=0), target.take(self.order)
+        self.members = np.ascontiguousarray(p["M"].reshape(HIDDEN, GROUPS, MEMBERS).transpose(1, 0, 2))
+        of_group, of_member = self.h @ p["G"], np.empty((len(h), MEMBERS), h.dtype)
+        of_group += p["g"]
+        for g, a, b in self.runs:
+            np.matmul(self.h[a:b], self.members[g], out=of_member[a:b])
+            of_member[a:b] += p["m"][g]
+        row = np.arange(len(h))
+        #: For groups and members: exponentials of scores (tokens, choices), where in them the targets' are, and sums of rows.
+        self.both = [(_exp(x), row * x.shape[1] + at, _sums(x)) for x, at in ((of_group, target // MEMBERS), (of_member, target % MEMBERS))]
 
-def _of(scores: np.ndarray, place: np.ndarray) -> np.ndarray:
-    """Log softmax at one place of each row."""
-    top = scores.max()
-    got = scores[np.arange(len(scores)), place] - top
-    scores -= top
-    total = np.exp(scores, out=scores).sum(1)
-    return got - np.log(np.maximum(total, np.float32(1e-37)))
+    def logs(self) -> np.ndarray:
+        """Natural log probabilities, in the order of groups."""
+        return sum(np.log(x.ravel()[at] / total) for x, at, total in self.both)
+
+
+def log_probs(p: dict, h: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """Natural log probability of target slots, for states h (tokens, HIDDEN)."""
+    chosen = _Softmaxes(p, h, target)
+    out = np.empty(len(h), h.dtype)
+    out[chosen.order] = chosen.logs()
+    return out
 
 
 def gradients(p: dict, inputs: np.ndarray, before: np.ndarray, first: np.ndarray, target: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
     """Mean negative log probability of the windows' targets (-1: none), and its gradients."""
     r = run(p, inputs, before, first)
-    live = target.ravel() >= 0
-    t = target.ravel()[live]
-    n = max(1, len(t))
-    h = r["h"].reshape(-1, HIDDEN)[live]
-    group, lp = t // MEMBERS, _log_softmax(h @ p["G"] + p["g"])
-    loss = -lp[np.arange(len(t)), group].sum()
-    d = np.exp(lp)
-    d[np.arange(len(t)), group] -= 1
-    d /= n
-    out = {"G": h.T @ d, "g": d.sum(0), "M": np.zeros_like(p["M"]), "m": np.zeros_like(p["m"])}
-    dh = d @ p["G"].T
-    order = np.argsort(group, kind="stable")
-    cuts = np.searchsorted(group[order], np.arange(GROUPS + 1))
-    for g in range(GROUPS):
-        own = order[cuts[g] : cuts[g + 1]]
-        if len(own):
-            part = slice(g * MEMBERS, (g + 1) * MEMBERS)
-            lp = _log_softmax(h[own] @ p["M"][:, part] + p["m"][g])
-            loss -= lp[np.arange(len(own)), t[own] % MEMBERS].sum()
-            d = np.exp(lp)
-            d[np.arange(len(own)), t[own] % MEMBERS] -= 1
-            d /= n
-            out["M"][:, part], out["m"][g] = h[own].T @ d, d.sum(0)
-            dh[own] += d @ p["M"][:, part].T
-    full = np.zeros((live.size, HIDDEN), np.float32)
-    full[live] = dh * (1 - h * h)
-    out["W"], out["c"] = r["x"].reshape(-1, 2 * DIM).T @ full, full.sum(0)
-    dx = (full @ p["W"].T).reshape(*target.shape, 2 * DIM)
-    do = dx[:, :, :DIM]
-    da = do @ r["v"].transpose(0, 2, 1)
-    dv = r["a"].transpose(0, 2, 1) @ do
-    ds = r["a"] * (da - (r["a"] * da).sum(-1, keepdims=True))
+    live = np.flatnonzero(target.ravel() >= 0)
+    n = max(1, len(live))
+    chosen = _Softmaxes(p, r["h"] if len(live) == target.size else r["h"].take(live, axis=0), target.ravel()[live])
+    loss, h = -chosen.logs().sum(), chosen.h
+    for x, at, total in chosen.both:
+        x *= (1 / (n * total))[:, None]
+        x.ravel()[at] -= 1 / n
+    d, d_member = (x for x, _, _ in chosen.both)
+    out = {"G": h.T @ d, "g": _sums(d.T)}
+    dh, more = d @ p["G"].T, np.empty_like(h)
+    members, out["m"] = np.zeros_like(chosen.members), np.zeros_like(p["m"])
+    for g, a, b in chosen.runs:
+        d = d_member[a:b]
+        np.matmul(h[a:b].T, d, out=members[g])
+        np.matmul(d, chosen.members[g].T, out=more[a:b])
+        out["m"][g] = _sums(d.T)
+    out["M"] = members.transpose(1, 0, 2).reshape(HIDDEN, -1)
+    dh += more
+    h *= h
+    dh *= np.subtract(1, h, out=h)
+    full = np.zeros((target.size, HIDDEN), dh.dtype)
+    full[live[chosen.order]] = dh
+    x, a, both = r["x"].reshape(-1, 2 * DIM), r["a"], r["both"]
+    out["W"], out["c"] = x.T @ full, _sums(full.T)
+    dx = full @ p["W"].T
+    do = dx.reshape(*target.shape, 2 * DIM)[:, :, :DIM]
+    ds = do @ r["v"].transpose(0, 2, 1)
+    ds *= a
+    ds -= a * _sums(ds.reshape(-1, 2 * STEP)).reshape(*target.shape, 1)
     out["P"] = ds.sum(0)
-    ds = ds * np.float32(DIM**-0.5)
-    dq, dk = ds @ r["k"], ds.transpose(0, 2, 1) @ r["q"]
-    e, flat = r["e"], lambda x: x.reshape(-1, DIM)
-    out["Q"], out["K"], out["V"] = flat(e[:, STEP:]).T @ flat(dq), flat(e).T @ flat(dk), flat(e).T @ flat(dv)
-    de = dk @ p["K"].T + dv @ p["V"].T
-    de[:, STEP:] += dq @ p["Q"].T + dx[:, :, DIM:]
-    ids = r["both"].ravel()
-    out["E"] = np.stack([np.bincount(ids, weights=c, minlength=SLOTS + 1) for c in flat(de).T], axis=1).astype(np.float32)
+    ds *= np.float32(DIM**-0.5)
+    dkv = np.empty((*both.shape, 2 * DIM), a.dtype)
+    np.matmul(ds.transpose(0, 2, 1), r["q"], out=dkv[:, :, :DIM])
+    np.matmul(a.transpose(0, 2, 1), do, out=dkv[:, :, DIM:])
+    dq, dkv = (ds @ r["k"]).reshape(-1, DIM), dkv.reshape(-1, 2 * DIM)
+    out["Q"], of_both = x[:, DIM:].T @ dq, r["e"].reshape(-1, DIM).T @ dkv
+    out["K"], out["V"] = of_both[:, :DIM], of_both[:, DIM:]
+    de = dkv @ np.concatenate([p["K"], p["V"]], axis=1).T
+    de.reshape(*both.shape, DIM)[:, STEP:] += (dx[:, DIM:] + dq @ p["Q"].T).reshape(*target.shape, DIM)
+    ids = both.ravel().astype(np.uint16)
+    order = np.argsort(ids, kind="stable")
+    ids = ids[order]
+    at = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
+    out["E"] = np.zeros_like(p["E"])
+    out["E"][ids[at]] = np.add.reduceat(de.take(order, axis=0), at, axis=0)
     return float(loss) / n, out
 
 
@@ -182,10 +209,19 @@ class Adam:
 
     def step(self, g: dict) -> None:
         self.t += 1
+        rate, scale = self.rate / (1 - 0.9**self.t), (1 - 0.99**self.t) ** -0.5
         for k, d in g.items():
-            self.m[k] += 0.1 * (d - self.m[k])
-            self.v[k] += 0.01 * (d * d - self.v[k])
-            self.p[k] -= (self.rate * (self.m[k] / (1 - 0.9**self.t)) / (np.sqrt(self.v[k] / (1 - 0.99**self.t)) + 1e-8)).astype(np.float32)
+            m, v = self.m[k], self.v[k]
+            m *= 0.9
+            m += 0.1 * d
+            v *= 0.99
+            v += 0.01 * d * d
+            by = np.sqrt(v)
+            by *= scale
+            by += 1e-8
+            np.divide(m, by, out=by)
+            by *= rate
+            self.p[k] -= by
 
 
 def train(p: dict, w: Windows, rate: float, epochs: int, seed: int) -> None:
@@ -199,7 +235,7 @@ def train(p: dict, w: Windows, rate: float, epochs: int, seed: int) -> None:
             adam.step(gradients(p, inputs[own], before[own], w.first[own], target[own])[1])
 
 
-def score_windows(p: dict, w: Windows, block: int = 2048) -> np.ndarray:
+def score_windows(p: dict, w: Windows, block: int = 512) -> np.ndarray:
     """Natural log probability of each position's target (0 where there is none)."""
     inputs = w.input.reshape(-1, STEP)
     before = np.concatenate([np.full((1, STEP), SLOTS), inputs[:-1]])
@@ -286,21 +322,37 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def _stored_ids(docs: DataFrame, path: str, kind: type) -> DataFrame:
+    """ids (all of a run of texts, as `kind`), many (ids in each text): docs(text) encoded once for all passes over them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.work_for("ids")
+        for batch in batches:
+            for _, _, data, offs in _texts(batch):
+                got = ids_of(_rows(data, offs), path)
+                row = np.concatenate(got).astype(kind).tobytes(), np.array([len(x) for x in got]).tobytes()
+                yield pa.record_batch([pa.array([x], pa.binary()) for x in row], ["ids", "many"])
+
+    return common.written(docs.select("text").mapInArrow(run, "ids binary, many binary"), "lm-ids")
+
+
 def fit(docs: DataFrame, path: str) -> Model:
     """The model: ids counted and gradient steps taken on every row of docs(text)."""
-    spark, docs = docs.sparkSession, docs.select("text")
+    spark = docs.sparkSession
+    vocabulary = encoder(path).tokenizer.get_vocab_size()
+    kind = np.uint16 if vocabulary <= 1 << 16 else np.uint32
+    stored = _stored_ids(docs, path, kind)
 
-    def ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << 17, np.int64)
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(vocabulary, np.int64)
         for batch in batches:
-            for _, _, data, offs in _texts(batch):
-                for got in ids_of(_rows(data, offs), path):
-                    np.add.at(total, got, 1)
+            for row in batch.column("ids").to_pylist():
+                total += np.bincount(np.frombuffer(row, kind), minlength=vocabulary)
         found = np.flatnonzero(total)
         yield pa.record_batch([pa.array(found), pa.array(total[found])], ["id", "n"])
 
-    counts = np.zeros(encoder(path).tokenizer.get_vocab_size())
-    for r in docs.mapInArrow(ids, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():  # at most the vocabulary
+    counts = np.zeros(vocabulary)
+    for r in stored.select("ids").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():  # at most the vocabulary
         counts[r["id"]] = r["n"]
     model = Model(counts)
     for turn in range(ROUNDS):
@@ -311,14 +363,14 @@ def fit(docs: DataFrame, path: str) -> Model:
             own = shared.value
             p, n = {k: x.copy() for k, x in own.p.items()}, 0
             for batch in batches:
-                for _, _, data, offs in _texts(batch):
-                    w = own.lay_out(ids_of(_rows(data, offs), path))
+                for ids, many in zip(batch.column("ids").to_pylist(), batch.column("many").to_pylist(), strict=True):
+                    w = own.lay_out(np.split(np.frombuffer(ids, kind), np.cumsum(np.frombuffer(many, np.int64))[:-1]))
                     train(p, w, rate, EPOCHS, turn)
                     n += len(w.target)
             if n:
                 yield pa.record_batch([pa.array([n]), pa.array([np.concatenate([x.ravel() for x in p.values()]).tobytes()], pa.binary())], ["n", "p"])
 
-        weight, flat = _averaged(docs.mapInArrow(steps, "n long, p binary"))
+        weight, flat = _averaged(stored.mapInArrow(steps, "n long, p binary"))
         if weight:
             at = 0
             for k, x in model.p.items():

@@ -553,6 +553,25 @@ def test_lm_gradients_and_learning():
         assert g[name][at] == pytest.approx(numeric(f, q, name, at, 1e-3), rel=0.05)
 
 
+def test_training_texts_are_encoded_once_for_all_passes(spark):
+    path = public_tokenizers.path(token_grammar.TOKENIZER)
+    rows = [(i, t) for i, t in enumerate(["Some words", None, "", "more words here " * 40, "é 中 words"])]
+    stored = lm_score._stored_ids(spark.createDataFrame(rows, DOC), path, np.uint16).collect()
+    got = [x.tolist() for r in stored for x in np.split(np.frombuffer(r["ids"], np.uint16), np.cumsum(np.frombuffer(r["many"], np.int64))[:-1])]
+    assert sorted(got) == sorted(x.tolist() for x in lm_score.ids_of([(t or "").encode() for _, t in rows], path))
+
+
+def test_tokens_whose_scores_lie_far_apart():
+    """Each token's softmax is its own: one with scores of 200 leaves those of the others alone."""
+    p = {k: x.astype(np.float32) for k, x in lm_score.start().items()}
+    p["G"][:], p["g"][:], p["M"][:], p["m"][:] = 0, 0, 0, 0
+    p["G"][0, 3] = 200
+    h = np.zeros((2, lm_score.HIDDEN), np.float32)
+    h[1, 0] = 1
+    got = lm_score.log_probs(p, h, np.array([5, 3 * lm_score.MEMBERS]))
+    assert got == pytest.approx([-np.log(lm_score.SLOTS), -np.log(lm_score.MEMBERS)], abs=1e-4)
+
+
 # ---------------------------------------------------------------- pipeline
 
 
