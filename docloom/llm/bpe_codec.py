@@ -28,6 +28,9 @@ RANKS = "byte_bpe_multi_50k.tiktoken"
 #: Words that a Python worker remembers, in two generations. Results don't depend on it.
 REMEMBERED = 500_000
 
+#: Pre-tokens that share a queue at most; each has less than 64 characters.
+TOGETHER = 50_000
+
 _ODD_SPACE = re.compile(r"\s ")
 _LONE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 
@@ -44,10 +47,20 @@ class Codec:
         self.buckets: dict[int, list[int]] = {}
         self.leaf = [0] * ((most >> 8) + 1)
         self.of_two = [self.ranks.get(bytes((x, y)), -1) for x in range(256) for y in range(256)]
+        self.two = np.array(self.of_two)
         self.split = regex.compile(pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")).findall
         self.remembered = remembered
         self.words = _Words(self)
         self.pieces: dict[str, bytes] = {}
+        get = self.ranks.get
+        pairs = [
+            (left, right, rank)
+            for token, rank in self.ranks.items()
+            for i in range(1, len(token))
+            if (left := get(token[:i])) is not None and (right := get(token[i:])) is not None
+        ]
+        made = np.array(pairs, np.int64).reshape(-1, 3)
+        self.after, self.before = _Pairs(made[:, 0], made[:, 1], made[:, 2], most + 1), _Pairs(made[:, 1], made[:, 0], made[:, 2], most + 1)
         spelled = {rank: token for token, rank in self.ranks.items()}
         n = max(spelled) + 1
         self.table = _Table([spelled.get(i, b"") for i in range(n)])
@@ -122,6 +135,126 @@ class Codec:
             i = end[i]
         return out
 
+    def merge_together(self, pieces: list[bytes]) -> list[bytes]:
+        """Ids of each of many pre-tokens, as little-endian 32-bit integers, by one queue."""
+        none = len(self.leaf) << 8  # the token of the gaps between pieces, which no pair holds
+        data = np.frombuffer(b"\0" + b"\0".join(pieces) + b"\0", np.uint8)
+        size = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        ends = np.cumsum(size + 1)  # the gap after each piece
+        token = np.array([self.ranks.get(bytes((x,)), -1) for x in range(256)])[data]
+        token[0] = token[ends] = none
+        if (token < 0).any():
+            raise KeyError("a byte without a rank")
+        word = np.repeat(np.arange(-1, len(pieces)), np.concatenate([[1], size + 1]))
+        n = len(data)
+        after, back = np.arange(1, n + 1), np.arange(-1, n)  # starts of the parts around the part that starts here
+        pair = np.full(n, -1)  # rank of the part that starts here merged with its successor, or -1
+        pair[:-1] = self.two[data[:-1].astype(np.int64) << 8 | data[1:]]
+        pair[0] = pair[ends] = pair[ends - 1] = -1
+        at = np.flatnonzero(pair >= 0)
+        at = at[np.argsort(pair[at], kind="stable")]
+        found, cuts = np.unique(pair[at], return_index=True)
+        buckets, leaf, top = self.buckets, self.leaf, 0  # all empty here
+        for rank, own in zip(found.tolist(), np.split(at, cuts[1:]), strict=False):
+            buckets[rank] = own.tolist()
+            leaf[rank >> 8] |= 1 << (rank & 255)
+            top |= 1 << (rank >> 8)
+        while top:
+            a = (top & -top).bit_length() - 1  # find first set, level by level
+            bits = leaf[a]
+            rank = a << 8 | (bits & -bits).bit_length() - 1
+            i = np.array(buckets.pop(rank))
+            i = i[pair[i] == rank]  # others are stale
+            later = ()
+            if len(i) > 1:
+                i.sort()
+                own = word[i]
+                first = np.concatenate([[True], own[1:] != own[:-1]])
+                if not first.all():
+                    later, i = i[~first].tolist(), i[first]
+            if later:
+                buckets[rank] = later
+            else:
+                bits &= bits - 1
+                leaf[a] = bits
+                if not bits:
+                    top &= top - 1
+            if not len(i):
+                continue
+            j = after[i]
+            stop = after[j]
+            h = back[i]
+            token[i] = rank
+            after[i] = stop
+            back[stop] = i
+            pair[j] = -1
+            pair[i] = now = self.after.find(rank, token[stop])
+            pair[h] = old = self.before.find(rank, token[h])
+            for own, ranks in ((i, now), (h, old)):
+                fresh = np.flatnonzero(ranks >= 0)
+                for x, rank in zip(own[fresh].tolist(), ranks[fresh].tolist(), strict=True):
+                    bucket = buckets.get(rank)
+                    if bucket is None:
+                        buckets[rank] = [x]
+                        a = rank >> 8
+                        leaf[a] |= 1 << (rank & 255)
+                        top |= 1 << a
+                    else:
+                        bucket.append(x)
+        held = np.zeros(n, bool)  # where parts start: followed from all pieces' starts together
+        at = ends - size
+        while len(at):
+            held[at] = True
+            at = after[at]
+            at = at[token[at] != none]
+        at = np.flatnonzero(held)
+        ids, to = token[at].astype("<u4").tobytes(), (np.searchsorted(at, ends) * 4).tolist()
+        return [ids[x:y] for x, y in zip([0, *to], to, strict=False)]
+
+    def _split_words(self, words: list[str]) -> list[list[str]]:
+        """Pre-tokens of each word after a space. Words without white space are split as one text: each begins with a space."""
+        got = self.split(" " + " ".join(words))
+        starts = [i for i, p in enumerate(got) if p[0] == " "]
+        if len(starts) != len(words):
+            return [self.split(" " + w) for w in words]
+        return [got[a:b] for a, b in zip(starts, [*starts[1:], len(got)], strict=True)]
+
+    def learn(self, cuts: list[list[str]]) -> None:
+        """Remembers the words of many texts, as `_cut` gives them; new ones are worked out together, but for very long ones."""
+        words, older, pieces = self.words, self.words.older, self.pieces
+        met: set[str] = set()
+        for own in cuts:
+            met.update(own[1:])
+        new = [w for w in met if w not in words and w not in older and len(w) < 64]
+        odd = [w for w in new if w.split() != [w]]
+        if odd:
+            apart = set(odd)
+            new = [w for w in new if w not in apart]
+        cut = self._split_words(new) if new else []
+        new += odd
+        cut += [self.split(" " + w) for w in odd]
+        fresh = {p for own in cut for p in own if p not in pieces and not (p[0] == " " and (p[1:] in words or p[1:] in older))}
+        if len(pieces) + len(fresh) >= 100_000:
+            fresh.update(p for own in cut for p in own if p in pieces)
+            pieces.clear()
+        some = list(fresh)
+        got: dict[str, bytes] = {}
+        coded = [p.encode() for p in some]
+        whole = [self.ranks.get(p) for p in coded]
+        got.update((p, pack("<I", rank)) for p, rank in zip(some, whole, strict=True) if rank is not None)
+        rest = [i for i, rank in enumerate(whole) if rank is None]
+        for a in range(0, len(rest), TOGETHER):
+            own = rest[a : a + TOGETHER]
+            got.update(zip([some[i] for i in own], self.merge_together([coded[i] for i in own]), strict=True))
+        for p, ids in got.items():
+            if p[0] == " ":
+                words[p[1:]] = ids
+            else:
+                pieces[p] = ids
+        for w, own in zip(new, cut, strict=True):
+            if len(own) > 1:
+                words[w] = b"".join([(words.get(p[1:]) or older[p[1:]]) if p[0] == " " else pieces[p] for p in own])
+
     def chunk(self, text: str) -> bytes:
         """Ids, as little-endian 32-bit integers, of text that starts and ends at pre-token borders."""
         out = []
@@ -143,7 +276,15 @@ class Codec:
     def encode(self, text: str) -> bytes:
         """Ids of a whole text. A space between two non-spaces always begins a pre-token, so the text is
         cut there first and repeated words are looked up."""
-        words = _LONE_SPACE.split(text) if _ODD_SPACE.search(text) else text.split(" ")
+        return self._looked_up(_cut(text))
+
+    def encode_together(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text; their new words are worked out together."""
+        cuts = [_cut(t) for t in texts]
+        self.learn(cuts)
+        return [self._looked_up(own) for own in cuts]
+
+    def _looked_up(self, words: list[str]) -> bytes:
         first = self.chunk(words[0])
         del words[0]
         if len(self.words) >= self.remembered // 2:
@@ -154,6 +295,30 @@ class Codec:
         return self.table.spell(ids)[0]
 
 
+def _cut(text: str) -> list[str]:
+    """A text cut at each space between two non-spaces."""
+    return _LONE_SPACE.split(text) if _ODD_SPACE.search(text) else text.split(" ")
+
+
+class _Pairs:
+    """Tokens' partners on one side, in order, and the ranks of what they make together."""
+
+    def __init__(self, token: np.ndarray, partner: np.ndarray, rank: np.ndarray, n: int):
+        order = np.lexsort((partner, token))
+        self.partners, self.ranks = partner[order], rank[order]
+        self.at = np.searchsorted(token[order], np.arange(n + 1)).tolist()
+
+    def find(self, token: int, partners: np.ndarray) -> np.ndarray:
+        """Ranks of one token with each of many partners; -1 where they make none."""
+        a, b = self.at[token], self.at[token + 1]
+        if a == b:
+            return np.full(len(partners), -1)
+        place = self.partners[a:b].searchsorted(partners)
+        place[place == b - a] = 0
+        place += a
+        return np.where(self.partners[place] == partners, self.ranks[place], -1)
+
+
 class _Words(dict):
     """Ids of words that follow a space, worked out when first asked for. Words of the generation before are asked before that;
     those not asked for during a whole generation are forgotten."""
@@ -214,7 +379,7 @@ def encode(docs: DataFrame, path: str | None = None, text: str = "text", out: st
         common.work_for("bpe")
         own = codec(path)
         for batch in batches:
-            ids = [own.encode(t or "") for t in batch.column(text).to_pylist()]
+            ids = own.encode_together([t or "" for t in batch.column(text).to_pylist()])
             offs = np.cumsum([0, *map(len, ids)]) // 4
             values = pa.Array.from_buffers(pa.int32(), int(offs[-1]), [None, pa.py_buffer(b"".join(ids))])
             made = pa.ListArray.from_arrays(pa.array(offs, pa.int32()), values)

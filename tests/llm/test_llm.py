@@ -264,6 +264,42 @@ def test_bpe_is_the_librarys(bpe, text):
     assert bpe[0].decode(ids).tobytes() == text.encode()
 
 
+@given(st.lists(st.text(alphabet="aabbc e'stl\n\t\r12½é中　\xa0\x85\x1c\x00!?#_́😀ß", max_size=40), max_size=5))
+@settings(max_examples=200, deadline=None)
+def test_words_learnt_together_are_the_librarys(bpe, texts):
+    codec, library = bpe
+    for memory in (codec.words, codec.words.older, codec.pieces):
+        memory.clear()
+    for text, ids in zip(texts, codec.encode_together(texts), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == library.encode_ordinary(text)
+    pieces = [x.encode() for t in texts for x in codec.split(t)] + [b"ab" * 200, b"a" * 301]
+    pieces = [x for x in pieces if x not in codec.ranks]
+    assert [np.frombuffer(x, "<u4").tolist() for x in codec.merge_together(pieces)] == [codec.merge(x) for x in pieces]
+    assert not codec.buckets and not any(codec.leaf)
+
+
+def test_new_words_of_a_batch_share_a_queue(bpe, monkeypatch):
+    r = np.random.default_rng(5)
+    texts = ["a " + " ".join("".join(r.choice(list("aeioustrnl"), 9)) + m for m in ("", ",", ".", "é")) for _ in range(50)]
+    called, merge = [], bpe[0].merge
+    monkeypatch.setattr(bpe[0], "merge", lambda piece: called.append(piece) or merge(piece))
+    assert [np.frombuffer(x, "<u4").tolist() for x in bpe[0].encode_together(texts)] == [bpe[1].encode_ordinary(t) for t in texts]
+    assert len(called) <= 1  # the head of the texts
+
+
+def test_queue_where_a_later_merge_has_an_earlier_rank(tmp_path):
+    """A rank file whose pairs make tokens of lower ranks than their parts: the leftmost of the lowest rank goes first."""
+    tokens = [bytes((x,)) for x in range(256)] + [b"abc", b"bc", b"bcbc", b"ab", b"cb", b"abca"]
+    path = tmp_path / "ranks"
+    path.write_bytes(b"".join(base64.b64encode(t) + b" %d\n" % i for i, t in enumerate(tokens)))
+    codec = bpe_codec.Codec(str(path))
+    library = tiktoken.Encoding("odd", pat_str=public_tokenizers.PATTERN, mergeable_ranks=codec.ranks, special_tokens={})
+    r = np.random.default_rng(2)
+    pieces = ["".join(r.choice(list("abc"), r.integers(1, 30))) for _ in range(500)]
+    got = codec.merge_together([p.encode() for p in pieces])
+    assert [codec.ranks.get(p.encode()) or np.frombuffer(x, "<u4").tolist() for p, x in zip(pieces, got, strict=True)] == [codec.ranks.get(p.encode()) or library.encode_ordinary(p) for p in pieces]
+
+
 def test_very_long_pre_token(bpe):
     text = "ab" * 20000 + "a" * 30000
     assert np.frombuffer(bpe[0].encode(text), "<u4").tolist() == bpe[1].encode_ordinary(text)
