@@ -48,7 +48,7 @@ def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, n_tokens, ids, and digests of the ids and of the bytes decoded from them."""
-    decoded = bpe_codec.decode(bpe_codec.encode(docs.select("doc_id", "lang", "source", "text")))
+    decoded = bpe_codec.encode_and_decode(docs.select("doc_id", "lang", "source", "text"))
     return decoded.select(
         "doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids",
         F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),

@@ -50,8 +50,7 @@ class Codec:
         self.two = np.array(self.of_two)
         self.split = regex.compile(pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")).findall
         self.remembered = remembered
-        self.words = _Words(self)
-        self.pieces: dict[str, bytes] = {}
+        self.forget()
         get = self.ranks.get
         pairs = [
             (left, right, rank)
@@ -65,6 +64,11 @@ class Codec:
         n = max(spelled) + 1
         self.table = _Table([spelled.get(i, b"") for i in range(n)])
 
+    def forget(self) -> None:
+        """Remembers no words. Spark takes the workers of an executor in turn, so what one keeps between tasks all of them keep."""
+        self.words = _Words(self)
+        self.pieces: dict[str, bytes] = {}
+
     def merge(self, piece: bytes) -> list[int]:
         """Ids of one pre-token."""
         whole = self.ranks.get(piece)
@@ -365,6 +369,22 @@ def codec(path: str) -> Codec:
 common.remembers("bpe", codec.cache_clear)
 
 
+def _lists(ids: list[bytes]) -> pa.ListArray:
+    offs = np.cumsum([0, *map(len, ids)]) // 4
+    values = pa.Array.from_buffers(pa.int32(), int(offs[-1]), [None, pa.py_buffer(b"".join(ids))])
+    return pa.ListArray.from_arrays(pa.array(offs, pa.int32()), values)
+
+
+def _spelled(own: Codec, column: pa.ListArray) -> Iterator[tuple[int, int, pa.Array]]:
+    """Runs of rows of a column of ids, and their bytes."""
+    rows = column.offsets.to_numpy().astype(np.int64)
+    values = column.values.to_numpy(zero_copy_only=False)
+    for a, b in common.byte_runs(rows * 4):
+        data, ends = own.table.spell(values[rows[a] : rows[b]])
+        made = pa.Array.from_buffers(pa.large_binary(), b - a, [None, pa.py_buffer(ends[rows[a : b + 1] - rows[a]].copy()), pa.py_buffer(data)])
+        yield a, b, made.cast(pa.binary())
+
+
 def encode(docs: DataFrame, path: str | None = None, text: str = "text", out: str = "ids") -> DataFrame:
     """All columns of docs but `text`, and `out`: array<int> of the text's ids, special tokens unused.
 
@@ -379,10 +399,7 @@ def encode(docs: DataFrame, path: str | None = None, text: str = "text", out: st
         common.work_for("bpe")
         own = codec(path)
         for batch in batches:
-            ids = own.encode_together([t or "" for t in batch.column(text).to_pylist()])
-            offs = np.cumsum([0, *map(len, ids)]) // 4
-            values = pa.Array.from_buffers(pa.int32(), int(offs[-1]), [None, pa.py_buffer(b"".join(ids))])
-            made = pa.ListArray.from_arrays(pa.array(offs, pa.int32()), values)
+            made = _lists(own.encode_together([t or "" for t in batch.column(text).to_pylist()]))
             yield pa.record_batch([*(batch.column(f.name) for f in kept), made], [*(f.name for f in kept), out])
 
     from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
@@ -401,18 +418,36 @@ def decode(encoded: DataFrame, path: str | None = None, ids: str = "ids", out: s
         for batch in batches:
             column = batch.column(ids)
             column = column.fill_null([]) if column.null_count else column
-            rows = column.offsets.to_numpy().astype(np.int64)
-            values = column.values.to_numpy(zero_copy_only=False)
-            for a, b in common.byte_runs(rows * 4):
-                data, ends = own.table.spell(values[rows[a] : rows[b]])
-                made = pa.Array.from_buffers(pa.large_binary(), b - a, [None, pa.py_buffer(ends[rows[a : b + 1] - rows[a]].copy()), pa.py_buffer(data)])
-                yield pa.record_batch([*(batch.column(f.name).slice(a, b - a) for f in kept), made.cast(pa.binary())], [*(f.name for f in kept), out])
+            for a, b, made in _spelled(own, column):
+                yield pa.record_batch([*(batch.column(f.name).slice(a, b - a) for f in kept), made], [*(f.name for f in kept), out])
 
     from pyspark.sql.types import BinaryType, StructField, StructType
 
     return encoded.select(*(F.col(f"`{f.name}`") for f in kept)).mapInArrow(run, StructType([*kept, StructField(out, BinaryType())]))
 
 
+def encode_and_decode(docs: DataFrame, path: str | None = None, text: str = "text", ids: str = "ids", out: str = "decoded") -> DataFrame:
+    """What decode(encode(docs)) returns, by one Python worker a task: two would each hold a codec and its memory of words."""
+    path = path or public_tokenizers.path(RANKS)
+    common.bound_batches(docs.sparkSession)
+    kept = [f for f in docs.schema if f.name not in (text, ids, out)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.work_for("bpe")
+        own = codec(path)
+        for batch in batches:
+            lists = _lists(own.encode_together([t or "" for t in batch.column(text).to_pylist()]))
+            for a, b, made in _spelled(own, lists):
+                yield pa.record_batch([*(batch.column(f.name).slice(a, b - a) for f in kept), lists.slice(a, b - a), made], [*(f.name for f in kept), ids, out])
+        own.forget()
+        common.give_back()
+
+    from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructField, StructType
+
+    schema = StructType([*kept, StructField(ids, ArrayType(IntegerType())), StructField(out, BinaryType())])
+    return docs.select(*(F.col(f"`{f.name}`") for f in kept), F.col(text)).mapInArrow(run, schema)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     encoded = encode(common.table(spark, sf_dir, "documents").select("doc_id", "text"))
     return decode(encoded).select(

@@ -50,6 +50,11 @@ def work_for(owner: str) -> None:
                 forget()
         _powers.clear()
         _user = owner
+    give_back()
+
+
+def give_back() -> None:
+    """Called when a task begins, and at the end of one whose memory an idle worker needn't keep."""
     gc.collect()
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):  # where the C library has it, freed memory goes back to the system

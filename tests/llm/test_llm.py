@@ -311,11 +311,24 @@ def test_bpe_on_a_table(spark, bpe):
     got = bpe_codec.decode(bpe_codec.encode(df)).collect()
     assert sorted((str(r["doc_id"]), bytes(r["decoded"]).decode()) for r in got) == sorted((str(i), t or "") for i, t in rows)
     assert bpe_codec.encode(spark.createDataFrame([], DOC)).count() == 0
+    both = bpe_codec.encode_and_decode(df)
+    assert sorted(both.collect(), key=str) == sorted(got, key=str) and both.columns == bpe_codec.decode(bpe_codec.encode(df)).columns
+    assert bpe_codec.encode_and_decode(spark.createDataFrame([], DOC)).count() == 0
     digest = {r["doc_id"]: r["ids_sha256"] for r in QUERIES["op4_byte_bpe"](spark, SF).collect()}
     for r in spark.read.parquet(f"{SF}/documents.parquet").limit(30).collect():
         assert digest[r["doc_id"]] == hashlib.sha256(",".join(map(str, bpe[1].encode_ordinary(r["text"]))).encode()).hexdigest()
 
 
+def test_tokens_stage_takes_one_python_worker_a_task(spark):
+    """Two in a task held two codecs with their memories of words, and Spark's turns gave such memories to all of an executor's workers."""
+    import corpus_pipeline
+
+    docs = spark.createDataFrame([(1, "en", "a", "One two  three"), (2, None, None, None)], "doc_id long, lang string, source string, text string")
+    tokens = corpus_pipeline.encode_tokens(spark, docs, "")
+    assert tokens._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    assert {r["doc_id"]: r["n_tokens"] for r in tokens.collect()}[2] == 0
+
+
 # ---------------------------------------------------------------- 5 quality
 
 
