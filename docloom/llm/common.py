@@ -111,6 +111,8 @@ def _randoms(seed: int, n: int) -> np.ndarray:
 
 
 _BYTE = _randoms(1, 256)[_LOWER]
+#: For word_hashes: bytes as they are.
+CASED = _randoms(1, 256)
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 2**64)
 _powers: dict[int, np.ndarray] = {}
@@ -157,11 +159,11 @@ def word_bounds(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndar
     return starts, ends, np.searchsorted(starts, offs)
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word with A-Z lower-cased; equal words, equal hashes, on any machine."""
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, values: np.ndarray = _BYTE) -> np.ndarray:
+    """A 64-bit hash of each word with A-Z lower-cased; equal words, equal hashes, on any machine. values: a number for each byte."""
     if not len(starts):
         return np.zeros(0, U64)
     total = np.empty(len(data) + 1, U64)
     total[0] = 0
-    np.cumsum(_BYTE[data] * _power(_BASE, len(data)), out=total[1:])
+    np.cumsum(values[data] * _power(_BASE, len(data)), out=total[1:])
     return mix((total[ends] - total[starts]) * _power(_INVERSE, len(data))[starts] + (ends - starts).astype(U64))

@@ -10,6 +10,7 @@ for, so any stretch of a document is decoded from those symbols and the rules al
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -31,15 +32,19 @@ END = 2
 SHARD_IDS = 1_000_000
 #: A round replaces the pairs that are at least 1 / FALL as frequent as the most frequent one.
 FALL = 256
-REMEMBERED = 1_000_000
+#: Pieces that a worker remembers, about 50 bytes each. Results don't depend on it.
+REMEMBERED = 2_000_000
 #: Bits of the table that says which pairs occur twice.
 _SEEN = 22
 
-#: White space, as Python's \s has it, before a space.
-_ODD_SPACE = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}] "
+#: White space, as Python's \s has it; before a space; at a piece's edge, or an empty piece.
+_WHITE = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+_ODD_SPACE = _WHITE + " "
+_AT_EDGE = rf"^{_WHITE}|{_WHITE}$|^$"
+_ASCII_WORDS = re.compile(r"(?: [A-Za-z]+)+")
 _LONE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 #: Latin letters, then marks that are neither letters, digits nor white space; an apostrophe may begin a pre-token of letters.
-_LETTERS = re.compile(r"([A-Za-zÀ-ÖØ-öø-ɏ]+)([!-&(-/:-@\[-`{-~¡-©«-±´·¸»¿×÷‐-‧‰-⁞]*)")
+_LETTERS = r"^(?P<core>[A-Za-zÀ-ÖØ-öø-ɏ]+)(?P<tail>[!-&(-/:-@\[-`{-~¡-©«-±´·¸»¿×÷‐-‧‰-⁞]+)$"
 
 
 # ---------------------------------------------------------------- ids
@@ -58,56 +63,97 @@ class Encoder:
         vocabulary = self.tokenizer.get_vocab()
         self.spaced = np.zeros(max(vocabulary.values(), default=0) + 1, bool)  # ids that begin with a space
         self.spaced[[i for t, i in vocabulary.items() if t.startswith("Ġ")]] = True
+        self.bare = self._without_splits(path)
         self.forget()
 
+    @staticmethod
+    def _without_splits(path: str) -> tokenizers.Tokenizer | None:
+        """The tokenizer with pre-tokens given, one after each space, where it is byte-level, doesn't change texts and cuts them by the usual
+        pattern: there letters with a space before them are one pre-token."""
+        with open(path, encoding="utf-8") as file:
+            own = json.load(file)
+        split = own.get("pre_tokenizer") or {}
+        if own.get("normalizer") or split.get("type") != "ByteLevel" or split.get("add_prefix_space") or not split.get("use_regex", True):
+            return None
+        bare = tokenizers.Tokenizer.from_file(path)
+        bare.pre_tokenizer = tokenizers.pre_tokenizers.CharDelimiterSplit(" ")
+        return bare
+
     def forget(self) -> None:
-        self.words: dict[str, int] = {}  # pieces that follow a space, numbered
+        self.known = 0  # pieces that follow a space, numbered
         self.flat, self.used = np.zeros(1 << 16, np.uint32), 0  # their ids, one piece after another
-        self.starts, self.lengths = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+        self.starts, self.lengths = np.zeros(1 << 14, np.int32), np.zeros(1 << 14, np.int32)
+        self.bytes, self.held = np.zeros(1 << 16, np.uint8), 0  # their bytes, likewise
+        self.byte_starts, self.byte_lengths = np.zeros(0, np.int32), np.zeros(0, np.int32)
+        self.hashes, self.place = np.zeros(0, np.uint64), np.zeros(0, np.int32)  # hashes of their bytes, in order, and their numbers
 
     def spell(self, pieces: list[str]) -> list[np.ndarray]:
         """Ids of each piece by itself."""
+        if self.bare is not None and len(pieces) == 1 and _ASCII_WORDS.fullmatch(pieces[0]):
+            return [np.array(self.bare.encode_batch_fast([pieces[0].replace(" ", " Ġ")], add_special_tokens=False)[0].ids, np.uint32)]
         return [np.array(g.ids, np.uint32) for g in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
 
-    def _learn(self, pieces: list[str]) -> None:
-        """Numbers pieces that follow a space and keeps their ids. Letters before one run of other marks are two pre-tokens: their ids
-        are those of the letters, which are learnt once for all marks, and those of the marks."""
-        whole: dict[str, None] = {}
-        tailed: list[str] = []
-        cores: list[str] = []
-        tails: list[str] = []
-        for w in pieces:
-            found = _LETTERS.fullmatch(w)
-            if found is None or not found[2]:
-                whole[w] = None
-                continue
-            core, tail = found.groups()
-            if core not in self.words:
-                whole[core] = None
-            tailed.append(w)
-            cores.append(core)
-            tails.append(tail)
-        if whole:
-            tight = [w for w in whole if w and not w[0].isspace() and not w[-1].isspace()]
-            self._keep(tight, *self._joined(tight))
-            if len(tight) < len(whole):
-                rest = [w for w in whole if not w or w[0].isspace() or w[-1].isspace()]
-                self._keep(rest, *_flat(self.spell([" " + w for w in rest])))
-        if tailed:
-            kinds = {t: i for i, t in enumerate(dict.fromkeys(tails))}
+    def _find(self, pieces: pa.Array) -> np.ndarray:
+        """Numbers of pieces that follow a space, -1 for those not known: by hashes, then by all their bytes."""
+        data, offs, hashes = _hashed(pieces)
+        if not self.known or not len(hashes):
+            return np.full(len(hashes), -1)
+        order = np.argsort(hashes)
+        at = np.empty(len(hashes), np.int64)
+        at[order] = self.hashes.searchsorted(hashes[order])
+        at[at == len(self.hashes)] = 0
+        size = np.diff(offs)
+        met = np.flatnonzero(self.hashes[at] == hashes)
+        found = self.place[at[met]]
+        met, found = (x[self.byte_lengths[found] == size[met]] for x in (met, found))
+        differ = self.bytes[_runs(self.byte_starts[found], size[met])] != data[_runs(offs[met], size[met])]
+        if differ.any():
+            same = np.ones(len(met), bool)
+            same[np.searchsorted(np.cumsum(size[met]), np.flatnonzero(differ), "right")] = False
+            met, found = met[same], found[same]
+        out = np.full(len(hashes), -1)
+        out[met] = found
+        return out
+
+    def _learn(self, pieces: pa.Array) -> np.ndarray:
+        """Numbers distinct pieces that follow a space and keeps their ids. Letters before one run of other marks are two pre-tokens:
+        their ids are those of the letters, which are learnt once for all marks, and those of the marks."""
+        parts = pc.extract_regex(pieces, _LETTERS)
+        tailed = pc.is_valid(parts).to_numpy(zero_copy_only=False)
+        cut = parts.filter(pa.array(tailed))
+        cores, tails = cut.field("core").dictionary_encode(), cut.field("tail").dictionary_encode()
+        of_core = self._find(cores.dictionary)
+        new = np.flatnonzero(of_core < 0)
+        plain = pieces.filter(pa.array(~tailed))
+        whole = pa.concat_arrays([plain, cores.dictionary.take(pa.array(new))]).dictionary_encode()
+        edged = pc.match_substring_regex(whole.dictionary, _AT_EDGE).to_numpy(zero_copy_only=False)
+        number = np.empty(len(edged), np.int64)
+        ascii_only = pc.match_substring_regex(whole.dictionary, "^[A-Za-z]+$").to_numpy(zero_copy_only=False)
+        for tight in (ascii_only, ~edged & ~ascii_only):
+            own = whole.dictionary.filter(pa.array(tight))
+            number[tight] = self._keep(own, *self._joined(own.to_pylist()))
+        if edged.any():
+            rest = whole.dictionary.filter(pa.array(edged))
+            number[edged] = self._keep(rest, *_flat(self.spell([" " + w for w in rest.to_pylist()])))
+        number = number[whole.indices.to_numpy()]
+        out = np.empty(len(pieces), np.int64)
+        out[~tailed], of_core[new] = number[: len(plain)], number[len(plain) :]
+        if len(cut):
+            kinds = tails.dictionary.to_pylist()
             for t in kinds:
                 if t not in self.marks:
                     self.marks[t] = self.spell([t])[0]
             marks, many = _flat([self.marks[t] for t in kinds])
-            kind = np.fromiter((kinds[t] for t in tails), np.int64, len(tails))
-            place = np.fromiter((self.words[c] for c in cores), np.int64, len(cores))
+            kind = tails.indices.to_numpy()
+            place = of_core[cores.indices.to_numpy()]
             size, more = self.lengths[place], many[kind]
             lengths = size + more
             to = np.cumsum(lengths) - lengths
             ids = np.empty(int(lengths.sum()), np.uint32)
             ids[_runs(to, size)] = self.flat[_runs(self.starts[place], size)]
             ids[_runs(to + size, more)] = marks[_runs((np.cumsum(many) - many)[kind], more)]
-            self._keep(tailed, ids, lengths)
+            out[tailed] = self._keep(pieces.filter(pa.array(tailed)), ids, lengths)
+        return out
 
     def _joined(self, pieces: list[str], most: int = 20_000) -> tuple[np.ndarray, np.ndarray]:
         """Ids of pieces that neither begin nor end with white space, each after a space, and how many each has. Up to `most` are
@@ -125,15 +171,27 @@ class Encoder:
             lengths.append(many)
         return np.concatenate(ids), np.concatenate(lengths)
 
-    def _keep(self, pieces: list[str], ids: np.ndarray, lengths: np.ndarray) -> None:
-        n = len(self.words)
+    def _keep(self, pieces: pa.Array, ids: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """Their numbers."""
         self._put(ids, lengths)
-        self.words.update(zip(pieces, range(n, n + len(pieces)), strict=True))
         self.used += len(ids)
+        data, offs, hashes = _hashed(pieces)
+        while self.held + len(data) > len(self.bytes):
+            self.bytes = np.concatenate([self.bytes, np.zeros_like(self.bytes)])
+        self.bytes[self.held : self.held + len(data)] = data
+        self.byte_starts = np.concatenate([self.byte_starts, (self.held + offs[:-1]).astype(np.int32)])
+        self.byte_lengths = np.concatenate([self.byte_lengths, np.diff(offs).astype(np.int32)])
+        self.held += len(data)
+        numbers = self.known + np.arange(len(hashes))
+        order = np.argsort(hashes)
+        at = self.hashes.searchsorted(hashes[order])
+        self.hashes, self.place = np.insert(self.hashes, at, hashes[order]), np.insert(self.place, at, numbers[order])
+        self.known += len(hashes)
+        return numbers
 
     def _put(self, ids: np.ndarray, lengths: np.ndarray) -> None:
         """Writes ids of further pieces behind those of the known ones."""
-        n, to = len(self.words), len(self.words) + len(lengths)
+        n, to = self.known, self.known + len(lengths)
         while to > len(self.starts):
             self.starts, self.lengths = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.lengths))
         while self.used + len(ids) > len(self.flat):
@@ -142,17 +200,16 @@ class Encoder:
         self.lengths[n:to] = lengths
         self.starts[n:to] = self.used + np.cumsum(lengths) - lengths
 
-    def numbers(self, pieces: list[str]) -> np.ndarray:
+    def numbers(self, pieces: pa.Array | list[str]) -> np.ndarray:
         """Numbers of distinct pieces that follow a space; new ones are learnt. A full memory is begun anew."""
-        if len(self.words) > REMEMBERED:
+        if not isinstance(pieces, pa.Array):
+            pieces = pa.array(pieces, pa.large_string())
+        if self.known > REMEMBERED:
             self.forget()
-        get, n = self.words.get, len(self.words)
-        found = np.fromiter((get(w, -1) for w in pieces), np.int64, len(pieces))
+        found = self._find(pieces)
         new = np.flatnonzero(found < 0)
         if len(new):
-            self._learn([pieces[i] for i in new.tolist()])
-            get = self.words.__getitem__
-            found[new] = np.fromiter((get(pieces[i]) for i in new.tolist()), np.int64, len(new))
+            found[new] = self._learn(pieces.take(pa.array(new)))
         return found
 
     def words_of(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -162,7 +219,7 @@ class Encoder:
         many = np.diff(cut.offsets.to_numpy().astype(np.int64))
         many[[not t for t in texts]] = 0
         coded = cut.values.filter(pc.not_equal(cut.values, "")).dictionary_encode()
-        place = self.numbers(coded.dictionary.to_numpy(zero_copy_only=False).tolist())[coded.indices.to_numpy()]
+        place = self.numbers(coded.dictionary)[coded.indices.to_numpy()]
         size = self.lengths[place]
         return self.flat[_runs(self.starts[place], size)], size, many
 
@@ -182,12 +239,12 @@ class Encoder:
         at = cut.offsets.to_numpy().astype(np.int64)
         heads = cut.values.take(pa.array(at[:-1])).to_pylist()
         coded = cut.values.dictionary_encode()
-        place = self.numbers(coded.dictionary.to_numpy(zero_copy_only=False).tolist())[coded.indices.to_numpy()]
+        place = self.numbers(coded.dictionary)[coded.indices.to_numpy()]
         own = [*(whole.get(i, None) for i in range(len(texts)))]
         spelled = iter(self.spell([h for h, w in zip(heads, own, strict=True) if w is None]))
         first = [w if w is not None else next(spelled) for w in own]
         # each text's first piece, then the end, behind the known pieces
-        n = len(self.words)
+        n = self.known
         self._put(*_flat([*first, np.array([end], np.uint32)]))
         place[at[:-1]] = n + np.arange(len(texts))
         place = np.insert(place, at[1:], n + len(texts))
@@ -195,6 +252,12 @@ class Encoder:
         return self.flat[_runs(self.starts[place], size)], np.concatenate([[0], np.cumsum(size)[at[1:] + np.arange(len(texts))]])
 
 
+def _hashed(pieces: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes of all pieces one after another, len + 1 offsets, and a hash of each."""
+    data, offs = common.text_bytes(pieces)
+    return data, offs, common.word_hashes(np.append(data, np.uint8(0)), offs[:-1], offs[1:], common.CASED)  # an empty last piece begins there
+
+
 def _flat(lists: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all lists one after another, and how many each has."""
     return np.concatenate(lists).astype(np.uint32), np.array([len(x) for x in lists], np.int64)

@@ -189,6 +189,24 @@ def test_grammar_pieces_are_learnt_as_the_library_spells_them(tmp_path):
     assert sorted(spelt) == sorted([" word other", ",", "."])
 
 
+def test_grammar_pieces_are_known_by_hashes_and_bytes(monkeypatch):
+    """Known pieces are found without a dictionary of strings; pieces of one hash are told apart by their bytes."""
+    path = public_tokenizers.path(token_grammar.TOKENIZER)
+    own = tokenizers.Tokenizer.from_file(path)
+    pieces = ["word", "", "Word", "été", "a.\nB", "x,", "\ty", "ab", "bc", "", "zz;"]
+    for hashes in (None, lambda data, starts, ends, values=None: (ends - starts).astype(np.uint64)):
+        if hashes:
+            monkeypatch.setattr(common, "word_hashes", hashes)
+        encoder = token_grammar.Encoder(path)
+        for some in (pieces[:5], list(dict.fromkeys(pieces)), pieces[::-1][:4]):
+            place = encoder.numbers(some)
+            got = [encoder.flat[a : a + n].tolist() for a, n in zip(encoder.starts[place], encoder.lengths[place], strict=True)]
+            assert got == [own.encode(" " + w, add_special_tokens=False).ids for w in some]
+        known = encoder.known
+        encoder.numbers(pieces[:3])
+        assert hashes or encoder.known == known
+
+
 def test_grammar_looks_only_at_pairs_that_may_come_again(monkeypatch):
     r, seen, rank = np.random.default_rng(5), [], token_grammar._rank_of
     ids = np.concatenate([np.tile(r.integers(3, 40, 64), 20), r.permutation(np.arange(100, 20_100))]).astype(np.uint32)
