@@ -119,6 +119,26 @@ def run(p: dict, inputs: np.ndarray, before: np.ndarray, first: np.ndarray) -> d
     return {"both": both, "e": e, "q": q, "k": k, "v": v, "a": a, "x": x, "h": h}
 
 
+def _of_slots(p: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each slot: keys and values, queries, and what it adds to a hidden state itself. For scores, where parameters stay."""
+    return p["E"] @ np.concatenate([p["K"], p["V"]], axis=1), p["E"] @ p["Q"] * np.float32(DIM**-0.5), p["E"] @ p["W"][DIM:] + p["c"]
+
+
+def hidden(p: dict, slots: tuple[np.ndarray, np.ndarray, np.ndarray], inputs: np.ndarray, before: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """run()'s hidden states alone, from what _of_slots gives."""
+    kv, q, own = slots
+    kv = kv.take(np.concatenate([before, inputs], axis=1), axis=0)
+    a = q.take(inputs, axis=0) @ kv[:, :, :DIM].transpose(0, 2, 1)
+    a += p["P"]
+    _exp(a)
+    a *= _CAUSAL
+    a[first, :, :STEP] = 0
+    a /= _sums(a.reshape(-1, 2 * STEP)).reshape(len(a), STEP, 1)
+    h = (a @ kv[:, :, DIM:]).reshape(-1, DIM) @ p["W"][:DIM]
+    h += own.take(inputs.ravel(), axis=0)
+    return np.tanh(h, out=h)
+
+
 class _Softmaxes:
     """Both softmaxes of states h (tokens, HIDDEN), the tokens in order of their targets' groups: those of a group share a product."""
 
@@ -239,9 +259,9 @@ def score_windows(p: dict, w: Windows, block: int = 512) -> np.ndarray:
     """Natural log probability of each position's target (0 where there is none)."""
     inputs = w.input.reshape(-1, STEP)
     before = np.concatenate([np.full((1, STEP), SLOTS), inputs[:-1]])
-    out = np.zeros(len(w.target))
+    out, slots = np.zeros(len(w.target)), _of_slots(p)
     for a in range(0, len(inputs), block):
-        h = run(p, inputs[a : a + block], before[a : a + block], w.first[a : a + block])["h"].reshape(-1, HIDDEN)
+        h = hidden(p, slots, inputs[a : a + block], before[a : a + block], w.first[a : a + block])
         target = w.target[a * STEP : (a + block) * STEP]
         live = np.flatnonzero(target >= 0)
         out[a * STEP + live] = log_probs(p, h[live], target[live])

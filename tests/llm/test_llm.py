@@ -620,6 +620,15 @@ def test_lm_gradients_and_learning():
         assert g[name][at] == pytest.approx(numeric(f, q, name, at, 1e-3), rel=0.05)
 
 
+def test_lm_scores_take_the_states_that_steps_take():
+    r = np.random.default_rng(8)
+    p = {k: x + 0.3 * r.standard_normal(x.shape).astype(np.float32) for k, x in lm_score.start().items()}
+    inputs, before = (r.integers(0, lm_score.SLOTS + 1, (40, lm_score.STEP)) for _ in range(2))
+    first = r.random(40) < 0.3
+    got = lm_score.hidden(p, lm_score._of_slots(p), inputs, before, first)
+    assert np.allclose(got, lm_score.run(p, inputs, before, first)["h"], atol=1e-4)
+
+
 def test_training_texts_are_encoded_once_for_all_passes(spark):
     path = public_tokenizers.path(token_grammar.TOKENIZER)
     rows = [(i, t) for i, t in enumerate(["Some words", None, "", "more words here " * 40, "é 中 words"])]
