@@ -20,9 +20,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
-from .token_grammar import TOKENIZER, encoder
+from .token_grammar import TOKENIZER, encoder, spelled
 
-STEP, DIM, HIDDEN, GROUPS, MEMBERS = 8, 16, 32, 32, 32
+STEP, DIM, HIDDEN, GROUPS, MEMBERS = 8, 16, 32, 32, 32  # as many groups as members: _Softmaxes has both in rows of one width
 SLOTS = GROUPS * MEMBERS
 #: Each round goes over all training documents EPOCHS times, at every size.
 ROUNDS, EPOCHS, BATCH = 1, 1, 512
@@ -35,17 +35,14 @@ _LOWER = bytes(common._LOWER)
 # ---------------------------------------------------------------- ids and windows
 
 
-_spellings: dict[str, dict[bytes, bytes]] = {}
-
-
-def words_of(texts: list[bytes], path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Ids of all words, ids in each word, words in each text."""
-    return encoder(path).words_of([b" ".join(t.translate(_LOWER).split()).decode() for t in texts])
+def _spaced(texts: list[bytes]) -> list[str]:
+    """Texts as their words, in lower case, with single spaces between."""
+    return [b" ".join(t.translate(_LOWER).split()).decode() for t in texts]
 
 
 def ids_of(texts: list[bytes], path: str) -> list[np.ndarray]:
     """Ids of each text's words."""
-    ids, size, many = words_of(texts, path)
+    ids, size, many = encoder(path).words_of(_spaced(texts))
     ends = np.concatenate([[0], np.cumsum(size)])
     return np.split(ids, ends[np.cumsum(many)[:-1]]) if texts else []
 
@@ -88,7 +85,8 @@ _FAR = 80.0
 
 def _exp(x: np.ndarray) -> np.ndarray:
     """In place."""
-    np.clip(x, -_FAR, _FAR, out=x)
+    if len(x) and (x.max() > _FAR or x.min() < -_FAR):
+        np.clip(x, -_FAR, _FAR, out=x)
     return np.exp(x, out=x)
 
 
@@ -139,33 +137,46 @@ def hidden(p: dict, slots: tuple[np.ndarray, np.ndarray, np.ndarray], inputs: np
     return np.tanh(h, out=h)
 
 
+def _tops(p: dict) -> np.ndarray:
+    """Of each group: weights, the last row biases, of scores of its members and then of all groups."""
+    out = np.empty((GROUPS, HIDDEN + 1, MEMBERS + GROUPS), p["M"].dtype)
+    out[:, :HIDDEN, :MEMBERS] = p["M"].reshape(HIDDEN, GROUPS, MEMBERS).transpose(1, 0, 2)
+    out[:, HIDDEN, :MEMBERS] = p["m"]
+    out[:, :HIDDEN, MEMBERS:] = p["G"]
+    out[:, HIDDEN, MEMBERS:] = p["g"]
+    return out
+
+
 class _Softmaxes:
-    """Both softmaxes of states h (tokens, HIDDEN), the tokens in order of their targets' groups: those of a group share a product."""
+    """Both softmaxes of states h (tokens, HIDDEN), the tokens in order of their targets' groups: those of a group share one product."""
 
-    def __init__(self, p: dict, h: np.ndarray, target: np.ndarray):
+    def __init__(self, p: dict, h: np.ndarray, target: np.ndarray, tops: np.ndarray | None = None):
         group = (target // MEMBERS).astype(np.uint8)
         self.order = np.argsort(group, kind="stable")
         cuts = np.concatenate([[0], np.cumsum(np.bincount(group, minlength=GROUPS))]).tolist()
         self.runs = [(g, a, b) for g, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)) if a < b]
-        self.h, target = h.take(self.order, axis=0), target.take(self.order)
-        self.members = np.ascontiguousarray(p["M"].reshape(HIDDEN, GROUPS, MEMBERS).transpose(1, 0, 2))
-        of_group, of_member = self.h @ p["G"], np.empty((len(h), MEMBERS), h.dtype)
-        of_group += p["g"]
+        self.h, target = np.ones((len(h), HIDDEN + 1), h.dtype), target.take(self.order)
+        self.h[:, :HIDDEN] = h.take(self.order, axis=0)
+        self.tops = _tops(p) if tops is None else tops
+        x = np.empty((len(h), MEMBERS + GROUPS), h.dtype)
         for g, a, b in self.runs:
-            np.matmul(self.h[a:b], self.members[g], out=of_member[a:b])
-            of_member[a:b] += p["m"][g]
-        row = np.arange(len(h))
-        #: For groups and members: exponentials of scores (tokens, choices), where in them the targets' are, and sums of rows.
-        self.both = [(_exp(x), row * x.shape[1] + at, _sums(x)) for x, at in ((of_group, target // MEMBERS), (of_member, target % MEMBERS))]
+            np.matmul(self.h[a:b], self.tops[g], out=x[a:b])
+        #: Exponentials of scores (of a token's members, then of the groups), where in them the targets' are, and sums of rows.
+        self.x = _exp(x.reshape(-1, MEMBERS))
+        self.at = np.arange(0, x.size, MEMBERS)
+        self.at[::2] += target % MEMBERS
+        self.at[1::2] += target // MEMBERS
+        self.total = _sums(self.x)
 
     def logs(self) -> np.ndarray:
         """Natural log probabilities, in the order of groups."""
-        return sum(np.log(x.ravel()[at] / total) for x, at, total in self.both)
+        both = np.log(self.x.ravel().take(self.at) / self.total)
+        return both[::2] + both[1::2]
 
 
-def log_probs(p: dict, h: np.ndarray, target: np.ndarray) -> np.ndarray:
-    """Natural log probability of target slots, for states h (tokens, HIDDEN)."""
-    chosen = _Softmaxes(p, h, target)
+def log_probs(p: dict, h: np.ndarray, target: np.ndarray, tops: np.ndarray | None = None) -> np.ndarray:
+    """Natural log probability of target slots, for states h (tokens, HIDDEN). tops: what _tops gives, if at hand."""
+    chosen = _Softmaxes(p, h, target, tops)
     out = np.empty(len(h), h.dtype)
     out[chosen.order] = chosen.logs()
     return out
@@ -177,25 +188,22 @@ def gradients(p: dict, inputs: np.ndarray, before: np.ndarray, first: np.ndarray
     live = np.flatnonzero(target.ravel() >= 0)
     n = max(1, len(live))
     chosen = _Softmaxes(p, r["h"] if len(live) == target.size else r["h"].take(live, axis=0), target.ravel()[live])
-    loss, h = -chosen.logs().sum(), chosen.h
-    for x, at, total in chosen.both:
-        x *= (1 / (n * total))[:, None]
-        x.ravel()[at] -= 1 / n
-    d, d_member = (x for x, _, _ in chosen.both)
-    out = {"G": h.T @ d, "g": _sums(d.T)}
-    dh, more = d @ p["G"].T, np.empty_like(h)
-    members, out["m"] = np.zeros_like(chosen.members), np.zeros_like(p["m"])
+    loss, h, d = -chosen.logs().sum(), chosen.h, chosen.x
+    d *= (1 / (n * chosen.total))[:, None]
+    d.ravel()[chosen.at] -= 1 / n
+    d = d.reshape(-1, MEMBERS + GROUPS)
+    tops, dh = np.zeros_like(chosen.tops), np.zeros((len(h) + 1, HIDDEN), h.dtype)  # a last row of zeros, for positions without target
     for g, a, b in chosen.runs:
-        d = d_member[a:b]
-        np.matmul(h[a:b].T, d, out=members[g])
-        np.matmul(d, chosen.members[g].T, out=more[a:b])
-        out["m"][g] = _sums(d.T)
-    out["M"] = members.transpose(1, 0, 2).reshape(HIDDEN, -1)
-    dh += more
+        np.matmul(h[a:b].T, d[a:b], out=tops[g])
+        np.matmul(d[a:b], chosen.tops[g, :HIDDEN].T, out=dh[a:b])
+    of_groups = tops[:, :, MEMBERS:].sum(0)
+    out = {"M": tops[:, :HIDDEN, :MEMBERS].transpose(1, 0, 2).reshape(HIDDEN, -1), "m": tops[:, HIDDEN, :MEMBERS], "G": of_groups[:HIDDEN], "g": of_groups[HIDDEN]}
     h *= h
-    dh *= np.subtract(1, h, out=h)
-    full = np.zeros((target.size, HIDDEN), dh.dtype)
-    full[live[chosen.order]] = dh
+    np.subtract(1, h, out=h)
+    dh[:-1] *= h[:, :HIDDEN]
+    place = np.full(target.size, len(h))
+    place[live.take(chosen.order)] = np.arange(len(h))
+    full = dh.take(place, axis=0)
     x, a, both = r["x"].reshape(-1, 2 * DIM), r["a"], r["both"]
     out["W"], out["c"] = x.T @ full, _sums(full.T)
     dx = full @ p["W"].T
@@ -215,56 +223,67 @@ def gradients(p: dict, inputs: np.ndarray, before: np.ndarray, first: np.ndarray
     de.reshape(*both.shape, DIM)[:, STEP:] += (dx[:, DIM:] + dq @ p["Q"].T).reshape(*target.shape, DIM)
     ids = both.ravel().astype(np.uint16)
     order = np.argsort(ids, kind="stable")
-    ids = ids[order]
+    ids = ids.take(order)
     at = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
+    pairs = de.take(order, axis=0).view(np.result_type(de, np.complex64))  # numbers are summed two at once, as one complex number
     out["E"] = np.zeros_like(p["E"])
-    out["E"][ids[at]] = np.add.reduceat(de.take(order, axis=0), at, axis=0)
+    out["E"][ids[at]] = np.add.reduceat(pairs, at, axis=0).view(de.dtype)
     return float(loss) / n, out
 
 
 class Adam:
+    """Steps on p's arrays, which become parts of one."""
+
     def __init__(self, p: dict, rate: float):
         self.p, self.rate, self.t = p, rate, 0
-        self.m, self.v = ({k: np.zeros_like(x) for k, x in p.items()} for _ in range(2))
+        self.all = np.concatenate([x.ravel() for x in p.values()])
+        at = 0
+        for k, x in p.items():
+            p[k] = self.all[at : at + x.size].reshape(x.shape)
+            at += x.size
+        self.m, self.v = (np.zeros_like(self.all) for _ in range(2))
 
     def step(self, g: dict) -> None:
         self.t += 1
         rate, scale = self.rate / (1 - 0.9**self.t), (1 - 0.99**self.t) ** -0.5
-        for k, d in g.items():
-            m, v = self.m[k], self.v[k]
-            m *= 0.9
-            m += 0.1 * d
-            v *= 0.99
-            v += 0.01 * d * d
-            by = np.sqrt(v)
-            by *= scale
-            by += 1e-8
-            np.divide(m, by, out=by)
-            by *= rate
-            self.p[k] -= by
+        d = np.concatenate([g[k].ravel() for k in self.p])
+        self.m *= 0.9
+        self.m += 0.1 * d
+        self.v *= 0.99
+        d *= d
+        d *= 0.01
+        self.v += d
+        by = np.sqrt(self.v, out=d)
+        by += 1e-8 / scale
+        np.divide(self.m, by, out=by)
+        by *= rate / scale
+        self.all -= by
 
 
 def train(p: dict, w: Windows, rate: float, epochs: int, seed: int) -> None:
     inputs, target = w.input.reshape(-1, STEP), w.target.reshape(-1, STEP)
     before = np.concatenate([np.full((1, STEP), SLOTS), inputs[:-1]])
+    np.empty(16 << 20, np.uint8)  # given back at once: the C library then keeps what a step frees, up to twice as much, for the next step
     r, adam = np.random.default_rng(seed), Adam(p, rate)
     for _ in range(epochs):
         order = r.permutation(len(inputs))
         for a in range(0, len(order), BATCH):
             own = order[a : a + BATCH]
-            adam.step(gradients(p, inputs[own], before[own], w.first[own], target[own])[1])
+            adam.step(gradients(p, *(x.take(own, axis=0) for x in (inputs, before, w.first, target)))[1])
 
 
 def score_windows(p: dict, w: Windows, block: int = 512) -> np.ndarray:
     """Natural log probability of each position's target (0 where there is none)."""
     inputs = w.input.reshape(-1, STEP)
     before = np.concatenate([np.full((1, STEP), SLOTS), inputs[:-1]])
-    out, slots = np.zeros(len(w.target)), _of_slots(p)
+    out, slots, tops = np.zeros(len(w.target)), _of_slots(p), _tops(p)
     for a in range(0, len(inputs), block):
         h = hidden(p, slots, inputs[a : a + block], before[a : a + block], w.first[a : a + block])
         target = w.target[a * STEP : (a + block) * STEP]
         live = np.flatnonzero(target >= 0)
-        out[a * STEP + live] = log_probs(p, h[live], target[live])
+        if len(live) < len(target):
+            h, target = h.take(live, axis=0), target.take(live)
+        out[a * STEP + live] = log_probs(p, h, target, tops)
     return out
 
 
@@ -317,62 +336,90 @@ def _rows(data: np.ndarray, offs: np.ndarray) -> list[bytes]:
     return [data[a:b].tobytes() for a, b in zip(offs, offs[1:], strict=False)]
 
 
-def word_counts(docs: DataFrame) -> DataFrame:
-    """word (64-bit hash), n over all rows of docs(text)."""
+def _stored_ids(docs: DataFrame, path: str, kind: type) -> DataFrame:
+    """Runs of texts of docs(text, ...), encoded once for all passes over them: ids (all of a run, as `kind`), many (ids in each text), words
+    (64-bit hashes of a run's distinct words), size (ids in each of those), which (of those each word is), texts (words in each text), and
+    docs' other columns as arrays."""
+    others = [f for f in docs.schema.fields if f.name != "text"]
+    schema = "ids binary, many binary, words binary, size binary, which binary, texts binary" + "".join(f", {f.name} array<{f.dataType.simpleString()}>" for f in others)
+    names = [*_RUN, *(f.name for f in others)]
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-        size = 0
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.work_for("ids")
+        for batch in batches:
+            for a, b, data, offs in _texts(batch):
+                own, size, words, which, texts = encoder(path).distinct_words_of(_spaced(_rows(data, offs)))
+                ids, at = spelled(own, size, which), np.concatenate([[0], np.cumsum(texts)])
+                many = np.diff(np.concatenate([[0], np.cumsum(size[which], dtype=np.int64)])[at])
+                row = ids.astype(kind), many, words, size.astype(np.uint32), which.astype(np.uint16 if len(words) <= 1 << 16 else np.uint32), texts.astype(np.int64)
+                lists = [pa.LargeListArray.from_arrays(pa.array([0, b - a], pa.int64()), batch.column(f.name).slice(a, b - a)) for f in others]
+                lists = [x.cast(pa.list_(x.type.value_type)) for x in lists]
+                yield pa.record_batch([*(pa.array([x.tobytes()], pa.binary()) for x in row), *lists], names)
 
-        def out() -> pa.RecordBatch:
-            words, n = np.unique(np.concatenate(held), return_counts=True)
-            return pa.record_batch([pa.array(words.view(np.int64)), pa.array(n)], ["word", "n"])
+    return common.written(docs.select("text", *(f.name for f in others)).mapInArrow(run, schema), "lm-ids", "zstd")  # ids and numbers of words have few frequent values
 
-        for batch in batches:
-            for _, _, data, offs in _texts(batch):
-                starts, ends, _ = common.word_bounds(data, offs)
-                held.append(common.word_hashes(data, starts, ends))
-                size += len(starts)
-                if size > 8_000_000:
-                    yield out()
-                    held, size = [], 0
-        if size:
-            yield out()
 
-    return docs.select("text").mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+_RUN = ("ids", "many", "words", "size", "which", "texts")
 
 
-def _stored_ids(docs: DataFrame, path: str, kind: type) -> DataFrame:
-    """ids (all of a run of texts, as `kind`), many (ids in each text): docs(text) encoded once for all passes over them."""
+def _runs_of(batches: Iterator[pa.RecordBatch], kind: type, some: str) -> Iterator[tuple]:
+    """Of each stored run, the texts that a column of booleans marks: ids, many, words, size, which, texts as arrays, and the row (a batch and
+    a number) and mask of the marked texts."""
+    for batch in batches:
+        for i in range(len(batch)):
+            ids, many, words, size, which, texts = (batch.column(c)[i].as_buffer() if c in batch.schema.names else b"" for c in _RUN)
+            marked = np.asarray(batch.column(some)[i].values.to_numpy(zero_copy_only=False), bool)
+            ids, many = np.frombuffer(ids, kind), np.frombuffer(many, np.int64)
+            words, size, texts = np.frombuffer(words, np.int64), np.frombuffer(size, np.uint32).astype(np.int64), np.frombuffer(texts, np.int64)
+            which = np.frombuffer(which, np.uint16 if len(words) <= 1 << 16 else np.uint32)
+            if not marked.all():
+                ids, which = (x[np.repeat(marked, n)] if len(x) else x for x, n in ((ids, many), (which, texts)))
+                many, texts = (x[marked] if len(x) else x for x in (many, texts))
+            if marked.any():
+                yield ids, many, words, size, which, texts, (batch, i), marked
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common.work_for("ids")
-        for batch in batches:
-            for _, _, data, offs in _texts(batch):
-                got = ids_of(_rows(data, offs), path)
-                row = np.concatenate(got).astype(kind).tobytes(), np.array([len(x) for x in got]).tobytes()
-                yield pa.record_batch([pa.array([x], pa.binary()) for x in row], ["ids", "many"])
 
-    return common.written(docs.select("text").mapInArrow(run, "ids binary, many binary"), "lm-ids")
+def word_counts(stored: DataFrame, kind: type) -> DataFrame:
+    """word (64-bit hash), n over the training texts of stored runs."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        size = 0
+
+        def out() -> pa.RecordBatch:
+            words, place = np.unique(np.concatenate([w for w, _ in held]), return_inverse=True)
+            n = np.bincount(place, weights=np.concatenate([n for _, n in held]), minlength=len(words)).astype(np.int64)
+            return pa.record_batch([pa.array(words), pa.array(n)], ["word", "n"])
+
+        for _, _, words, _, which, _, _, _ in _runs_of(batches, kind, "trains"):
+            n = np.bincount(which, minlength=len(words))
+            met = np.flatnonzero(n)
+            held.append((words[met], n[met]))
+            size += len(met)
+            if size > 2_000_000:
+                yield out()
+                held, size = [], 0
+        if size:
+            yield out()
+
+    return stored.select("words", "which", "texts", "trains").mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def fit(docs: DataFrame, path: str) -> Model:
-    """The model: ids counted and gradient steps taken on every row of docs(text)."""
-    spark = docs.sparkSession
+def fit(stored: DataFrame, path: str, kind: type) -> Model:
+    """The model: ids counted and gradient steps taken on every training text of stored runs."""
+    spark = stored.sparkSession
     vocabulary = encoder(path).tokenizer.get_vocab_size()
-    kind = np.uint16 if vocabulary <= 1 << 16 else np.uint32
-    stored = _stored_ids(docs, path, kind)
+    stored = stored.select("ids", "many", "trains")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(vocabulary, np.int64)
-        for batch in batches:
-            for row in batch.column("ids").to_pylist():
-                total += np.bincount(np.frombuffer(row, kind), minlength=vocabulary)
+        for ids, *_ in _runs_of(batches, kind, "trains"):
+            total += np.bincount(ids, minlength=vocabulary)
         found = np.flatnonzero(total)
         yield pa.record_batch([pa.array(found), pa.array(total[found])], ["id", "n"])
 
     counts = np.zeros(vocabulary)
-    for r in stored.select("ids").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():  # at most the vocabulary
+    for r in stored.mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():  # at most the vocabulary
         counts[r["id"]] = r["n"]
     model = Model(counts)
     for turn in range(ROUNDS):
@@ -380,13 +427,13 @@ def fit(docs: DataFrame, path: str) -> Model:
         rate = 0.012 * 0.4**turn
 
         def steps(batches: Iterator[pa.RecordBatch], shared=shared, rate=rate, turn=turn) -> Iterator[pa.RecordBatch]:
+            common.work_for("lm")
             own = shared.value
             p, n = {k: x.copy() for k, x in own.p.items()}, 0
-            for batch in batches:
-                for ids, many in zip(batch.column("ids").to_pylist(), batch.column("many").to_pylist(), strict=True):
-                    w = own.lay_out(np.split(np.frombuffer(ids, kind), np.cumsum(np.frombuffer(many, np.int64))[:-1]))
-                    train(p, w, rate, EPOCHS, turn)
-                    n += len(w.target)
+            for ids, many, *_ in _runs_of(batches, kind, "trains"):
+                w = own.lay_out(np.split(ids, np.cumsum(many)[:-1]))
+                train(p, w, rate, EPOCHS, turn)
+                n += len(w.target)
             if n:
                 yield pa.record_batch([pa.array([n]), pa.array([np.concatenate([x.ravel() for x in p.values()]).tobytes()], pa.binary())], ["n", "p"])
 
@@ -450,43 +497,52 @@ def score(docs: DataFrame, training: DataFrame, path: str | None = None) -> Data
     rows each get their scores; rows of one doc_id with different texts are scored apart. Very long texts are scored in
     pieces' memory, whole. Other columns, whatever their names, are not read; no rows in, no rows out.
     """
-    spark, path = docs.sparkSession, path or public_tokenizers.path(TOKENIZER)
+    return _score(_to_score(docs).select("*", F.lit(False).alias("trains")).union(training.select(F.lit(None), F.lit(None), "text", F.lit(False), F.lit(True))), path)
+
+
+def _to_score(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text", F.lit(True).alias("scored"))
+
+
+def _score(rows: DataFrame, path: str | None = None) -> DataFrame:
+    """score() where rows(doc_id, text_hash, text, scored, trains) say what they are for, so a text that is for both is encoded once."""
+    spark, path = rows.sparkSession, path or public_tokenizers.path(TOKENIZER)
     common.bound_batches(spark)
-    counts = common.written(word_counts(training), "words")
-    ends = training.count()
+    kind = np.uint16 if encoder(path).tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
+    stored = _stored_ids(rows, path, kind)
+    counts = common.written(word_counts(stored, kind), "words")
+    ends = stored.agg(F.coalesce(F.sum(F.size(F.filter("trains", lambda x: x))), F.lit(0)).alias("n")).first()["n"]
     sums = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
     tokens, kinds = sums["n"] + ends, sums["v"] + (ends > 0)
     floor = float(np.log10(tokens + kinds + 1))
-    model = fit(training, path)
+    model = fit(stored, path, kind)
     shared = spark.sparkContext.broadcast((*_held(counts, HELD_WORDS), model))
     schema = "doc_id long, text_hash long, n_tokens long, known long, logs double, score double, word long, attention double"
 
     def run_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common.work_for("ids")
+        common.work_for("lm")
         known, known_n, own = shared.value
-        for batch in batches:
-            for a, b, data, offs in _texts(batch):
-                starts, stops, at = common.word_bounds(data, offs)
-                hashes = common.word_hashes(data, starts, stops).view(np.int64)
-                row = np.repeat(np.arange(b - a), np.diff(at))
-                place = np.searchsorted(known, hashes)
-                place[place == len(known)] = 0
-                hit = known[place] == hashes if len(known) else np.zeros(len(hashes), bool)
-                attention, stop = own.score(*words_of(_rows(data, offs), path))
-                n = known_n[place[hit]]
-                logs = np.bincount(row[hit], weights=np.log10(n + 1.0), minlength=b - a) + np.log10(ends + 1.0)
-                got = np.bincount(row[hit], weights=_mixed(n, attention[hit], floor), minlength=b - a) + _mixed(float(ends), stop, floor)
-                n_known = np.bincount(row[hit], minlength=b - a) + (ends > 0)
-                heads = [batch.column(c).slice(a, b - a) for c in ("doc_id", "text_hash")]
-                yield pa.record_batch([*heads, pa.array(np.diff(at) + 1), pa.array(n_known), pa.array(logs), pa.array(got), pa.nulls(b - a, pa.int64()), pa.nulls(b - a, pa.float64())], schema_names)
-                cold = np.flatnonzero(~hit)
-                if len(cold):
-                    blank, ints = pa.nulls(len(cold), pa.float64()), pa.nulls(len(cold), pa.int64())
-                    yield pa.record_batch([*(h.take(pa.array(row[cold])) for h in heads), ints, ints, blank, blank, pa.array(hashes[cold]), pa.array(attention[cold])], schema_names)
+        for ids, _, words, size, which, texts, (batch, i), marked in _runs_of(batches, kind, "scored"):
+            row = np.repeat(np.arange(len(texts)), texts)
+            place = np.searchsorted(known, words)
+            place[place == len(known)] = 0
+            hits = known[place] == words if len(known) else np.zeros(len(words), bool)
+            counted = np.where(hits, known_n[place], 0) if len(known) else np.zeros(len(words), np.int64)
+            hit, n = hits[which], counted[which]
+            attention, stop = own.score(ids, size[which], texts)
+            logs = np.bincount(row[hit], weights=np.log10(counted + 1.0)[which[hit]], minlength=len(texts)) + np.log10(ends + 1.0)
+            got = np.bincount(row[hit], weights=_mixed(n[hit], attention[hit], floor), minlength=len(texts)) + _mixed(float(ends), stop, floor)
+            n_known = np.bincount(row[hit], minlength=len(texts)) + (ends > 0)
+            heads = [batch.column(c)[i].values.filter(pa.array(marked)) for c in ("doc_id", "text_hash")]
+            blank, ints = pa.nulls(len(texts), pa.float64()), pa.nulls(len(texts), pa.int64())
+            yield pa.record_batch([*heads, pa.array(texts + 1), pa.array(n_known), pa.array(logs), pa.array(got), ints, blank], schema_names)
+            cold = np.flatnonzero(~hit)
+            if len(cold):
+                blank, ints = pa.nulls(len(cold), pa.float64()), pa.nulls(len(cold), pa.int64())
+                yield pa.record_batch([*(h.take(pa.array(row[cold])) for h in heads), ints, ints, blank, blank, pa.array(words[which[cold]]), pa.array(attention[cold])], schema_names)
 
     schema_names = [c.split()[0] for c in schema.split(", ")]
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
-    made = common.written(rows.mapInArrow(run_, schema), "lm-rows")
+    made = common.written(stored.drop("trains").mapInArrow(run_, schema), "lm-rows")
     key = ["doc_id", "text_hash"]
     n = F.coalesce("n", F.lit(0))
     mixed = F.log10(F.lit(0.5) * (n + 1) * F.lit(10.0**-floor) + F.lit(0.5) * F.pow(F.lit(10.0), F.greatest("attention", F.lit(-300.0))))
@@ -511,5 +567,5 @@ def score(docs: DataFrame, training: DataFrame, path: str | None = None) -> Data
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
     held_out = F.pmod(common.crc32_of_id(), F.lit(7)) == 2
-    scored = score(docs, docs.where(~held_out))
+    scored = _score(_to_score(docs).select("*", (~held_out).alias("trains")))
     return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")

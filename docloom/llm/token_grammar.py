@@ -212,16 +212,21 @@ class Encoder:
             found[new] = self._learn(pieces.take(pa.array(new)))
         return found
 
-    def words_of(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of texts that are words with single spaces between: all words' ids, each spelled after a space, ids in each word, and
-        words in each text."""
+    def distinct_words_of(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of texts that are words with single spaces between: all distinct words' ids, each spelled after a space, ids in each of
+        them, their hashes, which of them each word is, and words in each text."""
         cut = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
         many = np.diff(cut.offsets.to_numpy().astype(np.int64))
         many[[not t for t in texts]] = 0
         coded = cut.values.filter(pc.not_equal(cut.values, "")).dictionary_encode()
-        place = self.numbers(coded.dictionary)[coded.indices.to_numpy()]
+        place = self.numbers(coded.dictionary)
         size = self.lengths[place]
-        return self.flat[_runs(self.starts[place], size)], size, many
+        return self.flat[_runs(self.starts[place], size)], size, _hashed(coded.dictionary)[2], coded.indices.to_numpy(), many
+
+    def words_of(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All words' ids, ids in each word, and words in each text."""
+        ids, size, _, which, many = self.distinct_words_of(texts)
+        return spelled(ids, size, which), size[which], many
 
     def encode(self, texts: list[str], end: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after another, `end` after each, and len + 1 offsets."""
@@ -252,6 +257,11 @@ class Encoder:
         return self.flat[_runs(self.starts[place], size)], np.concatenate([[0], np.cumsum(size)[at[1:] + np.arange(len(texts))]])
 
 
+def spelled(ids: np.ndarray, size: np.ndarray, which: np.ndarray) -> np.ndarray:
+    """Ids of words, from all distinct words' ids, ids in each of them, and which of them each word is."""
+    return ids[_runs((np.cumsum(size) - size)[which], size[which])]
+
+
 def _hashed(pieces: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Bytes of all pieces one after another, len + 1 offsets, and a hash of each."""
     data, offs = common.text_bytes(pieces)

@@ -39,8 +39,8 @@ def drop_scratch(spark: SparkSession) -> int:
     return gone
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The rows as a table in the shared folder: cuts lineage and outlives lost executors."""
+def written(df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
+    """The rows as a table in the shared folder: cuts lineage and outlives lost executors. compression: Spark's own choice if None."""
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(path)

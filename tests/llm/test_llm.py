@@ -637,6 +637,23 @@ def test_training_texts_are_encoded_once_for_all_passes(spark):
     assert sorted(got) == sorted(x.tolist() for x in lm_score.ids_of([(t or "").encode() for _, t in rows], path))
 
 
+def test_lm_encodes_each_document_once(spark, monkeypatch):
+    """Counts, steps and scores all read the same stored runs, held-out texts in them too."""
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(["Some words some", None, "", "more words here " * 40, "é 中 words", *(f"w{i} it" for i in range(9))])], DOC)
+    made, own = [], lm_score._stored_ids
+    monkeypatch.setattr(lm_score, "_stored_ids", lambda *a: made.append(own(*a)) or made[-1])
+    monkeypatch.setattr(lm_score.common, "table", lambda *_: docs)
+    rows = lm_score.query(spark, "").collect()
+    stored = [r for x in made for r in x.collect()]
+    assert sorted(i for r in stored for i in r["doc_id"]) == sorted(r["doc_id"] for r in rows) == list(range(14))
+    held_out = {r["doc_id"] for r in rows if r["held_out"]}
+    assert held_out and held_out == {i for r in stored for i, t in zip(r["doc_id"], r["trains"], strict=True) if not t}
+    want = Counter(w for r in docs.collect() if r["doc_id"] not in held_out for w in (r["text"] or "").lower().split())
+    assert sorted(r["n"] for r in lm_score.word_counts(made[0], np.uint16).collect()) == sorted(want.values())
+    assert {r["train_tokens"] for r in rows} == {sum(want.values()) + 14 - len(held_out)}
+    assert {r["doc_id"]: r["n_known"] for r in rows} == {r["doc_id"]: 1 + sum(w in want for w in (r["text"] or "").lower().split()) for r in docs.collect()}
+
+
 def test_tokens_whose_scores_lie_far_apart():
     """Each token's softmax is its own: one with scores of 200 leaves those of the others alone."""
     p = {k: x.astype(np.float32) for k, x in lm_score.start().items()}
