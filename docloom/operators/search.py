@@ -117,6 +117,11 @@ def tokens(c: Column) -> Column:
     return F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}]+"), lambda t: t != "")
 
 
+def all_words(c: Column) -> Column:
+    """A plain text as a query in web syntax that asks for each of its words: quoted, so "or" and a leading "-" are words too."""
+    return F.array_join(F.transform(F.array_distinct(tokens(c)), lambda t: F.concat(F.lit('"'), t, F.lit('"'))), " ")
+
+
 def fts_match(chunks: DataFrame, queries: DataFrame) -> DataFrame:
     """(query_id, id, rank_cd) of chunks that match a query in web syntax: all words, "a phrase", or, -not.
 
