@@ -36,7 +36,7 @@ def small(tmp_path_factory):
     return str(folder), con
 
 
-@pytest.mark.parametrize("name", ["R7_fts_topk", "R10_hybrid_search_labeled"])
+@pytest.mark.parametrize("name", ["R7_fts_topk", "R9_hybrid_search", "R10_hybrid_search_labeled"])
 def test_items_are_plain_texts(spark, small, name):
     folder, con = small
     got, result = QUERIES[name](spark, folder), con.execute(ORACLE_SQL[name])
