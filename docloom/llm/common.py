@@ -12,9 +12,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..storage import scratch_path, shared_dir, written
+from ..storage import bound_batches, scratch_path, shared_dir, written
 
-__all__ = ["scratch_path", "shared_dir", "written"]
+__all__ = ["bound_batches", "scratch_path", "shared_dir", "written"]
 
 U64 = np.uint64
 
@@ -23,15 +23,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: Bytes of an Arrow batch; a longer row is a batch of its own.
-BATCH_BYTES = 2 << 20
-
-
-def bound_batches(spark: SparkSession) -> None:
-    """Arrow batches are bounded by bytes, by one bound for all operators: rows here are anything from a few numbers to a shard."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-
-
 _memories: dict[str, Callable[[], None]] = {}
 _user = ""
 

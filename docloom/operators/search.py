@@ -9,11 +9,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..storage import written
+from ..storage import bound_batches, written
 from ._cover import density_of, parse_query
 from .vectors import nearest
 
 POOL, RRF_K = 20, 60
+#: Rows of a table of words or ids that is broadcast at most. Results don't depend on it.
+BROADCAST_ROWS = 200_000
 
 
 def filter_documents(docs: DataFrame, language: str | None = None, group: str | None = None, company: str | None = None, fiscal_years: list[str] | None = None, categories: list[str] | None = None) -> DataFrame:
@@ -75,13 +77,19 @@ def vector_topk(chunks: DataFrame, queries: DataFrame, k: int, threshold: float)
     return vector_pool(chunks, queries, k, threshold)
 
 
+_SEARCHED = "chunk_type IN ('child', 'standalone')"
+
+
 def searchable(chunks: DataFrame, docs: DataFrame, queries: DataFrame | None = None) -> DataFrame:
     """Chunks that are searched, of a kept document: one equi-join on document_id. Where queries have filters of their own, the
     document's fields that these name come along, trimmed, as _language and so on."""
-    kinds = chunks.where(F.col("chunk_type").isin("child", "standalone"))
+    return _of_documents(chunks.where(_SEARCHED), docs, queries)
+
+
+def _of_documents(rows: DataFrame, docs: DataFrame, queries: DataFrame | None) -> DataFrame:
     fields = [QUERY_FILTERS[c] for c in _filters_of(queries)] if queries is not None else []
     kept = docs.select(F.col("id").alias("document_id"), *(F.trim(F.col(f"`{c}`")).alias(f"_{c}") for c in fields))
-    return kinds.join(kept, "document_id") if fields else kinds.join(kept, "document_id", "left_semi")
+    return rows.join(kept, "document_id") if fields else rows.join(kept, "document_id", "left_semi")
 
 
 _DOCUMENT = ["file_name", "display_name", "category", "report_group", "group", "company", "fiscal_year", "language", "source_type", "status", "confidentiality", "tags", "publish_date"]
@@ -122,38 +130,69 @@ def all_words(c: Column) -> Column:
     return F.array_join(F.transform(F.array_distinct(tokens(c)), lambda t: F.concat(F.lit('"'), t, F.lit('"'))), " ")
 
 
-def fts_match(chunks: DataFrame, queries: DataFrame) -> DataFrame:
+def _among(rows: DataFrame, keys: DataFrame, column: str, how: str = "left_semi") -> DataFrame:
+    """rows joined with keys on a column. keys are a stored table: counted, and broadcast if they are few, so that rows aren't shuffled."""
+    return rows.join(F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys, column, how)
+
+
+def _asked(queries: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(ask, query_text, filters), the distinct ones of queries, and (query_id, ask)."""
+    keys = ["query_text", *_filters_of(queries)]
+    asks = written(queries.select(*keys).distinct().withColumn("ask", F.monotonically_increasing_id()), "asks")
+    same = F.lit(True)
+    for c in keys:
+        same = same & F.col(f"a.{c}").eqNullSafe(F.col(f"q.{c}"))
+    return asks, asks.alias("a").join(queries.alias("q"), same).select("query_id", "ask")
+
+
+def _matches(chunks: DataFrame, asks: DataFrame, docs: DataFrame | None) -> DataFrame:
+    """(ask, id, rank_cd). Each distinct text is looked for once, whatever filters go with it."""
+    bound_batches(chunks.sparkSession)  # words of a text are lists in Python
+    filters = _filters_of(asks)
+    fields, of_chunk = [f"_{QUERY_FILTERS[c]}" for c in filters], ["document_id"] if docs is not None else []
+    parse = F.udf(lambda q: parse_query(q or ""), "array<struct<any:array<array<string>>,negative:boolean>>", useArrow=True)
+    texts = asks.select("query_text").distinct().select(F.monotonically_increasing_id().alias("text"), "query_text", parse("query_text").alias("q"))
+    parsed = written(texts.where(F.size("q") > 0), "parsed")
+    groups = parsed.select("text", F.posexplode("q").alias("g", "group")).where("NOT group.negative")
+    asked = groups.select("text", "g", F.explode(F.array_distinct(F.flatten("group.any"))).alias("word"))
+    searched = chunks if docs is None else chunks.where(_SEARCHED)
+    words = searched.select("id", *of_chunk, F.explode(F.array_distinct(tokens(F.col("text_content")))).alias("word"))
+    held = written(_among(words, written(asked.select("word").distinct(), "asked-words"), "word"), "held-words")
+    often = held.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    sizes = asked.join(often, "word", "left").groupBy("text", "g").agg(F.sum(F.coalesce("n", F.lit(0))).alias("n"))
+    rarest = sizes.groupBy("text").agg(F.min_by("g", F.struct("n", "g")).alias("g"))
+    hit = _among(held, written(asked.join(rarest, ["text", "g"]).select("text", "word"), "rarest-words"), "word", "inner").select("text", "id", *of_chunk).distinct()
+    if docs is not None:
+        hit = _of_documents(hit, docs, asks)
+    hit = written(hit, "candidates")
+    rows = _among(searched.select("id", "text_content", *(fields if docs is None else [])), written(hit.select("id").distinct(), "candidate-ids"), "id")
+    rank = F.udf(density_of, "double", useArrow=True)
+    scored = rows.join(hit, "id").join(parsed.drop("query_text"), "text").select("text", "id", *fields, F.round(rank("q", tokens(F.col("text_content"))), 9).alias("rank_cd"))
+    scored = written(scored, "text-ranks")  # a condition on ranks would rank a second time, below itself
+    found = asks.join(parsed.drop("q"), "query_text").join(scored.where("rank_cd IS NOT NULL"), "text")
+    return (found.where(query_allows(filters)) if filters else found).select("ask", "id", "rank_cd")
+
+
+def fts_match(chunks: DataFrame, queries: DataFrame, docs: DataFrame | None = None) -> DataFrame:
     """(query_id, id, rank_cd) of chunks that match a query in web syntax: all words, "a phrase", or, -not.
 
     A chunk must hold a word of every group that a query asks for, so those that hold a word of the query's rarest group
     are the only candidates: words that all queries share pair nothing. Texts are tokenised once, into a table of each chunk's
-    distinct words that some query holds. A query's own filters (QUERY_FILTERS) are tried on candidates; what is left is
-    matched and ranked by cover density over its words, rounded so that equal spans tie.
+    distinct words that some query holds. What is left is matched and ranked by cover density over its words, rounded so that
+    equal spans tie. Queries of one text and the same filters are one search. A query's own filters (QUERY_FILTERS) are tried
+    on matches, with the fields that chunks carry (searchable()). Where docs are given, chunks needn't come from searchable():
+    that join is made for candidates, so no text is shuffled for it.
     """
-    filters = _filters_of(queries)
-    parse = F.udf(lambda q: parse_query(q or ""), "array<struct<any:array<array<string>>,negative:boolean>>", useArrow=True)
-    parsed = written(queries.select("query_id", parse("query_text").alias("q"), *filters).where(F.size("q") > 0), "parsed")
-    groups = parsed.select("query_id", F.posexplode("q").alias("g", "group")).where("NOT group.negative")
-    asked = groups.select("query_id", "g", F.explode(F.array_distinct(F.flatten("group.any"))).alias("word"))
-    held = chunks.select("id", F.explode(F.array_distinct(tokens(F.col("text_content")))).alias("word")).join(asked.select("word").distinct(), "word", "left_semi")
-    held = written(held, "held-words")
-    often = held.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    sizes = asked.join(often, "word", "left").groupBy("query_id", "g").agg(F.sum(F.coalesce("n", F.lit(0))).alias("n"))
-    rarest = sizes.groupBy("query_id").agg(F.min_by("g", F.struct("n", "g")).alias("g"))
-    hit = held.join(asked.join(rarest, ["query_id", "g"]).select("query_id", "word"), "word").select("query_id", "id").distinct()
-    texts = chunks.select("id", "text_content", *(f"_{QUERY_FILTERS[c]}" for c in filters))
-    rows = hit.join(texts, "id").join(parsed, "query_id")
-    if filters:
-        rows = rows.where(query_allows(filters))
-    rank = F.udf(density_of, "double", useArrow=True)
-    scored = rows.select("query_id", "id", F.round(rank("q", tokens(F.col("text_content"))), 9).alias("rank_cd"))
-    return scored.where("rank_cd IS NOT NULL")
+    asks, of = _asked(queries)
+    return of.join(_matches(chunks, asks, docs), "ask").drop("ask")
 
 
 def fts_topk(chunks: DataFrame, docs: DataFrame, queries: DataFrame, n: int) -> DataFrame:
     """(query_id, id, rank_cd, fts_rank), the n best of each query among chunks of docs."""
-    w = W.partitionBy("query_id").orderBy(F.desc("rank_cd"), "id")
-    return fts_match(searchable(chunks, docs, queries), queries).withColumn("fts_rank", F.row_number().over(w)).where(F.col("fts_rank") <= n)
+    asks, of = _asked(queries)
+    w = W.partitionBy("ask").orderBy(F.desc("rank_cd"), "id")
+    best = _matches(chunks, asks, docs).withColumn("fts_rank", F.row_number().over(w)).where(F.col("fts_rank") <= n)
+    return of.join(best, "ask").drop("ask")
 
 
 def rrf_fuse(vec: DataFrame, fts: DataFrame, k: int = RRF_K) -> DataFrame:
@@ -163,20 +202,23 @@ def rrf_fuse(vec: DataFrame, fts: DataFrame, k: int = RRF_K) -> DataFrame:
     return both.withColumn("rrf_score", part("vec_rank") + part("fts_rank"))
 
 
-def hybrid_search(chunks: DataFrame, docs: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
+def hybrid_search(chunks: DataFrame, docs: DataFrame, queries: DataFrame, k: int = 5, texts: DataFrame | None = None) -> DataFrame:
     """Both pools of 20 k (vectors without a threshold), fused; parent text, best of each parent, top k. similarity is the
-    fused score. Chunks without a vector never enter the vector pool."""
+    fused score. Chunks without a vector never enter the vector pool. texts: the same chunks without vectors, where the two
+    are stored apart, so that texts needn't be joined to vectors."""
+    texts = chunks if texts is None else texts
     vec = vector_pool(searchable(chunks, docs, queries), queries, POOL * k).select("query_id", "id", "vec_rank")
-    fused = rrf_fuse(vec, fts_topk(chunks, docs, queries, POOL * k).select("query_id", "id", "fts_rank"))
-    hits = fused.select("query_id", "id", F.col("rrf_score").alias("similarity")).join(chunks.select("id", *_OF_CHUNK), "id")
-    return _swapped(hits, chunks, docs, [F.desc("similarity"), F.col("id")], k).withColumn("search_type", F.lit("hybrid"))
+    fused = rrf_fuse(vec, fts_topk(texts, docs, queries, POOL * k).select("query_id", "id", "fts_rank"))
+    hits = fused.select("query_id", "id", F.col("rrf_score").alias("similarity")).join(texts.select("id", *_OF_CHUNK), "id")
+    return _swapped(hits, texts, docs, [F.desc("similarity"), F.col("id")], k).withColumn("search_type", F.lit("hybrid"))
 
 
-def hybrid_search_labeled(chunks: DataFrame, docs: DataFrame, queries: DataFrame, k: int = 5, threshold: float = 0.3) -> DataFrame:
+def hybrid_search_labeled(chunks: DataFrame, docs: DataFrame, queries: DataFrame, k: int = 5, threshold: float = 0.3, texts: DataFrame | None = None) -> DataFrame:
     """R10, the older form: pools of 2 k, the threshold on the vector side, no parent text; label by the sides that found the
-    row; similarity is the vector's or 0."""
+    row; similarity is the vector's or 0. texts as in hybrid_search()."""
+    texts = chunks if texts is None else texts
     vec = vector_pool(searchable(chunks, docs, queries), queries, 2 * k, threshold).select("query_id", "id", "similarity", "vec_rank")
-    fused = rrf_fuse(vec, fts_topk(chunks, docs, queries, 2 * k).select("query_id", "id", "fts_rank"))
+    fused = rrf_fuse(vec, fts_topk(texts, docs, queries, 2 * k).select("query_id", "id", "fts_rank"))
     label = F.when(F.col("vec_rank").isNotNull() & F.col("fts_rank").isNotNull(), "hybrid").when(F.col("vec_rank").isNotNull(), "vector").otherwise("fulltext")
     w = W.partitionBy("query_id").orderBy(F.desc("rrf_score"), "id")
     top = fused.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

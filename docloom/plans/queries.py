@@ -693,19 +693,19 @@ fts AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank_cd DESC
 
 @query("R6_fts_match", f"WITH {_RANK} SELECT query_id, id, round(rank_cd, 6) AS rank_cd FROM dense")
 def r6(spark, sf):
-    return R.fts_match(R.searchable(X.chunks(spark, sf), X.parents(spark, sf)), X.text_queries(spark, sf)).select("query_id", "id", F.round("rank_cd", 6).alias("rank_cd"))
+    return R.fts_match(X.texts(spark, sf), X.text_queries(spark, sf), X.parents(spark, sf)).select("query_id", "id", F.round("rank_cd", 6).alias("rank_cd"))
 
 
 @query("R7_fts_topk", f"WITH {_RANK} SELECT query_id, id, round(rank_cd, 6) AS rank_cd, fts_rank FROM fts WHERE fts_rank <= 100")
 def r7(spark, sf):
-    return R.fts_topk(X.chunks(spark, sf), X.parents(spark, sf), X.text_queries(spark, sf), 100).withColumn("rank_cd", F.round("rank_cd", 6))
+    return R.fts_topk(X.texts(spark, sf), X.parents(spark, sf), X.text_queries(spark, sf), 100).withColumn("rank_cd", F.round("rank_cd", 6))
 
 
 @query("R8_rrf_fuse", f"""WITH {CHUNKS}, {_RANK}, v AS (SELECT query_id, id, r FROM (SELECT query_id, id, {_RANKED} AS r FROM sims) WHERE r <= 20), f AS (SELECT query_id, id, fts_rank AS r FROM fts WHERE fts_rank <= 20)
 SELECT coalesce(v.query_id, f.query_id) AS query_id, coalesce(v.id, f.id) AS id, round(coalesce(1.0 / (60 + v.r), 0) + coalesce(1.0 / (60 + f.r), 0), 6)::DOUBLE AS rrf_score FROM v FULL JOIN f ON v.query_id = f.query_id AND v.id = f.id""")
 def r8(spark, sf):
     vec = R.vector_pool(X.chunks(spark, sf), X.vector_queries(spark, sf), 20).select("query_id", "id", "vec_rank")
-    fts = R.fts_topk(X.chunks(spark, sf), X.parents(spark, sf), X.text_queries(spark, sf), 20).select("query_id", "id", "fts_rank")
+    fts = R.fts_topk(X.texts(spark, sf), X.parents(spark, sf), X.text_queries(spark, sf), 20).select("query_id", "id", "fts_rank")
     return R.rrf_fuse(vec, fts).select("query_id", "id", F.round("rrf_score", 6).alias("rrf_score"))
 
 
@@ -721,7 +721,7 @@ u AS (SELECT coalesce(v.query_id, f.query_id) AS query_id, coalesce(v.id, f.id)
 b AS (SELECT * FROM (SELECT u.*, row_number() OVER (PARTITION BY query_id, coalesce(parent_chunk_id, u.id) ORDER BY similarity DESC, u.id) AS n FROM u JOIN chunks ON chunks.id = u.id) WHERE n = 1)
 SELECT * FROM (SELECT query_id, id, {_RANKED}::INT AS rank, round(similarity, 6) AS similarity, 'hybrid' AS search_type FROM b) WHERE rank <= 5""")
 def r9(spark, sf):
-    hits = R.hybrid_search(X.chunks(spark, sf), X.parents(spark, sf), X.filtered(X.mixed_queries(spark, sf)), 5)
+    hits = R.hybrid_search(X.chunks(spark, sf), X.parents(spark, sf), X.filtered(X.mixed_queries(spark, sf)), 5, X.texts(spark, sf))
     return hits.select("query_id", "id", "rank", F.round("similarity", 6).alias("similarity"), "search_type")
 
 
@@ -731,7 +731,7 @@ u AS (SELECT coalesce(v.query_id, f.query_id) AS query_id, coalesce(v.id, f.id)
   CASE WHEN v.r IS NOT NULL AND f.r IS NOT NULL THEN 'hybrid' WHEN v.r IS NOT NULL THEN 'vector' ELSE 'fulltext' END AS search_type FROM v FULL JOIN f ON v.query_id = f.query_id AND v.id = f.id)
 SELECT query_id, id, round(similarity, 6) AS similarity, round(rrf_score, 6) AS rrf_score, search_type, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf_score DESC, id)::INT AS rank FROM u) WHERE rank <= 5""")
 def r10(spark, sf):
-    hits = R.hybrid_search_labeled(X.chunks(spark, sf), X.parents(spark, sf), X.mixed_queries(spark, sf), 5, 0.3)
+    hits = R.hybrid_search_labeled(X.chunks(spark, sf), X.parents(spark, sf), X.mixed_queries(spark, sf), 5, 0.3, X.texts(spark, sf))
     return hits.withColumns({"similarity": F.round("similarity", 6), "rrf_score": F.round("rrf_score", 6)})
 
 

@@ -8,6 +8,7 @@ import duckdb
 import pytest
 from test_oracle import plain
 
+from docloom.operators import search
 from docloom.plans.queries import ORACLE_SQL, QUERIES
 
 #: Passages with words that web syntax reads as operators, and one with repeated words.
@@ -44,3 +45,25 @@ def test_items_are_plain_texts(spark, small, name):
     want = [dict(zip((c[0] for c in result.description), row, strict=True)) for row in result.fetchall()]
     assert want
     assert sorted(tuple(plain(r[c]) for c in columns) for r in got.collect()) == sorted(tuple(plain(r[c]) for c in columns) for r in want)
+
+
+def test_queries_of_one_text_are_matched_once(spark, tmp_path, monkeypatch):
+    """Each chunk is ranked once for a text, however many queries ask for it and whatever filters they have."""
+    log, real = tmp_path / "ranked", search.density_of
+    log.mkdir()
+
+    def counting(q, words):
+        import uuid
+
+        (log / uuid.uuid4().hex).touch()
+        return real(q, words)
+
+    monkeypatch.setattr(search, "density_of", counting)
+    chunks = spark.createDataFrame([(i, 10 + i % 2, "a b" if i % 3 else "a x b", "child" if i < 9 else "parent") for i in range(10)], "id long, document_id long, text_content string, chunk_type string")
+    docs = spark.createDataFrame([(10, "en"), (11, None)], "id long, language string")
+    asked = [(q, "b a" if q < 40 else None, [None, "en", "de"][q % 3]) for q in range(41)]
+    queries = spark.createDataFrame(asked, "query_id long, query_text string, filter_language string")
+    got = sorted((r["query_id"], r["id"], r["fts_rank"]) for r in search.fts_topk(chunks, docs, queries, 4).collect())
+    best = {None: [1, 2, 4, 5], "en": [2, 4, 8, 0], "de": []}
+    assert got == sorted((q, i, n + 1) for q, text, language in asked if text for n, i in enumerate(best[language]))
+    assert len(list(log.iterdir())) == 9
