@@ -2,8 +2,10 @@
 
 Queries and chunks are both packed into rows of about a thousand vectors. A pack of queries meets a pack of chunks in one row and
 is scored by one matrix product; a task keeps the best of each query over all packs that it sees, so what is shuffled is queries x n x
-tasks and never pairs. Query packs go to every task where their size, which is counted, allows it, and chunks are then read once and
-not shuffled; beyond that size both sides are dealt over a grid of cells by an equi-join. No vector passes the driver.
+tasks and never pairs. Query packs go to every task where their size and the rows that a task then keeps, which are counted, allow
+it, and chunks are then read once and not shuffled; beyond that both sides are dealt over a grid of cells by an equi-join. The grid
+has as many cells as the pairs ask for, and as many columns (each holds every query's best) as make best rows and copies of chunks
+least together. No vector passes the driver.
 """
 
 from __future__ import annotations
@@ -14,16 +16,18 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
-from ..storage import written
+from ..storage import bound_batches, written
 
 #: Vectors of a pack; bytes of query packs that are broadcast at most; query packs of one row of the grid beyond that.
 PACK_QUERIES, PACK_CHUNKS, BROADCAST_BYTES, ROW_PACKS = 1024, 4096, 32 << 20, 64
-#: Best rows that a task holds at most before it hands them on. Results don't depend on it.
+#: Best rows of a task where queries are broadcast; pairs of a cell of the grid; bytes of a best row on its way.
+BROADCAST_ROWS, CELL_PAIRS, ROW_BYTES = 1 << 18, 1 << 26, 24
+#: Best rows that a task holds at most before it hands them on; a cell of the grid has no more. Results don't depend on it.
 HELD_ROWS = 4_000_000
 NONE = -(1 << 63)
 
@@ -118,13 +122,17 @@ class Best:
         self.floor = np.full(queries, -np.inf)
 
     def add(self, scores: np.ndarray, ids: np.ndarray, carried: list[np.ndarray], n: int, least: float) -> None:
+        """scores: not rounded yet, which only those near a row's floor need."""
         floor = np.maximum(self.floor, least)
-        if scores.shape[1] > n:
-            floor = np.maximum(floor, np.partition(scores, scores.shape[1] - n, axis=1)[:, scores.shape[1] - n])
-        row, at = np.nonzero((scores >= floor[:, None]) & (scores > -np.inf))
+        if scores.shape[1] > n and np.isneginf(floor).any():
+            floor = np.maximum(floor, np.round(np.partition(scores, scores.shape[1] - n, axis=1)[:, scores.shape[1] - n], 12))
+        row, at = np.nonzero(scores >= np.maximum(floor - 1e-11, -2)[:, None])  # a score left out is -inf
+        near = np.round(scores[row, at], 12)
+        kept = near >= floor[row]
+        row, at, near = row[kept], at[kept], near[kept]
         if not len(row):
             return
-        row_, score, own = np.concatenate([self.row, row]), np.concatenate([self.score, scores[row, at]]), np.concatenate([self.ids, ids[at]])
+        row_, score, own = np.concatenate([self.row, row]), np.concatenate([self.score, near]), np.concatenate([self.ids, ids[at]])
         keep = _cut(row_, score, own, n)
         self.row, self.score, self.ids = row_[keep], score[keep], own[keep]
         self.carried = [np.concatenate([a, b[at]])[keep] for a, b in zip(self.carried, carried, strict=True)]
@@ -133,6 +141,15 @@ class Best:
         self.floor[full] = self.score[ends]
 
 
+def _grid(queries: Row, chunks: Row, n: int, row_packs: int) -> tuple[int, int]:
+    """Rows and columns. A column costs the queries and their best rows once more, a row the chunks."""
+    cells = max(1, math.ceil(queries["rows"] * chunks["rows"] / CELL_PAIRS))
+    column, row = queries["bytes"] + queries["rows"] * n * ROW_BYTES, max(1, chunks["bytes"] // 2)
+    columns = min(cells, max(1, round(math.sqrt(cells * row / max(1, column)))))
+    least = max(math.ceil(queries["n"] / row_packs), math.ceil(queries["rows"] * n / HELD_ROWS) if HELD_ROWS else 1)
+    return max(1, least, math.ceil(cells / columns)), columns
+
+
 def nearest(chunks: DataFrame, queries: DataFrame, n: int, threshold: float | None = None, filters: dict[str, str] | None = None, carry: list[str] = (), broadcast_bytes: int = BROADCAST_BYTES, row_packs: int = ROW_PACKS) -> DataFrame:
     """query_id, id, similarity, carried columns (long), vec_rank: each query's n chunks of the greatest cosine, at least
     `threshold`, ties by the smaller id; cosines are rounded to 12 places, so equal vectors tie.
@@ -146,20 +163,22 @@ def nearest(chunks: DataFrame, queries: DataFrame, n: int, threshold: float | No
     asks, fields = list(filters), list(dict.fromkeys(filters.values()))
     spark = chunks.sparkSession
     wide = chunks.where("embedding IS NOT NULL").select("id", "embedding", *(F.col(c).cast("long").alias(c) for c in carry), *fields)
+    bound_batches(spark)
     few = written(packs(queries, "query_id", "query_embedding", PACK_QUERIES, asks).withColumn("pack", F.monotonically_increasing_id()), "query-packs")
-    size = few.agg(F.coalesce(F.sum(F.size("vectors") * F.lit(8)), F.lit(0)).alias("bytes"), F.count(F.lit(1)).alias("n")).first()
+    counts = [F.coalesce(F.sum(F.size(c) * F.lit(x)), F.lit(0)).alias(name) for name, c, x in (("bytes", "vectors", 8), ("rows", "ids", 1))]
+    size = few.agg(*counts, F.count(F.lit(1)).alias("n")).first()
     many = packs(wide, "id", "embedding", PACK_CHUNKS, [*carry, *fields])
     ask = few.select("width", "pack", F.struct("ids", "vectors", *asks).alias("q"))
-    own = many.select("width", F.struct("ids", "vectors", *carry, *fields).alias("c"))
-    if size["bytes"] <= broadcast_bytes:
-        met = own.join(F.broadcast(ask), "width")
+    if size["bytes"] <= broadcast_bytes and size["rows"] * n <= BROADCAST_ROWS:
+        met = many.select("width", F.struct("ids", "vectors", *carry, *fields).alias("c")).join(F.broadcast(ask), "width")
     else:
-        rows = math.ceil(size["n"] / row_packs)
-        columns = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // rows)
+        many = written(many.withColumn("pack", F.monotonically_increasing_id()), "chunk-packs")
+        rows, columns = _grid(size, many.agg(*counts).first(), n, row_packs)
+        numbers = lambda packs, name, k: packs.select("pack", (F.row_number().over(W.orderBy("pack")) % k).alias(name))  # noqa: E731 - a number for each pack alone
         each = lambda k, name: F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias(name)
-        ask = ask.select("*", F.pmod(F.xxhash64("pack"), F.lit(rows)).cast("int").alias("_row"), each(columns, "_column"))
-        own = own.select("*", F.pmod(F.xxhash64("c.ids"), F.lit(columns)).cast("int").alias("_column"), each(rows, "_row"))
-        met = own.join(ask, ["width", "_row", "_column"]).select("width", "c", "pack", "q")
+        ask = ask.join(F.broadcast(numbers(few, "_row", rows)), "pack").select("*", each(columns, "_column"))
+        own = many.select("width", "pack", F.struct("ids", "vectors", *carry, *fields).alias("c")).join(F.broadcast(numbers(many, "_column", columns)), "pack")
+        met = own.drop("pack").select("*", each(rows, "_row")).join(ask.hint("merge"), ["width", "_row", "_column"]).select("width", "c", "pack", "q")
     lists = [isinstance(queries.schema[c].dataType, ArrayType) for c in asks]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,7 +189,7 @@ def nearest(chunks: DataFrame, queries: DataFrame, n: int, threshold: float | No
                 chunk, asked = c[i], q[i]
                 ids = chunk["ids"].values.to_numpy(zero_copy_only=False)
                 names = asked["ids"].values.to_numpy(zero_copy_only=False)
-                x = np.round(_units(asked["vectors"], width[i].as_py()) @ _units(chunk["vectors"], width[i].as_py()).T, 12)
+                x = _units(asked["vectors"], width[i].as_py()) @ _units(chunk["vectors"], width[i].as_py()).T
                 if asks:
                     masks = Masks([chunk[f].values for f in fields])
                     sets: dict[tuple, list[int]] = {}

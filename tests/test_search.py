@@ -8,7 +8,7 @@ import duckdb
 import pytest
 from test_oracle import plain
 
-from docloom.operators import search
+from docloom.operators import search, vectors
 from docloom.plans.queries import ORACLE_SQL, QUERIES
 
 #: Passages with words that web syntax reads as operators, and one with repeated words.
@@ -67,3 +67,38 @@ def test_queries_of_one_text_are_matched_once(spark, tmp_path, monkeypatch):
     best = {None: [1, 2, 4, 5], "en": [2, 4, 8, 0], "de": []}
     assert got == sorted((q, i, n + 1) for q, text, language in asked if text for n, i in enumerate(best[language]))
     assert len(list(log.iterdir())) == 9
+
+
+def test_best_rows_do_not_grow_with_tasks(spark, tmp_path, monkeypatch):
+    """What tasks keep of a query grows with the columns of the grid, not with the partitions of the chunks."""
+    log, real = tmp_path / "kept", vectors.Best
+    log.mkdir()
+
+    def counting(*sizes):
+        import uuid
+
+        (log / uuid.uuid4().hex).touch()
+        return real(*sizes)
+
+    monkeypatch.setattr(vectors, "Best", counting)
+    monkeypatch.setattr(vectors, "BROADCAST_ROWS", 0, raising=False)
+    r = random.Random(3)
+    rows = [(i, [r.gauss(0, 1) for _ in range(4)]) for i in range(400)]
+    chunks = spark.createDataFrame(rows, "id long, embedding array<double>").repartition(40)
+    queries = spark.createDataFrame([(i + 1000, v) for i, v in rows[:50]], "query_id long, query_embedding array<double>").coalesce(1)
+    got = sorted((x["query_id"], x["vec_rank"], x["id"]) for x in vectors.nearest(chunks, queries, 5).collect())
+    unit = {i: [x / sum(y * y for y in v) ** 0.5 for x in v] for i, v in rows}
+    near = lambda a: sorted(unit, key=lambda b: (-round(sum(x * y for x, y in zip(unit[a], unit[b], strict=True)), 12), b))[:5]
+    assert got == [(i + 1000, n + 1, b) for i in range(50) for n, b in enumerate(near(i))]
+    assert len(list(log.iterdir())) == 1
+
+
+def test_the_grid_weighs_best_rows_against_copies_of_chunks(monkeypatch):
+    size = lambda rows, width: {"rows": rows, "bytes": rows * width * 8, "n": -(-rows // 1024)}
+    for queries, chunks, n in ((31_000, 461_000, 100), (31_000, 461_000, 10), (300_000, 4_600_000, 100), (3, 10, 5)):
+        q, c = size(queries, 64), size(chunks, 64)
+        rows, columns = vectors._grid(q, c, n, 64)
+        cells = queries * chunks / vectors.CELL_PAIRS
+        assert rows * columns >= cells and queries * n / rows <= vectors.HELD_ROWS
+        moved = lambda r, k: r * c["bytes"] / 2 + k * (q["bytes"] + queries * n * vectors.ROW_BYTES)
+        assert moved(rows, columns) <= 1.5 * min(moved(-(-cells // k), k) for k in range(1, int(cells) + 2))
