@@ -5,19 +5,21 @@ axes and cut into BLOCKS blocks of dimensions, such a pair is, in at least one b
 share of the squared distance; shares are in proportion to the blocks' variance, and add up to the whole.
 Each block is range-joined on its own: a grid over its leading axes, with cells as wide as the block's
 radius, sends a vector to one cell and meets the vectors of that cell and its neighbours. Vectors travel in
-packs of up to PACK, so a cell of any size is many pairs of packs, never one task's group. The union of
-the blocks' candidates is verified in double precision; a pair counts in the first block that finds it.
+packs of up to PACK, so a cell of any size is many pairs of packs, never one task's group. Packs are stored
+once and read again by each task that pairs two groups of them, so disk grows with vectors and only reading
+with pairs. The blocks' candidates, screened in single precision with room for its errors, are verified in
+double precision; a pair counts in the first block that finds it.
 """
 
 from __future__ import annotations
 
-import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import FloatType
 
 from . import common
 from .graph import components, roots
@@ -27,6 +29,10 @@ GRID_AXES = 2
 PACK = 4096
 TILE = 512
 SLACK = 1e-9
+#: What single precision may miss of a squared distance between parts of unit vectors, for each term of the product.
+SCREEN = 4e-7
+#: Bytes of packs of one group: two groups are what a task reads. Least number of groups.
+GROUP_BYTES, LEAST_GROUPS = 16 << 20, 4
 
 
 class Plan:
@@ -47,6 +53,12 @@ class Plan:
     def cells(self, rotated: np.ndarray, block: int) -> np.ndarray:
         return np.floor(rotated[:, self.grid[block]] / np.sqrt(self.budgets[block]) + 1e-12).astype(np.int64)
 
+    def sides(self, rotated: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray]:
+        """Single-precision rows whose products, one side's with the other's, are minus half the block's squared distances."""
+        part = rotated[:, self.parts[block]]
+        half, one = -0.5 * (part * part).sum(1, keepdims=True), np.ones((len(part), 1))
+        return tuple(np.concatenate(x, axis=1).astype(np.float32) for x in ([part, half, one], [part, one, half]))
+
 
 def _moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     n, total, outer = 0, None, None
@@ -76,94 +88,120 @@ def _clean(vectors: DataFrame) -> DataFrame:
     return vectors.where(F.coalesce(ok, F.lit(False)))
 
 
-def _links_of_width(distinct: DataFrame, plan: Plan, d: int) -> DataFrame:
-    """node, n_links, root: for each distinct vector met, weighted links and one connecting edge per pack pair."""
+def _links_of_width(distinct: DataFrame, plan: Plan, d: int, n: int, number: str) -> DataFrame:
+    """node, n_links, root: for each of n distinct vectors that is met, weighted links and one connecting edge per pack pair.
+    number: the type of the vectors' components, which packs keep."""
     shared = distinct.sparkSession.sparkContext.broadcast(plan)
+    blocks, axes = len(plan.parts), [f"c{i}" for i in range(len(plan.grid[0]))]
+    place = ["block", *axes]
+    schema = ", ".join(f"{c} long" for c in place)
+    # a vector in a pack, with its cells in all blocks: rotated among other rows, one on a border could get another cell
+    form = np.dtype([("id", "<i8"), ("copies", "<i8"), ("cells", "<i4", (blocks, GRID_AXES)), ("vector", {"float": "<f4", "double": "<f8"}[number], (d,))])
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         plan = shared.value
         for batch in batches:
-            y = plan.rotated(next(x for _, x in _by_width(batch.column("vector")))) if len(batch) else np.zeros((0, d))
-            for block in range(len(plan.parts)):
-                cells = plan.cells(y, block)
-                names = [f"c{i}" for i in range(cells.shape[1])]
-                yield pa.record_batch([pa.array(np.full(len(y), block)), *(pa.array(c) for c in cells.T), *batch.columns], ["block", *names, *batch.schema.names])
+            if not len(batch):
+                continue
+            x = next(x for _, x in _by_width(batch.column("vector")))
+            y, rows = plan.rotated(x), np.zeros(len(batch), form)
+            rows["id"], rows["copies"], rows["vector"] = batch.column("id").to_numpy(), batch.column("copies").to_numpy(), x
+            for block in range(blocks):
+                rows["cells"][:, block, : len(axes)] = plan.cells(y, block)
+            ends = pa.py_buffer(np.arange(len(rows) + 1, dtype=np.int32) * form.itemsize)
+            packed = pa.Array.from_buffers(pa.binary(), len(rows), [None, ends, pa.py_buffer(rows.tobytes())])
+            for block in range(blocks):
+                cells = rows["cells"][:, block, : len(axes)].astype(np.int64)
+                yield pa.record_batch([pa.array(np.full(len(rows), block)), *(pa.array(c) for c in cells.T), packed], [*place, "row"])
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        waiting: dict[tuple, list[bytes]] = {}
+        at, held, size = None, [], 0
 
-        def out(keys: list[tuple]) -> pa.RecordBatch:
-            packs = [pa.array([b"".join(waiting.pop(k)) for k in keys], pa.binary())]
-            return pa.record_batch([*(pa.array(c, pa.int64()) for c in zip(*keys, strict=True)), *packs], [*place, "pack"])
+        def out() -> pa.RecordBatch:
+            return pa.record_batch([*(pa.array([c], pa.int64()) for c in at), pa.array([b"".join(held)], pa.binary())], [*place, "pack"])
 
         for batch in batches:
             if not len(batch):
                 continue
-            x = next(x for _, x in _by_width(batch.column("vector")))
-            heads = [batch.column(c).to_numpy()[:, None] for c in ("id", "copies")]
-            rows = np.concatenate([heads[0].view(np.float64), heads[1].astype(float), x], axis=1)
-            for k, row in zip(zip(*(batch.column(c).to_pylist() for c in place), strict=True), rows, strict=True):
-                if k not in waiting and waiting:
-                    yield out(list(waiting))  # rows come in the order of cells
-                waiting.setdefault(k, []).append(row.tobytes())
-                if len(waiting[k]) == PACK:
-                    yield out([k])
-        if waiting:
-            yield out(list(waiting))
-
-    axes = [f"c{i}" for i in range(len(plan.grid[0]))]
-    place = ["block", *axes]
-    schema = ", ".join(f"{c} long" for c in place)
-    rows = distinct.select("id", "copies", "vector").mapInArrow(placed, f"{schema}, id long, copies long, vector array<double>")
-    rows = common.written(rows.withColumn("spread", F.xxhash64("id")), "cells")
+            keys = np.stack([batch.column(c).to_numpy() for c in place], axis=1)
+            row = batch.column("row")
+            raw = memoryview(row.buffers()[2])[row.offset * form.itemsize :]
+            cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1).tolist(), len(keys)]
+            for begin, end in zip(cuts, cuts[1:], strict=False):  # rows come in the order of cells
+                key = tuple(keys[begin].tolist())
+                if held and key != at:
+                    yield out()
+                    held, size = [], 0
+                at = key
+                while begin < end:
+                    to = min(end, begin + PACK - size)
+                    held.append(bytes(raw[begin * form.itemsize : to * form.itemsize]))
+                    size, begin = size + to - begin, to
+                    if size == PACK:
+                        yield out()
+                        held, size = [], 0
+        if held:
+            yield out()
+
+    groups = max(LEAST_GROUPS, -(-n * blocks * form.itemsize // GROUP_BYTES))
+    rows = distinct.select("id", "copies", "vector").mapInArrow(placed, f"{schema}, row binary").withColumn("spread", F.xxhash64("row"))
     # neighbours in range order: full packs but for each cell's and partition's last one, however large a cell is
-    ordered = rows.repartitionByRange(*place, "spread").sortWithinPartitions(*place, "spread").drop("spread")
+    ordered = rows.repartitionByRange(groups, *place, "spread").sortWithinPartitions(*place, "spread").drop("spread")
     packs = common.written(ordered.mapInArrow(packed, f"{schema}, pack binary").withColumn("pack_id", F.xxhash64(*place, "pack")), "packs")
 
-    steps = F.array(*(F.struct(*(F.lit(x).alias(c) for c, x in zip(axes, step, strict=True))) for step in itertools.product((-1, 0, 1), repeat=len(axes))))
-    reach = packs.select("block", *axes, F.col("pack_id").alias("b_id"), F.explode(steps).alias("step"))
-    reach = reach.select("block", *((F.col(c) + F.col("step")[c]).alias(c) for c in axes), "b_id")
-    pairs = packs.select(*place, F.col("pack_id").alias("a_id")).join(reach, place).where("a_id <= b_id").select("block", "a_id", "b_id")
-    a, b = packs.select(F.col("pack_id").alias("a_id"), F.col("pack").alias("a")), packs.select(F.col("pack_id").alias("b_id"), F.col("pack").alias("b"))
-    met = pairs.join(a, "a_id").join(b, "b_id").select("block", "a", "b", (F.col("a_id") == F.col("b_id")).alias("self"))
+    def side(name: str) -> DataFrame:
+        return packs.select(*(F.col(c).alias(f"{name}_{c}") for c in place), F.col("pack_id").alias(f"{name}_id"), F.col("pack").alias(name)).coalesce(groups)
+
+    near = F.col("a_block") == F.col("b_block")
+    for c in axes:
+        near = near & (F.abs(F.col(f"a_{c}") - F.col(f"b_{c}")) <= 1)
+    # every two groups meet in a task that reads both: nothing is shuffled, so packs are on disk once
+    both = side("a").hint("shuffle_replicate_nl").join(side("b"), near & (F.col("a_id") <= F.col("b_id")))
+    met = both.select(F.col("a_block").alias("block"), "a", "b", (F.col("a_id") == F.col("b_id")).alias("self"))
 
     def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         plan = shared.value
         for batch in batches:
             for block, a, b, itself in zip(*(batch.column(k).to_pylist() for k in ("block", "a", "b", "self")), strict=True):
-                p, q = np.frombuffer(a).reshape(-1, d + 2), np.frombuffer(b).reshape(-1, d + 2)
-                x, y = plan.rotated(p[:, 2:]), plan.rotated(q[:, 2:])
-                tiles = [_found(plan, block, x, y, itself, at) for at in range(0, len(x), TILE)]
-                i, j = (np.concatenate(k) for k in zip(*tiles, strict=True))
+                p, q = np.frombuffer(a, form), np.frombuffer(b, form)
+                x, y = (plan.rotated(r["vector"].astype(float)) for r in (p, q))
+                i, j = _found(plan, block, x, y, p["cells"], q["cells"], itself)
                 if not len(i):
                     continue
-                ids = np.concatenate([p[:, 0], q[:, 0]]).view(np.int64)
-                counts = np.bincount(np.concatenate([i, j + len(p)]), weights=np.concatenate([q[j, 1], p[i, 1]]), minlength=len(ids)).astype(np.int64)
+                ids = np.concatenate([p["id"], q["id"]])
+                counts = np.bincount(np.concatenate([i, j + len(p)]), weights=np.concatenate([q["copies"][j], p["copies"][i]]), minlength=len(ids)).astype(np.int64)
                 root, hit = roots(i, j + len(p), ids), np.flatnonzero(counts)
                 yield pa.record_batch([pa.array(ids[hit]), pa.array(counts[hit]), pa.array(root[hit])], ["node", "n_links", "root"])
 
     return common.written(met.mapInArrow(verified, "node long, n_links long, root long"), "vector-links")
 
 
-def _found(plan: Plan, block: int, x: np.ndarray, y: np.ndarray, itself: bool, at: int) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs with cosine >= plan.cosine that this block is the first to find, of TILE rows of x from `at`."""
-    part = plan.parts[block]
-    u, v = x[at : at + TILE, part], y[:, part]
-    near = (u * u).sum(1)[:, None] + (v * v).sum(1)[None] - 2 * (u @ v.T) <= plan.budgets[block] + SLACK
-    i, j = np.nonzero(near)
-    i = i + at
-    if itself:
-        i, j = i[i < j], j[i < j]
+def _found(plan: Plan, block: int, x: np.ndarray, y: np.ndarray, cells: np.ndarray, others: np.ndarray, itself: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs with cosine >= plan.cosine that this block is the first to find. cells, others: of x and y in all blocks."""
+    left, right = plan.sides(x, block)[0], plan.sides(y, block)[1].T
+    found = []
+    for at in range(0, len(x), TILE):
+        # of a pack with itself pairs i < j alone
+        begin = at if itself else 0
+        near = left[at : at + TILE] @ right[:, begin:] >= np.float32(-0.5 * (plan.budgets[block] + SCREEN * len(right)))
+        i, j = np.divmod(np.flatnonzero(near), near.shape[1])
+        i, j = i + at, j + begin
+        if itself:
+            i, j = i[i < j], j[i < j]
+        for k in range(0, len(i), 1 << 16):
+            found.append(_verified(plan, block, x, y, cells, others, i[k : k + (1 << 16)], j[k : k + (1 << 16)]))
+    return tuple(np.concatenate(k) for k in zip(*found, strict=True)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+
+def _verified(plan: Plan, block: int, x: np.ndarray, y: np.ndarray, cells: np.ndarray, others: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     linked = np.einsum("ij,ij->i", x[i], y[j]) >= plan.cosine - 4e-16
     i, j = i[linked], j[linked]
-    first = np.ones(len(i), bool)
-    within = ((x[i][:, part] - y[j][:, part]) ** 2).sum(1) <= plan.budgets[block]
+    square = (x[i] - y[j]) ** 2
+    first = square[:, plan.parts[block]].sum(1) <= plan.budgets[block]
     for earlier in range(block):
-        other = plan.parts[earlier]
-        close = ((x[i][:, other] - y[j][:, other]) ** 2).sum(1) <= plan.budgets[earlier]
-        meet = (np.abs(plan.cells(x[i], earlier) - plan.cells(y[j], earlier)) <= 1).all(1) if len(i) else close
-        first &= ~(close & meet)
-    return i[first & within], j[first & within]
+        close = square[:, plan.parts[earlier]].sum(1) <= plan.budgets[earlier]
+        first &= ~(close & (np.abs(cells[i, earlier] - others[j, earlier]) <= 1).all(1))
+    return i[first], j[first]
 
 
 def near_duplicates(vectors: DataFrame, cosine: float = 0.9, key: str = "vec_id", embedding: str = "embedding", blocks: int = BLOCKS) -> DataFrame:
@@ -177,9 +215,10 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.9, key: str = "vec_id"
     """
     spark = vectors.sparkSession
     common.bound_batches(spark)
-    rows = vectors.select(F.col(key).cast("long").alias("id"), F.col(embedding).cast("array<double>").alias("vector"))
+    number = "float" if isinstance(vectors.schema[embedding].dataType.elementType, FloatType) else "double"
+    rows = vectors.select(F.col(key).cast("long").alias("id"), F.col(embedding).cast(f"array<{number}>").alias("vector"))
     print_a, print_b = F.xxhash64("vector"), F.xxhash64(F.lit(17), "vector")
-    usable = _clean(rows).select("id", F.transform("vector", lambda x: x + F.lit(0.0)).alias("vector"))
+    usable = _clean(rows).select("id", F.transform("vector", lambda x: x + F.lit(0.0)).cast(f"array<{number}>").alias("vector"))
     marked = usable.select("id", "vector", print_a.alias("pa"), print_b.alias("pb"))
     grouped = marked.groupBy("pa", "pb").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"), F.any_value("vector").alias("vector"))
     distinct = common.written(grouped, "vectors")
@@ -190,7 +229,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.9, key: str = "vec_id"
         m, d = np.array(r["m"]), r["d"]
         mean = m[:d] / r["n"]
         variances, axes = np.linalg.eigh(m[d:].reshape(d, d) / r["n"] - np.outer(mean, mean))
-        part = _links_of_width(distinct.where(F.size("vector") == d).select("id", "copies", "vector"), Plan(axes, np.maximum(variances, 0), cosine, blocks), d)
+        part = _links_of_width(distinct.where(F.size("vector") == d).select("id", "copies", "vector"), Plan(axes, np.maximum(variances, 0), cosine, blocks), d, r["n"], number)
         found = part if found is None else found.unionByName(part)
     if found is None:
         return rows.select(F.col("id").alias(key), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
