@@ -32,7 +32,7 @@ SLACK = 1e-9
 #: What single precision may miss of a squared distance between parts of unit vectors, for each term of the product.
 SCREEN = 4e-7
 #: Bytes of packs of one group: two groups are what a task reads. Least number of groups.
-GROUP_BYTES, LEAST_GROUPS = 16 << 20, 4
+GROUP_BYTES, LEAST_GROUPS = 16 << 20, 8
 
 
 class Plan:
